@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import langid, mixing, quality, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_langid": langid.op1_langid,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op9_mixing": mixing.op9_mixing,
         "op10_quality": quality.op10_quality,
     }
