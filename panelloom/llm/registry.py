@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, quality, toxicity
+from . import langid, mixing, packing, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_langid": langid.op1_langid,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op6_packing": packing.op6_packing,
         "op9_mixing": mixing.op9_mixing,
         "op10_quality": quality.op10_quality,
     }
