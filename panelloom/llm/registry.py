@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, quality, toxicity
+from . import chat, langid, mixing, packing, quality, toxicity, urlgraph
 
 
 def queries() -> dict:
     return {
         "op1_langid": langid.op1_langid,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_chat": chat.op5_chat,
         "op6_packing": packing.op6_packing,
+        "op8_urls": urlgraph.op8_urls,
         "op9_mixing": mixing.op9_mixing,
         "op10_quality": quality.op10_quality,
     }
@@ -17,6 +19,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_chat": chat.SQL,
+        "op8_urls": urlgraph.SQL,
         "op9_mixing": mixing.SQL,
         "op10_quality": quality.SQL,
     }
