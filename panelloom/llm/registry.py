@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid, mixing, packing, quality, toxicity, urlgraph
+from . import chat, langid, licenses, mixing, packing, quality, toxicity, urlgraph
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_chat": chat.op5_chat,
         "op6_packing": packing.op6_packing,
+        "op7_licenses": licenses.op7_licenses,
         "op8_urls": urlgraph.op8_urls,
         "op9_mixing": mixing.op9_mixing,
         "op10_quality": quality.op10_quality,
