@@ -62,3 +62,17 @@ class Stash:
     def drop(self, df: DataFrame) -> None:
         if path := getattr(df, "_stash_path", None):
             _remove(self.spark, path)
+
+
+def arrow_limits(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch, so that long texts don't add up."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+#: A table of ids is broadcast up to so many rows.
+SMALL_ROWS = 1_000_000
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """ids, a table of a few longs a row, marked for broadcast if it is counted to be small; else it shuffles."""
+    return F.broadcast(ids) if ids.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else ids

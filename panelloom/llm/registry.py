@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, langid, licenses, mixing, packing, quality, toxicity, urlgraph
+from . import chat, jaccard, langid, licenses, mixing, packing, quality, toxicity, urlgraph
 
 
 def queries() -> dict:
     return {
         "op1_langid": langid.op1_langid,
+        "op3_jaccard": jaccard.op3_jaccard,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_chat": chat.op5_chat,
         "op6_packing": packing.op6_packing,
@@ -20,6 +21,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_jaccard": jaccard.SQL,
         "op5_chat": chat.SQL,
         "op8_urls": urlgraph.SQL,
         "op9_mixing": mixing.SQL,
