@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, langid, licenses, mixing, packing, quality, toxicity, urlgraph
+from . import chat, jaccard, langid, licenses, mixing, neardup, packing, quality, toxicity, urlgraph
 
 
 def queries() -> dict:
     return {
         "op1_langid": langid.op1_langid,
+        "op2_embeddings": neardup.op2_embeddings,
         "op3_jaccard": jaccard.op3_jaccard,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_chat": chat.op5_chat,
@@ -21,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_embeddings": neardup.SQL,
         "op3_jaccard": jaccard.SQL,
         "op5_chat": chat.SQL,
         "op8_urls": urlgraph.SQL,
