@@ -245,6 +245,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return every.join(ids, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component, repeated rows once; the columns of docs."""
+    made = near_duplicates(docs.select("doc_id", "text"))
+    ids = made.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
+    counts = made.agg(F.count("*").alias("rows"), F.count_distinct(F.coalesce("doc_id", F.lit(-1))).alias("ids")).first()
+    kept = docs.join(small(ids.distinct()), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    return kept if counts["rows"] == counts["ids"] else kept.dropDuplicates(["doc_id", "text"])
+
+
 def _sized(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose sizes allow the threshold."""
     size = lambda c: sets.select(F.col("sig").alias(c), F.col("size").alias(f"size_{c}"))
