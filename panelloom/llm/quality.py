@@ -67,14 +67,15 @@ def with_counts(docs: DataFrame) -> DataFrame:
     )
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = out.withColumn("_lines", lines)
-    return out.select(
-        *cols,
+    # A generator, so that filters on the counts aren't pushed below it and don't compute them again.
+    counts = F.struct(
         F.col("_n").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(F.coalesce("text", F.lit("")), SYMBOLS, "")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size("_wins") == 0, F.lit(0).cast("long")).otherwise(_repeated_words()).alias("n_repeat_words"),
     )
+    return out.select(*cols, F.inline(F.array(counts)))
 
 
 def base_failed() -> Column:
