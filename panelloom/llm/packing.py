@@ -163,6 +163,12 @@ class Encoder:
         return out, tokens + 1
 
 
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks that a Python worker runs, so that its cache stays warm."""
+    return Encoder(path)
+
+
 def _cut(doc_ids: np.ndarray, ids: np.ndarray, tokens: np.ndarray, open_tokens: int) -> Iterator[tuple]:
     """Pieces of a stretch of the stream: (doc, start in it, ids, its tokens, whether the sequence is full after it)."""
     edge = np.concatenate([[0], np.cumsum(tokens)])
@@ -176,7 +182,7 @@ def _cut(doc_ids: np.ndarray, ids: np.ndarray, tokens: np.ndarray, open_tokens:
 
 def _pieces(parts: Iterator[pa.RecordBatch], path: str) -> Iterator[list[tuple]]:
     """Lists of rows of PIECE for one partition's documents in their order."""
-    encode, sequence = Encoder(path), TaskContext.get().partitionId() << 40
+    encode, sequence = encoder(path), TaskContext.get().partitionId() << 40
     waiting, held = [], 0
     for whole in parts:
         for part in bytetext.batches(whole, "text", 2 * bytetext.SLAB):
