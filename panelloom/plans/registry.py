@@ -1,11 +1,506 @@
-"""The queries over the test tables and their SQL."""
+"""The queries over the test tables and their SQL, side by side."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import periods
+from ..operators import audits, bars, features, mlprep, moe, panel
+from ..sources import sic, testdata
+from . import sql
+from .sql import FEATURES, FUNDAMENTALS, MACRO, SPLITS
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+STEPS = 12
+
+
+def query(text: str | None = None):
+    """Register a function as a query by its name, with the SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if text is not None:
+            SQL[f.__name__] = sql.query(text)
+        return f
+
+    return add
+
+
+def r(c: str | Column, digits: int = 6, name: str | None = None) -> Column:
+    column = F.col(c) if isinstance(c, str) else c
+    return (F.round(column + float(sql.NUDGE[digits]), digits) + 0.0).alias(name or c)
+
+
+def daily(spark: SparkSession, d: str) -> DataFrame:
+    return bars.daily_returns(testdata.with_shares(testdata.bars(spark, d)))
+
+
+def monthly(spark: SparkSession, d: str) -> DataFrame:
+    return bars.monthly_summary(daily(spark, d))
+
+
+def weekly(spark: SparkSession, d: str) -> DataFrame:
+    return bars.weekly_returns(testdata.bars(spark, d))
+
+
+def liquid(spark: SparkSession, d: str) -> DataFrame:
+    return features.with_liquidity(features.with_momentum(monthly(spark, d)))
+
+
+def ratios(spark: SparkSession, d: str) -> DataFrame:
+    statements = testdata.statements(spark, d)
+    caps = testdata.with_shares(testdata.bars(spark, d)).select("symbol", "date", "market_cap")
+    return panel.by_frequency(features.earnings_and_sales(statements, caps).join(features.asset_growth(statements), ["symbol", "freq", "month"]))
+
+
+def risk(spark: SparkSession, d: str) -> DataFrame:
+    w = weekly(spark, d)
+    return features.rolling_risk(bars.monthly_summary(bars.daily_returns(testdata.bars(spark, d))), w, features.market_returns(w))
+
+
+def whole_panel(spark: SparkSession, d: str) -> DataFrame:
+    m, static = liquid(spark, d), testdata.static_info(spark, d)
+    industry = features.industry_momentum(m, static).join(features.industry_momentum(m, static, "mom12m", "indmom_lagged"), ["sic2", "month"])
+    wide = panel.assemble(m.join(risk(spark, d), ["symbol", "month"], "left"), ratios(spark, d), static=static)
+    return wide.join(industry, ["sic2", "month"], "left")
+
+
+# Bars.
+
+
+@query("SELECT symbol, CAST(date AS VARCHAR) AS date, " + sql.r("ret") + " FROM daily")
+def daily_returns(spark, d):
+    return daily(spark, d).select("symbol", F.col("date").cast("string").alias("date"), r("ret"))
+
+
+@query("SELECT symbol, month, " + ", ".join(sql.r(c) for c in ("close", "dollar_volume", "volume", "max_ret")) + ", days, zero_days FROM monthly")
+def monthly_summary(spark, d):
+    return monthly(spark, d).select("symbol", "month", *map(r, ("close", "dollar_volume", "volume", "max_ret")), "days", "zero_days")
+
+
+@query("SELECT symbol, month, latest_week FROM monthly")
+def month_latest_week(spark, d):
+    return monthly(spark, d).select("symbol", "month", "latest_week")
+
+
+@query("SELECT symbol, month, CAST(shares AS BIGINT) AS shares, " + sql.r("market_cap", 4) + " FROM monthly")
+def month_end_shares_caps(spark, d):
+    return monthly(spark, d).select("symbol", "month", F.col("shares").cast("long").alias("shares"), r("market_cap", 4))
+
+
+@query("SELECT symbol, month, CAST(count(ret) AS BIGINT) AS n, " + sql.r("sum(ret)", 6, "total") + " FROM daily GROUP BY symbol, month")
+def monthly_return_list(spark, d):
+    rows = bars.monthly_return_list(daily(spark, d))
+    total = F.when(F.size("returns") > 0, F.aggregate("returns", F.lit(0.0), lambda a, x: a + x))
+    return rows.select("symbol", "month", F.size("returns").cast("long").alias("n"), r(total, 6, "total"))
+
+
+@query("SELECT symbol, week, " + sql.r("close") + " FROM weekclose")
+def weekly_close(spark, d):
+    return weekly(spark, d).select("symbol", "week", r("close"))
+
+
+@query("SELECT symbol, week, " + sql.r("ret") + " FROM weekly")
+def weekly_returns(spark, d):
+    return weekly(spark, d).select("symbol", "week", r("ret"))
+
+
+@query("SELECT symbol, month, CAST(row_number() OVER (PARTITION BY symbol ORDER BY month DESC) - 1 AS BIGINT) AS mi FROM monthly")
+def month_index(spark, d):
+    return bars.indexed(monthly(spark, d).select("symbol", "month"), "month", "mi").withColumn("mi", F.col("mi").cast("long"))
+
+
+@query("SELECT DISTINCT strftime(day, '%Y-%m') AS month, strftime(day, '%G-%V') AS week FROM (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT min(date) AS lo, max(date) AS hi FROM bars))")
+def month_weeks(spark, d):
+    return periods.calendar_weeks(testdata.bars(spark, d).agg(F.min("date").alias("first"), F.max("date").alias("last")))
+
+
+# Momentum and liquidity: one query a feature.
+
+
+def _feature(name: str, digits: int, source: str, made: Callable) -> None:
+    def f(spark, d):
+        return made(spark, d).select("symbol", "month", r(name, digits))
+
+    f.__name__ = name
+    query(f"SELECT symbol, month, {sql.r(name, digits)} FROM {source}")(f)
+
+
+for _name in ("mom1m", "mom12m", "mom12m_current", "mom36m", "chmom", "chmom_current", "maxret", "maxret_current"):
+    _feature(_name, 6, "momentum", lambda s, d: features.with_momentum(monthly(s, d)))
+for _name, _digits in (("turn", 6), ("std_turn", 6), ("mve", 6), ("mve_current", 6), ("dolvol", 6), ("dolvol_current", 6), ("ill", 8), ("retvol", 6), ("zerotrade", 6)):
+    _feature(_name, _digits, "liquidity", liquid)
+for _name in ("rolling_return", "rolling_return_current", "beta", "beta_current", "betasq", "betasq_current"):
+    _feature(_name, 6, "risk", risk)
+for _name in ("idiovol", "idiovol_current"):
+    _feature(_name, 4, "risk", risk)
+
+
+@query("SELECT symbol, month, " + sql.r("beta") + ", " + sql.r("idiovol", 4) + " FROM risk")
+def beta_idiovol(spark, d):
+    return risk(spark, d).select("symbol", "month", r("beta"), r("idiovol", 4))
+
+
+@query("SELECT symbol, month, " + sql.r(sql.lag("close", 1), 6, "prev_close") + " FROM sparsemonths")
+def sparse_month_lag(spark, d):
+    from pyspark.sql import Window as W
+
+    m = bars.monthly_summary(bars.daily_returns(testdata.bars(spark, d, "l_partkey")))
+    return m.select("symbol", "month", r(F.lag("close").over(W.partitionBy("symbol").orderBy("month")), 6, "prev_close"))
+
+
+# Aggregates over symbols.
+
+
+@query("SELECT week, " + sql.r("market") + " FROM market")
+def market_returns_weekly(spark, d):
+    return features.market_returns(weekly(spark, d)).select("week", r("market"))
+
+
+@query(
+    "SELECT week, "
+    + sql.r("avg(ret)", 6, "market")
+    + """ FROM (SELECT w.symbol, w.week, CASE WHEN v.week IS NOT NULL THEN ret END AS ret FROM weekly w LEFT JOIN (SELECT DISTINCT symbol, c.week FROM momentum m JOIN
+    (SELECT DISTINCT strftime(day, '%Y-%m') AS month, strftime(day, '%G-%V') AS week FROM (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT min(date) AS lo, max(date) AS hi FROM bars))) c
+    ON m.month = c.month WHERE mom12m IS NOT NULL) v ON w.symbol = v.symbol AND w.week = v.week) GROUP BY week"""
+)
+def market_returns_valid_weeks(spark, d):
+    valid = features.with_momentum(monthly(spark, d)).filter("mom12m is not null")
+    kept = features.valid_weeks(weekly(spark, d), valid, month_weeks(spark, d))
+    return features.market_returns(kept).select("week", r("market"))
+
+
+@query("SELECT sic2, month, " + sql.r("indmom") + " FROM industry")
+def indmom(spark, d):
+    return features.industry_momentum(features.with_momentum(monthly(spark, d)), testdata.static_info(spark, d)).select("sic2", "month", r("indmom"))
+
+
+@query("SELECT sic2, month, " + sql.r("indmom_lagged") + " FROM industry")
+def indmom_lagged(spark, d):
+    return features.industry_momentum(features.with_momentum(monthly(spark, d)), testdata.static_info(spark, d), "mom12m", "indmom_lagged").select("sic2", "month", r("indmom_lagged"))
+
+
+# Ratios.
+
+
+@query("SELECT symbol, freq, CAST(date AS VARCHAR) AS date, " + sql.r("cap", 4) + " FROM capped")
+def as_of_cap(spark, d):
+    caps = testdata.with_shares(testdata.bars(spark, d)).select("symbol", "date", "market_cap")
+    return features.as_of_cap(testdata.statements(spark, d), caps).select("symbol", "freq", F.col("date").cast("string").alias("date"), r("cap", 4))
+
+
+def _ep_sp(freq: str):
+    def f(spark, d):
+        caps = testdata.with_shares(testdata.bars(spark, d)).select("symbol", "date", "market_cap")
+        return features.earnings_and_sales(testdata.statements(spark, d), caps).filter(F.col("freq") == freq).select("symbol", "month", r("ep", 8), r("sp", 8))
+
+    f.__name__ = f"ep_sp_{freq}"
+    query(f"SELECT symbol, month, {sql.r('ep', 8)}, {sql.r('sp', 8)} FROM epsp WHERE freq = '{freq}'")(f)
+
+
+_ep_sp("quarter")
+_ep_sp("year")
+
+
+@query("SELECT symbol, freq, month, " + sql.r("agr") + " FROM growth")
+def agr(spark, d):
+    return features.asset_growth(testdata.statements(spark, d)).select("symbol", "freq", "month", r("agr"))
+
+
+# The panel.
+
+
+PANEL = ("close", "mom1m", "mom12m_current", "turn", "mve_current", "retvol", "beta", "ep_quarter", "agr_year", "indmom", "indmom_lagged")
+
+
+@query("SELECT symbol, month, sic2, exchange, " + ", ".join(sql.r(c) for c in PANEL) + " FROM panel")
+def panel_wide(spark, d):
+    return whole_panel(spark, d).select("symbol", "month", "sic2", "exchange", *map(r, PANEL))
+
+
+@query("SELECT symbol, month, " + ", ".join(sql.r(c) for c in FUNDAMENTALS) + " FROM ffilled")
+def fundamental_ffill(spark, d):
+    rows = panel.assemble(monthly(spark, d).select("symbol", "month"), ratios(spark, d))
+    return panel.forward_fill(rows).select("symbol", "month", *map(r, FUNDAMENTALS))
+
+
+@query("SELECT m.symbol, m.month, " + sql.r("close") + ", " + ", ".join(sql.r(c, 4) for c in MACRO) + " FROM monthly m LEFT JOIN macro ON m.month = macro.month")
+def macro_join(spark, d):
+    return panel.join_macro(monthly(spark, d), testdata.macro(spark, d)).select("symbol", "month", r("close"), *[r(c, 4) for c in MACRO])
+
+
+@query(
+    "SELECT coalesce(g.symbol, m.symbol) AS symbol, coalesce(g.month, m.month) AS month, " + sql.r("close") + ", " + sql.r("m_mean", 4)
+    + " FROM (SELECT symbol, macro.* FROM (SELECT symbol, min(month) AS lo, max(month) AS hi FROM sparsemonths GROUP BY symbol) b JOIN macro ON macro.month BETWEEN lo AND hi) g FULL JOIN sparsemonths m ON g.symbol = m.symbol AND g.month = m.month"
+)
+def macro_join_dense(spark, d):
+    m = bars.monthly_summary(bars.daily_returns(testdata.bars(spark, d, "l_partkey"))).select("symbol", "month", "close")
+    return panel.join_macro_dense(m, testdata.macro(spark, d)).select("symbol", "month", r("close"), r("m_mean", 4))
+
+
+@query(
+    """SELECT CAST(s_suppkey AS VARCHAR) AS symbol, CASE WHEN b.symbol IS NULL OR p.symbol IS NULL THEN 'invalid' ELSE 'success' END AS status,
+    CASE WHEN b.symbol IS NULL THEN 'bars' WHEN p.symbol IS NULL THEN 'parts' END AS reason FROM supplier LEFT JOIN (SELECT DISTINCT symbol FROM bars) b ON CAST(s_suppkey AS VARCHAR) = b.symbol
+    LEFT JOIN (SELECT DISTINCT symbol FROM sparse WHERE CAST(symbol AS INTEGER) % 3 <> 0) p ON CAST(s_suppkey AS VARCHAR) = p.symbol"""
+)
+def stock_status(spark, d):
+    symbols = testdata.static_info(spark, d)
+    parts = testdata.bars(spark, d, "l_partkey").filter(F.col("symbol").cast("int") % 3 != 0)
+    return panel.status({"bars": testdata.bars(spark, d), "parts": parts}, symbols)
+
+
+@query("SELECT symbol, CAST(date AS VARCHAR) AS date, " + sql.r("price") + " FROM bars WHERE symbol NOT IN (SELECT symbol FROM bars GROUP BY symbol HAVING min(price) < 905)")
+def penny_filter(spark, d):
+    b = testdata.bars(spark, d)
+    return panel.without_penny_stocks(b, b.withColumnRenamed("price", "adj_close"), 905).select("symbol", F.col("date").cast("string").alias("date"), r("price"))
+
+
+@query("SELECT symbol, month, " + ", ".join(sql.r(c) for c in FEATURES) + " FROM filled")
+def ewm_fill(spark, d):
+    rows = panel.format_panel(whole_panel(spark, d), testdata.macro(spark, d), FEATURES)
+    return rows.select("symbol", "month", *map(r, FEATURES))
+
+
+@query(sql.query(f"SELECT month, {sql.r('m_gap', 4)} FROM (" + sql._ewm("gapped", ("m_gap",), lead=False) + ")").replace("FROM gapped", "FROM (SELECT 'macro' AS symbol, month, CASE WHEN CAST(substr(month, 6, 2) AS INTEGER) % 3 <> 0 THEN m_mean END AS m_gap FROM macro)").replace("WITH RECURSIVE n", "WITH RECURSIVE macro AS (" + sql.CTES["macro"] + "), n", 1))
+def macro_ewm_fill(spark, d):
+    m = testdata.macro(spark, d).select(F.lit("macro").alias("symbol"), "month", F.when(F.substring("month", 6, 2).cast("int") % 3 != 0, F.col("m_mean")).alias("m_gap"))
+    return panel.ewm_fill(m, ("m_gap",), lead=False).select("month", r("m_gap", 4))
+
+
+# Quality.
+
+
+@query("SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS sic2, r_name AS exchange FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey IN (1, 2, 7, 8, 9, 10, 12, 13, 14, 15, 16, 17, 20, 21, 22, 23, 24)")
+def universe(spark, d):
+    n = testdata.read(spark, d, "nation").join(testdata.read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    stocks = n.select(F.col("n_name").alias("symbol"), F.col("r_name").alias("exchange"), F.lit("stock").alias("type"), F.col("n_nationkey").alias("pos"))
+    codes = n.select(F.col("n_name").alias("symbol"), F.concat(F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), F.lit("00")).alias("sicCode"))
+    from ..sources import documents
+
+    return documents.universe(codes, stocks, sic.sic_dim(spark))[0].select("sic2", "exchange")
+
+
+@query("SELECT CAST(l_partkey AS VARCHAR) AS symbol, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date, " + sql.r("l_extendedprice", 2, "price") + " FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, CAST(l_shipdate AS DATE) ORDER BY l_orderkey, l_linenumber) = 1")
+def dedupe_first(spark, d):
+    from ..sources import documents
+
+    rows = testdata.read(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("symbol"), F.to_date("l_shipdate").alias("date"), "l_extendedprice", F.struct("l_orderkey", "l_linenumber").alias("pos"))
+    return documents.first_by_date(rows).select("symbol", F.col("date").cast("string").alias("date"), r("l_extendedprice", 2, "price"))
+
+
+@query("SELECT symbol, CAST(date AS VARCHAR) AS date, CAST(round_even(market_cap / price, 0) AS BIGINT) AS shares FROM fullbars")
+def derived_shares(spark, d):
+    from ..sources import documents
+
+    b = testdata.with_shares(testdata.bars(spark, d))
+    return documents.derive_shares(b.select("symbol", "date", "price"), b.select("symbol", "date", "market_cap")).withColumn("date", F.col("date").cast("string"))
+
+
+@query(
+    f"""SELECT symbol, month, count(*) OVER (PARTITION BY symbol, run) >= 4 AS keep FROM (SELECT *, sum(far) OVER ({sql.MONTH_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+    FROM (SELECT *, CASE WHEN {sql.GAP.format(sql.lag("month", 1), "month")} > 1 THEN 1 ELSE 0 END AS far FROM sparse))"""
+)
+def run_length_filter(spark, d):
+    return audits.run_lengths(testdata.bars(spark, d, "l_partkey").select("symbol", periods.month_key("date").alias("month")).distinct(), 1, 4)
+
+
+@query("SELECT strftime(day, '%Y-%m') AS month FROM (SELECT unnest(generate_series(CAST(min(month) || '-01' AS DATE), CAST(max(month) || '-01' AS DATE), INTERVAL 1 MONTH)) AS day FROM sparse WHERE symbol = '1') WHERE strftime(day, '%Y-%m') NOT IN (SELECT month FROM sparse WHERE symbol = '1')")
+def month_gaps(spark, d):
+    return audits.month_gaps(testdata.bars(spark, d, "l_partkey").filter("symbol = '1'").select(periods.month_key("date").alias("month")))
+
+
+@query(f"SELECT symbol, prev, next, gap FROM (SELECT symbol, month AS prev, lead(month) OVER ({sql.MONTH_ORDER}) AS next, {sql.GAP.format('month', f'lead(month) OVER ({sql.MONTH_ORDER})')} AS gap FROM sparse) WHERE gap > 0")
+def symbol_gaps(spark, d):
+    return audits.symbol_gaps(testdata.bars(spark, d, "l_partkey").select("symbol", periods.month_key("date").alias("month")).distinct())
+
+
+@query(
+    "SELECT * FROM ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", symbol, month FROM (SELECT symbol, month, {c}, count({c}) OVER ({sql.MONTH_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM panel) WHERE {c} IS NULL AND n > 0" for c in ("mom1m", "ep_quarter", "agr_year"))
+    + ")"
+)
+def nan_audit(spark, d):
+    rows = panel.assemble(features.with_momentum(monthly(spark, d)).select("symbol", "month", "mom1m"), ratios(spark, d))
+    return audits.nulls_after_first(rows, ["mom1m", "ep_quarter", "agr_year"])
+
+
+def _bins(c: str, source: str, n: int = 10) -> str:
+    return f"""SELECT '{c}' AS "column", CAST(bin AS INTEGER) AS bin, round(edges[bin] + 0.0000000037, 6) + 0.0 AS low, round(edges[bin + 1] + 0.0000000037, 6) + 0.0 AS high, count(*) AS count FROM (
+      SELECT edges, greatest(1, len(list_filter(edges, lambda e: e < v))) AS bin FROM (SELECT CAST({c} AS DOUBLE) AS v FROM {source} WHERE {c} IS NOT NULL),
+      (SELECT list_sort(list_distinct(quantile_cont(CAST({c} AS DOUBLE), [{", ".join(str(i / n) for i in range(n + 1))}]))) AS edges FROM {source})) WHERE len(edges) > 1 GROUP BY bin, edges"""
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(_bins(c, "orders") for c in ("o_totalprice", "o_custkey")) + ")")
+def quantile_bins(spark, d):
+    return audits.quantile_bins(testdata.read(spark, d, "orders"), ["o_totalprice", "o_custkey"]).select("column", "bin", r("low"), r("high"), "count")
+
+
+PAIRS = [(a, b) for i, a in enumerate(MACRO) for b in MACRO[i + 1 :]]
+
+
+@query("SELECT a, b, " + sql.r("r", 6) + " FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM macro" for a, b in PAIRS) + ")")
+def corr_matrix(spark, d):
+    return audits.correlations(testdata.macro(spark, d), list(MACRO)).select("a", "b", r("r"))
+
+
+def _rank(c: str) -> str:
+    return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}"
+
+
+@query("SELECT a, b, " + sql.r("r", 6) + " FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM (SELECT {_rank(a)}, {_rank(b)} FROM macro)" for a, b in PAIRS) + ")")
+def corr_spearman(spark, d):
+    return audits.correlations(testdata.macro(spark, d), list(MACRO), "spearman").select("a", "b", r("r"))
+
+
+@query("SELECT a, b, " + sql.r("r", 6) + " FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, sum(sign(x.{a} - y.{a}) * sign(x.{b} - y.{b})) / sqrt(nullif(sum(abs(sign(x.{a} - y.{a}))) * sum(abs(sign(x.{b} - y.{b}))), 0)) AS r FROM macro x JOIN macro y ON x.month < y.month" for a, b in PAIRS) + ")")
+def corr_kendall(spark, d):
+    return audits.correlations(testdata.macro(spark, d), list(MACRO), "kendall").select("a", "b", r("r"))
+
+
+@query("SELECT DISTINCT b AS \"column\" FROM (" + " UNION ALL ".join(f"SELECT '{b}' AS b, corr({a}, {b}) AS r FROM macro" for a, b in PAIRS) + ") WHERE abs(r) > 0.9")
+def corr_drop(spark, d):
+    return audits.correlated(testdata.macro(spark, d), list(MACRO))
+
+
+EDA = ("o_totalprice", "o_custkey")
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, count(*) - count({c}) AS nulls, {sql.r(f'avg({c})', 4, 'mean')}, {sql.r(f'stddev_samp({c})', 4, 'std')}, CAST(min({c}) AS DOUBLE) AS low, {sql.r(f'quantile_cont({c}, 0.25)', 4, 'q25')}, {sql.r(f'quantile_cont({c}, 0.5)', 4, 'median')}, {sql.r(f'quantile_cont({c}, 0.75)', 4, 'q75')}, CAST(max({c}) AS DOUBLE) AS high FROM orders" for c in EDA) + ")")
+def eda_profile(spark, d):
+    rows = audits.profile(testdata.read(spark, d, "orders"), list(EDA))
+    return rows.select("column", "n", "nulls", r("mean", 4), r("std", 4), "low", r("q25", 4), r("median", 4), r("q75", 4), "high")
+
+
+@query("SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey, o_orderstatus)")
+def eda_duplicates(spark, d):
+    return audits.duplicate_rows(testdata.read(spark, d, "orders").select("o_custkey", "o_orderstatus"))
+
+
+@query("SELECT o_orderpriority AS value, count(*) AS n, 'o_orderpriority' AS \"column\" FROM orders GROUP BY 1")
+def eda_categories(spark, d):
+    return audits.category_counts(testdata.read(spark, d, "orders"), "o_orderpriority")
+
+
+@query("SELECT symbol, month, 'mom12m' AS feature, mom12m AS \"left\", mom12m_current AS \"right\" FROM (SELECT symbol, month, round(mom12m + 0.00000037, 4) + 0.0 AS mom12m, round(mom12m_current + 0.00000037, 4) + 0.0 AS mom12m_current FROM momentum) WHERE mom12m IS DISTINCT FROM mom12m_current AND NOT coalesce(abs(mom12m - mom12m_current) <= 1e-8 + 1e-5 * abs(mom12m_current), false)")
+def compare_features(spark, d):
+    m = features.with_momentum(monthly(spark, d)).select("symbol", "month", r("mom12m", 4), r("mom12m_current", 4))
+    return audits.compare_features(m.select("symbol", "month", "mom12m"), m.select("symbol", "month", F.col("mom12m_current").alias("mom12m")), ["symbol", "month"], ["mom12m"])
+
+
+# Model preparation.
+
+
+@query("SELECT sic2, CAST(code AS INTEGER) AS code FROM sicmap")
+def sic_map(spark, d):
+    return mlprep.code_map(testdata.static_info(spark, d), "sic2")
+
+
+@query(f"SELECT symbol, month, CASE WHEN month < '{SPLITS[0]}' THEN 'train' WHEN month < '{SPLITS[1]}' THEN 'val' WHEN month < '{SPLITS[2]}' THEN 'test' END AS split FROM monthly")
+def date_split(spark, d):
+    return monthly(spark, d).select("symbol", "month", mlprep.date_split(*SPLITS).alias("split"))
+
+
+def _ratio(joint: bool):
+    def f(spark, d):
+        return mlprep.ratio_split(testdata.macro(spark, d).select("month"), ["month"], joint=joint)
+
+    f.__name__ = "split_ratio" if joint else "split_sequences"
+    end = "floor(n * (0.7::DOUBLE + 0.15::DOUBLE))" if joint else "floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE)"
+    query(f"SELECT month, CASE WHEN i < floor(n * 0.7::DOUBLE) THEN 'train' WHEN i < {end} THEN 'val' ELSE 'test' END AS split FROM (SELECT month, count(*) OVER () AS n, row_number() OVER (ORDER BY month) - 1 AS i FROM macro)")(f)
+
+
+_ratio(True)
+_ratio(False)
+
+
+@query("SELECT month, " + ", ".join(sql.r(c) for c in MACRO) + " FROM macroscaled")
+def scaled_macro(spark, d):
+    return mlprep.scale(testdata.macro(spark, d), list(MACRO), F.col("month") < SPLITS[0]).select("month", *map(r, MACRO))
+
+
+@query(f"SELECT month, round((m_mean - lo) / (hi - lo) + 0.0000000037, 6) + 0.0 AS m_mean FROM macro, (SELECT min(m_mean) AS lo, max(m_mean) AS hi FROM macro WHERE month < '{SPLITS[0]}')")
+def minmax_macro(spark, d):
+    return mlprep.scale(testdata.macro(spark, d), ["m_mean"], F.col("month") < SPLITS[0], "minmax").select("month", r("m_mean"))
+
+
+def _digest(rows: DataFrame, *keys: str) -> DataFrame:
+    total = F.aggregate(F.flatten("x"), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+    return rows.select(*keys, "time", F.size("x").cast("long").alias("steps"), r(F.col("x")[0][0], 6, "first"), r(F.col("x")[STEPS - 1][0], 6, "last"), r(total, 4, "total"), r("y"))
+
+
+def _sequence_sql(source: str, columns: tuple[str, ...], target: str, keys: str, extra: str = "true") -> str:
+    w = f"PARTITION BY {keys} ORDER BY month"
+    total = " + ".join(f"coalesce({c}, 0)" for c in columns)
+    return f"""SELECT {keys}, time, steps, first, last, total, y FROM (SELECT {keys}, month AS time, count(*) OVER ({w} ROWS BETWEEN {STEPS} PRECEDING AND 1 PRECEDING) AS steps, round(lag({columns[0]}, {STEPS}) OVER ({w}) + 0.0000000037, 6) + 0.0 AS first, round(lag({columns[0]}, 1) OVER ({w}) + 0.0000000037, 6) + 0.0 AS last,
+      round(sum({total}) OVER ({w} ROWS BETWEEN {STEPS} PRECEDING AND 1 PRECEDING) + 0.00000037, 4) + 0.0 AS total, round({target} + 0.0000000037, 6) + 0.0 AS y, row_number() OVER ({w}) AS rn, {extra} AS fits FROM {source}) WHERE rn > {STEPS} AND fits"""
+
+
+@query(_sequence_sql("momentum", ("mom1m", "mom12m", "close"), "mom1m", "symbol"))
+def sequences(spark, d):
+    return _digest(mlprep.sequences(features.with_momentum(monthly(spark, d)), ["mom1m", "mom12m", "close"], "mom1m", STEPS), "symbol")
+
+
+@query(
+    _sequence_sql("sparsemonths", ("close",), "close", "symbol", "max(gap) OVER (PARTITION BY symbol ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) <= 3").replace(
+        "FROM sparsemonths", f"FROM (SELECT *, {sql.GAP.format(sql.lag('month', 1), 'month')} AS gap FROM sparsemonths)"
+    )
+)
+def sequences_gap(spark, d):
+    m = bars.monthly_summary(bars.daily_returns(testdata.bars(spark, d, "l_partkey"))).select("symbol", "month", "close")
+    return _digest(mlprep.sequences(m, ["close"], "close", STEPS, max_gap=3), "symbol")
+
+
+@query(
+    "SELECT a.split, a.symbol, a.time, CAST(k.code AS INTEGER) AS sic, a.steps, a.first, a.last, a.total, a.y, m.total AS macro_total FROM ("
+    + _sequence_sql("scaledpart", FEATURES, "mom1m", "split, symbol")
+    + ") a JOIN ("
+    + _sequence_sql("scaledmacro", MACRO, "m_mean", "split, symbol").replace("FROM scaledmacro", "FROM (SELECT p.split, p.symbol, p.month, " + ", ".join(f"s.{c}" for c in MACRO) + " FROM scaledpart p LEFT JOIN macroscaled s ON p.month = s.month)")
+    + ") m ON a.split = m.split AND a.symbol = m.symbol AND a.time = m.time JOIN static ON a.symbol = static.symbol JOIN sicmap k ON static.sic2 = k.sic2"
+)
+def final_dataset(spark, d):
+    """The flagship: panel, fills, scaling on the training months, and sequences of firm and macro features in each split."""
+    macro = testdata.macro(spark, d)
+    rows = panel.format_panel(whole_panel(spark, d).select("symbol", "month", *dict.fromkeys((*FEATURES, *FUNDAMENTALS))), macro.select("month"), FEATURES)
+    rows = rows.withColumn("split", mlprep.date_split(*SPLITS)).filter("split is not null")
+    rows.persist()  # read once for the scaler and once for the sequences
+    scaled = mlprep.scale(rows, list(FEATURES), F.col("split") == "train")
+    scaled = panel.join_macro(scaled, mlprep.scale(macro, list(MACRO), F.col("month") < SPLITS[0]))
+    own = mlprep.sequences(scaled, [*FEATURES, *MACRO], "mom1m", STEPS, by=("split", "symbol"))
+    part = lambda lo, n: F.transform("x", lambda v: F.slice(v, lo, n))
+    both = own.withColumns({"macro_x": part(len(FEATURES) + 1, len(MACRO)), "x": part(1, len(FEATURES))})
+    static = testdata.static_info(spark, d)
+    codes = static.join(F.broadcast(mlprep.code_map(static, "sic2")), "sic2").select("symbol", F.col("code").alias("sic"))
+    macro_total = F.aggregate(F.flatten("macro_x"), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+    return _digest(both.join(codes, "symbol").withColumn("macro_total", macro_total), "split", "symbol", "sic", "macro_total").withColumn("macro_total", r("macro_total", 4))
+
+
+# Mixtures of experts.
+
+
+@query("SELECT position, CAST(dim AS INTEGER) AS dim, round(CASE WHEN dim % 2 = 0 THEN sin(a) ELSE cos(a) END + 0.0000000037, 6) + 0.0 AS value FROM (SELECT position, dim, position / pow(10000, 2 * floor(dim / 2) / 16.0) AS a FROM range(24) p(position), range(16) q(dim))")
+def sinusoidal_encoding(spark, d):
+    return moe.sinusoidal_encoding(spark, 24, 16).select("position", "dim", r("value"))
+
+
+@query("SELECT o_orderkey, round(o_totalprice * 0.5 + o_custkey * 0.3 + 10 * 0.2 + 0.00000037, 4) + 0.0 AS prediction FROM orders")
+def moe_combine(spark, d):
+    rows = testdata.read(spark, d, "orders").withColumns({"e": F.array(F.col("o_totalprice"), F.col("o_custkey").cast("double"), F.lit(10.0)), "g": F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2))})
+    return rows.select("o_orderkey", r(moe.combine("e", "g"), 4, "prediction"))
+
+
+@query("SELECT o_custkey, o_orderstatus AS expert, round(avg(o_totalprice) + 0.00000037, 4) + 0.0 AS mean, round(stddev_pop(o_totalprice) + 0.00000037, 4) + 0.0 AS std FROM orders GROUP BY ALL")
+def moe_uncertainty(spark, d):
+    rows = testdata.read(spark, d, "orders").select("o_custkey", F.col("o_orderstatus").alias("expert"), F.col("o_totalprice").alias("prediction"))
+    return moe.expert_uncertainty(rows, ["o_custkey"]).select("o_custkey", "expert", r("mean", 4), r("std", 4))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
