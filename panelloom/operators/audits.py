@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.periods import close_enough, month_gap
+from ..functions.windows import by_months
 
-MONTHS = W.partitionBy("symbol").orderBy("month")
 
 
 def _months_between(lo: Column, hi: Column) -> Column:
@@ -26,7 +26,7 @@ def month_gaps(rows: DataFrame) -> DataFrame:
 
 def symbol_gaps(rows: DataFrame) -> DataFrame:
     """(symbol, prev, next, gap) for every gap of at least a month."""
-    pairs = rows.select("symbol", F.col("month").alias("prev"), F.lead("month").over(MONTHS).alias("next"))
+    pairs = rows.select("symbol", F.col("month").alias("prev"), F.lead("month").over(by_months()).alias("next"))
     return pairs.withColumn("gap", month_gap("prev", "next")).filter("gap > 0")
 
 
@@ -38,14 +38,14 @@ def symbol_gap_lists(rows: DataFrame) -> DataFrame:
 
 def run_lengths(rows: DataFrame, max_gap: int = 6, least: int = 12) -> DataFrame:
     """rows plus keep: whether the row's run, of months at most max_gap apart, has at least `least` rows."""
-    far = F.coalesce(month_gap(F.lag("month").over(MONTHS), "month") > max_gap, F.lit(False)).cast("int")
-    runs = rows.withColumn("_far", far).withColumn("_run", F.sum("_far").over(MONTHS.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    far = F.coalesce(month_gap(F.lag("month").over(by_months()), "month") > max_gap, F.lit(False)).cast("int")
+    runs = rows.withColumn("_far", far).withColumn("_run", F.sum("_far").over(by_months().rowsBetween(W.unboundedPreceding, W.currentRow)))
     return runs.withColumn("keep", F.count("*").over(W.partitionBy("symbol", "_run")) >= least).drop("_far", "_run")
 
 
 def nulls_after_first(rows: DataFrame, columns: list[str], strict: bool = False) -> DataFrame:
     """(column, symbol, month): nulls after a column's first value; strict leaves out columns valid from their first row."""
-    run = MONTHS.rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = by_months().rowsBetween(W.unboundedPreceding, W.currentRow)
     out = rows.select("symbol", "month", *columns, *[F.count(c).over(run).alias(f"_{c}") for c in columns], *[F.first(c).over(run).isNull().alias(f"_{c}_late") for c in columns])
     bad = [F.when(F.col(c).isNull() & (F.col(f"_{c}") > 0) & (F.col(f"_{c}_late") if strict else F.lit(True)), F.lit(c)) for c in columns]
     return out.select(F.explode(F.array_compact(F.array(*bad))).alias("column"), "symbol", "month")

@@ -7,15 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.periods import month_key, percent_return, week_key
+from ..functions.windows import by_days, by_weeks
 
-DAYS = W.partitionBy("symbol").orderBy("date")
-MONTHS = W.partitionBy("symbol").orderBy("month")
-WEEKS = W.partitionBy("symbol").orderBy("week")
 
 
 def daily_returns(bars: DataFrame) -> DataFrame:
     """bars plus month, week and ret, the percent change from the symbol's last bar."""
-    return bars.withColumns({"month": month_key("date"), "week": week_key("date"), "ret": percent_return(F.col("price"), F.lag("price").over(DAYS))})
+    return bars.withColumns({"month": month_key("date"), "week": week_key("date"), "ret": percent_return(F.col("price"), F.lag("price").over(by_days()))})
 
 
 def monthly_summary(daily: DataFrame) -> DataFrame:
@@ -42,7 +40,7 @@ def monthly_return_list(daily: DataFrame) -> DataFrame:
 def weekly_returns(bars: DataFrame) -> DataFrame:
     """(symbol, week, close, ret): ret against the symbol's last week with a bar."""
     weeks = bars.groupBy("symbol", week_key("date").alias("week")).agg(F.max_by("price", "date").alias("close"))
-    return weeks.withColumn("ret", percent_return(F.col("close"), F.lag("close").over(WEEKS)))
+    return weeks.withColumn("ret", percent_return(F.col("close"), F.lag("close").over(by_weeks())))
 
 
 def indexed(rows: DataFrame, period: str, index: str, size: str | None = None) -> DataFrame:

@@ -10,11 +10,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.periods import month_key, percent_return
-from .bars import MONTHS, WEEKS, indexed
+from ..functions.windows import by_months, by_weeks
+from .bars import indexed
 
 
 def _lag(c: str, n: int) -> Column:
-    return F.col(c) if n == 0 else F.lag(c, n).over(MONTHS)
+    return F.col(c) if n == 0 else F.lag(c, n).over(by_months())
 
 
 def momentum(start: int, end: int, price: str = "close") -> Column:
@@ -37,9 +38,9 @@ def _log(c: Column) -> Column:
 
 
 def with_liquidity(monthly: DataFrame) -> DataFrame:
-    three = MONTHS.rowsBetween(-2, 0)
+    three = by_months().rowsBetween(-2, 0)
     turnover = F.col("volume") / F.nullif("shares", F.lit(0.0))
-    first = F.row_number().over(MONTHS) == 1
+    first = F.row_number().over(by_months()) == 1
     adjusted = F.when(turnover == 0, F.col("zero_days").cast("double")).otherwise((F.col("zero_days") + 1 / F.nullif(turnover, F.lit(0.0))) * (21 / F.col("days")))
     return monthly.withColumns(
         {
@@ -84,7 +85,7 @@ def rolling_risk(monthly: DataFrame, weekly: DataFrame, market: DataFrame, long:
     regression over long weeks.
     """
     base = _weekly_base(weekly, market)
-    frame = lambda n: WEEKS.rowsBetween(-(n - 1), 0)  # noqa: E731  latest first, so backwards in time
+    frame = lambda n: by_weeks().rowsBetween(-(n - 1), 0)  # noqa: E731  latest first, so backwards in time
     r, m = F.col("ret"), F.when(F.col("ret").isNotNull(), F.col("market"))
     both = F.when(F.col("market").isNotNull(), F.col("ret"))
     rolled = base.select(

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions.periods import month_gap
 
-MONTHS = W.partitionBy("symbol").orderBy("month")
 
 
 def code_map(rows: DataFrame, column: str) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MONTHS = W.partitionBy("symbol").orderBy("month")
+from ..functions.windows import by_months
+
 FUNDAMENTALS = ("ep_quarter", "sp_quarter", "agr_quarter", "ep_year", "sp_year", "agr_year")
 
 
@@ -28,7 +29,7 @@ def assemble(monthly: DataFrame, *others: DataFrame, static: DataFrame | None =
 
 
 def forward_fill(panel: DataFrame, columns: tuple[str, ...] = FUNDAMENTALS) -> DataFrame:
-    run = MONTHS.rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = by_months().rowsBetween(W.unboundedPreceding, W.currentRow)
     return panel.withColumns({c: F.last(c, ignorenulls=True).over(run) for c in columns})
 
 
