@@ -17,6 +17,8 @@ are named like a result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +29,7 @@ from . import bytetext
 from .common import is_held_out, table
 
 #: Bounds of the training sample: rows, characters of a row.
-SAMPLE_ROWS, SAMPLE_CHARS = 12_000, 60_000
+SAMPLE_ROWS, SAMPLE_CHARS = 6_000, 20_000
 PREFIXES = (4, 5, 6)
 FACTORS, EPOCHS, BATCH, SEED = 8, 12, 64, 11
 CHI_SQUARE, FREQUENT, MAX_TERMS = 15.0, 0.2, 100_000
@@ -82,18 +84,24 @@ def logits(m: dict, doc: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return m["w0"] + _rows(m["w"][at], doc, n) + 0.5 * (s**2 - _rows(v**2, doc, n)).sum(axis=1)
 
 
+def _distinct(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index and hashes of the distinct terms of one text after the other."""
+    for i, text in enumerate(texts):
+        h = np.unique(terms(*bytetext.flat(pa.array([text], pa.large_string())))[1])
+        yield np.full(len(h), i, np.int64), h
+
+
 def train(texts: list[str], y: np.ndarray, seed: int = SEED) -> dict:
     """The vocabulary and the machine; a constant one if there is a single class or nothing."""
     base = float(np.mean(y)) if len(y) else 0.0
     if base in (0.0, 1.0):
         return {"constant": base}
-    parts = pa.array(texts, pa.large_string())
-    doc, h = terms(*bytetext.flat(parts))
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-    doc, h = doc[new], h[new]
+    # Twice over the texts, some at a time: most terms are in one text, and go before they are held.
+    seen = np.zeros(1 << 24, np.uint16)
+    for _, h in _distinct(texts):
+        seen[np.unique(h >> np.uint64(40))] += 1
+    kept = [(doc[k], h[k]) for doc, h in _distinct(texts) for k in [seen[h >> np.uint64(40)] > 1]]
+    doc, h = (np.concatenate(x) for x in zip(*kept, strict=True))
     known, inverse, df = np.unique(h, return_inverse=True, return_counts=True)
     hit = np.bincount(inverse, weights=y[doc], minlength=len(known))
     n, p = len(y), y.sum()
@@ -139,7 +147,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     # Half as many again, since rows whose document is missing, empty or too long go.
     known = known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(rows + rows // 2)
     picked = docs.select("doc_id", "text").filter(F.length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(known), "doc_id")
-    got = picked.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "text").limit(rows).select("text", "toxic").toArrow()
+    got = picked.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "text").limit(rows).select(F.lower("text").alias("text"), "toxic").toArrow()
     return got.column("text").to_pylist(), got.column("toxic").to_numpy().astype(float)
 
 
