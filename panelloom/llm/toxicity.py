@@ -114,7 +114,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = SEED) -> dict:
     doc, at = vocabulary.distinct(doc, h)
     rng = np.random.default_rng(seed)
     k = len(vocabulary.hashes)
-    m = {"vocabulary": vocabulary.hashes, "w0": float(np.log(base / (1 - base))), "w": np.zeros(k), "v": rng.normal(0, 0.01, (k, FACTORS))}
+    m = {"vocabulary": vocabulary.hashes, "w0": float(np.log(base / (1 - base))), "w": np.zeros(k), "v": rng.normal(0, 0.05, (k, FACTORS))}
     gw, gv, g0 = np.full(k, 1e-8), np.full((k, FACTORS), 1e-8), 1e-8
     bounds = np.searchsorted(doc, np.arange(n + 1))
     for _ in range(EPOCHS):
@@ -136,7 +136,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = SEED) -> dict:
             gv[u] += dv**2
             g0 += d.sum() ** 2
             m["w"][u] -= 0.1 * dw / np.sqrt(gw[u])
-            m["v"][u] -= 0.02 * dv / np.sqrt(gv[u])
+            m["v"][u] -= 0.05 * dv / np.sqrt(gv[u])
             m["w0"] -= 0.05 * d.sum() / np.sqrt(g0)
     return m
 
