@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,3 +79,18 @@ SMALL_ROWS = 1_000_000
 def small(ids: DataFrame) -> DataFrame:
     """ids, a table of a few longs a row, marked for broadcast if it is counted to be small; else it shuffles."""
     return F.broadcast(ids) if ids.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else ids
+
+
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package where their path lacks it, once a context."""
+    context = spark.sparkContext
+    if getattr(context, "_panelloom_shipped", False):
+        return
+    context._panelloom_shipped = True
+    root = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="panelloom-code-")
+    with zipfile.ZipFile(f"{folder}/panelloom.zip", "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    context.addPyFile(f"{folder}/panelloom.zip")
+    atexit.register(shutil.rmtree, folder, True)

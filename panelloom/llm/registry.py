@@ -3,10 +3,19 @@
 from __future__ import annotations
 
 from . import chat, jaccard, langid, licenses, mixing, neardup, packing, quality, toxicity, urlgraph
+from .common import ship
+
+
+def _shipped(f):
+    def run(spark, sf_dir):
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict:
-    return {
+    made = {
         "op1_langid": langid.op1_langid,
         "op2_embeddings": neardup.op2_embeddings,
         "op3_jaccard": jaccard.op3_jaccard,
@@ -18,6 +27,7 @@ def queries() -> dict:
         "op9_mixing": mixing.op9_mixing,
         "op10_quality": quality.op10_quality,
     }
+    return {k: _shipped(f) for k, f in made.items()}
 
 
 def oracle_sql() -> dict[str, str]:
