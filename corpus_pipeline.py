@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.llm import jaccard, langid, mixing, packing, quality
-from panelloom.llm.common import Stash, table
+from panelloom.llm.common import Stash, ship, table
 
 #: A document whose language is less likely than this is rejected.
 MIN_LANGUAGE_SCORE = 0.3
@@ -49,6 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs, stash = table(spark, sf_dir, "documents"), Stash(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         made = stage(spark, docs, sf_dir)
