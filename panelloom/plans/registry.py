@@ -51,21 +51,23 @@ def liquid(spark: SparkSession, d: str) -> DataFrame:
     return features.with_liquidity(features.with_momentum(monthly(spark, d)))
 
 
-def ratios(spark: SparkSession, d: str) -> DataFrame:
+def ratios(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
     statements = testdata.statements(spark, d)
-    caps = testdata.with_shares(testdata.bars(spark, d)).select("symbol", "date", "market_cap")
+    caps = (testdata.with_shares(testdata.bars(spark, d)) if base is None else base).select("symbol", "date", "market_cap")
     return panel.by_frequency(features.earnings_and_sales(statements, caps).join(features.asset_growth(statements), ["symbol", "freq", "month"]))
 
 
-def risk(spark: SparkSession, d: str) -> DataFrame:
-    w = weekly(spark, d)
-    return features.rolling_risk(bars.monthly_summary(bars.daily_returns(testdata.bars(spark, d))), w, features.market_returns(w))
+def risk(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
+    base = bars.daily_returns(testdata.bars(spark, d)).persist() if base is None else base
+    w = bars.weekly_returns(base).persist()  # read for the windows, the market and the months' places
+    return features.rolling_risk(bars.monthly_summary(base), w, features.market_returns(w))
 
 
 def whole_panel(spark: SparkSession, d: str) -> DataFrame:
-    m, static = liquid(spark, d), testdata.static_info(spark, d)
-    industry = features.industry_momentum(m, static).join(features.industry_momentum(m, static, "mom12m", "indmom_lagged"), ["sic2", "month"])
-    wide = panel.assemble(m.join(risk(spark, d), ["symbol", "month"], "left"), ratios(spark, d), static=static)
+    base = daily(spark, d).persist()  # bars in one partition a symbol: months, weeks, risk and caps read it
+    m, static = features.with_liquidity(features.with_momentum(bars.monthly_summary(base))).persist(), testdata.static_info(spark, d)
+    industry = m.join(static.select("symbol", "sic2"), "symbol").groupBy("sic2", "month").agg(F.avg("mom12m_current").alias("indmom"), F.avg("mom12m").alias("indmom_lagged"))
+    wide = panel.assemble(m.join(risk(spark, d, base), ["symbol", "month"], "left"), ratios(spark, d, base), static=static)
     return wide.join(industry, ["sic2", "month"], "left")
 
 
