@@ -8,17 +8,22 @@ names, so the Hamming distance of two sketches is their symmetric difference (eq
 cancel, which only lowers it). The string is kept sparse: a chunk of it is the XOR of its
 shingles' second hashes. Sets a <= b in size that reach 0.75 differ in at most a / 3
 shingles, so of any a / 3 + 1 chunks that are not empty in A one is equal in B; taking the
-first ones in chunk order on both sides keeps it among B's first b / 3 + 1. Chunk counts
-follow a size band (powers of two); a set that can have a partner in the band below also
+first ones in one order of all chunks on both sides keeps it among B's first b / 3 + 1. Any
+order is right; chunks whose shingles are all frequent come last, by a table of counts of
+fixed size over the whole corpus, so that a common passage rarely brings texts together.
+Chunk counts follow a size band (powers of two); a set that can have a partner in the band below also
 gives that band's chunks. Chunks are so many that a set has the needed number of non-empty
 ones but for a probability under 1e-12; below 32 shingles each has its own.
 
 Join. Equal sets share a node, their signature. Chunk rows meet by key; in every key the
-smallest signature is compared with all others, components are found, and then only
-nodes of different components that still share a key are compared, a smallest one at a time
-or, when few are left, all of them. Each pair that shares a key so either is compared or
-lies in one component, without the pairs of a large family ever being listed. Comparing is
-exact on the shingles' hashes, from the texts.
+smallest signature is compared with all others and components are found, for as long as
+that settles most of what is left. Nodes of different components that still share a key
+then meet in blocks of bounded size, where dense sketches of 512 bits drop every pair whose
+Hamming distance is beyond what its sizes allow; only what passes leaves the block. So each
+pair that shares a key either is compared or lies in one component, without the pairs of a
+family or of a common passage ever being listed. Comparing is exact on the shingles'
+hashes, from the texts. A key that very many unlinked texts share costs its block
+comparisons, a few dozen nanoseconds a pair.
 
 Hashes have 64 bits; results are exact unless two different shingles of compared texts, or
 two sets of the corpus, have equal hashes.
@@ -46,8 +51,10 @@ from .components import components
 SHINGLE = 5
 #: Jaccard threshold as a fraction.
 NUMERATOR, DENOMINATOR = 3, 4
-#: All pairs left are compared at once when there are at most so many per document.
-LEFT_A_DOC = 2
+#: Rounds with one set a key go on while they leave less than this share of the rows; rows of a block.
+WORTH, BLOCK = 0.5, 4096
+#: Log2 of the cells of the count table and of the bits of the dense sketch; least count of a task that is added up.
+CELL_BITS, SKETCH_BITS, LEAST_COUNT = 20, 9, 4
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SEEN = 1_000_000
 
@@ -99,7 +106,47 @@ def _chunk_bits(band: np.ndarray) -> np.ndarray:
     return np.where(band < 5, 16, np.where(band < 8, band + 1, band))
 
 
-def chunk_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def dense_sketches(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """(n, 2**SKETCH_BITS / 64) longs: bit parities of the shingles' places."""
+    bits = 1 << SKETCH_BITS
+    parity = np.bincount(doc * bits + (h & np.uint64(bits - 1)).astype(np.int64), minlength=n * bits).astype(np.uint8) & 1
+    return np.packbits(parity.reshape(n, bits), axis=1, bitorder="little").view(np.int64)
+
+
+def shingle_weights(docs: DataFrame) -> np.ndarray:
+    """By cell of hashes, log2 of how many sets of the corpus have a shingle there (0 where no task has LEAST_COUNT)."""
+
+    def run(parts):
+        counts, seen = np.zeros(1 << CELL_BITS, np.int64), set()
+        for whole in parts:
+            for part in bytetext.batches(whole, "text", 2 * bytetext.SLAB):
+                doc, h, _, _ = _fresh(part, seen)
+                counts += np.bincount((h >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(counts))
+        often = np.flatnonzero(counts >= LEAST_COUNT)
+        yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(counts[often])], ["cell", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 2**CELL_BITS rows at most
+    out = np.zeros(1 << CELL_BITS, np.uint8)
+    out[rows.column("cell").to_numpy()] = np.log2(rows.column("n").to_numpy()).astype(np.uint8)
+    return out
+
+
+def _fresh(part: pa.RecordBatch, seen: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text index and hash of the shingles of sets that the task hasn't seen, and all texts' sizes and signatures."""
+    doc, h = shingle_sets(*bytetext.flat(part.column("text")))
+    size, sig = signatures(doc, h, part.num_rows)
+    fresh = np.zeros(len(sig), bool)
+    for i, s in enumerate(sig.tolist()):
+        if s not in seen:
+            fresh[i] = True
+            seen.add(s)
+    if len(seen) > _SEEN:
+        seen.clear()
+    rows = fresh[doc]
+    return doc[rows], h[rows], size, sig
+
+
+def chunk_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text index, key) rows: under each text's own band, then under the band below where it may have partners."""
     own = np.floor(np.log2(np.maximum(size, 1))).astype(np.int64)
     lower = (-(-NUMERATOR * size // DENOMINATOR) < (1 << own)) & (own > 0)
@@ -114,7 +161,10 @@ def chunk_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> Iterator[tup
         new[1:] = (d[1:] != d[:-1]) | (chunk[1:] != chunk[:-1])
         start = np.flatnonzero(new)
         xor = np.bitwise_xor.reduceat(value[rows], start)
+        rare = np.minimum.reduceat(weights[(h[rows] >> np.uint64(64 - CELL_BITS)).astype(np.int64)], start)
         d, chunk, b = d[start], chunk[start], b[start]
+        order = np.lexsort((chunk, rare, d))
+        d, chunk, b, xor = d[order], chunk[order], b[order], xor[order]
         head = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
         rank = np.arange(len(d)) - np.repeat(head, np.diff(np.append(head, len(d))))
         keep = rank <= size[d] // 3
@@ -122,36 +172,31 @@ def chunk_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> Iterator[tup
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_shingles, sig)."""
+    """(doc_id, text) -> (doc_id, n_shingles, sig, sketch)."""
 
     def run(parts):
         for whole in parts:
             for part in bytetext.batches(whole, "text", 2 * bytetext.SLAB):
                 doc, h = shingle_sets(*bytetext.flat(part.column("text")))
                 size, sig = signatures(doc, h, part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(sig)], ["doc_id", "n_shingles", "sig"])
+                flat = pa.array(dense_sketches(doc, h, part.num_rows).ravel())
+                words = (1 << SKETCH_BITS) // 64
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * words), flat)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(sig), sketch], ["doc_id", "n_shingles", "sig", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, sig long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, sig long, sketch array<long>")
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
+def chunk_rows(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """(text) -> (key, sig), a set once a task."""
+    held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(parts):
         seen: set[int] = set()
         for whole in parts:
             for part in bytetext.batches(whole, "text", 2 * bytetext.SLAB):
-                doc, h = shingle_sets(*bytetext.flat(part.column("text")))
-                size, sig = signatures(doc, h, part.num_rows)
-                fresh = np.zeros(len(sig), bool)
-                for i, s in enumerate(sig.tolist()):
-                    if s not in seen:
-                        fresh[i] = True
-                        seen.add(s)
-                if len(seen) > _SEEN:
-                    seen.clear()
-                rows = fresh[doc]
-                for d, key in chunk_keys(doc[rows], h[rows], size):
+                doc, h, size, sig = _fresh(part, seen)
+                for d, key in chunk_keys(doc, h, size, held.value):
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sig[d])], ["key", "sig"])
 
     return docs.select("text").mapInArrow(run, "key long, sig long")
@@ -194,10 +239,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     arrow_limits(spark)
     stash = Stash(spark, "jaccard")
     every = stash.put(signed(docs))
-    sets = stash.put(every.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size")))
+    sets = stash.put(every.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")))
 
     by = W.partitionBy("key").orderBy("sig")
-    rows = chunk_rows(docs).withColumns({"first": F.first("sig").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)), "before": F.lag("sig").over(by), "after": F.lead("sig").over(by)})
+    rows = chunk_rows(docs, shingle_weights(docs)).withColumns({"first": F.first("sig").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)), "before": F.lag("sig").over(by), "after": F.lead("sig").over(by)})
     rows = rows.filter((F.col("sig") != F.col("first")) & ((F.col("sig") != F.col("before")) | (F.col("sig") != F.col("after"))))
     # `others`: the key has a third set, so pairs beside the first one's are left in it.
     others = (F.col("before") != F.col("first")) | (F.col("after") != F.col("sig"))
@@ -212,32 +257,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = stash.put(compare(pairs, texts))
     found, tested = edges, pairs
     left = shared.filter("others").select("key", "sig").distinct()
-    limit = LEFT_A_DOC * max(1, every.count())
+    before = None
     while True:
         labels = components(found, stash)
         at = left.join(small(labels), left["sig"] == labels["node"], "left").select("key", "sig", F.coalesce("component", "sig").alias("component"))
         mixed = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
         left = stash.put(at.join(mixed, "key"))
-        per = left.groupBy("key", "component").agg(F.count("*").alias("n"))
-        open_pairs = per.groupBy("key").agg(((F.pow(F.sum("n"), 2) - F.sum(F.col("n") * F.col("n"))) / 2).alias("n")).agg(F.sum("n")).first()[0]
-        if not open_pairs:
+        rows = left.count()
+        if not rows:
             break
-        last = open_pairs <= limit
+        last = before is not None and rows > WORTH * before
         if last:
-            one, two = left.alias("one"), left.alias("two")
-            new = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.sig") < F.col("two.sig")) & (F.col("one.component") != F.col("two.component")))
-            new = new.select(F.col("one.sig").alias("a"), F.col("two.sig").alias("b")).distinct()
+            new = blocks(left, sets)
         else:
             head = left.groupBy("key").agg(F.min(F.struct("sig", "component")).alias("head"))
             after = left.join(head, "key").filter(F.col("sig") != F.col("head.sig"))
-            new = after.filter(F.col("component") != F.col("head.component")).select(F.col("head.sig").alias("a"), F.col("sig").alias("b")).distinct()
+            new = sized(after.filter(F.col("component") != F.col("head.component")).select(F.col("head.sig").alias("a"), F.col("sig").alias("b")).distinct())
             left = after.select("key", "sig")
-        new = stash.put(sized(new.join(tested, ["a", "b"], "left_anti")))
+        new = stash.put(new.join(tested, ["a", "b"], "left_anti"))
         found = stash.put(found.unionAll(compare(new, texts)))
         if last:
             labels = components(found, stash)
             break
-        tested, left = stash.put(tested.unionAll(new)), left.select("key", "sig")
+        tested, before = stash.put(tested.unionAll(new)), rows
 
     named = sets.join(labels, sets["sig"] == labels["node"]).select("component", "rep").groupBy("component").agg(F.min("rep").alias("component_id"))
     moved = labels.join(named, "component").select(F.col("node").alias("sig"), "component_id")
@@ -245,6 +287,77 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return every.join(ids, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _passing(a: dict, b: dict, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of two blocks' sets that sizes and sketches let through and whose components differ."""
+    for lo in range(0, len(a["sig"]), 64):
+        q = slice(lo, lo + 64)
+        apart = np.bitwise_count(a["sketch"][q, None] ^ b["sketch"][None]).sum(axis=2, dtype=np.int64)
+        x, y = a["size"][q, None], b["size"][None]
+        fits = ((DENOMINATOR + NUMERATOR) * apart <= (DENOMINATOR - NUMERATOR) * (x + y)) & (DENOMINATOR * np.minimum(x, y) >= NUMERATOR * np.maximum(x, y))
+        fits &= a["component"][q, None] != b["component"][None]
+        if same:
+            fits &= a["sig"][q, None] < b["sig"][None]
+        i, j = np.nonzero(fits)
+        yield i + lo, j
+
+
+def blocks(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, sig, component) -> (a, b): pairs of a key and of different components that pass sizes and sketches."""
+    count = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+    rows = left.join(count, "key").join(sets.select("sig", "size", "sketch"), "sig").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("n")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "component", "size", "sketch")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def meet(parts):
+        seen: set[tuple[int, int]] = set()
+        for group in _groups(parts):
+            column = lambda c: group.column(c).to_numpy()  # noqa: E731, B023
+            sketch = group.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(group.num_rows, -1)
+            own, i, j = column("own"), group.column("i")[0].as_py(), group.column("j")[0].as_py()
+            side = lambda k: {"sketch": sketch[own == k]} | {c: column(c)[own == k] for c in ("sig", "component", "size")}  # noqa: E731, B023
+            a, b = side(i), side(j)
+            for x, y in _passing(a, b, i == j):
+                pairs = set(zip(np.minimum(a["sig"][x], b["sig"][y]).tolist(), np.maximum(a["sig"][x], b["sig"][y]).tolist(), strict=True)) - seen
+                if len(seen) + len(pairs) > _SEEN:
+                    seen.clear()
+                seen |= pairs
+                if pairs:
+                    one, two = zip(*pairs, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(meet, "a long, b long").distinct()
+
+
+def _groups(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of equal (key, i, j) in sorted batches, as tables of more than one row."""
+    held: list[pa.RecordBatch] = []
+
+    def last(batch: pa.RecordBatch, at: int) -> tuple:
+        return tuple(batch.column(c)[at].as_py() for c in ("key", "i", "j"))
+
+    for batch in parts:
+        if not batch.num_rows:
+            continue
+        if held and last(held[0], 0) != last(batch, 0):
+            table = pa.Table.from_batches(held)
+            held = []
+            if table.num_rows > 1:
+                yield table
+        key, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
+        new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        bounds = [0, *new.tolist(), batch.num_rows]
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            held.append(batch.slice(lo, hi - lo))
+            if hi < batch.num_rows:
+                table = pa.Table.from_batches(held)
+                held = []
+                if table.num_rows > 1:
+                    yield table
+    if held and (table := pa.Table.from_batches(held)).num_rows > 1:
+        yield table
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, repeated rows once; the columns of docs."""
     made = near_duplicates(docs.select("doc_id", "text"))
@@ -255,10 +368,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def _sized(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow the threshold."""
-    size = lambda c: sets.select(F.col("sig").alias(c), F.col("size").alias(f"size_{c}"))
-    rows = pairs.join(size("a"), "a").join(size("b"), "b")
-    return rows.filter(DENOMINATOR * F.least("size_a", "size_b") >= NUMERATOR * F.greatest("size_a", "size_b")).select("a", "b")
+    """Pairs whose sizes and dense sketches allow the threshold: J >= t needs a difference of (a + b) (1 - t) / (1 + t) at most."""
+    side = lambda c: sets.select(F.col("sig").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    rows = rows.filter(DENOMINATOR * F.least("size_a", "size_b") >= NUMERATOR * F.greatest("size_a", "size_b"))
+    apart = F.expr("aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)")
+    return rows.filter((DENOMINATOR + NUMERATOR) * apart <= (DENOMINATOR - NUMERATOR) * (F.col("size_a") + F.col("size_b"))).select("a", "b")
 
 
 def _one_text(texts: DataFrame) -> DataFrame:
