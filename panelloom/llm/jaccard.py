@@ -19,7 +19,8 @@ Join. Equal sets share a node, their signature. Chunk rows meet by key; in every
 smallest signature is compared with all others and components are found, for as long as
 that settles most of what is left. Nodes of different components that still share a key
 then meet in blocks of bounded size, where dense sketches of 512 bits drop every pair whose
-Hamming distance is beyond what its sizes allow; only what passes leaves the block. So each
+Hamming distance is beyond what its sizes allow; only what passes leaves the block: first
+each set's nearest partner, then, of components that still differ, all that passes. So each
 pair that shares a key either is compared or lies in one component, without the pairs of a
 family or of a common passage ever being listed. Comparing is exact on the shingles'
 hashes, from the texts. A key that very many unlinked texts share costs its block
@@ -242,11 +243,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = stash.put(every.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")))
 
     by = W.partitionBy("key").orderBy("sig")
-    rows = chunk_rows(docs, shingle_weights(docs)).withColumns({"first": F.first("sig").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)), "before": F.lag("sig").over(by), "after": F.lead("sig").over(by)})
-    rows = rows.filter((F.col("sig") != F.col("first")) & ((F.col("sig") != F.col("before")) | (F.col("sig") != F.col("after"))))
+    rows = chunk_rows(docs, shingle_weights(docs)).withColumns({"before": F.lag("sig").over(by), "first": F.first("sig").over(by.rowsBetween(W.unboundedPreceding, W.currentRow))})
+    rows = rows.withColumn("last", F.last("sig").over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).filter((F.col("sig") != F.col("first")) & (F.col("sig") != F.col("before")))
     # `others`: the key has a third set, so pairs beside the first one's are left in it.
-    others = (F.col("before") != F.col("first")) | (F.col("after") != F.col("sig"))
-    shared = stash.put(rows.select("key", "first", "sig", F.coalesce(others, F.lit(False)).alias("others")))
+    shared = stash.put(rows.select("key", "first", "sig", ((F.col("before") != F.col("first")) | (F.col("last") != F.col("sig"))).alias("others")))
 
     sized = lambda p: _sized(p, sets)
     pairs = stash.put(sized(shared.select(F.col("first").alias("a"), F.col("sig").alias("b")).distinct()))
@@ -256,30 +256,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = stash.put(_one_text(texts))
     edges = stash.put(compare(pairs, texts))
     found, tested = edges, pairs
-    left = shared.filter("others").select("key", "sig").distinct()
-    before = None
+    left = shared.filter("others").select("key", "sig")
+    before, final, best_done, group = None, False, False, W.partitionBy("key")
     while True:
         labels = components(found, stash)
+        if final:
+            break
         at = left.join(small(labels), left["sig"] == labels["node"], "left").select("key", "sig", F.coalesce("component", "sig").alias("component"))
-        mixed = at.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-        left = stash.put(at.join(mixed, "key"))
+        at = at.withColumns({"x": F.min("component").over(group), "y": F.max("component").over(group), "head": F.min(F.struct("sig", "component")).over(group)})
+        left = stash.put(at.filter("x <> y").select("key", "sig", "component", "head"))
         rows = left.count()
         if not rows:
             break
-        last = before is not None and rows > WORTH * before
-        if last:
-            new = blocks(left, sets)
-        else:
-            head = left.groupBy("key").agg(F.min(F.struct("sig", "component")).alias("head"))
-            after = left.join(head, "key").filter(F.col("sig") != F.col("head.sig"))
+        if before is None or rows <= WORTH * before:
+            after = left.filter(F.col("sig") != F.col("head.sig"))
             new = sized(after.filter(F.col("component") != F.col("head.component")).select(F.col("head.sig").alias("a"), F.col("sig").alias("b")).distinct())
-            left = after.select("key", "sig")
+            left, before = after.select("key", "sig"), rows
+        else:  # each set's best partner first; then, of what still differs, all
+            final, best = best_done, not best_done
+            new, best_done = blocks(left, sets, best), True
+            left = left.select("key", "sig")
         new = stash.put(new.join(tested, ["a", "b"], "left_anti"))
         found = stash.put(found.unionAll(compare(new, texts)))
-        if last:
-            labels = components(found, stash)
-            break
-        tested, before = stash.put(tested.unionAll(new)), rows
+        tested = stash.put(tested.unionAll(new))
 
     named = sets.join(labels, sets["sig"] == labels["node"]).select("component", "rep").groupBy("component").agg(F.min("rep").alias("component_id"))
     moved = labels.join(named, "component").select(F.col("node").alias("sig"), "component_id")
@@ -287,8 +286,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return every.join(ids, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _passing(a: dict, b: dict, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of two blocks' sets that sizes and sketches let through and whose components differ."""
+def _passing(a: dict, b: dict, same: bool, best: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of two blocks' sets that sizes and sketches let through and whose components differ.
+
+    With best only each set's nearest such partner by sketch.
+    """
+    most = 1 << SKETCH_BITS + 1
+    near_b, of_b = np.full(len(b["sig"]), most), np.zeros(len(b["sig"]), np.int64)
     for lo in range(0, len(a["sig"]), 64):
         q = slice(lo, lo + 64)
         apart = np.bitwise_count(a["sketch"][q, None] ^ b["sketch"][None]).sum(axis=2, dtype=np.int64)
@@ -297,11 +301,22 @@ def _passing(a: dict, b: dict, same: bool) -> Iterator[tuple[np.ndarray, np.ndar
         fits &= a["component"][q, None] != b["component"][None]
         if same:
             fits &= a["sig"][q, None] < b["sig"][None]
-        i, j = np.nonzero(fits)
-        yield i + lo, j
+        if best:
+            apart = np.where(fits, apart, most)
+            i, j = np.flatnonzero(fits.any(axis=1)), apart.argmin(axis=1)
+            yield i + lo, j[i]
+            row = apart.argmin(axis=0)
+            closer = (near := apart[row, np.arange(len(row))]) < near_b
+            near_b[closer], of_b[closer] = near[closer], row[closer] + lo
+        else:
+            i, j = np.nonzero(fits)
+            yield i + lo, j
+    if best:
+        j = np.flatnonzero(near_b < most)
+        yield of_b[j], j
 
 
-def blocks(left: DataFrame, sets: DataFrame) -> DataFrame:
+def blocks(left: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
     """(key, sig, component) -> (a, b): pairs of a key and of different components that pass sizes and sketches."""
     count = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
     rows = left.join(count, "key").join(sets.select("sig", "size", "sketch"), "sig").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("n")))
@@ -317,7 +332,7 @@ def blocks(left: DataFrame, sets: DataFrame) -> DataFrame:
             own, i, j = column("own"), group.column("i")[0].as_py(), group.column("j")[0].as_py()
             side = lambda k: {"sketch": sketch[own == k]} | {c: column(c)[own == k] for c in ("sig", "component", "size")}  # noqa: E731, B023
             a, b = side(i), side(j)
-            for x, y in _passing(a, b, i == j):
+            for x, y in _passing(a, b, i == j, best):
                 pairs = set(zip(np.minimum(a["sig"][x], b["sig"][y]).tolist(), np.maximum(a["sig"][x], b["sig"][y]).tolist(), strict=True)) - seen
                 if len(seen) + len(pairs) > _SEEN:
                     seen.clear()
