@@ -8,9 +8,9 @@ held out of training, so that known families are named on at most one in a thous
 lines. A prediction counts as confirmed if the paragraph holds enough of one template's
 n-grams of the predicted family.
 
-Scoring is DataFrame operations alone: n-grams without weight are dropped inside the row by
-a literal set, which changes no sum, and the rest meet the weights in a broadcast join
-(MAX_TERMS rows at most).
+Scoring is DataFrame operations alone, inside the row: n-grams without weight are dropped
+by a literal set, which changes no sum, and the rest look their weights up in a literal map
+(MAX_TERMS entries at most). Only a document's best paragraphs are shuffled.
 
 Defined cases: null and empty texts have no paragraphs and are unknown with score 0; rows
 that repeat a document are scored each; of equally likely paragraphs the first counts;
@@ -47,7 +47,7 @@ TEMPLATES = {
 }
 UNKNOWN = "unknown"
 #: Bounds: corpus lines learned as unknown, variants of a template, terms with weights.
-SAMPLE_LINES, VARIANTS, MAX_TERMS = 3000, 60, 4000
+SAMPLE_LINES, VARIANTS, MAX_TERMS = 3000, 60, 1000
 EPOCHS, BATCH, L2, LIFT, SEED = 10, 32, 1e-4, 5.0, 3
 CONFIRMED = 0.6
 WORDS = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -134,7 +134,7 @@ def training_lines(docs: DataFrame, n: int = SAMPLE_LINES) -> list[str]:
 
 def scan_paragraphs(docs: DataFrame, model: dict) -> DataFrame:
     """One row a paragraph that has a weighted n-gram, and one with null pos for a document without: _rid, doc_id, n_paragraphs, pos, family, score, similarity, licensed."""
-    spark, classes, known = docs.sparkSession, model["classes"], list(model["weights"])
+    classes, known = model["classes"], list(model["weights"])
     unseen = np.array(model["bias"]) / model["temperature"]
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_rid"), F.filter(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n"), lambda x, i: F.struct(i.alias("pos"), F.regexp_extract_all(x, F.lit(f"({WORDS})"), F.lit(1)).alias("w"))), lambda p: F.size(p["w"]) > 0).alias("_lines"))
     rows = rows.withColumn("n_paragraphs", F.size("_lines").cast("long"))
@@ -142,11 +142,12 @@ def scan_paragraphs(docs: DataFrame, model: dict) -> DataFrame:
     rows = rows.withColumn("_lines", F.expr(f"transform(_lines, p -> struct(p.pos as pos, concat(p.w, {pairs}) as grams))"))
     weighted = lambda g: g.isin(known) if known else F.lit(False)
     rows = rows.withColumn("_lines", F.transform("_lines", lambda p: F.struct(p["pos"].alias("pos"), p["grams"].alias("grams"), F.array_distinct(F.filter(p["grams"], weighted)).alias("hits"))))
-    rows = rows.withColumn("_p", F.explode_outer(F.filter("_lines", lambda p: F.size(p["hits"]) > 0))).select("_rid", "doc_id", "n_paragraphs", F.col("_p.pos").alias("pos"), F.col("_p.grams").alias("grams"), F.explode_outer("_p.hits").alias("gram"))
-    weights = spark.createDataFrame([(g, *map(float, w)) for g, w in model["weights"].items()] or [("", *[0.0] * len(classes))], "gram string, " + ", ".join(f"w{i} double" for i in range(len(classes))))
-    sums = rows.join(F.broadcast(weights), "gram", "left").groupBy("_rid", "doc_id", "n_paragraphs", "pos").agg(F.first("grams").alias("grams"), *[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"w{i}") for i in range(len(classes))])
-    z = [F.col(f"w{i}") / F.lit(model["temperature"]) + F.lit(float(unseen[i])) for i in range(len(classes))]
-    made = sums.withColumn("_z", F.array(*z)).withColumn("_top", F.array_max("_z"))
+    rows = rows.withColumn("_p", F.explode_outer(F.filter("_lines", lambda p: F.size(p["hits"]) > 0))).select("_rid", "doc_id", "n_paragraphs", F.col("_p.pos").alias("pos"), F.col("_p.grams").alias("grams"), F.coalesce("_p.hits", F.array().cast("array<string>")).alias("hits"))
+    scaled = {g: [float(v) / model["temperature"] for v in w] for g, w in model["weights"].items()} or {"": [0.0] * len(classes)}
+    table_of = F.map_from_arrays(F.array(*map(F.lit, scaled)), F.array(*[F.array(*map(F.lit, w)) for w in scaled.values()]))  # folds to one literal
+    start = F.array(*[F.lit(float(v)) for v in unseen])
+    z = F.aggregate("hits", start, lambda total, g: F.zip_with(total, F.element_at(table_of, g), lambda x, y: x + y))
+    made = rows.withColumn("_z", z).withColumn("_top", F.array_max("_z"))
     made = made.withColumn("_known", F.array_max(F.slice("_z", 1, len(classes) - 1)))
     made = made.withColumn("score", F.exp(F.col("_known") - F.col("_top")) / F.aggregate("_z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("_top"))))
     made = made.withColumn("score", F.when(F.col("pos").isNotNull(), F.col("score")).otherwise(F.lit(0.0)))
