@@ -33,7 +33,7 @@ from .common import table
 
 LENGTH, END = 2048, 1
 TOKENIZER = "byte_bpe_50k.json"
-CACHE = 400_000
+CACHE = 600_000
 BUCKETS, DIMS, BITS, SEED = 256, 4, 10, 5
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -102,8 +102,22 @@ class Encoder:
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.clear()
 
+    def shrink(self) -> None:
+        """Forget parts that came up once, and more of them if too many are left."""
+        n = len(self.at)
+        keep = np.flatnonzero(self.hits[:n] > max(1, np.sort(self.hits[:n])[-CACHE // 2] if n > CACHE // 2 else 1))
+        known, start, size, ids = np.fromiter(self.at, np.uint64, n)[keep].tolist(), self.start[keep], self.size[keep], self.ids
+        self.clear()
+        for k, h in enumerate(known):
+            self.at[h] = k
+        n, total = len(known), int(size.sum())
+        self.start, self.size, self.hits = (np.concatenate([x, np.zeros(max(1024, n), np.int64)]) for x in (np.cumsum(size) - size, size, np.ones(n, np.int64)))
+        self.ids = np.concatenate([ids[np.repeat(start - self.start[:n], size) + np.arange(total)], np.zeros(1 << 16, np.int32)])
+        self.used = total
+
     def clear(self) -> None:
         self.at: dict[int, int] = {}
+        self.hits = np.zeros(1024, np.int64)
         self.start, self.size, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 16, np.int32), 0
 
     def _learn(self, hashes: np.ndarray, parts: list[str]) -> None:
@@ -111,7 +125,7 @@ class Encoder:
             for h, e in zip(hashes[lo : lo + 10_000].tolist(), self.encode(parts[lo : lo + 10_000], add_special_tokens=False), strict=True):
                 ids, k = e.ids, len(self.at)
                 if k == len(self.start):
-                    self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
+                    self.start, self.size, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.hits))
                 while self.used + len(ids) > len(self.ids):
                     self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
                 self.ids[self.used : self.used + len(ids)] = ids
@@ -146,12 +160,13 @@ class Encoder:
             hashes[a:b] = bytetext.mix((sums[end[a:b] - x] - sums[begin[a:b] - x]) * inverses[begin[a:b] - x])
         known, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.at) + len(known) > CACHE:
-            self.clear()
+            self.shrink()
         slot = np.fromiter((self.at.get(h, -1) for h in known.tolist()), np.int64, len(known))
         if len(new := np.flatnonzero(slot < 0)):
             body = part.tobytes()
             self._learn(known[new], [body[begin[k] : end[k]].decode("utf-8", "replace") for k in first[new]])
             slot[new] = np.arange(len(self.at) - len(new), len(self.at))
+        self.hits[slot] += 1
         slot = slot[inverse]
         size = self.size[slot]
         total = int(size.sum())
