@@ -128,7 +128,9 @@ def train(lines: list[str], seed: int = SEED) -> dict:
 
 def training_lines(docs: DataFrame, n: int = SAMPLE_LINES) -> list[str]:
     """A bounded sample of lines: the first hash-ordered documents' first characters."""
-    picked = docs.filter(F.length("text") > 0).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "text").select(F.substring("text", 1, 4000).alias("text")).limit(n // 3)
+    order = [F.xxhash64(F.lit(SEED), "doc_id"), F.col("doc_id")]
+    ids = docs.filter(F.length("text") > 0).select("doc_id").distinct().orderBy(*order).limit(n // 3)  # ids first: tasks send no texts that go
+    picked = docs.join(F.broadcast(ids), "doc_id").select("doc_id", F.substring("text", 1, 4000).alias("text")).orderBy(*order, "text").limit(n // 3)
     return [x for r in picked.collect() for x in r["text"].split("\n") if x.strip()][:n]
 
 
