@@ -58,8 +58,8 @@ def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: fl
     out = edges.groupBy("source").agg(F.sum("n").alias("all")).withColumnRenamed("source", "of")
     into = edges.groupBy("target").agg(F.sum("n").alias("all")).withColumnRenamed("target", "of")
     steps = stash.put(
-        edges.join(out, edges["source"] == out["of"]).select(F.col("source").alias("from"), F.col("target").alias("to"), F.lit("trust").alias("kind"), (F.col("n") / F.col("all")).alias("share"))
-        .unionAll(edges.join(into, edges["target"] == into["of"]).select(F.col("target").alias("from"), F.col("source").alias("to"), F.lit("distrust").alias("kind"), (F.col("n") / F.col("all")).alias("share")))
+        edges.join(out, edges["source"] == out["of"]).select(F.col("source").alias("from"), F.col("target").alias("to"), F.lit("trust").alias("way"), (F.col("n") / F.col("all")).alias("share"))
+        .unionAll(edges.join(into, edges["target"] == into["of"]).select(F.col("target").alias("from"), F.col("source").alias("to"), F.lit("distrust").alias("way"), (F.col("n") / F.col("all")).alias("share")))
     )
     start = seeds.select("host", "kind", ((1 - damping) * F.col("seed")).alias("score"))
     if steps.isEmpty():
@@ -67,8 +67,8 @@ def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: fl
     start = stash.put(start)
     scores = start
     for k in range(1, rounds + 1):
-        moved = scores.join(steps, (scores["host"] == steps["from"]) & (scores["kind"] == steps["kind"]))
-        moved = moved.select(F.col("to").alias("host"), steps["kind"], (damping * F.col("score") * F.col("share")).alias("score"))
+        moved = scores.join(steps, (F.col("host") == F.col("from")) & (F.col("kind") == F.col("way")))
+        moved = moved.select(F.col("to").alias("host"), "kind", (damping * F.col("score") * F.col("share")).alias("score"))
         scores = start.unionAll(moved).groupBy("host", "kind").agg(F.sum("score").alias("score"))
         if k % CUT_EVERY == 0 and k < rounds:
             scores = stash.put(scores)

@@ -318,7 +318,7 @@ def test_mixing(spark, odd, empty):
 
 
 def test_quality(spark, odd, empty):
-    body = lambda k: " ".join(f"u{k}x{j}" for j in range(80))
+    body = lambda k: " ".join(f"{'abcdefgh'[k]}{'abcdefgh'[j % 8]}{'abcdefghij'[j // 8]}" for j in range(80))
     rows = [(k, "Shared footer line 12\n" + body(k), "s") for k in range(8)] + [(50, "a b c a b c z", "s"), (51, "x #y\nx #y\n\nx #y", "s"), (52, "Shared footer  LINE 7\n" * 30 + "u v w", "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"]: r for r in quality.judge(df, max_docs=5).collect()}
