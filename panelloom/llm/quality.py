@@ -2,10 +2,11 @@
 
 A document fails the base rules if it has too few words or too many of its words lie in
 repeated 3-word windows. Beyond that, its lines are normalised (lower case, one space for
-white space, 0 for digits) and hashed; a line found in more than max_docs different
-documents of one host (the source column) is removed, except in the document of the host
-with the smallest doc_id that has it, so no line vanishes from a host altogether. Texts
-that are equal count as one document there. A document that keeps less than min_left of
+white space, 0 for digits) and hashed; a frequent line of a host (the source column)
+is removed, except in the document of the host with the smallest doc_id that has it, so no
+line vanishes from a host altogether. A line is frequent if more than max_docs different
+documents of the host have it, or in smaller hosts more than min_docs and more than the
+share min_share of the host's documents. Texts that are equal count as one document there. A document that keeps less than min_left of
 its words is depleted and rejected.
 
 Repeated windows are found inside the row: each window's hash and its position share one
@@ -22,11 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, small, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_DOCS = 100
+#: In hosts of fewer than MAX_DOCS / MIN_SHARE documents a line is frequent from this count and share of them.
+MIN_DOCS, MIN_SHARE = 3, 0.05
 MIN_LEFT = 0.5
 SYMBOLS = r"[^#*$%&|<>]+"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -90,6 +93,10 @@ def _text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text_key")
 
 
+def _host_sizes(docs: DataFrame) -> DataFrame:
+    return docs.groupBy(F.col("source").alias("_of")).agg(F.countDistinct("doc_id").alias("_size"))
+
+
 def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """Lines to remove: (doc_id, _text_key, source, _pos, _line, _line_words), one row a place."""
     lines = (
@@ -100,9 +107,12 @@ def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     )
     often = (
         lines.groupBy("source", "_line").agg(F.countDistinct("_text_key").alias("_docs"), F.min("doc_id").alias("_first"))
-        .filter(F.col("_docs") > max_docs)
-        .select(F.col("source").alias("_host"), F.col("_line").alias("_often"), "_first")
+        .filter(F.col("_docs") > min(max_docs, MIN_DOCS))  # no limit is below; few lines go on
     )
+    sizes = small(_host_sizes(docs))
+    limit = F.least(F.lit(float(max_docs)), F.greatest(F.lit(float(MIN_DOCS)), MIN_SHARE * F.col("_size")))
+    often = often.join(sizes, often["source"].eqNullSafe(sizes["_of"])).filter(F.col("_docs") > limit)
+    often = often.select(F.col("source").alias("_host"), F.col("_line").alias("_often"), "_first")
     hit = lines.join(often, (lines["_line"] == often["_often"]) & lines["source"].eqNullSafe(often["_host"]), "inner")
     return hit.filter(~F.col("doc_id").eqNullSafe(F.col("_first"))).select(*lines.columns).dropDuplicates(["doc_id", "source", "_text_key", "_pos"])
 

@@ -331,6 +331,18 @@ def test_quality(spark, odd, empty):
     assert len(quality.judge(odd).collect()) == len(ODD) and quality.judge(empty).count() == 0 and quality.clean(odd).columns == odd.columns
 
 
+def test_quality_finds_boilerplate_in_hosts_of_any_size(spark, tmp_path):
+    """By the registered query, with its own limits."""
+    letters = lambda k: "".join("abcdefghij"[int(x)] for x in str(k))
+    body = lambda k: " ".join(f"w{letters(k)}x{letters(j)}" for j in range(60))
+    rows = [(k, "footer of all 1\n" + body(k), "ten") for k in range(10)] + [(100 + k, ("seldom line\n" if k < 12 else "often here\n" if k < 112 else "") + body(k), "many") for k in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in registry.queries()["op10_quality"](spark, str(tmp_path)).collect()}
+    assert [got[k]["removed_words"] for k in range(10)] == [0] + [4] * 9
+    assert {k - 100 for k, r in got.items() if k >= 100 and r["removed_words"]} == set(range(13, 112))
+    assert all(r["kept"] for r in got.values())
+
+
 def test_repeated_words_against_brute_force(spark):
     rng = np.random.default_rng(6)
     texts = [" ".join(rng.choice(list("abcdefg"), n)) for n in (0, 1, 2, 3, 4, 9, 40, 300)]
