@@ -24,6 +24,13 @@ def month_gaps(rows: DataFrame) -> DataFrame:
     return calendar.join(rows.select("month").distinct(), "month", "left_anti")
 
 
+def months_missing(rows: DataFrame) -> DataFrame:
+    """(symbol, month): months of each symbol's calendar, from its first to its last, that it has no row for."""
+    bounds = rows.groupBy("symbol").agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
+    calendar = bounds.select("symbol", F.explode(_months_between(F.col("lo"), F.col("hi"))).alias("month"))
+    return calendar.join(rows.select("symbol", "month").distinct(), ["symbol", "month"], "left_anti")
+
+
 def symbol_gaps(rows: DataFrame) -> DataFrame:
     """(symbol, prev, next, gap) for every gap of at least a month."""
     pairs = rows.select("symbol", F.col("month").alias("prev"), F.lead("month").over(by_months()).alias("next"))

@@ -312,7 +312,7 @@ def run_length_filter(spark, d):
 
 @query("SELECT strftime(day, '%Y-%m') AS month FROM (SELECT unnest(generate_series(CAST(min(month) || '-01' AS DATE), CAST(max(month) || '-01' AS DATE), INTERVAL 1 MONTH)) AS day FROM sparse WHERE symbol = '1') WHERE strftime(day, '%Y-%m') NOT IN (SELECT month FROM sparse WHERE symbol = '1')")
 def month_gaps(spark, d):
-    return audits.month_gaps(testdata.bars(spark, d, "l_partkey").filter("symbol = '1'").select(periods.month_key("date").alias("month")))
+    return audits.months_missing(testdata.bars(spark, d, "l_partkey").select("symbol", periods.month_key("date").alias("month")))
 
 
 @query(f"SELECT symbol, prev, next, gap FROM (SELECT symbol, month AS prev, lead(month) OVER ({sql.MONTH_ORDER}) AS next, {sql.GAP.format('month', f'lead(month) OVER ({sql.MONTH_ORDER})')} AS gap FROM sparse) WHERE gap > 0")
