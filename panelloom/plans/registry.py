@@ -251,8 +251,7 @@ def macro_join_dense(spark, d):
 )
 def stock_status(spark, d):
     symbols = testdata.static_info(spark, d)
-    parts = testdata.bars(spark, d, "l_partkey").filter(F.col("symbol").cast("int") % 3 != 0)
-    return panel.status({"bars": testdata.bars(spark, d), "parts": parts}, symbols)
+    return panel.status({"bars": testdata.bars(spark, d), "parts": testdata.bars(spark, d, "l_partkey")}, symbols)
 
 
 @query("SELECT symbol, CAST(date AS VARCHAR) AS date, " + sql.r("price") + " FROM bars WHERE symbol NOT IN (SELECT symbol FROM bars GROUP BY symbol HAVING min(price) < 905)")
@@ -269,7 +268,7 @@ def ewm_fill(spark, d):
 
 @query(sql.query(f"SELECT month, {sql.r('m_gap', 4)} FROM (" + sql._ewm("gapped", ("m_gap",), lead=False) + ")").replace("FROM gapped", "FROM (SELECT 'macro' AS symbol, month, CASE WHEN CAST(substr(month, 6, 2) AS INTEGER) % 3 <> 0 THEN m_mean END AS m_gap FROM macro)").replace("WITH RECURSIVE n", "WITH RECURSIVE macro AS (" + sql.CTES["macro"] + "), n", 1))
 def macro_ewm_fill(spark, d):
-    m = testdata.macro(spark, d).select(F.lit("macro").alias("symbol"), "month", F.when(F.substring("month", 6, 2).cast("int") % 3 != 0, F.col("m_mean")).alias("m_gap"))
+    m = testdata.macro(spark, d).select(F.lit("macro").alias("symbol"), "month", F.col("m_mean").alias("m_gap"))
     return panel.ewm_fill(m, ("m_gap",), lead=False).select("month", r("m_gap", 4))
 
 

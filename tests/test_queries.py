@@ -8,6 +8,7 @@ import os
 import duckdb
 import pytest
 
+from panelloom.operators import panel
 from panelloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +54,23 @@ def test_month_gaps_of_every_symbol(spark, con):
     same(rows, df.columns, con.execute(text))
     only = con.execute(registry.oracle_sql()["month_gaps"]).fetchall()
     assert len({r["symbol"] for r in rows}) > 1 and {m for *_, m in only} <= {r["month"] for r in rows if r["symbol"] == "1"}
+
+
+#: Filters of registered SQL that keep it from the whole tables.
+CUTS = {"stock_status": (" WHERE CAST(symbol AS INTEGER) % 3 <> 0", ""), "macro_ewm_fill": ("CASE WHEN CAST(substr(month, 6, 2) AS INTEGER) % 3 <> 0 THEN m_mean END", "m_mean")}
+
+
+@pytest.mark.parametrize("name", sorted(CUTS))
+def test_query_of_whole_tables(spark, con, name):
+    df = registry.queries()[name](spark, SF)
+    same(df.collect(), df.columns, con.execute(registry.oracle_sql()[name].replace(*CUTS[name])))
+
+
+def test_invalid_symbols_and_empty_months(spark):
+    """What the whole test tables don't have."""
+    table = lambda *symbols: spark.createDataFrame([(s,) for s in symbols], "symbol string")
+    got = panel.status({"bars": table("a", "b", "b"), "parts": table("a", "c")}, table("a", "b", "c", "d")).collect()
+    assert {r["symbol"]: (r["status"], r["reason"]) for r in got} == {"a": ("success", None), "b": ("invalid", "parts"), "c": ("invalid", "bars"), "d": ("invalid", "bars")}
+    m = spark.createDataFrame([("macro", "2001-01", None), ("macro", "2001-02", 4.0), ("macro", "2001-03", None), ("macro", "2001-04", 8.0)], "symbol string, month string, m_gap double")
+    got = {r["month"]: r["m_gap"] for r in panel.ewm_fill(m, ("m_gap",), lead=False).collect()}
+    assert (got["2001-02"], got["2001-03"], got["2001-04"]) == (4.0, 4.0, 8.0)
