@@ -3,7 +3,8 @@
 Rules name a host and a path prefix; the longest rule that fits decides a page. For the
 other pages their host decides: the share of a host's pages that rules allow seeds trust,
 the share that rules block seeds distrust. Trust follows links as personalised PageRank,
-distrust follows them backwards, to the hosts that link to what is blocked. A host is
+distrust follows them backwards, to the hosts that link to what is blocked. Scores move
+until all that could still move, over all hosts, is below TOLERANCE. A host is
 blocked if its distrust exceeds its trust by the threshold, half of what a wholly blocked
 host has by itself. Links are counted per pair of hosts before they move, so a host with
 very many pages is one node; links within a host and links without a host count for nothing.
@@ -22,7 +23,11 @@ from .common import Stash, table
 
 #: (verdict, host and path prefix).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-DAMPING, ROUNDS, THRESHOLD, CUT_EVERY = 0.85, 8, 0.5, 3
+DAMPING, THRESHOLD, CUT_EVERY = 0.85, 0.5, 3
+#: What rounds may leave unmoved, and the rounds after which that is an error.
+TOLERANCE, MOST_ROUNDS = 1e-6, 300
+#: SQL can't stop by a tolerance; it goes so far.
+ROUNDS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?([^"'\s>]+)"""
 
@@ -52,7 +57,7 @@ def links(pages: DataFrame) -> DataFrame:
     return found.filter((F.col("source") != "") & (F.col("target") != "") & (F.col("source") != F.col("target"))).groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, stash: Stash | None = None) -> DataFrame:
+def spread(seeds: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING, stash: Stash | None = None) -> DataFrame:
     """(host, kind, score) from seeds (host, kind, seed), kind trust along edges and distrust against them."""
     stash = stash or Stash(seeds.sparkSession, "hosts")
     out = edges.groupBy("source").agg(F.sum("n").alias("all")).withColumnRenamed("source", "of")
@@ -64,15 +69,20 @@ def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: fl
     start = seeds.select("host", "kind", ((1 - damping) * F.col("seed")).alias("score"))
     if steps.isEmpty():
         return start
-    start = stash.put(start)
-    scores = start
-    for k in range(1, rounds + 1):
-        moved = scores.join(steps, (F.col("host") == F.col("from")) & (F.col("kind") == F.col("way")))
-        moved = moved.select(F.col("to").alias("host"), "kind", (damping * F.col("score") * F.col("share")).alias("score"))
-        scores = start.unionAll(moved).groupBy("host", "kind").agg(F.sum("score").alias("score"))
-        if k % CUT_EVERY == 0 and k < rounds:
+    # moved is what the last round brought; a round passes on its damping at most, so all later ones bring damping / (1 - damping) times it.
+    held = scores = stash.put(start.withColumn("moved", F.col("score")))
+    for k in range(1, MOST_ROUNDS + 1):
+        moved = scores.filter("moved > 0").join(steps, (F.col("host") == F.col("from")) & (F.col("kind") == F.col("way")))
+        moved = moved.select(F.col("to").alias("host"), "kind", (damping * F.col("moved") * F.col("share")).alias("moved"))
+        rows = scores.select("host", "kind", "score", F.lit(0.0).alias("moved")).unionAll(moved.select("host", "kind", F.col("moved").alias("score"), "moved"))
+        scores = rows.groupBy("host", "kind").agg(F.sum("score").alias("score"), F.sum("moved").alias("moved"))
+        if k % CUT_EVERY == 0:
             scores = stash.put(scores)
-    return scores
+            stash.drop(held)
+            held = scores
+            if (scores.agg(F.sum("moved")).first()[0] or 0.0) * damping / (1 - damping) < tolerance:
+                return scores.drop("moved")
+    raise RuntimeError(f"scores of hosts don't settle in {MOST_ROUNDS} rounds")
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:

@@ -298,6 +298,17 @@ def test_url_rules_and_links(spark):
     assert got == {"bad.net": "block", "farm.org": "block", "mixed.org": "allow", "good.com": "allow"}
 
 
+def test_distrust_converges(spark):
+    """A tenth of a densely linked farm is blocked: the others have 0.062 of distrust after 8 rounds and 0.0809 in the end."""
+    hosts = [*(f"bad{k}.net" for k in range(2)), *(f"farm{k}.org" for k in range(18))]
+    rows = [(k, f"http://{h}/es/1", "".join(f'<a href="http://{x}/">' for x in hosts)) for k, h in enumerate(hosts)]
+    got = {r["host"]: r for r in urlgraph.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {r["verdict"] for r in got.values()} == {"block"}
+    p = (np.ones((20, 20)) - np.eye(20)) / 19
+    want = np.linalg.solve(np.eye(20) - 0.85 * p, 0.15 * np.array([1.0] * 2 + [0.0] * 18))
+    assert [got[h]["distrust"] for h in hosts] == pytest.approx(want.tolist(), abs=1e-6)
+
+
 # 9
 
 
