@@ -1,6 +1,9 @@
 """License scans: a trained paragraph classifier, confirmed against templates.
 
-Paragraphs are lines. A multinomial logistic regression over word unigrams and bigrams,
+Paragraphs are lines; a notice that is wrapped over lines is scanned as well, as a line that
+has a weighted n-gram together with the next WRAPPED words of the lines that follow without
+a blank one between. Such a window counts if it is confirmed and has no line and no earlier
+window in it that is. A multinomial logistic regression over word unigrams and bigrams,
 made sparse by L1, tells license families and an unknown class apart. It learns from the
 templates below, varied by dropped words and surrounding text, and from a bounded sample of
 the corpus' own lines as unknown. A temperature and a least probability are set on rows
@@ -51,6 +54,8 @@ SAMPLE_LINES, VARIANTS, MAX_TERMS = 3000, 60, 1000
 EPOCHS, BATCH, L2, LIFT, SEED = 10, 32, 1e-4, 5.0, 3
 CONFIRMED = 0.6
 WORDS = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: Words of the longest template, which a window takes from the lines after its first.
+WRAPPED = max(len(re.findall(WORDS, t.lower())) for ts in TEMPLATES.values() for t in ts)
 
 
 def grams(line: str) -> list[str]:
@@ -135,16 +140,24 @@ def training_lines(docs: DataFrame, n: int = SAMPLE_LINES) -> list[str]:
 
 
 def scan_paragraphs(docs: DataFrame, model: dict) -> DataFrame:
-    """One row a paragraph that has a weighted n-gram, and one with null pos for a document without: _rid, doc_id, n_paragraphs, pos, family, score, similarity, licensed."""
+    """One row a line that has a weighted n-gram, one a confirmed window of lines, and one with null pos for a document without: _rid, doc_id, n_paragraphs, pos, last (of a window), family, score, similarity, licensed."""
     classes, known = model["classes"], list(model["weights"])
     unseen = np.array(model["bias"]) / model["temperature"]
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_rid"), F.filter(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n"), lambda x, i: F.struct(i.alias("pos"), F.regexp_extract_all(x, F.lit(f"({WORDS})"), F.lit(1)).alias("w"))), lambda p: F.size(p["w"]) > 0).alias("_lines"))
     rows = rows.withColumn("n_paragraphs", F.size("_lines").cast("long"))
-    pairs = "transform(filter(sequence(0, size(p.w) - 1), i -> i < size(p.w) - 1), i -> concat(p.w[i], ' ', p.w[i + 1]))"
-    rows = rows.withColumn("_lines", F.expr(f"transform(_lines, p -> struct(p.pos as pos, concat(p.w, {pairs}) as grams))"))
+    grams_of = lambda w: f"concat({w}, transform(filter(sequence(0, size({w}) - 1), i -> i < size({w}) - 1), i -> concat({w}[i], ' ', {w}[i + 1])))"
     weighted = lambda g: g.isin(known) if known else F.lit(False)
-    rows = rows.withColumn("_lines", F.transform("_lines", lambda p: F.struct(p["pos"].alias("pos"), p["grams"].alias("grams"), F.array_distinct(F.filter(p["grams"], weighted)).alias("hits"))))
-    rows = rows.withColumn("_p", F.explode_outer(F.filter("_lines", lambda p: F.size(p["hits"]) > 0))).select("_rid", "doc_id", "n_paragraphs", F.col("_p.pos").alias("pos"), F.col("_p.grams").alias("grams"), F.coalesce("_p.hits", F.array().cast("array<string>")).alias("hits"))
+    hits = lambda p: F.array_distinct(F.filter(p["grams"], weighted)).alias("hits")
+    rows = rows.withColumn("_own", F.expr(f"transform(_lines, (p, at) -> struct(p.pos as pos, cast(null as int) as last, at, p.w as w, {grams_of('p.w')} as grams))"))
+    rows = rows.withColumn("_own", F.filter(F.transform("_own", lambda p: F.struct(*[p[c].alias(c) for c in ("pos", "last", "at", "w", "grams")], hits(p))), lambda p: F.size(p["hits"]) > 0))
+    after = f"""aggregate(filter(slice(transform(_lines, (l, k) -> struct(l.pos as pos, l.pos - k as gap, l.w as w)), p.at + 2, {WRAPPED}), l -> l.gap = p.pos - p.at),
+      named_struct('w', cast(array() as array<string>), 'last', p.pos), (a, l) -> if(size(a.w) < {WRAPPED}, named_struct('w', concat(a.w, l.w), 'last', l.pos), a))"""
+    rows = rows.withColumn("_wrapped", F.expr(f"transform(_own, p -> struct(p.pos as pos, size(p.hits) as n, p.w as w, {after} as more))"))
+    rows = rows.withColumn("_wrapped", F.expr(f"transform(filter(_wrapped, p -> size(p.more.w) > 0), p -> struct(p.pos as pos, p.more.last as last, p.n as n, concat(p.w, slice(p.more.w, 1, {WRAPPED})) as w))"))
+    rows = rows.withColumn("_wrapped", F.expr(f"transform(_wrapped, p -> struct(p.pos as pos, p.last as last, p.n as n, {grams_of('p.w')} as grams))"))
+    rows = rows.withColumn("_wrapped", F.filter(F.transform("_wrapped", lambda p: F.struct(*[p[c].alias(c) for c in ("pos", "last", "n", "grams")], hits(p))), lambda p: F.size(p["hits"]) > p["n"]))
+    slim = lambda c: F.transform(c, lambda p: F.struct(*[p[x].alias(x) for x in ("pos", "last", "grams", "hits")]))
+    rows = rows.withColumn("_p", F.explode_outer(F.concat(slim("_own"), slim("_wrapped")))).select("_rid", "doc_id", "n_paragraphs", F.col("_p.pos").alias("pos"), F.col("_p.last").alias("last"), F.col("_p.grams").alias("grams"), F.coalesce("_p.hits", F.array().cast("array<string>")).alias("hits"))
     scaled = {g: [float(v) / model["temperature"] for v in w] for g, w in model["weights"].items()} or {"": [0.0] * len(classes)}
     table_of = F.map_from_arrays(F.array(*map(F.lit, scaled)), F.array(*[F.array(*map(F.lit, w)) for w in scaled.values()]))  # folds to one literal
     start = F.array(*[F.lit(float(v)) for v in unseen])
@@ -161,13 +174,23 @@ def scan_paragraphs(docs: DataFrame, model: dict) -> DataFrame:
     for f, share in shares:
         similarity = F.when(F.col("family") == f, share).otherwise(similarity)
     made = made.withColumn("similarity", similarity)
-    return made.select("_rid", "doc_id", "n_paragraphs", "pos", "family", "score", "similarity", ((F.col("family") != UNKNOWN) & (F.col("similarity") >= CONFIRMED)).alias("licensed"))
+    made = made.withColumn("licensed", (F.col("family") != UNKNOWN) & (F.col("similarity") >= CONFIRMED))
+    return made.filter(F.col("last").isNull() | F.col("licensed")).select("_rid", "doc_id", "n_paragraphs", "pos", "last", "family", "score", "similarity", "licensed")
 
 
 def scan(docs: DataFrame, model: dict) -> DataFrame:
     """One row a document: doc_id, n_paragraphs, n_licensed, family, score, similarity, confirmed."""
-    best = F.max_by(F.struct("family", "score", "similarity", "licensed"), F.struct("licensed", F.col("family") != UNKNOWN, "score", -F.col("pos")))
-    per = scan_paragraphs(docs, model).groupBy("_rid", "doc_id", "n_paragraphs").agg(F.count_if("licensed").alias("n_licensed"), best.alias("_best"))
+    found, line = F.struct("family", "score", "similarity", "licensed"), F.col("last").isNull()
+    best = F.max_by(F.when(line, found), F.when(line, F.struct("licensed", F.col("family") != UNKNOWN, "score", -F.col("pos"))))
+    per = scan_paragraphs(docs, model).groupBy("_rid", "doc_id", "n_paragraphs").agg(
+        F.collect_list(F.when(line & F.col("licensed"), F.col("pos"))).alias("_own"), best.alias("_best"),
+        F.array_sort(F.collect_list(F.when(~line, F.struct("pos", "last", found.alias("found"))))).alias("_windows"),
+    )
+    per = per.withColumn("_windows", F.expr("filter(_windows, p -> not exists(_own, x -> x between p.pos and p.last))"))
+    # Windows in order; one that begins before the last counted one's end is the same notice.
+    n = F.expr("aggregate(_windows, named_struct('n', 0L, 'last', -1), (a, p) -> if(p.pos > a.last, named_struct('n', a.n + 1, 'last', p.last), a), a -> a.n)")
+    top = F.expr("aggregate(_windows, _best, (a, p) -> if(not a.licensed or p.found.score > a.score or (p.found.score = a.score and p.found.similarity > a.similarity), p.found, a))")
+    per = per.withColumns({"n_licensed": F.size("_own") + n, "_best": top})
     return per.select("doc_id", "n_paragraphs", "n_licensed", "_best.family", "_best.score", "_best.similarity", F.col("_best.licensed").alias("confirmed"))
 
 

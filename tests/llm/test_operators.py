@@ -281,6 +281,23 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(odd, model).count() == len(ODD) and licenses.scan(empty, model).count() == 0
 
 
+WRAPPED_NOTICES = {
+    "mit": "MIT License\n\nCopyright (c) 2020 Some Body\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software.",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice.",
+}
+
+
+def test_wrapped_licenses(spark):
+    filler = [" ".join(np.random.default_rng(k).choice([f"lorem{j}" for j in range(90)], 25)) for k in range(300)]
+    model = licenses.train(filler)
+    docs = [(k, f"{filler[k]}\n\n{text}\n\n{filler[k + 9]}") for k, text in enumerate(WRAPPED_NOTICES.values())]
+    docs += [(3, "\n\n".join(WRAPPED_NOTICES.values())), (4, WRAPPED_NOTICES["gpl"].replace("\n", "\n\n")), (5, "\n".join(filler[:20]))]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    assert [(got[k]["family"], got[k]["confirmed"], got[k]["n_licensed"]) for k in range(3)] == [(f, True, 1) for f in WRAPPED_NOTICES]
+    assert got[3]["n_licensed"] == 3 and not got[4]["confirmed"] and (got[5]["family"], got[5]["n_licensed"]) == ("unknown", 0)
+
+
 # 8
 
 
