@@ -5,34 +5,42 @@ Two texts link at Jaccard >= 0.75; what is asked for is each text's connected co
 
 Sketch. Every shingle flips one bit of a very long bit string, at the place its 64-bit hash
 names, so the Hamming distance of two sketches is their symmetric difference (equal hashes
-cancel, which only lowers it). The string is kept sparse: a chunk of it is the XOR of its
-shingles' second hashes. Sets a <= b in size that reach 0.75 differ in at most a / 3
-shingles, so of any a / 3 + 1 chunks that are not empty in A one is equal in B; taking the
-first ones in one order of all chunks on both sides keeps it among B's first b / 3 + 1. Any
-order is right; chunks whose shingles are all frequent come last, by a table of counts of
-fixed size over the whole corpus, so that a common passage rarely brings texts together.
-Chunk counts follow a size band (powers of two); a set that can have a partner in the band below also
-gives that band's chunks. Chunks are so many that a set has the needed number of non-empty
-ones but for a probability under 1e-12; below 32 shingles each has its own.
-
-Join. Equal sets share a node, their signature. Chunk rows meet by key; in every key the
-smallest signature is compared with all others and components are found, for as long as
-that settles most of what is left. Nodes of different components that still share a key
-then meet in blocks of bounded size, where dense sketches of 512 bits drop every pair whose
-Hamming distance is beyond what its sizes allow; only what passes leaves the block: first
-each set's nearest partner, then, of components that still differ, all that passes. So each
-pair that shares a key either is compared or lies in one component, without the pairs of a
-family or of a common passage ever being listed. Comparing is exact on the shingles'
-hashes, from the texts. A key that very many unlinked texts share costs its block
-comparisons, a few dozen nanoseconds a pair.
-
-Hashes have 64 bits; results are exact unless two different shingles of compared texts, or
-two sets of the corpus, have equal hashes.
+cancel, which only lowers it). A set keeps its string in two forms. Chunks: the string is
+cut into CHUNKS places a shingle; a chunk that isn't empty is the XOR of its shingles'
+second hashes. Dense: the string folded to 2 to 4 bits a shingle, whose Hamming distance
+is a lower bound too; the width follows the size band, and the wider of two is folded once
+more, so that long texts are told apart as well as short ones.
+
+Pigeonhole. Sets a <= b in size that reach 0.75 differ in at most a / 3 shingles, so of any
+a / 3 + 1 chunks that are not empty in A one is equal in B; with both sides' chunks in one
+order, the first equal one is preceded by differing ones alone on either side. Keys are
+hashes of band and chunk, in their own order, which is random: as at most 0.355 of a set's
+chunks differ, the first FIRST = 40 of them all differ with a probability below 1e-18, which
+is that of colliding 64-bit hashes, so longer sets give no more than these. Chunk counts
+follow a size band (powers of two); a set that can have a partner in the band below also
+gives that band's chunks.
+
+Join. Equal sets share a node, their signature. Every key has a hub, the member whose keys
+have the most members in all, and every other member is compared with it: near copies of
+one text meet at it. Then components are found, and members of a key that are in different
+ones meet. A key with more than HOT members outside its largest component holds texts that
+share a common passage; its members are keyed anew by all a / 3 + 1 chunks, those whose
+shingles are seldom among such texts first, so that what they have in common comes last,
+and meet under these keys. Members meet in blocks of bounded size. There dense sketches drop
+every pair that its sizes rule out, and what passes goes two ways: each set's nearest
+partner is compared, and when components have been found again, all pairs that pass and
+still are in different ones are verified in their block, which gives the links of a
+spanning forest. So each pair that shares a key is compared or lies in one component, and no
+step gives more rows than it has members. Comparing is exact, on all shingles' hashes.
+
+Hashes have 64 bits; results are exact unless two different shingles of compared texts, two
+texts or two sets of the corpus have equal hashes.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing
 (component_id is their own id); rows that repeat a doc_id are nodes of their own texts and
-share the id in the result; an empty table gives an empty result; extra columns are not
-carried.
+share the id in the result; a row with a null id links as any other: its component has the
+smallest id that is not null, or null if there is none; an empty table gives an empty
+result; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -42,7 +50,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bytetext
@@ -52,12 +59,13 @@ from .components import components
 SHINGLE = 5
 #: Jaccard threshold as a fraction.
 NUMERATOR, DENOMINATOR = 3, 4
-#: Rounds with one set a key go on while they leave less than this share of the rows; rows of a block.
-WORTH, BLOCK = 0.5, 4096
-#: Log2 of the cells of the count table and of the bits of the dense sketch; least count of a task that is added up.
-CELL_BITS, SKETCH_BITS, LEAST_COUNT = 20, 9, 4
+#: Chunks a shingle at least, keys of a set under the random order, members outside its largest component that make a key hot.
+CHUNKS, FIRST, HOT = 8, 40, 256
+#: Bounds of a block: rows, and shingles of all its sets.
+BLOCK, BLOCK_SHINGLES = 4096, 4_000_000
+#: Log2 of the cells of the count table.
+CELL_BITS = 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_SEEN = 1_000_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,246 +110,332 @@ def signatures(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return size, np.where(size > 0, sig, 0).astype(np.uint64).view(np.int64)
 
 
-def _chunk_bits(band: np.ndarray) -> np.ndarray:
-    """Log2 of the number of chunks of a band: sets of 2**band shingles or more."""
-    return np.where(band < 5, 16, np.where(band < 8, band + 1, band))
+def bands(size: np.ndarray) -> np.ndarray:
+    """Log2 of sizes, rounded down."""
+    return np.frexp(np.maximum(size, 1).astype(np.float64))[1].astype(np.int64) - 1
 
 
-def dense_sketches(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """(n, 2**SKETCH_BITS / 64) longs: bit parities of the shingles' places."""
-    bits = 1 << SKETCH_BITS
-    parity = np.bincount(doc * bits + (h & np.uint64(bits - 1)).astype(np.int64), minlength=n * bits).astype(np.uint8) & 1
-    return np.packbits(parity.reshape(n, bits), axis=1, bitorder="little").view(np.int64)
+def dense_sketches(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longs of all sets' folded sketches, 2**(band + 2) bits each and 64 at least, and each set's number of longs."""
+    bits = np.maximum(64, 4 << bands(size))
+    first = np.cumsum(bits) - bits
+    parity = np.bincount(first[doc] + (h & (bits[doc] - 1).astype(np.uint64)).astype(np.int64), minlength=int(bits.sum())).astype(np.uint8) & 1
+    return np.packbits(parity, bitorder="little").view(np.int64), bits // 64
 
 
-def shingle_weights(docs: DataFrame) -> np.ndarray:
-    """By cell of hashes, log2 of how many sets of the corpus have a shingle there (0 where no task has LEAST_COUNT)."""
+def chunk_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, key) rows, under each text's own band and under the band below where it may have partners.
 
-    def run(parts):
-        counts, seen = np.zeros(1 << CELL_BITS, np.int64), set()
-        for whole in parts:
-            for part in bytetext.batches(whole, "text", 2 * bytetext.SLAB):
-                doc, h, _, _ = _fresh(part, seen)
-                counts += np.bincount((h >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(counts))
-        often = np.flatnonzero(counts >= LEAST_COUNT)
-        yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(counts[often])], ["cell", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 2**CELL_BITS rows at most
-    out = np.zeros(1 << CELL_BITS, np.uint8)
-    out[rows.column("cell").to_numpy()] = np.log2(rows.column("n").to_numpy()).astype(np.uint8)
-    return out
-
-
-def _fresh(part: pa.RecordBatch, seen: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text index and hash of the shingles of sets that the task hasn't seen, and all texts' sizes and signatures."""
-    doc, h = shingle_sets(*bytetext.flat(part.column("text")))
-    size, sig = signatures(doc, h, part.num_rows)
-    fresh = np.zeros(len(sig), bool)
-    for i, s in enumerate(sig.tolist()):
-        if s not in seen:
-            fresh[i] = True
-            seen.add(s)
-    if len(seen) > _SEEN:
-        seen.clear()
-    rows = fresh[doc]
-    return doc[rows], h[rows], size, sig
-
-
-def chunk_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text index, key) rows: under each text's own band, then under the band below where it may have partners."""
-    own = np.floor(np.log2(np.maximum(size, 1))).astype(np.int64)
+    In the keys' own order no more than FIRST a band; with weights, which count shingles by
+    their first bits, all that pigeonholing needs, the seldom ones.
+    """
+    own = bands(size)
     lower = (-(-NUMERATOR * size // DENOMINATOR) < (1 << own)) & (own > 0)
     value = bytetext.mix(h ^ np.uint64(0x5851F42D4C957F2D))
+    most = size // 3 + 1 if weights is not None else np.minimum(size // 3 + 1, FIRST)
+    docs, keys = [], []
     for band, takes in ((own, size > 0), (own - 1, lower & (size > 0))):
         rows = np.flatnonzero(takes[doc])
         if not len(rows):
             continue
         d, b = doc[rows], band[doc[rows]]
-        chunk = h[rows] >> (64 - _chunk_bits(b)).astype(np.uint64)
-        new = np.ones(len(rows), bool)
-        new[1:] = (d[1:] != d[:-1]) | (chunk[1:] != chunk[:-1])
-        start = np.flatnonzero(new)
+        bits = np.maximum(16, b + 1 + (CHUNKS - 1).bit_length())
+        chunk = h[rows] >> (64 - bits).astype(np.uint64)
+        start = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (chunk[1:] != chunk[:-1])]))
         xor = np.bitwise_xor.reduceat(value[rows], start)
-        rare = np.minimum.reduceat(weights[(h[rows] >> np.uint64(64 - CELL_BITS)).astype(np.int64)], start)
         d, chunk, b = d[start], chunk[start], b[start]
-        order = np.lexsort((chunk, rare, d))
-        d, chunk, b, xor = d[order], chunk[order], b[order], xor[order]
+        key = bytetext.mix(xor + chunk * _ODD[0] + b.astype(np.uint64) * _ODD[1])
+        if weights is None:
+            order = np.lexsort((key, d))
+        else:
+            rare = np.minimum.reduceat(weights[(h[rows] >> np.uint64(64 - CELL_BITS)).astype(np.int64)], start)
+            order = np.lexsort((key, rare, d))
+        d, key = d[order], key[order]
         head = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
         rank = np.arange(len(d)) - np.repeat(head, np.diff(np.append(head, len(d))))
-        keep = rank <= size[d] // 3
-        yield d[keep], bytetext.mix(xor[keep] + chunk[keep] * _ODD[0] + b[keep].astype(np.uint64) * _ODD[1]).view(np.int64)
+        keep = rank < most[d]
+        docs.append(d[keep])
+        keys.append(key[keep])
+    if not docs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(docs), np.concatenate(keys).view(np.int64)
+
+
+def _lists(rows: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    """values as n lists, rows naming the list of each."""
+    order = np.argsort(rows, kind="stable")
+    return _listed(np.bincount(rows, minlength=n), values[order])
+
+
+def _listed(sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+
+
+def _text_id() -> list:
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"]
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_shingles, sig, sketch)."""
+    """(doc_id, text) -> (doc_id, text_hash, n_shingles, sig, sketch, keys)."""
 
     def run(parts):
         for whole in parts:
             for part in bytetext.batches(whole, "text", 2 * bytetext.SLAB):
                 doc, h = shingle_sets(*bytetext.flat(part.column("text")))
-                size, sig = signatures(doc, h, part.num_rows)
-                flat = pa.array(dense_sketches(doc, h, part.num_rows).ravel())
-                words = (1 << SKETCH_BITS) // 64
-                sketch = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * words), flat)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(sig), sketch], ["doc_id", "n_shingles", "sig", "sketch"])
+                n = part.num_rows
+                size, sig = signatures(doc, h, n)
+                longs, each = dense_sketches(doc, h, size)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("text_hash"), pa.array(size), pa.array(sig), _listed(each, longs), _lists(*chunk_keys(doc, h, size), n)],
+                    ["doc_id", "text_hash", "n_shingles", "sig", "sketch", "keys"],
+                )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, sig long, sketch array<long>")
+    return docs.select(*_text_id()).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, sig long, sketch array<long>, keys array<long>")
 
 
-def chunk_rows(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(text) -> (key, sig), a set once a task."""
-    held = docs.sparkSession.sparkContext.broadcast(weights)
+def hashed(docs: DataFrame, sets: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(sig) -> (sig, hashes): sorted hashes of the sets' shingles, from one text of each."""
+    wanted = small(sets.join(small(sigs), "sig", "left_semi").select("sig", F.col("text.doc_id").alias("of_doc"), F.col("text.text_hash").alias("of_text")))
+    texts = docs.select(*_text_id())
+    texts = texts.join(wanted, (F.col("text_hash") == F.col("of_text")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("sig", "text")
 
     def run(parts):
-        seen: set[int] = set()
         for whole in parts:
             for part in bytetext.batches(whole, "text", 2 * bytetext.SLAB):
-                doc, h, size, sig = _fresh(part, seen)
-                for d, key in chunk_keys(doc, h, size, held.value):
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sig[d])], ["key", "sig"])
+                doc, h = shingle_sets(*bytetext.flat(part.column("text")))
+                yield pa.RecordBatch.from_arrays([part.column("sig"), _listed(np.bincount(doc, minlength=part.num_rows), h.view(np.int64))], ["sig", "hashes"])
 
-    return docs.select("text").mapInArrow(run, "key long, sig long")
+    return texts.mapInArrow(run, "sig long, hashes array<long>").dropDuplicates(["sig"])
 
 
-def linked(size_a: int, size_b: int, common: int) -> bool:
-    return DENOMINATOR * common >= NUMERATOR * (size_a + size_b - common)
+def _folded(x: str, y: str) -> str:
+    """x, XORed onto its first half if it is longer than y."""
+    half = f"cast(size({x}) / 2 as int)"
+    return f"if(size({x}) > size({y}), zip_with(slice({x}, 1, {half}), slice({x}, {half} + 1, {half}), (p, q) -> p ^ q), {x})"
 
 
-def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The (a, b) of pairs whose texts link."""
-    rows = pairs.join(texts.select(F.col("sig").alias("b"), F.col("text").alias("text_b")), "b")
-    rows = rows.join(texts.select(F.col("sig").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+def sized(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) whose sizes and dense sketches allow the threshold: J >= t needs a difference of (a + b) (1 - t) / (1 + t) at most."""
+    side = lambda c: sets.select(F.col("sig").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    rows = rows.filter(DENOMINATOR * F.least("size_a", "size_b") >= NUMERATOR * F.greatest("size_a", "size_b"))
+    apart = F.expr(f"aggregate(zip_with({_folded('sketch_a', 'sketch_b')}, {_folded('sketch_b', 'sketch_a')}, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)")
+    return rows.filter((DENOMINATOR + NUMERATOR) * apart <= (DENOMINATOR - NUMERATOR) * (F.col("size_a") + F.col("size_b"))).select("a", "b")
 
-    def run(parts):
-        last: dict[int, np.ndarray] = {}
-        for whole in parts:
-            for part in bytetext.batches(whole, "text_b", 2 * bytetext.SLAB):
-                a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
-                doc, h = shingle_sets(*bytetext.flat(part.column("text_b")))
-                at = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                keep = []
-                for i, one in enumerate(a):
-                    if one not in last:
-                        last = {one: shingle_sets(*bytetext.flat(part.column("text_a").slice(i, 1)))[1]}
-                    x, y = last[one], h[at[i] : at[i + 1]]
-                    spot = np.minimum(np.searchsorted(x, y), max(len(x) - 1, 0))
-                    common = int((x[spot] == y).sum()) if len(x) else 0
-                    if linked(len(x), len(y), common):
-                        keep.append(i)
-                if keep:
-                    yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
+
+def linked(size_a, size_b, common):
+    return DENOMINATOR * common >= NUMERATOR * (size_a + size_b - common)
+
+
+class _Join:
+    """What is known of a corpus' sets while their links are found."""
+
+    def __init__(self, docs: DataFrame):
+        self.docs, self.stash = docs, Stash(docs.sparkSession, "jaccard")
+        self.every = self.stash.put(signed(docs))
+        own = self.every.filter("n_shingles > 0").groupBy("sig").agg(
+            F.min(F.struct("doc_id", "text_hash")).alias("text"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"),
+            F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"),
+        )
+        self.sets = self.stash.put(own)
+        self.edges = self.labels = None
+
+    def compare(self, pairs: DataFrame) -> bool:
+        """Adds the pairs that link to the edges; whether there are any."""
+        if pairs.isEmpty():
+            return False
+        sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        hashes = self.stash.put(hashed(self.docs, self.sets, sigs))
+        side = lambda c: hashes.select(F.col("sig").alias(c), F.col("hashes").alias(f"of_{c}"))
+        common = F.size(F.array_intersect("of_a", "of_b"))
+        rows = pairs.join(side("a"), "a").join(side("b"), "b").filter(linked(F.size("of_a"), F.size("of_b"), common))
+        new = self.stash.put(rows.select("a", "b"))
+        self.stash.drop(hashes)
+        return self.add(new)
+
+    def add(self, new: DataFrame) -> bool:
+        if new.isEmpty():
+            return False
+        self.edges = new if self.edges is None else self.stash.put(self.edges.unionAll(new))
+        self.labels = components(self.edges, self.stash)
+        return True
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """rows plus component, a set's own signature where it has no links."""
+        if self.labels is None:
+            return rows.withColumn("component", F.col("sig"))
+        return rows.join(small(self.labels.withColumnRenamed("node", "sig")), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+
+    def settle(self, rows: DataFrame, hot: int | None) -> DataFrame | None:
+        """Finds the links within keys of rows (key, sig). The members of hot keys are left to the caller, as (sig)."""
+        stash = self.stash
+        many = stash.put(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+        shared = stash.put(rows.join(small(many), "key"))
+        scores = stash.put(shared.groupBy("sig").agg(F.sum("n").alias("score")))
+        hubs = shared.join(small(scores), "sig").groupBy("key").agg(F.max(F.struct("score", "sig")).alias("hub"))
+        hubs = stash.put(hubs.select("key", F.col("hub.sig").alias("hub")))
+        pairs = shared.join(small(hubs), "key").filter("hub <> sig").select(F.least("hub", "sig").alias("a"), F.greatest("hub", "sig").alias("b")).distinct()
+        pairs = stash.put(sized(pairs, self.sets))
+        self.compare(pairs)
+        left = self.labelled(shared.filter("n > 2").select("key", "sig", "n"))
+        per = left.groupBy("key", "component").agg(F.count("*").alias("own")).groupBy("key").agg(F.max(F.struct("own", "component")).alias("largest"), F.count("*").alias("parts"))
+        per = stash.put(per.filter("parts > 1").select("key", F.col("largest.own").alias("most"), F.col("largest.component").alias("main")))
+        left = stash.put(left.join(small(per), "key").withColumn("hot", F.lit(False) if hot is None else F.col("n") - F.col("most") > hot))
+        self.meet(left.filter("not hot").select("key", "sig", "component", "main"))
+        again = None if hot is None else stash.put(left.filter("hot").select("sig").distinct())
+        for done in (many, shared, scores, hubs, pairs, per, left):
+            stash.drop(done)
+        return again
+
+    def meet(self, left: DataFrame) -> None:
+        """Compares the sets of each key that are in different components, of which main is the largest."""
+        near = self.stash.put(_meeting(left.join(self.sets.select("sig", "size", "sketch"), "sig"), _nearest, "key long, sig long, partner long"))
+        if near.isEmpty():
+            return
+        self.compare(near.select(F.least("sig", "partner").alias("a"), F.greatest("sig", "partner").alias("b")).distinct())
+        rows = self.labelled(near.select("key", "sig").distinct())
+        per = rows.groupBy("key", "component").agg(F.count("*").alias("own")).groupBy("key").agg(F.max(F.struct("own", "component")).alias("largest"), F.count("*").alias("parts"))
+        rows = self.stash.put(rows.join(small(per.filter("parts > 1").select("key", F.col("largest.component").alias("main"))), "key"))
+        if not rows.isEmpty():
+            hashes = self.stash.put(hashed(self.docs, self.sets, rows.select("sig").distinct()))
+            rows = rows.join(self.sets.select("sig", "size", "sketch"), "sig").join(hashes, "sig")
+            self.add(self.stash.put(_meeting(rows, _verified, "a long, b long").distinct()))
+            self.stash.drop(hashes)
+        self.stash.drop(near)
+
+    def seldom_keys(self, sigs: DataFrame) -> DataFrame:
+        """(sig) -> (key, sig): all keys that pigeonholing needs, of seldom shingles first."""
+        own = self.stash.put(hashed(self.docs, self.sets, sigs))
+        cells = own.select(F.explode("hashes").alias("h")).groupBy(F.shiftrightunsigned("h", 64 - CELL_BITS).alias("cell")).agg(F.count("*").alias("n"))
+        cells = cells.filter("n > 1").toArrow()  # 2**CELL_BITS rows at most
+        weights = np.zeros(1 << CELL_BITS, np.uint8)
+        weights[cells.column("cell").to_numpy()] = np.log2(cells.column("n").to_numpy()).astype(np.uint8)
+        held = own.sparkSession.sparkContext.broadcast(weights)
+
+        def run(parts):
+            for part in parts:
+                sig, at = part.column("sig").to_numpy(), part.column("hashes").offsets.to_numpy()
+                h = part.column("hashes").flatten().to_numpy().view(np.uint64)
+                d, key = chunk_keys(np.repeat(np.arange(len(sig)), np.diff(at)), h, np.diff(at), held.value)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sig[d])], ["key", "sig"])
+
+        return own.mapInArrow(run, "key long, sig long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, component_id), one row a row of docs."""
-    spark = docs.sparkSession
-    arrow_limits(spark)
-    stash = Stash(spark, "jaccard")
-    every = stash.put(signed(docs))
-    sets = stash.put(every.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")))
-
-    by = W.partitionBy("key").orderBy("sig")
-    rows = chunk_rows(docs, shingle_weights(docs)).withColumns({"before": F.lag("sig").over(by), "first": F.first("sig").over(by.rowsBetween(W.unboundedPreceding, W.currentRow))})
-    rows = rows.withColumn("last", F.last("sig").over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).filter((F.col("sig") != F.col("first")) & (F.col("sig") != F.col("before")))
-    # `others`: the key has a third set, so pairs beside the first one's are left in it.
-    shared = stash.put(rows.select("key", "first", "sig", ((F.col("before") != F.col("first")) | (F.col("last") != F.col("sig"))).alias("others")))
-
-    sized = lambda p: _sized(p, sets)
-    pairs = stash.put(sized(shared.select(F.col("first").alias("a"), F.col("sig").alias("b")).distinct()))
-    nodes = shared.select(F.col("first").alias("sig")).unionAll(shared.select("sig")).distinct()
-    needed = stash.put(sets.join(nodes, "sig").select("rep", "sig"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(small(needed), "rep")
-    texts = stash.put(_one_text(texts))
-    edges = stash.put(compare(pairs, texts))
-    found, tested = edges, pairs
-    left = shared.filter("others").select("key", "sig")
-    before, final, best_done, group = None, False, False, W.partitionBy("key")
-    while True:
-        labels = components(found, stash)
-        if final:
-            break
-        at = left.join(small(labels), left["sig"] == labels["node"], "left").select("key", "sig", F.coalesce("component", "sig").alias("component"))
-        at = at.withColumns({"x": F.min("component").over(group), "y": F.max("component").over(group), "head": F.min(F.struct("sig", "component")).over(group)})
-        left = stash.put(at.filter("x <> y").select("key", "sig", "component", "head"))
-        rows = left.count()
-        if not rows:
-            break
-        if before is None or rows <= WORTH * before:
-            after = left.filter(F.col("sig") != F.col("head.sig"))
-            new = sized(after.filter(F.col("component") != F.col("head.component")).select(F.col("head.sig").alias("a"), F.col("sig").alias("b")).distinct())
-            left, before = after.select("key", "sig"), rows
-        else:  # each set's best partner first; then, of what still differs, all
-            final, best = best_done, not best_done
-            new, best_done = blocks(left, sets, best), True
-            left = left.select("key", "sig")
-        new = stash.put(new.join(tested, ["a", "b"], "left_anti"))
-        found = stash.put(found.unionAll(compare(new, texts)))
-        tested = stash.put(tested.unionAll(new))
-
-    named = sets.join(labels, sets["sig"] == labels["node"]).select("component", "rep").groupBy("component").agg(F.min("rep").alias("component_id"))
-    moved = labels.join(named, "component").select(F.col("node").alias("sig"), "component_id")
-    ids = stash.put(sets.select("sig", "rep").join(moved, "sig", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id")))
-    return every.join(ids, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _passing(a: dict, b: dict, same: bool, best: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of two blocks' sets that sizes and sketches let through and whose components differ.
-
-    With best only each set's nearest such partner by sketch.
+    arrow_limits(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    known = _Join(docs)
+    hot = known.settle(known.sets.select(F.explode("keys").alias("key"), "sig"), HOT)
+    if not hot.isEmpty():
+        known.settle(known.stash.put(known.seldom_keys(hot)), None)
+    sets = known.labelled(known.sets.select("sig", "rep", "copies"))
+    named = sets.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("rows")).filter("rows > 1")
+    ids = known.stash.put(sets.select("sig", "component").join(named, "component").select("sig", "component_id"))
+    return known.every.select("doc_id", "n_shingles", "sig").join(small(ids), "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _meeting(rows: DataFrame, of, schema: str) -> DataFrame:
+    """What `of` finds in blocks of the members of each key: rows outside the key's main component against all.
+
+    rows: key, sig, component, main, size, sketch and what else `of` reads.
     """
-    most = 1 << SKETCH_BITS + 1
-    near_b, of_b = np.full(len(b["sig"]), most), np.zeros(len(b["sig"]), np.int64)
-    for lo in range(0, len(a["sig"]), 64):
-        q = slice(lo, lo + 64)
-        apart = np.bitwise_count(a["sketch"][q, None] ^ b["sketch"][None]).sum(axis=2, dtype=np.int64)
-        x, y = a["size"][q, None], b["size"][None]
-        fits = ((DENOMINATOR + NUMERATOR) * apart <= (DENOMINATOR - NUMERATOR) * (x + y)) & (DENOMINATOR * np.minimum(x, y) >= NUMERATOR * np.maximum(x, y))
-        fits &= a["component"][q, None] != b["component"][None]
-        if same:
-            fits &= a["sig"][q, None] < b["sig"][None]
-        if best:
-            apart = np.where(fits, apart, most)
-            i, j = np.flatnonzero(fits.any(axis=1)), apart.argmin(axis=1)
-            yield i + lo, j[i]
-            row = apart.argmin(axis=0)
-            closer = (near := apart[row, np.arange(len(row))]) < near_b
-            near_b[closer], of_b[closer] = near[closer], row[closer] + lo
-        else:
-            i, j = np.nonzero(fits)
-            yield i + lo, j
-    if best:
-        j = np.flatnonzero(near_b < most)
-        yield of_b[j], j
-
-
-def blocks(left: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
-    """(key, sig, component) -> (a, b): pairs of a key and of different components that pass sizes and sketches."""
-    count = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
-    rows = left.join(count, "key").join(sets.select("sig", "size", "sketch"), "sig").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("n")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sig", "component", "size", "sketch")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def meet(parts):
-        seen: set[tuple[int, int]] = set()
+    asks = F.col("component") != F.col("main")
+    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES))
+    per = rows.groupBy("key").agg(
+        blocks(F.count("*"), F.sum("size")).alias("holders"), blocks(F.count_if(asks), F.coalesce(F.sum(F.when(asks, F.col("size"))), F.lit(0))).alias("askers")
+    )
+    rows = rows.withColumn("asks", asks).join(small(per), "key")
+    own = lambda n: F.pmod(F.xxhash64("sig"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rest = [c for c in rows.columns if c not in ("holders", "askers", "main", "key")]
+    holders = rows.select("key", own("holders").alias("i"), every("askers").alias("j"), F.lit(True).alias("holds"), *rest)
+    askers = rows.filter("asks").select("key", every("holders").alias("i"), own("askers").alias("j"), F.lit(False).alias("holds"), *rest)
+    made = holders.unionAll(askers).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(parts):
         for group in _groups(parts):
-            column = lambda c: group.column(c).to_numpy()  # noqa: E731, B023
-            sketch = group.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(group.num_rows, -1)
-            own, i, j = column("own"), group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            side = lambda k: {"sketch": sketch[own == k]} | {c: column(c)[own == k] for c in ("sig", "component", "size")}  # noqa: E731, B023
-            a, b = side(i), side(j)
-            for x, y in _passing(a, b, i == j, best):
-                pairs = set(zip(np.minimum(a["sig"][x], b["sig"][y]).tolist(), np.maximum(a["sig"][x], b["sig"][y]).tolist(), strict=True)) - seen
-                if len(seen) + len(pairs) > _SEEN:
-                    seen.clear()
-                seen |= pairs
-                if pairs:
-                    one, two = zip(*pairs, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["a", "b"])
-
-    return rows.mapInArrow(meet, "a long, b long").distinct()
+            yield from of(group)
+
+    return made.mapInArrow(run, schema)
+
+
+def _passing(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(asker, holder, distance) of rows of a block that sizes and sketches let through and whose components differ."""
+    column = {c: group.column(c).to_numpy() for c in ("sig", "component", "size")}
+    holds, asks = (group.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("holds", "asks"))
+    sketch = group.column("sketch").combine_chunks()
+    at, longs = sketch.offsets.to_numpy(), sketch.values.to_numpy().view(np.uint64)
+    width = np.diff(at)
+    for w in np.unique(width[~holds]).tolist():
+        q = np.flatnonzero(~holds & (width == w))
+        for v in (w // 2, w, 2 * w):
+            m = np.flatnonzero(holds & (width == v)) if v else q[:0]
+            if not len(m):
+                continue
+            fold = min(w, v)
+            plain = lambda k, n: longs[at[k][:, None] + np.arange(n)]
+            of = lambda k, n: plain(k, n)[:, :fold] ^ plain(k, n)[:, fold:] if n > fold else plain(k, n)  # noqa: E731, B023
+            x, y = of(q, w), of(m, v)
+            step = max(1, (1 << 21) // max(1, len(m) * fold))
+            for lo in range(0, len(q), step):
+                k = q[lo : lo + step]
+                a, b = column["size"][k, None], column["size"][m][None]
+                fits = (column["component"][k, None] != column["component"][m][None]) & (DENOMINATOR * np.minimum(a, b) >= NUMERATOR * np.maximum(a, b))
+                fits &= ~asks[m][None] | (column["sig"][k, None] < column["sig"][m][None])
+                i, j = np.nonzero(fits)
+                for s in range(0, len(i), 1 << 16):
+                    r, c = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+                    apart = np.bitwise_count(x[lo + r] ^ y[c]).sum(axis=1, dtype=np.int64)
+                    near = (DENOMINATOR + NUMERATOR) * apart <= (DENOMINATOR - NUMERATOR) * (a[r, 0] + b[0, c])
+                    yield k[r[near]], m[c[near]], apart[near]
+
+
+def _nearest(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Each set's nearest partner that sizes and sketches allow."""
+    sig = group.column("sig").to_numpy()
+    best = np.full(group.num_rows, np.iinfo(np.int64).max)
+    partner = np.zeros(group.num_rows, np.int64)
+    for a, b, apart in _passing(group):
+        for own, other in ((a, b), (b, a)):
+            order = np.lexsort((apart, own))
+            rows, first = np.unique(own[order], return_index=True)
+            to, d = other[order][first], apart[order][first]
+            closer = d < best[rows]
+            best[rows[closer]], partner[rows[closer]] = d[closer], sig[to[closer]]
+    rows = np.flatnonzero(best < np.iinfo(np.int64).max)
+    if len(rows):
+        yield pa.RecordBatch.from_arrays([pa.array(group.column("key").to_numpy()[rows]), pa.array(sig[rows]), pa.array(partner[rows])], ["key", "sig", "partner"])
+
+
+def _verified(group: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Links of a spanning forest of the block's sets over the components that are known."""
+    sig, component = (group.column(c).to_numpy() for c in ("sig", "component"))
+    lists = group.column("hashes").combine_chunks()
+    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    found = []
+    for a, b, apart in _passing(group):
+        for k in np.argsort(apart, kind="stable").tolist():
+            x, y = int(a[k]), int(b[k])
+            p, q = find(int(component[x])), find(int(component[y]))
+            if p == q:
+                continue
+            of_x, of_y = flat[at[x] : at[x + 1]], flat[at[y] : at[y + 1]]
+            common = int((of_x[np.minimum(np.searchsorted(of_x, of_y), len(of_x) - 1)] == of_y).sum())
+            if linked(len(of_x), len(of_y), common):
+                root[p] = q
+                found.append((int(sig[x]), int(sig[y])))
+    if found:
+        one, two = zip(*found, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["a", "b"])
 
 
 def _groups(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -382,33 +476,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return kept if counts["rows"] == counts["ids"] else kept.dropDuplicates(["doc_id", "text"])
 
 
-def _sized(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose sizes and dense sketches allow the threshold: J >= t needs a difference of (a + b) (1 - t) / (1 + t) at most."""
-    side = lambda c: sets.select(F.col("sig").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    rows = rows.filter(DENOMINATOR * F.least("size_a", "size_b") >= NUMERATOR * F.greatest("size_a", "size_b"))
-    apart = F.expr("aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)")
-    return rows.filter((DENOMINATOR + NUMERATOR) * apart <= (DENOMINATOR - NUMERATOR) * (F.col("size_a") + F.col("size_b"))).select("a", "b")
-
-
-def _one_text(texts: DataFrame) -> DataFrame:
-    """(rep, sig, text) -> (sig, text), where rows that repeat an id may have other texts."""
-
-    def run(parts):
-        seen: set[int] = set()
-        for whole in parts:
-            for part in bytetext.batches(whole, "text", 2 * bytetext.SLAB):
-                doc, h = shingle_sets(*bytetext.flat(part.column("text")))
-                _, sig = signatures(doc, h, part.num_rows)
-                want = part.column("sig").to_numpy(zero_copy_only=False)
-                keep = [i for i in np.flatnonzero(sig == want).tolist() if not (want[i] in seen or seen.add(want[i]))]
-                if len(seen) > _SEEN:
-                    seen.clear()
-                yield part.select(["sig", "text"]).take(pa.array(keep, pa.int64()))
-
-    return texts.select("sig", "text").mapInArrow(run, "sig long, text string").dropDuplicates(["sig"])
-
-
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

@@ -175,12 +175,54 @@ def test_jaccard_against_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(k for k, c in comp.items() if k == c)
 
 
-def test_jaccard_blocks_alone(spark, monkeypatch):
-    """The block comparison finds what the rounds would."""
-    monkeypatch.setattr(jaccard, "WORTH", -1.0)
+@pytest.mark.parametrize("hot", [0, 3])
+def test_jaccard_keys_anew(spark, monkeypatch, hot):
+    """Members of hot keys find their partners by seldom chunks; small blocks find what large ones do."""
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
     test_jaccard_against_brute_force(spark)
 
 
+def test_jaccard_long_texts_with_a_common_passage(spark):
+    """Texts of 2,000 shingles that share a fifth; two pairs of them are near copies, on either side of the threshold."""
+    rng = np.random.default_rng(8)
+    passage = [f"p{k}" for k in range(400)]
+    texts = {i: passage + [f"t{i}x{k}" for k in rng.integers(0, 10**6, 1600)] for i in range(30)}
+    for to, of, edits in ((100, 0, 40), (101, 1, 90)):
+        texts[to] = list(texts[of])
+        for k in rng.choice(1600, edits, replace=False):
+            texts[to][400 + k] = f"e{to}x{k}"
+    texts = {i: " ".join(w) for i, w in texts.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    size, comp = brute(texts)
+    assert comp[100] == 0 and comp[101] == 101
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df).collect()} == {i: (size[i], comp[i]) for i in texts}
+
+
+def test_sketches_bound_differences_from_below():
+    rng = np.random.default_rng(9)
+    for n, other in ((40, 50), (300, 340), (900, 1100), (3000, 3100)):
+        x = rng.integers(0, 2**63, n, dtype=np.uint64)
+        y = np.concatenate([x[: n // 2], rng.integers(0, 2**63, other - n // 2, dtype=np.uint64)])
+        sizes, h = np.array([n, other]), np.concatenate([np.sort(x), np.sort(y)])
+        longs, each = jaccard.dense_sketches(np.repeat([0, 1], sizes), h, sizes)
+        a, b = longs[: each[0]].view(np.uint64), longs[each[0] :].view(np.uint64)
+        fold = lambda s, k: s if len(s) == k else s[:k] ^ s[k:]
+        k = min(len(a), len(b))
+        apart, true = int(np.bitwise_count(fold(a, k) ^ fold(b, k)).sum()), n + other - 2 * (n // 2)
+        assert 7 * apart > n + other and apart <= true  # told apart, at a third in common
+
+
+def test_jaccard_null_and_repeated_ids(spark):
+    text = [" ".join(f"w{j}" for j in range(k, k + 40)) for k in (0, 1, 500, 900)]
+    rows = [(None, text[0]), (5, text[1]), (None, text[2]), (7, text[3]), (7, text[2]), (7, text[3]), (9, text[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in jaccard.near_duplicates(df).collect())
+    assert got == [(0, 5), (0, 7), (5, 5), (7, 7), (7, 7), (7, 7), (9, 5)]
+    alone = jaccard.near_duplicates(df.filter("doc_id is null")).collect()
+    assert [r["component_id"] for r in alone] == [None, None]
+
+
 def test_jaccard_odd(spark, odd, empty):
     got = jaccard.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and jaccard.near_duplicates(empty).count() == 0
