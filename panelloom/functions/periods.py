@@ -30,6 +30,23 @@ def month_gap(earlier: Column | str, later: Column | str) -> Column:
     return month_id(later) - month_id(earlier) - 1
 
 
+def months_between(lo: Column, hi: Column) -> Column:
+    """All yyyy-MM keys from one to the other, as an array."""
+    first = lambda c: F.to_date(F.concat(c, F.lit("-01")))
+    return F.transform(F.sequence(first(lo), first(hi), F.expr("interval 1 month")), lambda d: F.date_format(d, "yyyy-MM"))
+
+
+def month_of_number(yyyymm: Column | str) -> Column:
+    """yyyy-MM of a number or text such as 196201; null where it isn't of that form."""
+    text = col(yyyymm).cast("string")
+    return F.when(text.rlike("^[0-9]{6}$"), F.concat(F.substring(text, 1, 4), F.lit("-"), F.substring(text, 5, 2)))
+
+
+def plain_number(text: Column | str) -> Column:
+    """A number written with commas between thousands; null where it is none."""
+    return F.regexp_replace(col(text).cast("string"), ",", "").try_cast("double")
+
+
 def percent_return(later: Column, earlier: Column, digits: int | None = None) -> Column:
     """Percent change; null where the earlier value is null or 0."""
     out = (later - earlier) / F.nullif(earlier, F.lit(0.0)) * 100
@@ -50,3 +67,8 @@ def close_enough(a: Column, b: Column, atol: float = 1e-8, rtol: float = 1e-5) -
 def compare_lists(a: Column, b: Column) -> Column:
     """Struct of what only a has, only b has and both have."""
     return F.struct(F.array_except(a, b).alias("left_only"), F.array_except(b, a).alias("right_only"), F.array_intersect(a, b).alias("both"))
+
+
+def arrays_equal(a: Column | str, b: Column | str) -> Column:
+    """Aggregate: whether two columns hold the same values row by row, nulls agreeing; true of no rows."""
+    return F.coalesce(F.bool_and(col(a).eqNullSafe(col(b))), F.lit(True))

@@ -4,30 +4,29 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.periods import close_enough, month_gap
-from ..functions.windows import by_months
+from ..functions.periods import close_enough, month_gap, months_between
+from ..functions.windows import average_ranks, by_months
 
-
-
-def _months_between(lo: Column, hi: Column) -> Column:
-    first = lambda c: F.to_date(F.concat(c, F.lit("-01")))
-    return F.transform(F.sequence(first(lo), first(hi), F.expr("interval 1 month")), lambda d: F.date_format(d, "yyyy-MM"))
+#: Rows that a rank correlation by pairs of rows takes; its time isn't linear, and a pair of columns is one group.
+KENDALL_ROWS = 1_000_000
 
 
 def month_gaps(rows: DataFrame) -> DataFrame:
     """(month): months of the calendar from first to last that no row has."""
-    calendar = rows.agg(F.min("month").alias("lo"), F.max("month").alias("hi")).select(F.explode(_months_between(F.col("lo"), F.col("hi"))).alias("month"))
+    calendar = rows.agg(F.min("month").alias("lo"), F.max("month").alias("hi")).select(F.explode(months_between(F.col("lo"), F.col("hi"))).alias("month"))
     return calendar.join(rows.select("month").distinct(), "month", "left_anti")
 
 
 def months_missing(rows: DataFrame) -> DataFrame:
     """(symbol, month): months of each symbol's calendar, from its first to its last, that it has no row for."""
     bounds = rows.groupBy("symbol").agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
-    calendar = bounds.select("symbol", F.explode(_months_between(F.col("lo"), F.col("hi"))).alias("month"))
+    calendar = bounds.select("symbol", F.explode(months_between(F.col("lo"), F.col("hi"))).alias("month"))
     return calendar.join(rows.select("symbol", "month").distinct(), ["symbol", "month"], "left_anti")
 
 
@@ -81,24 +80,59 @@ def _pearson(a: Column, b: Column) -> Column:
 def ranked(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Average ranks of each column, nulls apart."""
     for c in columns:
-        w = W.partitionBy(F.col(c).isNull()).orderBy(c)
-        rank = F.rank().over(w) + (F.count("*").over(W.partitionBy(c)) - 1) / 2
-        rows = rows.withColumn(f"_{c}", F.when(F.col(c).isNotNull(), rank.cast("double")))
+        ranks = average_ranks(rows, c).select(F.col("value").alias("_value"), F.col("rank").alias(f"_{c}"))
+        rows = rows.join(ranks, F.col(c) == F.col("_value"), "left").drop("_value")
     return rows.select(*[F.col(f"_{c}").alias(c) for c in columns])
 
 
+def _inversions(x: np.ndarray) -> int:
+    """Pairs out of order, by merging runs of doubling width."""
+    x = np.unique(x, return_inverse=True)[1].astype(np.int64)
+    n, most, total, width = len(x), int(x.max(initial=0)) + 1, 0, 1
+    run = np.arange(n)
+    while width < n:
+        block = run // width
+        key = block * most + x  # sorted within each block, so over all
+        right = np.flatnonzero(block % 2 == 1)
+        left_end = block[right] * width
+        above = left_end - np.searchsorted(key, (block[right] - 1) * most + x[right], "right")
+        total += int(above.sum())
+        x = x[np.lexsort((x, run // (2 * width)))]
+        width *= 2
+    return total
+
+
+def kendall_tau(a: np.ndarray, b: np.ndarray) -> float | None:
+    """tau-b in n log n; null without two different values on either side."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    ties = lambda *v: sum(int(c) * (int(c) - 1) // 2 for c in np.unique(np.stack(v, axis=1), axis=0, return_counts=True)[1])
+    n = len(a) * (len(a) - 1) // 2
+    of_a, of_b, of_both = ties(a), ties(b), ties(a, b)
+    spread = (n - of_a) * (n - of_b)
+    return (n - of_a - of_b + of_both - 2 * _inversions(b)) / spread**0.5 if spread > 0 else None
+
+
+def _kendall(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    if (n := rows.limit(KENDALL_ROWS + 1).count()) > KENDALL_ROWS:
+        raise ValueError(f"kendall takes {KENDALL_ROWS} rows at most, not {n} or more")
+    each = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])
+    long = rows.select(F.explode(each).alias("p")).select("p.*").filter("x is not null and y is not null")
+
+    def tau(key: tuple, group: pa.Table) -> pa.Table:
+        r = kendall_tau(group.column("x").to_numpy(), group.column("y").to_numpy())
+        return pa.table({"a": [key[0].as_py()], "b": [key[1].as_py()], "r": pa.array([r], pa.float64())})
+
+    named = rows.sparkSession.createDataFrame(pairs, "a string, b string")
+    return named.join(F.broadcast(long.groupBy("a", "b").applyInArrow(tau, "a string, b string, r double")), ["a", "b"], "left")  # a row a pair
+
+
 def correlations(rows: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
-    """(a, b, r) for every pair in column order; kendall (tau-b) joins the rows with themselves and is for small tables."""
+    """(a, b, r) for every pair in column order; kendall (tau-b) refuses more than KENDALL_ROWS rows."""
     pairs = list(combinations(columns, 2))
     if method == "kendall":
-        n = rows.withColumn("_i", F.monotonically_increasing_id()).select("_i", *columns)
-        n.persist()
-        both = n.alias("x").join(n.alias("y"), F.col("x._i") < F.col("y._i"))
-        s = lambda c: F.signum(F.col(f"x.{c}") - F.col(f"y.{c}"))
-        tau = [(F.sum(s(a) * s(b)) / F.sqrt(F.nullif(F.sum(F.when(s(b).isNotNull(), F.abs(s(a)))) * F.sum(F.when(s(a).isNotNull(), F.abs(s(b)))), F.lit(0.0)))).alias(f"{i}") for i, (a, b) in enumerate(pairs)]
-        one = both.agg(*tau)
-    else:
-        one = (ranked(rows, columns) if method == "spearman" else rows).agg(*[_pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+        return _kendall(rows, pairs)
+    one = (ranked(rows, columns) if method == "spearman" else rows).agg(*[_pearson(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{i}`").alias("r")) for i, (a, b) in enumerate(pairs)])).alias("p")).select("p.*")
 
 
@@ -128,6 +162,29 @@ def profile(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(F.array(*map(stat, columns)).alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
 
+def histogram(rows: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
+    """(column, bin, low, high, count) over equal widths from a column's least to its largest value, the last bin closed; empty bins have no row.
+
+    A column of one value has one bin, half a unit to either side.
+    """
+    ends = rows.agg(*[F.struct(F.min(F.col(c).cast("double")).alias("lo"), F.max(F.col(c).cast("double")).alias("hi")).alias(c) for c in columns])
+    ends = ends.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("e")) for c in columns])).alias("x")).select("x.column", "x.e.*")
+    flat = F.col("lo") == F.col("hi")
+    ends = ends.select("column", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.lit(1.0)).otherwise(F.col("hi") - F.col("lo")).alias("span"), F.when(flat, 1).otherwise(bins).alias("bins"))
+    longs = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("r")).select("r.*").filter("value is not null")
+    at = F.least(F.col("bins") - 1, F.floor((F.col("value") - F.col("lo")) * F.col("bins") / F.col("span")))
+    counts = longs.join(F.broadcast(ends), "column").groupBy("column", at.cast("int").alias("bin"), "lo", "span", "bins").agg(F.count("*").alias("count"))  # a row a column
+    edge = lambda k: F.col("lo") + F.col("span") * k / F.col("bins")
+    return counts.select("column", "bin", edge(F.col("bin")).alias("low"), edge(F.col("bin") + 1).alias("high"), "count")
+
+
+def overview(rows: DataFrame) -> DataFrame:
+    """(column, type, rows, nulls): the shape of a table."""
+    nulls = rows.agg(F.count("*").alias("_rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"_{i}") for i, c in enumerate(rows.columns)])
+    each = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col("_rows").alias("rows"), F.col(f"_{i}").alias("nulls")) for i, (c, t) in enumerate(rows.dtypes)]
+    return nulls.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+
+
 def duplicate_rows(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 

@@ -82,7 +82,7 @@ def rolling_risk(monthly: DataFrame, weekly: DataFrame, market: DataFrame, long:
     week of the month before (of the month itself if current); it is null unless a week is
     left beyond the window. Beta is the sample covariance over the population variance, of
     short weeks that all have both returns; idiovol is the deviation of the residuals of a
-    regression over long weeks.
+    regression over long weeks that all have both returns, null where the market doesn't move.
     """
     base = _weekly_base(weekly, market)
     frame = lambda n: by_weeks().rowsBetween(-(n - 1), 0)  # noqa: E731  latest first, so backwards in time
@@ -91,9 +91,10 @@ def rolling_risk(monthly: DataFrame, weekly: DataFrame, market: DataFrame, long:
     rolled = base.select(
         "symbol", "wi", "nw", F.avg(r).over(frame(long)).alias("_mean"),
         F.when(F.count(F.when(m.isNotNull(), both)).over(frame(short)) >= 52, F.covar_samp(both, m).over(frame(short)) / F.nullif(F.var_pop(m).over(frame(short)), F.lit(0.0))).alias("_beta"),
-        F.var_pop(both).over(frame(long)).alias("_vr"), F.covar_pop(both, m).over(frame(long)).alias("_cov"), F.var_pop(m).over(frame(long)).alias("_vm"),
+        F.var_pop(both).over(frame(long)).alias("_vr"), F.covar_pop(both, m).over(frame(long)).alias("_cov"), F.var_pop(m).over(frame(long)).alias("_vm"), F.count(F.when(m.isNotNull(), both)).over(frame(long)).alias("_n"),
     )
-    rolled = rolled.filter(F.col("wi") + short < F.col("nw")).withColumn("_idio", F.sqrt(F.greatest(F.col("_vr") - F.col("_cov") * F.col("_cov") / F.nullif("_vm", F.lit(0.0)), F.lit(0.0))))
+    rest = F.col("_vr") - F.col("_cov") * F.col("_cov") / F.nullif("_vm", F.lit(0.0))
+    rolled = rolled.filter(F.col("wi") + short < F.col("nw")).withColumn("_idio", F.when(F.col("_n") == long, F.sqrt(F.when(rest < 0, 0.0).otherwise(rest))))
     months = indexed(monthly.select("symbol", "month", "latest_week"), "month", "mi")
     at = base.select("symbol", F.col("week").alias("latest_week"), F.col("wi").alias("w"))
     start = months.filter("mi < 2").join(at, ["symbol", "latest_week"]).groupBy("symbol").agg(F.max(F.when(F.col("mi") == 1, F.col("w"))).alias("lagged"), F.max(F.when(F.col("mi") == 0, F.col("w"))).alias("current"))
@@ -126,9 +127,9 @@ def as_of_cap(statements: DataFrame, caps: DataFrame) -> DataFrame:
 
 
 def _by_filing(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """A row for each symbol, freq and filing month: the statement with the latest date."""
+    """A row for each symbol, freq and filing month: the statement with the latest date. Statements without a filing date have no month and go."""
     latest = F.row_number().over(W.partitionBy("symbol", "freq", "month").orderBy(F.desc("date")))
-    return rows.withColumn("month", month_key("filing_date")).withColumn("_n", latest).filter("_n = 1").select("symbol", "freq", "month", *columns)
+    return rows.withColumn("month", month_key("filing_date")).filter("month is not null").withColumn("_n", latest).filter("_n = 1").select("symbol", "freq", "month", *columns)
 
 
 def earnings_and_sales(statements: DataFrame, caps: DataFrame) -> DataFrame:
@@ -140,5 +141,5 @@ def asset_growth(statements: DataFrame) -> DataFrame:
     """agr by filing month; null in the month in which the oldest statement was filed."""
     by = W.partitionBy("symbol", "freq")
     rows = statements.withColumn("agr", percent_return(F.col("total_assets"), F.lag("total_assets").over(by.orderBy("date"))))
-    oldest = F.min_by("filing_date", "date").over(by)
-    return _by_filing(rows.withColumn("agr", F.when(month_key("filing_date") != month_key(oldest), F.col("agr"))), ["agr"])
+    oldest = F.first("filing_date").over(by.orderBy("date"))
+    return _by_filing(rows.withColumn("agr", F.when(~month_key("filing_date").eqNullSafe(month_key(oldest)), F.col("agr"))), ["agr"])

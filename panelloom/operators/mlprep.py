@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.periods import month_gap
-
+from ..functions.windows import positioned
 
 
 def code_map(rows: DataFrame, column: str) -> DataFrame:
@@ -24,18 +24,17 @@ def date_split(train_end: str, val_end: str, test_end: str, month: str = "month"
 
 def ratio_split(rows: DataFrame, order: list[str], train: float = 0.7, val: float = 0.15, joint: bool = False) -> DataFrame:
     """rows plus split by position; joint truncates both bounds of n * (train + val) at once."""
-    everything = W.partitionBy(F.lit(0))
     a = F.floor(F.col("_n") * train)
     b = F.floor(F.col("_n") * (train + val)) if joint else a + F.floor(F.col("_n") * val)
-    placed = rows.withColumns({"_n": F.count("*").over(everything), "_i": F.row_number().over(everything.orderBy(*order)) - 1})
+    placed = positioned(rows, order)
     return placed.withColumn("split", F.when(F.col("_i") < a, "train").when(F.col("_i") < b, "val").otherwise("test")).drop("_n", "_i")
 
 
-def scale(rows: DataFrame, columns: list[str], fit: Column, kind: str = "standard") -> DataFrame:
-    """Columns scaled by what holds on the rows where fit is true.
+def scaler(rows: DataFrame, columns: list[str], fit: Column, kind: str = "standard") -> DataFrame:
+    """One row: each column's centre and divisor on the rows where fit is true.
 
-    standard: mean and population deviation, divisor 1 where that is 0; minmax: range,
-    divisor 1 where that is 0. Nulls are skipped and stay.
+    standard: mean and population deviation; minmax: least value and range. A divisor that
+    is 0 or undefined is 1; nulls are skipped.
     """
     on = lambda c: F.when(fit, F.col(c))
     if kind == "standard":
@@ -44,10 +43,30 @@ def scale(rows: DataFrame, columns: list[str], fit: Column, kind: str = "standar
         stats = {c: (F.min(on(c)), F.max(on(c)) - F.min(on(c))) for c in columns}
     else:
         raise ValueError(f"unknown scaler {kind}")
-    one = rows.agg(*[x.cast("double").alias(f"_{c}_{k}") for c, pair in stats.items() for k, x in enumerate(pair)])
-    out = rows.join(F.broadcast(one))  # one row
-    scaled = {c: (F.col(c) - F.col(f"_{c}_0")) / F.coalesce(F.nullif(F.col(f"_{c}_1"), F.lit(0.0)), F.lit(1.0)) for c in columns}
-    return out.withColumns(scaled).select(*rows.columns)
+    divisor = lambda x: F.coalesce(F.nullif(x.cast("double"), F.lit(0.0)), F.lit(1.0))
+    return rows.agg(*[x for c, (a, b) in stats.items() for x in (a.cast("double").alias(f"_{c}_centre"), divisor(b).alias(f"_{c}_divisor"))])
+
+
+def scaled_by(rows: DataFrame, fitted: DataFrame, columns: list[str], inverse: bool = False) -> DataFrame:
+    """rows with columns scaled by a fitted scaler, or taken back to their own units. Nulls stay."""
+    out = rows.join(F.broadcast(fitted))  # one row
+    part = lambda c, x: F.col(f"`_{c}_{x}`")
+    at = (lambda c: F.col(f"`{c}`") * part(c, "divisor") + part(c, "centre")) if inverse else (lambda c: (F.col(f"`{c}`") - part(c, "centre")) / part(c, "divisor"))
+    return out.withColumns({c: at(c) for c in columns}).select(*[f"`{c}`" for c in rows.columns])
+
+
+def scale(rows: DataFrame, columns: list[str], fit: Column, kind: str = "standard") -> DataFrame:
+    """Columns scaled by what holds on the rows where fit is true."""
+    return scaled_by(rows, scaler(rows, columns, fit, kind), columns)
+
+
+def scale_with_target(rows: DataFrame, features: list[str], target: str, fit: Column, kind: str = "standard") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scaled rows, scaler of the features, scaler of the target); features in the order of their names, the target last and scaled apart."""
+    features = sorted(c for c in features if c != target)
+    fitted, own = scaler(rows, features, fit, kind), scaler(rows, [target], fit, kind)
+    out = scaled_by(scaled_by(rows, fitted, features), own, [target])
+    rest = [c for c in rows.columns if c not in (*features, target)]
+    return out.select(*[f"`{c}`" for c in (*rest, *features, target)]), fitted, own
 
 
 def sequences(rows: DataFrame, features: list[str], target: str, steps: int, max_gap: int | None = None, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -58,7 +77,7 @@ def sequences(rows: DataFrame, features: list[str], target: str, steps: int, max
     """
     w = W.partitionBy(*by).orderBy("month")
     before = w.rowsBetween(-steps, -1)
-    row = F.array(*[F.col(c).cast("double") for c in features])
+    row = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
     out = rows.withColumns({"x": F.transform(F.collect_list(F.struct(row.alias("v"))).over(before), lambda s: s["v"]), "_n": F.row_number().over(w)})
     if max_gap is not None:
         out = out.withColumn("_gap", month_gap(F.lag("month").over(w), "month")).withColumn("_gap", F.max("_gap").over(w.rowsBetween(-(steps - 1), 0))).filter(F.col("_gap") <= max_gap)
@@ -80,3 +99,34 @@ def sampled_symbols(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """The rows of n symbols, picked by a hash."""
     picked = rows.select("symbol").distinct().orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "symbol").cast("binary")), "symbol").limit(n)
     return rows.join(picked, "symbol", "left_semi")
+
+
+#: Names of the final panel's columns, without the suffix that tells a current window from a lagged one.
+RENAMED = {f"{c}_current": c for c in ("mom12m", "chmom", "maxret", "mve", "dolvol")}
+
+
+def final_columns(panel: DataFrame, drop: tuple[str, ...] = ("sp_year", "agr_year")) -> DataFrame:
+    """Without the dropped columns, and with the current windows under the plain names in place of the lagged ones."""
+    there = {a: b for a, b in RENAMED.items() if a in panel.columns}
+    return panel.drop(*drop, *there.values()).withColumnsRenamed(there)
+
+
+def positions(rows: DataFrame, order: list[str], start: int, stop: int | None = None) -> DataFrame:
+    """The rows from one place to before another in the table's order; places below 0 count from the end."""
+    at = lambda k: F.lit(k) if k >= 0 else F.col("_n") + k
+    placed = positioned(rows, order)
+    kept = placed.filter((F.col("_i") >= at(start)) & (F.lit(True) if stop is None else F.col("_i") < at(stop)))
+    return kept.drop("_i", "_n")
+
+
+def cross_section(panel: DataFrame, macro: DataFrame, firm: list[str], macro_columns: list[str], splits: tuple[str, str, str], target: str = "mom1m", kind: str = "standard") -> DataFrame:
+    """A row a symbol and month with its split, firm columns and target scaled on the training rows and macro columns on the training months."""
+    scaled = scale(macro, macro_columns, F.col("month") < splits[0], kind)
+    rows = panel.join(F.broadcast(scaled), "month", "left").withColumn("split", date_split(*splits)).filter("split is not null")  # a row a month
+    return scale_with_target(rows, firm, target, F.col("split") == "train", kind)[0]
+
+
+def firm_and_macro_sequences(rows: DataFrame, firm: list[str], macro: list[str], target: str, firm_steps: int, macro_steps: int, by: tuple[str, ...] = ("split", "symbol")) -> tuple[DataFrame, DataFrame]:
+    """(by, time, x, y) of firm windows and (by, time, macro_x) of macro windows, each of its own length, over the same rows."""
+    own = sequences(rows, firm, target, firm_steps, by=by)
+    return own, sequences(rows, macro, target, macro_steps, by=by).withColumnRenamed("x", "macro_x").drop("y")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.periods import months_between
 from ..functions.windows import by_months
 
 FUNDAMENTALS = ("ep_quarter", "sp_quarter", "agr_quarter", "ep_year", "sp_year", "agr_year")
@@ -37,21 +39,22 @@ def ewm_fill(panel: DataFrame, columns: tuple[str, ...], half_life: float = 5.0,
     """Nulls before a column's first value become 0 (if lead), later ones the exponentially weighted mean so far.
 
     The weight of what is known decays over null rows too; leading zeros are part of the
-    series. A column without values becomes 0. The recurrence needs a symbol's rows in
-    order, so it runs in Arrow batches, one symbol a group.
+    series. A column without values becomes 0. The recurrence needs a key's rows in order,
+    so it runs on Arrow tables, one key a group; columns that aren't filled stay Arrow.
     """
     schema = T.StructType([T.StructField(f.name, T.DoubleType()) if f.name in columns else f for f in panel.schema])
 
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
+    def fill(group: pa.Table) -> pa.Table:
+        group = group.take(pa.compute.sort_indices(group, sort_keys=[(order, "ascending")]))
+        x = group.select(list(columns)).to_pandas().astype(float)
+        if lead:
+            x = x.where(x.ffill().notna(), 0.0)
+        x = x.where(x.notna(), x.ewm(halflife=half_life, adjust=False).mean())
         for c in columns:
-            x = group[c].astype(float)
-            if lead:
-                x = x.where(x.ffill().notna(), 0.0)
-            group[c] = x.where(x.notna(), x.ewm(halflife=half_life, adjust=False).mean())
+            group = group.set_column(group.schema.get_field_index(c), c, pa.array(x[c], pa.float64(), from_pandas=True))
         return group
 
-    return panel.groupBy(key).applyInPandas(fill, schema)
+    return panel.groupBy(key).applyInArrow(fill, schema)
 
 
 def join_macro(panel: DataFrame, macro: DataFrame) -> DataFrame:
@@ -61,8 +64,8 @@ def join_macro(panel: DataFrame, macro: DataFrame) -> DataFrame:
 def join_macro_dense(panel: DataFrame, macro: DataFrame) -> DataFrame:
     """With a row for every month of macro between a symbol's first and last, whether or not the symbol has it."""
     bounds = panel.groupBy("symbol").agg(F.min("month").alias("_lo"), F.max("month").alias("_hi"))
-    grid = bounds.join(F.broadcast(macro), F.col("month").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
-    own = grid.select("symbol", "month", *[c for c in macro.columns if c != "month"])
+    grid = bounds.select("symbol", F.explode(months_between(F.col("_lo"), F.col("_hi"))).alias("month"))
+    own = grid.join(F.broadcast(macro), "month").select("symbol", "month", *[c for c in macro.columns if c != "month"])  # a row a month
     return panel.join(own, ["symbol", "month"], "full")
 
 
@@ -71,6 +74,19 @@ def drop_groups(panel: DataFrame, groups: dict[str, list[str]], remove: Iterator
     return panel.drop(*[c for g in remove for c in groups.get(g, [])])
 
 
+def column_groups(columns: list[str], static: tuple[str, ...] = ("sic2", "industry", "division", "exchange")) -> dict[str, list[str]]:
+    """Groups of a panel's columns: current windows, the lagged ones they stand for, sub-features and static ones."""
+    current = [c for c in columns if c.endswith("_current")]
+    lagged = [c for c in columns if f"{c}_current" in current]
+    sub = [c for c in ("close", "dollar_volume", "volume", "days", "zero_days", "max_ret", "latest_week", "ret_std", "illiquidity", "shares", "turnover_std", "market_cap", "rolling_return", "rolling_return_current") if c in columns]
+    return {"current": current, "lagged": lagged, "subfeatures": sub, "static": [c for c in columns if c in static]}
+
+
+def static_values(panel: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(symbol, columns): a symbol's first known value of each, by month."""
+    return panel.groupBy("symbol").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("month"))).alias(c) for c in columns])
+
+
 def format_panel(panel: DataFrame, macro: DataFrame, fill: tuple[str, ...]) -> DataFrame:
     """Forward fill, then drop rows without mom1m, then macro, then the weighted fill: the order matters."""
     return ewm_fill(join_macro(forward_fill(panel).dropna(subset=["mom1m"]), macro), fill)
@@ -91,6 +107,28 @@ def without_penny_stocks(bars: DataFrame, unadjusted: DataFrame, least: float =
     return bars.join(low, "symbol", "left_anti")
 
 
+#: What a symbol must have, in the order in which it is looked at.
+REQUIRED = ("prices", "unadjusted_prices", "market_cap", "annual_income", "annual_balance", "quarterly_income", "quarterly_balance")
+
+
+def validity(documents: DataFrame) -> DataFrame:
+    """(symbol, valid, reason) of stock documents: the first required list, in order, that is missing or empty."""
+    empty = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0  # noqa: E731  the size of null is -1
+    lists = {"prices": "eod", "unadjusted_prices": "eod_unadj", "market_cap": "market_cap"}
+    lists |= {f"{q}_{k.split('_')[0]}": f"financials_{q}.{k}_{'statement' if k == 'income' else 'sheet'}" for q in ("annual", "quarterly") for k in ("income", "balance")}
+    reason = F.coalesce(*[F.when(empty(F.col(lists[name])), F.lit(name)) for name in REQUIRED])
+    return documents.select("symbol", reason.isNull().alias("valid"), reason.alias("reason"))
+
+
+def report(validities: DataFrame, made: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """(symbol, status, reason, rows): of every symbol asked for, whether it gave rows of `made`, was invalid, gave none or has no document."""
+    rows = made.groupBy("symbol").agg(F.count("*").alias("rows"))
+    asked = validities.select("symbol") if symbols is None else symbols.select("symbol").distinct()
+    out = asked.join(validities, "symbol", "left").join(rows, "symbol", "left")
+    status = F.when(F.col("valid").isNull(), "missing").when(~F.col("valid"), "invalid").when(F.col("rows").isNull(), "failed").otherwise("success")
+    return out.select("symbol", status.alias("status"), "reason", F.coalesce("rows", F.lit(0)).cast("long").alias("rows"))
+
+
 def strict(panel: DataFrame, required: tuple[str, ...]) -> DataFrame:
     """Without symbols that have a null in a required column of a month with bars."""
     bad = panel.filter(F.coalesce(*[F.when(F.col(c).isNull(), F.lit(True)) for c in required], F.lit(False))).select("symbol").distinct()

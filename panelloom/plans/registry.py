@@ -2,27 +2,58 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import periods
 from ..operators import audits, bars, features, mlprep, moe, panel
-from ..sources import sic, testdata
+from ..sources import documents, sic, testdata
+from ..sources import macro as macro_source
 from . import sql
 from .sql import FEATURES, FUNDAMENTALS, MACRO, SPLITS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-STEPS = 12
+#: Rows of a firm window and of a macro window.
+STEPS, MACRO_STEPS = 12, 6
+#: Frames that the query being built has persisted.
+_KEPT: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Persisted until the query's result is no longer referred to."""
+    _KEPT.append(df.persist())
+    return df
+
+
+def _release(frames: list[DataFrame]) -> None:
+    for f in frames:
+        try:
+            f.unpersist()
+        except Exception:  # noqa: BLE001  the session may have ended, and its frames with it
+            pass
+
+
 
 
 def query(text: str | None = None):
     """Register a function as a query by its name, with the SQL that gives the same rows."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark, d):
+            _KEPT.clear()
+            out = f(spark, d)
+            if _KEPT:
+                weakref.finalize(out, _release, list(_KEPT))
+                _KEPT.clear()
+            return out
+
+        QUERIES[f.__name__] = run
         if text is not None:
             SQL[f.__name__] = sql.query(text)
         return f
@@ -58,14 +89,14 @@ def ratios(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFr
 
 
 def risk(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
-    base = bars.daily_returns(testdata.bars(spark, d)).persist() if base is None else base
-    w = bars.weekly_returns(base).persist()  # read for the windows, the market and the months' places
+    base = keep(bars.daily_returns(testdata.bars(spark, d))) if base is None else base
+    w = keep(bars.weekly_returns(base))  # read for the windows, the market and the months' places
     return features.rolling_risk(bars.monthly_summary(base), w, features.market_returns(w))
 
 
 def whole_panel(spark: SparkSession, d: str) -> DataFrame:
-    base = daily(spark, d).persist()  # bars in one partition a symbol: months, weeks, risk and caps read it
-    m, static = features.with_liquidity(features.with_momentum(bars.monthly_summary(base))).persist(), testdata.static_info(spark, d)
+    base = keep(daily(spark, d))  # bars in one partition a symbol: months, weeks, risk and caps read it
+    m, static = keep(features.with_liquidity(features.with_momentum(bars.monthly_summary(base)))), testdata.static_info(spark, d)
     industry = m.join(static.select("symbol", "sic2"), "symbol").groupBy("sic2", "month").agg(F.avg("mom12m_current").alias("indmom"), F.avg("mom12m").alias("indmom_lagged"))
     wide = panel.assemble(m.join(risk(spark, d, base), ["symbol", "month"], "left"), ratios(spark, d, base), static=static)
     return wide.join(industry, ["sic2", "month"], "left")
@@ -247,7 +278,7 @@ def macro_join_dense(spark, d):
 @query(
     """SELECT CAST(s_suppkey AS VARCHAR) AS symbol, CASE WHEN b.symbol IS NULL OR p.symbol IS NULL THEN 'invalid' ELSE 'success' END AS status,
     CASE WHEN b.symbol IS NULL THEN 'bars' WHEN p.symbol IS NULL THEN 'parts' END AS reason FROM supplier LEFT JOIN (SELECT DISTINCT symbol FROM bars) b ON CAST(s_suppkey AS VARCHAR) = b.symbol
-    LEFT JOIN (SELECT DISTINCT symbol FROM sparse WHERE CAST(symbol AS INTEGER) % 3 <> 0) p ON CAST(s_suppkey AS VARCHAR) = p.symbol"""
+    LEFT JOIN (SELECT DISTINCT symbol FROM sparse) p ON CAST(s_suppkey AS VARCHAR) = p.symbol"""
 )
 def stock_status(spark, d):
     symbols = testdata.static_info(spark, d)
@@ -266,7 +297,7 @@ def ewm_fill(spark, d):
     return rows.select("symbol", "month", *map(r, FEATURES))
 
 
-@query(sql.query(f"SELECT month, {sql.r('m_gap', 4)} FROM (" + sql._ewm("gapped", ("m_gap",), lead=False) + ")").replace("FROM gapped", "FROM (SELECT 'macro' AS symbol, month, CASE WHEN CAST(substr(month, 6, 2) AS INTEGER) % 3 <> 0 THEN m_mean END AS m_gap FROM macro)").replace("WITH RECURSIVE n", "WITH RECURSIVE macro AS (" + sql.CTES["macro"] + "), n", 1))
+@query(sql.query(f"SELECT month, {sql.r('m_gap', 4)} FROM (" + sql._ewm("gapped", ("m_gap",), lead=False) + ")").replace("FROM gapped", "FROM (SELECT 'macro' AS symbol, month, m_mean AS m_gap FROM macro)").replace("WITH RECURSIVE n", "WITH RECURSIVE macro AS (" + sql.CTES["macro"] + "), n", 1))
 def macro_ewm_fill(spark, d):
     m = testdata.macro(spark, d).select(F.lit("macro").alias("symbol"), "month", F.col("m_mean").alias("m_gap"))
     return panel.ewm_fill(m, ("m_gap",), lead=False).select("month", r("m_gap", 4))
@@ -280,23 +311,17 @@ def universe(spark, d):
     n = testdata.read(spark, d, "nation").join(testdata.read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     stocks = n.select(F.col("n_name").alias("symbol"), F.col("r_name").alias("exchange"), F.lit("stock").alias("type"), F.col("n_nationkey").alias("pos"))
     codes = n.select(F.col("n_name").alias("symbol"), F.concat(F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), F.lit("00")).alias("sicCode"))
-    from ..sources import documents
-
     return documents.universe(codes, stocks, sic.sic_dim(spark))[0].select("sic2", "exchange")
 
 
 @query("SELECT CAST(l_partkey AS VARCHAR) AS symbol, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date, " + sql.r("l_extendedprice", 2, "price") + " FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, CAST(l_shipdate AS DATE) ORDER BY l_orderkey, l_linenumber) = 1")
 def dedupe_first(spark, d):
-    from ..sources import documents
-
     rows = testdata.read(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("symbol"), F.to_date("l_shipdate").alias("date"), "l_extendedprice", F.struct("l_orderkey", "l_linenumber").alias("pos"))
     return documents.first_by_date(rows).select("symbol", F.col("date").cast("string").alias("date"), r("l_extendedprice", 2, "price"))
 
 
 @query("SELECT symbol, CAST(date AS VARCHAR) AS date, CAST(round_even(market_cap / price, 0) AS BIGINT) AS shares FROM fullbars")
 def derived_shares(spark, d):
-    from ..sources import documents
-
     b = testdata.with_shares(testdata.bars(spark, d))
     return documents.derive_shares(b.select("symbol", "date", "price"), b.select("symbol", "date", "market_cap")).withColumn("date", F.col("date").cast("string"))
 
@@ -309,7 +334,10 @@ def run_length_filter(spark, d):
     return audits.run_lengths(testdata.bars(spark, d, "l_partkey").select("symbol", periods.month_key("date").alias("month")).distinct(), 1, 4)
 
 
-@query("SELECT strftime(day, '%Y-%m') AS month FROM (SELECT unnest(generate_series(CAST(min(month) || '-01' AS DATE), CAST(max(month) || '-01' AS DATE), INTERVAL 1 MONTH)) AS day FROM sparse WHERE symbol = '1') WHERE strftime(day, '%Y-%m') NOT IN (SELECT month FROM sparse WHERE symbol = '1')")
+@query(
+    """SELECT symbol, strftime(day, '%Y-%m') AS month FROM (SELECT symbol, unnest(generate_series(CAST(min(month) || '-01' AS DATE), CAST(max(month) || '-01' AS DATE), INTERVAL 1 MONTH)) AS day FROM sparse GROUP BY symbol)
+    WHERE (symbol, strftime(day, '%Y-%m')) NOT IN (SELECT (symbol, month) FROM sparse)"""
+)
 def month_gaps(spark, d):
     return audits.months_missing(testdata.bars(spark, d, "l_partkey").select("symbol", periods.month_key("date").alias("month")))
 
@@ -428,16 +456,19 @@ def minmax_macro(spark, d):
     return mlprep.scale(testdata.macro(spark, d), ["m_mean"], F.col("month") < SPLITS[0], "minmax").select("month", r("m_mean"))
 
 
+def _total(c: str) -> Column:
+    return F.aggregate(F.flatten(c), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+
+
 def _digest(rows: DataFrame, *keys: str) -> DataFrame:
-    total = F.aggregate(F.flatten("x"), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
-    return rows.select(*keys, "time", F.size("x").cast("long").alias("steps"), r(F.col("x")[0][0], 6, "first"), r(F.col("x")[STEPS - 1][0], 6, "last"), r(total, 4, "total"), r("y"))
+    return rows.select(*keys, "time", F.size("x").cast("long").alias("steps"), r(F.col("x")[0][0], 6, "first"), r(F.col("x")[STEPS - 1][0], 6, "last"), r(_total("x"), 4, "total"), r("y"))
 
 
-def _sequence_sql(source: str, columns: tuple[str, ...], target: str, keys: str, extra: str = "true") -> str:
+def _sequence_sql(source: str, columns: tuple[str, ...], target: str, keys: str, extra: str = "true", steps: int = STEPS) -> str:
     w = f"PARTITION BY {keys} ORDER BY month"
     total = " + ".join(f"coalesce({c}, 0)" for c in columns)
-    return f"""SELECT {keys}, time, steps, first, last, total, y FROM (SELECT {keys}, month AS time, count(*) OVER ({w} ROWS BETWEEN {STEPS} PRECEDING AND 1 PRECEDING) AS steps, round(lag({columns[0]}, {STEPS}) OVER ({w}) + 0.0000000037, 6) + 0.0 AS first, round(lag({columns[0]}, 1) OVER ({w}) + 0.0000000037, 6) + 0.0 AS last,
-      round(sum({total}) OVER ({w} ROWS BETWEEN {STEPS} PRECEDING AND 1 PRECEDING) + 0.00000037, 4) + 0.0 AS total, round({target} + 0.0000000037, 6) + 0.0 AS y, row_number() OVER ({w}) AS rn, {extra} AS fits FROM {source}) WHERE rn > {STEPS} AND fits"""
+    return f"""SELECT {keys}, time, steps, first, last, total, y FROM (SELECT {keys}, month AS time, count(*) OVER ({w} ROWS BETWEEN {steps} PRECEDING AND 1 PRECEDING) AS steps, round(lag({columns[0]}, {steps}) OVER ({w}) + 0.0000000037, 6) + 0.0 AS first, round(lag({columns[0]}, 1) OVER ({w}) + 0.0000000037, 6) + 0.0 AS last,
+      round(sum({total}) OVER ({w} ROWS BETWEEN {steps} PRECEDING AND 1 PRECEDING) + 0.00000037, 4) + 0.0 AS total, round({target} + 0.0000000037, 6) + 0.0 AS y, row_number() OVER ({w}) AS rn, {extra} AS fits FROM {source}) WHERE rn > {steps} AND fits"""
 
 
 @query(_sequence_sql("momentum", ("mom1m", "mom12m", "close"), "mom1m", "symbol"))
@@ -455,28 +486,83 @@ def sequences_gap(spark, d):
     return _digest(mlprep.sequences(m, ["close"], "close", STEPS, max_gap=3), "symbol")
 
 
+@query("SELECT x.symbol, x.time, x.steps, round((f.first - m) / s + 0.0000000037, 6) + 0.0 AS first, round((x.y - my) / sy + 0.0000000037, 6) + 0.0 AS y FROM (" + _sequence_sql("momentum", ("close",), "close", "symbol") + ") x JOIN (SELECT symbol, month AS time, lag(close, 12) OVER (PARTITION BY symbol ORDER BY month) AS first FROM momentum) f USING (symbol, time), "
+       f"(SELECT avg(y) AS my, stddev_pop(y) AS sy FROM (SELECT close AS y, month, row_number() OVER ({sql.MONTH_ORDER}) AS rn FROM momentum) WHERE rn > 12 AND month < '{SPLITS[0]}'), "
+       f"(SELECT avg(v) AS m, stddev_pop(v) AS s FROM (SELECT lag(close, k) OVER (PARTITION BY symbol, k ORDER BY month) AS v, month, row_number() OVER (PARTITION BY symbol, k ORDER BY month) AS rn FROM momentum, range(1, 13) t(k)) WHERE rn > 12 AND month < '{SPLITS[0]}')")
+def sequences_scaled(spark, d):
+    """Windows scaled by what the training windows hold, step by step alike."""
+    seqs = mlprep.sequences(monthly(spark, d), ["close"], "close", STEPS)
+    out = mlprep.scale_sequences(seqs, F.col("time") < SPLITS[0], 1)
+    return out.select("symbol", "time", F.size("x").cast("long").alias("steps"), r(F.col("x")[0][0], 6, "first"), r("y"))
+
+
+#: Whether SQL's flagship keeps a macro column: no earlier one is correlated with it.
+_KEPT_MACRO = "(SELECT " + ", ".join(f"{'greatest(0, ' + ', '.join(f'abs(corr({a}, {b}))' for a in MACRO[:i]) + ') <= 0.9' if i else 'true'} AS k_{b}" for i, b in enumerate(MACRO)) + " FROM macro)"
+
+
 @query(
-    "SELECT a.split, a.symbol, a.time, CAST(k.code AS INTEGER) AS sic, a.steps, a.first, a.last, a.total, a.y, m.total AS macro_total FROM ("
+    "SELECT a.split, a.symbol, a.time, CAST(k.code AS INTEGER) AS sic, a.steps, a.first, a.last, a.total, a.y, m.steps AS macro_steps, m.total AS macro_total FROM ("
     + _sequence_sql("scaledpart", FEATURES, "mom1m", "split, symbol")
     + ") a JOIN ("
-    + _sequence_sql("scaledmacro", MACRO, "m_mean", "split, symbol").replace("FROM scaledmacro", "FROM (SELECT p.split, p.symbol, p.month, " + ", ".join(f"s.{c}" for c in MACRO) + " FROM scaledpart p LEFT JOIN macroscaled s ON p.month = s.month)")
+    + _sequence_sql("scaledmacro", MACRO, "m_mean", "split, symbol", steps=MACRO_STEPS).replace("FROM scaledmacro", "FROM (SELECT p.split, p.symbol, p.month, " + ", ".join(f"CASE WHEN k_{c} THEN s.{c} END AS {c}" for c in MACRO) + f" FROM scaledpart p LEFT JOIN macroscaled s ON p.month = s.month, {_KEPT_MACRO})")
     + ") m ON a.split = m.split AND a.symbol = m.symbol AND a.time = m.time JOIN static ON a.symbol = static.symbol JOIN sicmap k ON static.sic2 = k.sic2"
 )
 def final_dataset(spark, d):
-    """The flagship: panel, fills, scaling on the training months, and sequences of firm and macro features in each split."""
+    """The flagship: panel, fills, final columns, macro columns that aren't correlated, scaling on the training months, and windows of firm and macro features in each split."""
     macro = testdata.macro(spark, d)
     rows = panel.format_panel(whole_panel(spark, d).select("symbol", "month", *dict.fromkeys((*FEATURES, *FUNDAMENTALS))), macro.select("month"), FEATURES)
-    rows = rows.withColumn("split", mlprep.date_split(*SPLITS)).filter("split is not null")
-    rows.persist()  # read once for the scaler and once for the sequences
-    scaled = mlprep.scale(rows, list(FEATURES), F.col("split") == "train")
-    scaled = panel.join_macro(scaled, mlprep.scale(macro, list(MACRO), F.col("month") < SPLITS[0]))
-    own = mlprep.sequences(scaled, [*FEATURES, *MACRO], "mom1m", STEPS, by=("split", "symbol"))
-    part = lambda lo, n: F.transform("x", lambda v: F.slice(v, lo, n))
-    both = own.withColumns({"macro_x": part(len(FEATURES) + 1, len(MACRO)), "x": part(1, len(FEATURES))})
+    rows = mlprep.final_columns(rows).withColumn("split", mlprep.date_split(*SPLITS)).filter("split is not null")
+    rows = keep(rows)  # read once for the scaler and once for the windows
+    firm = [mlprep.RENAMED.get(c, c) for c in FEATURES]
+    scaled = mlprep.scale_with_target(rows, firm, "mom1m", F.col("split") == "train")[0]
+    macro = audits.without_correlated(macro, list(MACRO))
+    kept = [c for c in MACRO if c in macro.columns]
+    scaled = panel.join_macro(scaled, mlprep.scale_with_target(macro, kept, "m_mean", F.col("month") < SPLITS[0])[0])
+    own, outer = mlprep.firm_and_macro_sequences(scaled, firm, kept, "mom1m", STEPS, MACRO_STEPS)
     static = testdata.static_info(spark, d)
     codes = static.join(F.broadcast(mlprep.code_map(static, "sic2")), "sic2").select("symbol", F.col("code").alias("sic"))
-    macro_total = F.aggregate(F.flatten("macro_x"), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
-    return _digest(both.join(codes, "symbol").withColumn("macro_total", macro_total), "split", "symbol", "sic", "macro_total").withColumn("macro_total", r("macro_total", 4))
+    both = own.join(outer, ["split", "symbol", "time"]).join(codes, "symbol")
+    made = both.withColumns({"macro_total": _total("macro_x"), "macro_steps": F.size("macro_x").cast("long")})
+    return _digest(made, "split", "symbol", "sic", "macro_steps", "macro_total").withColumn("macro_total", r("macro_total", 4))
+
+
+CROSS = ("mom1m", "mom12m_current", "retvol", "turn")
+
+
+@query(
+    "SELECT p.symbol, p.month, split, " + ", ".join(f"{sql.r(f'p.{c}', 6, mlprep.RENAMED.get(c, c))}" for c in CROSS) + ", " + ", ".join(sql.r(f"m.{c}", 6) for c in MACRO)
+    + " FROM (" + sql._scaled(f"(SELECT *, CASE WHEN month < '{SPLITS[0]}' THEN 'train' WHEN month < '{SPLITS[1]}' THEN 'val' WHEN month < '{SPLITS[2]}' THEN 'test' END AS split FROM liquidity WHERE month < '{SPLITS[2]}')", CROSS, "split = 'train'", "symbol, month, split")
+    + ") p LEFT JOIN macroscaled m ON p.month = m.month"
+)
+def cross_section(spark, d):
+    rows = mlprep.final_columns(liquid(spark, d).select("symbol", "month", *CROSS))
+    firm = [mlprep.RENAMED.get(c, c) for c in CROSS]
+    made = mlprep.cross_section(rows, testdata.macro(spark, d), firm, list(MACRO), SPLITS)
+    return made.select("symbol", "month", "split", *[r(c) for c in firm], *[r(c) for c in MACRO])
+
+
+@query("SELECT symbol, month, " + sql.r("retvol") + " FROM monthly_retvol".replace("monthly_retvol", "(SELECT symbol, month, retvol FROM liquidity)"))
+def scaled_and_back(spark, d):
+    """Scaling and its inverse give what there was."""
+    rows = liquid(spark, d).select("symbol", "month", "retvol")
+    fitted = mlprep.scaler(rows, ["retvol"], F.col("month") < SPLITS[0])
+    return mlprep.scaled_by(mlprep.scaled_by(rows, fitted, ["retvol"]), fitted, ["retvol"], inverse=True).select("symbol", "month", r("retvol"))
+
+
+@query("SELECT month, " + sql.r("m_mean") + " FROM (SELECT *, row_number() OVER (ORDER BY month) - 1 AS i, count(*) OVER () AS n FROM macro) WHERE i >= 3 AND i < n - 2")
+def index_slice(spark, d):
+    return mlprep.positions(testdata.macro(spark, d).select("month", "m_mean"), ["month"], 3, -2).select("month", r("m_mean"))
+
+
+@query("SELECT coalesce(bool_and(mom12m IS NOT DISTINCT FROM mom12m), true) AS same, coalesce(bool_and(mom12m IS NOT DISTINCT FROM mom12m_current), true) AS other FROM momentum")
+def array_equality(spark, d):
+    m = features.with_momentum(monthly(spark, d))
+    return m.agg(periods.arrays_equal("mom12m", "mom12m").alias("same"), periods.arrays_equal("mom12m", "mom12m_current").alias("other"))
+
+
+@query("SELECT symbol, month, " + sql.r("close") + " FROM monthly WHERE symbol IN (SELECT symbol FROM (SELECT DISTINCT symbol FROM monthly) ORDER BY md5('42:' || symbol), symbol LIMIT 5)")
+def symbol_sample(spark, d):
+    return mlprep.sampled_symbols(monthly(spark, d).select("symbol", "month", "close"), 5).select("symbol", "month", r("close"))
 
 
 # Mixtures of experts.
@@ -499,6 +585,97 @@ def moe_uncertainty(spark, d):
     return moe.expert_uncertainty(rows, ["o_custkey"]).select("o_custkey", "expert", r("mean", 4), r("std", 4))
 
 
+# Documents and files.
+
+
+#: For each required list of a document, the lines that it holds.
+_LISTS = {"prices": "true", "unadjusted_prices": "l_returnflag <> 'R'", "market_cap": "l_returnflag <> 'A'", "annual_income": "l_linestatus = 'F'", "annual_balance": "l_linestatus = 'O'", "quarterly_income": "l_returnflag = 'N'", "quarterly_balance": "l_returnflag = 'R'"}
+
+
+def _stocks(spark: SparkSession, d: str) -> DataFrame:
+    return documents.parse_documents(testdata.stock_documents(spark, d))
+
+
+@query("SELECT symbol, reason IS NULL AS valid, reason FROM (SELECT CAST(l_partkey AS VARCHAR) AS symbol, CASE " + " ".join(f"WHEN NOT bool_or({v}) THEN '{k}'" for k, v in _LISTS.items()) + " END AS reason FROM lineitem GROUP BY 1)")
+def document_validity(spark, d):
+    return panel.validity(_stocks(spark, d))
+
+
+_FIRST_LINES = "(SELECT CAST(l_partkey AS VARCHAR) AS symbol, CAST(l_shipdate AS DATE) AS date, l_extendedprice / l_quantity AS price, l_quantity AS volume FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, CAST(l_shipdate AS DATE) ORDER BY l_orderkey, l_linenumber) = 1)"
+
+
+@query(f"SELECT symbol, strftime(date, '%Y-%m') AS month, {sql.r('arg_max(price, date)', 6, 'close')}, {sql.r('sum(volume)', 6, 'volume')}, count(*) AS days FROM {_FIRST_LINES} GROUP BY 1, 2")
+def document_months(spark, d):
+    """From JSON documents to months: the first bar of a date counts."""
+    made = bars.monthly_summary(bars.daily_returns(documents.daily_bars(_stocks(spark, d))))
+    return made.select("symbol", "month", r("close"), r("volume"), "days")
+
+
+@query("SELECT symbol, CASE WHEN reason IS NULL THEN 'success' ELSE 'invalid' END AS status, reason, CAST(CASE WHEN reason IS NULL THEN n ELSE 0 END AS BIGINT) AS rows FROM (SELECT CAST(l_partkey AS VARCHAR) AS symbol, CASE " + " ".join(f"WHEN NOT bool_or({v}) THEN '{k}'" for k, v in _LISTS.items()) + " END AS reason, count(DISTINCT strftime(l_shipdate, '%Y-%m')) AS n FROM lineitem GROUP BY 1)")
+def run_report(spark, d):
+    """Of every document, whether it is valid and how many months it gave."""
+    stocks = _stocks(spark, d)
+    valid = panel.validity(stocks)
+    months = bars.monthly_summary(bars.daily_returns(documents.daily_bars(stocks))).join(valid.filter("valid"), "symbol", "left_semi")
+    return panel.report(valid, months)
+
+
+@query(f"SELECT symbol, freq, month, {sql.r('agr')} FROM (SELECT *, first_value(month) OVER (PARTITION BY symbol, freq ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS oldest, {sql.change('total_assets', 'lag(total_assets) OVER (PARTITION BY symbol, freq ORDER BY date)')} AS g FROM (SELECT symbol, freq, date, strftime(date + 40, '%Y-%m') AS month, max(total_assets) AS total_assets FROM (SELECT CAST(l_partkey AS VARCHAR) AS symbol, CASE WHEN l_returnflag = 'R' THEN 'quarter' END AS freq, CAST(l_shipdate AS DATE) AS date, l_extendedprice * l_quantity AS total_assets FROM lineitem) WHERE freq IS NOT NULL GROUP BY ALL)) SELECT 1".split(" SELECT 1")[0].replace(f"SELECT symbol, freq, month, {sql.r('agr')} FROM (", f"SELECT symbol, freq, month, {sql.r('agr')} FROM (SELECT symbol, freq, month, date, CASE WHEN month IS DISTINCT FROM oldest THEN g END AS agr FROM (") + " QUALIFY row_number() OVER (PARTITION BY symbol, freq, month ORDER BY date DESC) = 1)")
+def document_growth(spark, d):
+    """From JSON documents to asset growth by filing month, of quarterly balance sheets; the largest of a date's counts."""
+    sheets = documents.balance_sheets(_stocks(spark, d)).filter("freq = 'quarter'")
+    sheets = sheets.groupBy("symbol", "freq", "date", "filing_date").agg(F.max("total_assets").alias("total_assets"))
+    return features.asset_growth(sheets).select("symbol", "freq", "month", r("agr"))
+
+
+@query("SELECT symbol, month, " + sql.r("mom12m") + " FROM momentum WHERE symbol NOT IN (SELECT symbol FROM momentum WHERE mom12m IS NULL AND month > '1993-01')")
+def strict_panel(spark, d):
+    m = features.with_momentum(monthly(spark, d)).select("symbol", "month", "mom12m")
+    bad = panel.strict(m.filter("month > '1993-01'"), ("mom12m",)).select("symbol").distinct()
+    short = m.groupBy("symbol").agg(F.max("month").alias("last")).filter("last <= '1993-01'").select("symbol")
+    return m.join(bad.unionAll(short), "symbol", "left_semi").select("symbol", "month", r("mom12m"))
+
+
+@query("SELECT symbol, arg_min(close, month) FILTER (WHERE mom12m IS NOT NULL) AS close_first FROM momentum GROUP BY symbol".replace("arg_min(close, month) FILTER (WHERE mom12m IS NOT NULL) AS close_first", sql.r("arg_min(mom12m, month) FILTER (WHERE mom12m IS NOT NULL)", 6, "mom12m")))
+def first_values(spark, d):
+    return panel.static_values(features.with_momentum(monthly(spark, d)), ("mom12m",)).select("symbol", r("mom12m"))
+
+
+_RAW_MACRO = "SELECT 'macro' AS symbol, strftime(o_orderdate, '%Y-%m') AS month, round(sum(o_totalprice), 2) AS idx, avg(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END) AS csp, CAST(count(*) AS DOUBLE) AS SPvw, avg(o_custkey) AS tbl FROM orders GROUP BY ALL"
+
+
+@query(f"SELECT month, {sql.r('idx', 2, 'index')}, {sql.r('csp', 4)}, {sql.r('SPvw')}, {sql.r('tbl', 4)} FROM (" + sql._ewm("rawmacro", ("csp",), lead=False).replace("WITH RECURSIVE n", f"WITH RECURSIVE rawmacro AS ({_RAW_MACRO}), n", 1) + ")")
+def macro_load(spark, d):
+    """Macro data from CSV rows: numbers with commas, yyyymm, gaps of csp filled."""
+    m = macro_source.parse_macro(testdata.raw_macro(spark, d))
+    return m.select("month", r("Index", 2, "index"), r("csp", 4), r("SPvw"), r("tbl", 4))
+
+
+@query(
+    "SELECT a, b, " + sql.r("avg(r)", 6, "r") + " FROM (" + " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM macro UNION ALL SELECT '{a}', '{b}', corr({a}, {b}) FROM (SELECT {_rank(a)}, {_rank(b)} FROM macro) UNION ALL "
+        f"SELECT '{a}', '{b}', sum(sign(x.{a} - y.{a}) * sign(x.{b} - y.{b})) / sqrt(nullif(sum(abs(sign(x.{a} - y.{a}))) * sum(abs(sign(x.{b} - y.{b}))), 0)) FROM macro x JOIN macro y ON x.month < y.month"
+        for a, b in PAIRS
+    ) + ") GROUP BY a, b"
+)
+def corr_mean(spark, d):
+    return audits.mean_correlations(testdata.macro(spark, d), list(MACRO)).select("a", "b", r("r"))
+
+
+def _histogram(c: str, n: int = 10) -> str:
+    return f"SELECT '{c}' AS \"column\", CAST(least({n - 1}, floor((v - lo) * {n} / (hi - lo))) AS INTEGER) AS bin, count(*) AS count FROM (SELECT CAST({c} AS DOUBLE) AS v FROM orders WHERE {c} IS NOT NULL), (SELECT CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi FROM orders) GROUP BY ALL"
+
+
+@query(" UNION ALL ".join(_histogram(c) for c in EDA))
+def eda_histogram(spark, d):
+    return audits.histogram(testdata.read(spark, d, "orders"), list(EDA)).select("column", "bin", "count")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")))
+def eda_overview(spark, d):
+    return audits.overview(testdata.read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")).select("column", "rows", "nulls")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -95,7 +95,8 @@ CTES = {
     "wbase": "SELECT symbol, week, ret, market, row_number() OVER (PARTITION BY symbol ORDER BY week DESC) - 1 AS wi, count(*) OVER (PARTITION BY symbol) AS nw FROM weekly JOIN market USING (week)",
     "rolled": f"""SELECT symbol, wi, nw, avg(ret) OVER {FRAME.format(155)} AS mean_ret,
       CASE WHEN count(CASE WHEN ret IS NOT NULL AND market IS NOT NULL THEN 1 END) OVER {FRAME.format(51)} >= 52 THEN covar_samp(ret, CASE WHEN ret IS NOT NULL THEN market END) OVER {FRAME.format(51)} / nullif(var_pop(CASE WHEN ret IS NOT NULL THEN market END) OVER {FRAME.format(51)}, 0) END AS beta,
-      sqrt(greatest(var_pop(ret) OVER {FRAME.format(155)} - pow(covar_pop(ret, CASE WHEN ret IS NOT NULL THEN market END) OVER {FRAME.format(155)}, 2) / nullif(var_pop(CASE WHEN ret IS NOT NULL THEN market END) OVER {FRAME.format(155)}, 0), 0)) AS idio FROM wbase""",
+      CASE WHEN count(CASE WHEN ret IS NOT NULL AND market IS NOT NULL THEN 1 END) OVER {FRAME.format(155)} = 156 AND var_pop(market) OVER {FRAME.format(155)} > 0
+        THEN sqrt(greatest(var_pop(ret) OVER {FRAME.format(155)} - pow(covar_pop(ret, market) OVER {FRAME.format(155)}, 2) / var_pop(market) OVER {FRAME.format(155)}, 0)) END AS idio FROM wbase""",
     "mplace": "SELECT symbol, month, latest_week, row_number() OVER (PARTITION BY symbol ORDER BY month DESC) - 1 AS mi FROM monthly",
     "wstart": "SELECT m.symbol, max(CASE WHEN mi = 1 THEN wi END) AS lagged, max(CASE WHEN mi = 0 THEN wi END) AS cur FROM mplace m JOIN wbase b ON m.symbol = b.symbol AND m.latest_week = b.week WHERE mi < 2 GROUP BY m.symbol",
     "risk": """SELECT m.symbol, m.month, CASE WHEN a.wi + 156 < a.nw THEN a.mean_ret END AS rolling_return, CASE WHEN c.wi + 156 < c.nw THEN c.mean_ret END AS rolling_return_current,
@@ -109,9 +110,9 @@ CTES = {
       sum(revenue) OVER (PARTITION BY symbol, freq ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total_assets FROM (SELECT symbol, freq, date, sum(net) AS revenue, sum(gross) AS gross FROM periods GROUP BY ALL)""",
     "capped": """SELECT s.*, nullif(CASE WHEN lo.date = s.date THEN lo.market_cap WHEN lo.date IS NULL THEN NULL WHEN hi.date IS NULL THEN lo.market_cap ELSE (lo.market_cap + hi.market_cap) / 2 END, 0) AS cap
       FROM statements s ASOF LEFT JOIN fullbars lo ON s.symbol = lo.symbol AND s.date >= lo.date ASOF LEFT JOIN fullbars hi ON s.symbol = hi.symbol AND s.date <= hi.date""",
-    "epsp": "SELECT symbol, freq, month, net_income / cap AS ep, revenue / cap AS sp FROM capped QUALIFY row_number() OVER (PARTITION BY symbol, freq, month ORDER BY date DESC) = 1",
-    "growth": f"""SELECT symbol, freq, month, CASE WHEN month <> oldest THEN g END AS agr FROM (SELECT *, {change("total_assets", "lag(total_assets) OVER (PARTITION BY symbol, freq ORDER BY date)")} AS g,
-      first_value(month) OVER (PARTITION BY symbol, freq ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS oldest FROM statements) QUALIFY row_number() OVER (PARTITION BY symbol, freq, month ORDER BY date DESC) = 1""",
+    "epsp": "SELECT symbol, freq, month, net_income / cap AS ep, revenue / cap AS sp FROM capped WHERE month IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, freq, month ORDER BY date DESC) = 1",
+    "growth": f"""SELECT symbol, freq, month, CASE WHEN month IS DISTINCT FROM oldest THEN g END AS agr FROM (SELECT *, {change("total_assets", "lag(total_assets) OVER (PARTITION BY symbol, freq ORDER BY date)")} AS g,
+      first_value(month) OVER (PARTITION BY symbol, freq ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS oldest FROM statements) WHERE month IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, freq, month ORDER BY date DESC) = 1""",
     "ratios": "SELECT symbol, month, " + ", ".join(f"max(CASE WHEN freq = '{q}' THEN {m} END) AS {m}_{q}" for q in ("quarter", "year") for m in ("ep", "sp", "agr")) + " FROM epsp JOIN growth USING (symbol, freq, month) GROUP BY symbol, month",
     "wide": "SELECT * FROM liquidity LEFT JOIN risk USING (symbol, month)",
     "panel": "SELECT p.*, static.sic2, static.exchange, industry.indmom, industry.indmom_lagged FROM (SELECT * FROM wide FULL JOIN ratios USING (symbol, month)) p LEFT JOIN static USING (symbol) LEFT JOIN industry ON industry.sic2 = static.sic2 AND industry.month = p.month",

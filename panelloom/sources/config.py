@@ -1,17 +1,24 @@
-"""Paths and switches of a run."""
+"""Paths and switches of a run over stock documents."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import bars, features, panel
+from . import documents
+
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """root holds raw, processed and frames; nothing is written over what is read."""
+    """root holds raw, processed and frames; nothing is written over what is read.
+
+    strict drops symbols that have an undefined feature in a month with bars.
+    """
 
     root: str = "data"
     strict: bool = False
-    return_digits: int | None = None
 
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
@@ -20,10 +27,18 @@ class EngineConfig:
     def raw(self) -> str:
         return self.path("raw")
 
-    @property
-    def processed(self) -> str:
-        return self.path("processed")
-
     @property
     def frames(self) -> str:
         return self.path("frames")
+
+
+def run(spark: SparkSession, config: EngineConfig, required: tuple[str, ...] = ("mom1m",)) -> tuple[DataFrame, DataFrame]:
+    """From documents in raw to a panel of momentum features, written to frames by symbol: (panel, report of every document)."""
+    stocks = documents.read_documents(spark, f"{config.raw}/*.json")
+    valid = panel.validity(stocks)
+    daily = bars.daily_returns(documents.daily_bars(stocks).join(valid.filter("valid"), "symbol", "left_semi"))
+    made = features.with_momentum(bars.monthly_summary(daily))
+    if config.strict:
+        made = panel.strict(made, required)
+    documents.write_frames(made, config.frames)
+    return made, panel.report(valid, made)

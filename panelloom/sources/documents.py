@@ -21,19 +21,38 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
 
-def write_documents(df: DataFrame, path: str) -> None:
-    """JSON documents, a file a partition; Parquet is the engine's own format."""
-    df.write.mode("overwrite").json(path)
+def parse_documents(rows: DataFrame, body: str = "body") -> DataFrame:
+    """Documents from a column of JSON text."""
+    return rows.select(F.from_json(body, DOCUMENT, {"mode": "PERMISSIVE"}).alias("d")).select("d.*")
+
+
+def write_documents(df: DataFrame, path: str, by: tuple[str, ...] = ("symbol",), pretty: bool = False) -> None:
+    """JSON documents in folders by the named columns, `symbol` itself staying in the document; one line each, or indented."""
+    keys = [f"_{c}" for c in by]
+    text = F.to_json(F.struct(*df.columns), {"pretty": str(pretty).lower(), "ignoreNullFields": "false"})
+    df.select(text.alias("value"), *[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]).write.mode("overwrite").partitionBy(*keys).text(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return clean_nan(spark.read.schema(schema).option("header", True).csv(path))
 
 
-def write_frames(panel: DataFrame, path: str) -> DataFrame:
-    """One folder a symbol; returns (symbol, rows) of what was written."""
-    panel.repartition("symbol").sortWithinPartitions("symbol", "month").write.mode("overwrite").partitionBy("symbol").option("header", True).csv(path)
-    return panel.groupBy("symbol").agg(F.count("*").alias("rows"))
+def read_panel(spark: SparkSession, path: str) -> DataFrame:
+    """A panel of (month, symbol, text and number columns) from CSV; what isn't named here is a number."""
+    rows = spark.read.option("header", True).csv(path)
+    text = ("month", "symbol", "sic2", "industry", "division", "exchange", "latest_week")
+    rows = rows.select(*[F.col(f"`{c}`") if c in text else F.col(f"`{c}`").try_cast("double").alias(c) for c in rows.columns])
+    return clean_nan(rows.withColumn("symbol", true_symbol(F.col("symbol"))))
+
+
+def write_frames(panel: DataFrame, path: str, months: tuple[str, str] | None = None) -> DataFrame:
+    """One folder a symbol, months in order, of the months from the first to before the second if given; returns (symbol, rows) of what is written.
+
+    Symbols whose rows all lie outside have 0 rows in what is returned and no folder.
+    """
+    inside = F.lit(True) if months is None else F.col("month").between(*months) & (F.col("month") < months[1])
+    panel.filter(inside).repartition("symbol").sortWithinPartitions("symbol", "month").write.mode("overwrite").partitionBy("symbol").option("header", True).csv(path)
+    return panel.groupBy("symbol").agg(F.count_if(inside).alias("rows"))
 
 
 def clean_nan(df: DataFrame) -> DataFrame:
@@ -122,3 +141,23 @@ def page_windows(first: str, last: str, years: int = 19) -> list[tuple[str, str]
         out.append((a.isoformat(), hi.isoformat()))
         hi = a - timedelta(days=1)
     return out
+
+
+def union_of_pages(pages: DataFrame, keys: tuple[str, ...] = ("symbol", "date"), page: str = "page") -> DataFrame:
+    """Rows of several pages as one table: of what two pages both have, the newest page's (the lowest number) counts."""
+    return pages.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(page))).filter("_n = 1").drop("_n", page)
+
+
+def more_pages(pages: DataFrame, page: str = "page", slack_days: int = 10) -> DataFrame:
+    """(symbol, oldest, more): whether a symbol's last page reaches back to its window's start, so that an older one may exist.
+
+    pages has the window's start as `from`; a first row more than slack_days after it ends the history.
+    """
+    last = pages.groupBy("symbol", page).agg(F.min("date").alias("oldest"), F.min("from").alias("_from"))
+    last = last.groupBy("symbol").agg(F.max_by(F.struct("oldest", "_from"), page).alias("x"))
+    return last.select("symbol", "x.oldest", (F.datediff("x.oldest", "x._from") <= slack_days).alias("more"))
+
+
+def refreshed(held: DataFrame, news: DataFrame, keys: tuple[str, ...] = ("symbol", "date")) -> DataFrame:
+    """What is held with newer rows in place of those of the same keys."""
+    return held.join(news.select(*keys), list(keys), "left_anti").unionByName(news)

@@ -1,8 +1,11 @@
-"""A Python data source for paged JSON endpoints.
-
-Options: base, key, path with {symbol}, symbols (comma-separated). A response other than
-200 gives no rows. Nothing here runs without a network; register() makes `paged_json`
-available to spark.read.format.
+"""A Python data source for JSON endpoints that answer by symbol and, if asked so, by pages of dates.
+
+Options: base, key, path with {symbol} and {period}, symbols (comma-separated), rate
+(requests a minute of the whole read), tasks (that share the rate); from and to, and years
+a page. Every page that is asked for gives a row (symbol, page, from, to, status, body),
+newest first; a response other than 200 has no body, so that nothing is missing unseen, and
+a connection that fails is an error, which Spark's retries meet. Nothing here runs without a
+network; register() makes `paged_json` available to spark.read.format.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Endpoint paths by table.
+#: Endpoint paths by table: fixed values of a public API.
 ENDPOINTS = {
     "income_statement": "income-statement?symbol={symbol}&period={period}",
     "balance_sheet": "balance-sheet-statement?symbol={symbol}&period={period}",
@@ -31,40 +34,61 @@ class PagedJson(DataSource):
         return "paged_json"
 
     def schema(self) -> str:
-        return "symbol string, body string"
+        return "symbol string, page int, from string, to string, status int, body string"
 
     def reader(self, schema) -> DataSourceReader:
         return PagedJsonReader(self.options)
 
 
 class PagedJsonReader(DataSourceReader):
-    """One partition a symbol; at most `rate` requests a minute from each."""
+    """Symbols dealt to `tasks` partitions, each of which keeps to its share of the rate."""
 
     def __init__(self, options):
         self.options = options
 
+    @property
+    def tasks(self) -> int:
+        return max(1, int(self.options.get("tasks", "1")))
+
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(s) for s in self.options.get("symbols", "").split(",") if s]
+        symbols = [s.strip() for s in self.options.get("symbols", "").split(",") if s.strip()]
+        return [InputPartition(symbols[k :: self.tasks]) for k in range(min(self.tasks, len(symbols)))]
 
-    def url(self, symbol: str) -> str:
-        path = self.options["path"].format(symbol=symbol, period=self.options.get("period", "quarter"))
-        for k in ("from", "to", "limit"):
-            if self.options.get(k):
-                path += f"&{k}={self.options[k]}"
-        return f"{self.options['base'].rstrip('/')}/{path}&apikey={self.options.get('key', '')}"
+    def pages(self) -> list[tuple[str | None, str | None]]:
+        lo, hi = self.options.get("from"), self.options.get("to")
+        if not (lo and hi and self.options.get("years")):
+            return [(lo, hi)]
+        from .documents import page_windows
 
-    def read(self, partition: InputPartition) -> Iterator[tuple[str, str]]:
-        import time
-        from urllib.error import URLError
+        return page_windows(lo, hi, int(self.options["years"]))
+
+    def url(self, symbol: str, lo: str | None = None, hi: str | None = None) -> str:
+        from urllib.parse import quote, urlencode
+
+        path = self.options["path"].format(symbol=quote(symbol, safe=""), period=quote(self.options.get("period", "quarter"), safe=""))
+        more = {"from": lo, "to": hi, "limit": self.options.get("limit"), "apikey": self.options.get("key", "")}
+        query = urlencode({k: v for k, v in more.items() if v is not None})
+        return f"{self.options['base'].rstrip('/')}/{path}{'&' if '?' in path else '?'}{query}"
+
+    def fetch(self, url: str) -> tuple[int, str | None]:
+        from urllib.error import HTTPError
         from urllib.request import urlopen
 
         try:
-            with urlopen(self.url(partition.value), timeout=30) as r:
-                if r.status == 200:
-                    yield partition.value, r.read().decode()
-        except URLError:
-            return
-        time.sleep(60 / float(self.options.get("rate", "75")))
+            with urlopen(url, timeout=30) as r:
+                return r.status, r.read().decode() if r.status == 200 else None
+        except HTTPError as e:
+            return e.code, None
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        import time
+
+        pause = 60 * min(self.tasks, max(1, len(self.partitions()))) / float(self.options.get("rate", "750"))
+        for symbol in partition.value:
+            for page, (lo, hi) in enumerate(self.pages()):
+                status, body = self.fetch(self.url(symbol, lo, hi))
+                yield symbol, page, lo, hi, status, body
+                time.sleep(pause)
 
 
 def register(spark: SparkSession) -> None:

@@ -51,3 +51,31 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(
         F.avg("o_totalprice").alias("m_mean"), F.sum("o_totalprice").alias("m_sum"), F.count("*").cast("double").alias("m_count"), share("O").alias("m_open"), share("F").alias("m_done")
     )
+
+
+def raw_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly series as a CSV of macro data has them: yyyymm, Index with commas, csp with gaps (months without a pending order), tbl."""
+    rows = read(spark, sf_dir, "orders")
+    return rows.groupBy(F.date_format("o_orderdate", "yyyyMM").alias("yyyymm")).agg(
+        F.format_number(F.sum("o_totalprice"), 2).alias("Index"), F.avg(F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice"))).alias("csp"), F.count("*").cast("double").alias("CRSP_SPvw"), F.avg("o_custkey").alias("tbl")
+    )
+
+
+def stock_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(symbol, body): JSON documents of the parts. Lists hold the lines of some kinds only, so some symbols lack some."""
+    rows = read(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").cast("string").alias("symbol"), F.to_date("l_shipdate").cast("string").alias("date"), "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus",
+        F.date_add(F.to_date("l_shipdate"), 40).cast("string").alias("fillingDate"),
+    )
+    listed = lambda keep, **fields: F.transform(
+        F.array_sort(F.collect_list(F.when(keep, F.struct("l_orderkey", "l_linenumber", F.struct("symbol", "date", *[v.alias(k) for k, v in fields.items()]).alias("row"))))), lambda x: x["row"]
+    )
+    price, flag = F.col("l_extendedprice"), F.col("l_returnflag")
+    income = lambda keep: listed(keep, fillingDate=F.col("fillingDate"), netIncome=price * (1 - F.col("l_discount")), revenue=price)
+    balance = lambda keep: listed(keep, fillingDate=F.col("fillingDate"), totalAssets=price * F.col("l_quantity"))
+    made = rows.groupBy("symbol").agg(
+        listed(F.lit(True), price=price / F.col("l_quantity"), volume=F.col("l_quantity")).alias("eod"), listed(flag != "R", adjClose=price / F.col("l_quantity")).alias("eod_unadj"),
+        listed(flag != "A", marketCap=price).alias("market_cap"), income(F.col("l_linestatus") == "F").alias("ai"), balance(F.col("l_linestatus") == "O").alias("ab"), income(flag == "N").alias("qi"), balance(flag == "R").alias("qb"),
+    )
+    finance = lambda i, b: F.struct(F.col(i).alias("income_statement"), F.col(b).alias("balance_sheet"))
+    return made.select("symbol", F.to_json(F.struct("symbol", "eod", "eod_unadj", "market_cap", finance("ai", "ab").alias("financials_annual"), finance("qi", "qb").alias("financials_quarterly"))).alias("body"))

@@ -8,21 +8,29 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.bars import daily_returns, monthly_summary
 
+#: Folders that symbols are dealt to; a batch reads those of the symbols it touches.
+BUCKETS = 64
 
-def maintain_monthly(stream: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Keep store/bars (every bar, the last arrival of a symbol and date) and store/monthly/<batch> up to date.
 
-    A batch rewrites nothing that it reads: each one's summary of the symbols it touched is
-    a folder of its own, and latest_monthly takes each symbol's newest.
+def maintain_monthly(stream: DataFrame, store: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keep store/bars (every bar, by bucket of symbols) and store/monthly/<batch> up to date.
+
+    Of a symbol and date the first batch's bar counts, and in one batch the one with the
+    least price and volume, as rows of a batch have no order. A batch rewrites nothing that
+    it reads: each one's summary of the symbols it touched is a folder of its own, and
+    latest_monthly takes each symbol's newest. A batch that is run again overwrites its own.
     """
+    bucket = F.pmod(F.xxhash64("symbol"), F.lit(buckets)).cast("int")
 
     def update(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{store}/bars/batch={number}")
-        touched = batch.select("symbol").distinct()
-        bars = spark.read.option("mergeSchema", False).parquet(f"{store}/bars").join(touched, "symbol", "left_semi")
-        bars = bars.groupBy("symbol", "date").agg(F.max_by(F.struct("price", "volume"), "batch").alias("b")).select("symbol", "date", "b.*")
-        monthly_summary(daily_returns(bars)).write.mode("overwrite").parquet(f"{store}/monthly/batch={number}")
+        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/bars/batch={number}")
+        own = spark.read.parquet(f"{store}/bars/batch={number}")
+        touched = own.select("symbol").distinct()
+        there = [r["bucket"] for r in own.select("bucket").distinct().collect()]  # BUCKETS at most
+        stored = spark.read.parquet(f"{store}/bars").filter(F.col("bucket").isin(there) & (F.col("batch") <= number))
+        first = stored.join(touched, "symbol", "left_semi").groupBy("symbol", "date").agg(F.min(F.struct("batch", "price", "volume")).alias("b"))
+        monthly_summary(daily_returns(first.select("symbol", "date", "b.price", "b.volume"))).write.mode("overwrite").parquet(f"{store}/monthly/batch={number}")
 
     return stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions import periods
 from panelloom.operators import audits, bars, features, mlprep, moe, panel
-from panelloom.sources import documents, http, sic
+from panelloom.sources import config, documents, http, macro, sic
 
 
 def rows_of(df, *order):
@@ -197,8 +197,169 @@ def test_status_and_penny_filter(spark):
 
 
 def test_http_urls():
-    r = http.PagedJsonReader({"base": "http://x/", "path": http.ENDPOINTS["splits"], "symbols": "A,B", "key": "k", "from": "2020-01-01"})
-    assert [p.value for p in r.partitions()] == ["A", "B"] and r.url("A") == "http://x/splits?symbol=A&limit=1000&from=2020-01-01&apikey=k"
+    r = http.PagedJsonReader({"base": "http://x/", "path": http.ENDPOINTS["splits"], "symbols": "A, B,C&D", "tasks": "2", "key": "k"})
+    assert [p.value for p in r.partitions()] == [["A", "C&D"], ["B"]]
+    assert r.url("C&D", "2020-01-01") == "http://x/splits?symbol=C%26D&limit=1000&from=2020-01-01&apikey=k"
+
+
+def test_http_pages_and_errors(monkeypatch):
+    r = http.PagedJsonReader({"base": "http://x", "path": http.ENDPOINTS["market_cap"], "symbols": "A,B", "from": "1990-01-01", "to": "2020-01-01", "years": "19", "rate": "6000000"})
+    monkeypatch.setattr(r, "fetch", lambda url: (200, "[]") if "symbol=A" in url else (429, None))
+    got = [row for p in r.partitions() for row in r.read(p)]
+    assert [(s, page, status) for s, page, *_, status, _ in got] == [("A", 0, 200), ("A", 1, 200), ("B", 0, 429), ("B", 1, 429)]
+    assert got[0][3] == "2020-01-01" and got[1][2] == "1990-01-01" and got[2][5] is None
+
+
+def test_pages_and_refresh(spark):
+    rows = [("A", "2001-01-05", 1.0, 0, "2001-01-01"), ("A", "2001-01-05", 9.0, 1, "1982-01-01"), ("A", "1990-01-01", 2.0, 1, "1982-01-01"), ("B", "2001-01-02", 3.0, 0, "2001-01-01")]
+    pages = spark.createDataFrame(rows, "symbol string, date string, cap double, page int, from string")
+    assert rows_of(documents.union_of_pages(pages.drop("from")).select("symbol", "date", "cap"), "symbol", "date") == [("A", "1990-01-01", 2.0), ("A", "2001-01-05", 1.0), ("B", "2001-01-02", 3.0)]
+    assert rows_of(documents.more_pages(pages).select("symbol", "more"), "symbol") == [("A", False), ("B", True)]
+    held = spark.createDataFrame([("A", "d1", 1.0), ("A", "d2", 2.0)], "symbol string, date string, v double")
+    news = spark.createDataFrame([("A", "d2", 5.0), ("A", "d3", 6.0)], "symbol string, date string, v double")
+    assert rows_of(documents.refreshed(held, news), "date") == [("A", "d1", 1.0), ("A", "d2", 5.0), ("A", "d3", 6.0)]
+
+
+def test_undefined_idiovol_is_null(spark):
+    """Constant prices (the market doesn't move), zero prices, and a window with a hole."""
+    days = [date(2015, 1, 5) + timedelta(days=7 * k) for k in range(200)]
+    rng = np.random.default_rng(1)
+    walk = np.exp(np.cumsum(rng.normal(0, 0.03, 200))) * 10
+    for prices in (np.full(200, 5.0), np.zeros(200)):
+        b = _bars(spark, [("A", d, float(p), 1.0) for d, p in zip(days, prices, strict=True)])
+        w = bars.weekly_returns(b)
+        rows = features.rolling_risk(bars.monthly_summary(bars.daily_returns(b)), w, features.market_returns(w)).collect()
+        assert all(r["idiovol"] is None and r["idiovol_current"] is None and r["beta"] is None for r in rows)
+    hole = walk.copy()
+    hole[120] = 0.0
+    b = _bars(spark, [(s, d, float(p), 1.0) for s, x in (("A", walk), ("B", hole)) for d, p in zip(days, x, strict=True)])
+    w = bars.weekly_returns(b)
+    rows = features.rolling_risk(bars.monthly_summary(bars.daily_returns(b)), w, features.market_returns(w)).collect()
+    assert {r["symbol"] for r in rows if r["idiovol_current"] is not None} == {"A"}
+
+
+def test_growth_with_statements_never_filed(spark):
+    st = spark.createDataFrame(
+        [("A", "year", date(2018, 12, 31), None, 100.0), ("A", "year", date(2019, 12, 31), date(2020, 2, 1), 110.0), ("A", "year", date(2020, 12, 31), date(2021, 2, 1), 121.0)],
+        "symbol string, freq string, date date, filing_date date, total_assets double",
+    )
+    assert rows_of(features.asset_growth(st).select("month", "agr"), "month") == [("2020-02", pytest.approx(10.0)), ("2021-02", pytest.approx(10.0))]
+
+
+def test_macro_csv(spark, tmp_path):
+    (tmp_path / "macro.csv").write_text('yyyymm,Index,csp,CRSP_SPvw,b/m\n196112,"1,000.50",1,0.1,0.2\n196201,"2,000.25",,0.3,0.4\n196202,3,2,0.5,NaN\n196203,"1,234,567.5",,0.7,0.8\nbad,1,1,1,1\n')
+    m = macro.read_macro(spark, str(tmp_path / "macro.csv"))
+    assert m.columns == ["month", "Index", "csp", "SPvw", "b/m"]
+    # The month that the first day lies in is left out, as text compares.
+    assert rows_of(m, "month") == [("1962-02", 3.0, 2.0, 0.5, None), ("1962-03", 1234567.5, 2.0, 0.7, 0.8)]
+    assert macro.read_macro(spark, str(tmp_path / "macro.csv"), first="1961").count() == 4
+
+
+def test_documents_to_panel(spark, tmp_path):
+    """A run over files: one valid document, one without balance sheets."""
+    import json
+
+    (tmp_path / "raw").mkdir()
+    statement = {"income_statement": [{"date": "2019-12-31", "fillingDate": "2020-02-01", "revenue": 1}], "balance_sheet": [{"date": "2019-12-31", "fillingDate": "2020-02-01", "totalAssets": 1}]}
+    eod = [{"symbol": "A", "date": f"2020-{m:02d}-03", "price": float(m), "volume": 1} for m in (3, 2, 1)]
+    for s, finance in (("A", statement), ("B", statement | {"balance_sheet": []})):
+        body = {"symbol": s, "eod": eod, "eod_unadj": [{"date": "2020-01-03", "adjClose": 1}], "market_cap": [{"date": "2020-01-03", "marketCap": 1}], "financials_annual": finance, "financials_quarterly": statement}
+        (tmp_path / "raw" / f"{s}.json").write_text(json.dumps(body, indent=4))
+    made, told = config.run(spark, config.EngineConfig(str(tmp_path)))
+    assert rows_of(told, "symbol") == [("A", "success", None, 3), ("B", "invalid", "annual_balance", 0)]
+    back = documents.read_panel(spark, str(tmp_path / "frames"))
+    assert rows_of(back.select("symbol", "month", "mom1m"), "month") == [("A", "2020-01", None), ("A", "2020-02", 100.0), ("A", "2020-03", 50.0)]
+    strict, told = config.run(spark, config.EngineConfig(str(tmp_path), strict=True))
+    assert strict.count() == 0 and rows_of(told, "symbol")[0][1] == "failed"
+    docs = documents.read_documents(spark, str(tmp_path / "raw" / "*.json")).drop("_corrupt_record")
+    documents.write_documents(docs, str(tmp_path / "out"), pretty=True)
+    assert documents.daily_bars(documents.read_documents(spark, str(tmp_path / "out" / "*" / "*.txt"))).count() == 6
+    assert documents.write_frames(made, str(tmp_path / "part"), ("2020-02", "2020-03")).first()["rows"] == 1
+    extra = spark.createDataFrame([("A", "d2", 2), ("A", "d1", 1)], "symbol string, date string, v int")
+    assert [x["v"] for x in documents.enrich(docs, extra, "splits").filter("symbol = 'A'").first()["splits"]] == [2, 1]
+
+
+def test_columns_of_the_final_panel(spark):
+    df = spark.createDataFrame([("A", "2020-01", 1.0, 2.0, 3.0, 4.0, "x")], "symbol string, month string, mom12m double, mom12m_current double, sp_year double, turn double, exchange string")
+    assert mlprep.final_columns(df).columns == ["symbol", "month", "mom12m", "turn", "exchange"] and mlprep.final_columns(df).first()["mom12m"] == 2.0
+    groups = panel.column_groups(df.columns)
+    assert groups["lagged"] == ["mom12m"] and groups["static"] == ["exchange"] and "mom12m" not in panel.drop_groups(df, groups, ("lagged", "nothing")).columns
+    t = spark.createDataFrame([("true",), ("A",)], "symbol string").select(documents.true_symbol(F.col("symbol")))
+    assert [r[0] for r in t.collect()] == ["TRUE", "A"]
+
+
+def test_scaling_with_target_and_back(spark):
+    df = spark.createDataFrame([(f"2020-{k:02d}", float(k), float(k * k)) for k in range(1, 7)], "month string, y double, a double")
+    made, fitted, own = mlprep.scale_with_target(df, ["a", "y"], "y", F.col("month") < "2020-05")
+    assert made.columns == ["month", "a", "y"]
+    back = mlprep.scaled_by(mlprep.scaled_by(made, fitted, ["a"], inverse=True), own, ["y"], inverse=True)
+    assert [(round(r["a"], 9), round(r["y"], 9)) for r in back.orderBy("month").collect()] == [(k * k, k) for k in range(1, 7)]
+
+
+def test_positions_of_a_table(spark, monkeypatch):
+    from panelloom.functions import windows
+
+    rng = np.random.default_rng(2)
+    x = [None if k % 17 == 0 else float(v) for k, v in enumerate(rng.integers(0, 40, 300))]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x)], "k int, v double")
+    got = {r["k"]: (r["_i"], r["_n"]) for r in windows.positioned(df, ["v", "k"]).collect()}
+    want = sorted(range(300), key=lambda k: (x[k] is not None, x[k] or 0, k))
+    assert [got[k] for k in want] == [(i, 300) for i in range(300)]
+    ranks = {r["value"]: r["rank"] for r in windows.average_ranks(df, "v").collect()}
+    known = np.array([v for v in x if v is not None])
+    assert ranks == {v: (known < v).sum() + ((known == v).sum() + 1) / 2 for v in set(known.tolist())}
+    assert [r["k"] for r in mlprep.positions(df, ["k"], 3, -290).orderBy("k").collect()] == [3, 4, 5, 6, 7, 8, 9]
+    assert windows.positioned(df.limit(0), ["v"]).count() == 0
+
+
+def test_kendall_against_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 9, 80).astype(float), rng.integers(0, 9, 80).astype(float)
+    s = lambda v: np.sign(v[:, None] - v[None])
+    want = (s(a) * s(b)).sum() / np.sqrt((s(a) ** 2).sum() * (s(b) ** 2).sum())
+    df = spark.createDataFrame([(float(x), float(y), 1.0) for x, y in zip(a, b, strict=True)], "a double, b double, c double")
+    got = {(r["a"], r["b"]): r["r"] for r in audits.correlations(df, ["a", "b", "c"], "kendall").collect()}
+    assert got["a", "b"] == pytest.approx(want) and got["a", "c"] is None
+    monkeypatch.setattr(audits, "KENDALL_ROWS", 10)
+    with pytest.raises(ValueError):
+        audits.correlations(df, ["a", "b"], "kendall")
+
+
+def test_histogram_and_lists(spark):
+    df = spark.createDataFrame([(float(k), 2.0) for k in range(11)] + [(None, 2.0)], "v double, c double")
+    got = rows_of(audits.histogram(df, ["v", "c"], 5), "column", "bin")
+    assert got == [("c", 0, 1.5, 2.5, 12), *[("v", k, 2.0 * k, 2.0 * k + 2, 2 + (k == 4)) for k in range(5)]]
+    lists = spark.createDataFrame([([1, 2], [2, 3])], "a array<int>, b array<int>").select(periods.compare_lists(F.col("a"), F.col("b")).alias("x")).first()["x"]
+    assert (lists["left_only"], lists["right_only"], lists["both"]) == ([1], [3], [2])
+    same = spark.createDataFrame([(1.0, 1.0), (None, None)], "a double, b double").agg(periods.arrays_equal("a", "b")).first()[0]
+    assert same is True
+    assert audits.overview(df).count() == 2
+
+
+def test_frames_are_released(spark):
+    """A query's persisted frames go with its result."""
+    import gc
+
+    from panelloom.plans import registry
+
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    df = registry.queries()["beta"](spark, "/root/testdata/sf0.001")
+    df.count()
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() > before
+    del df
+    gc.collect()
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
+
+
+def test_stream_first_arrival(spark, tmp_path):
+    from panelloom.streaming import incremental
+
+    src, store = str(tmp_path / "in"), str(tmp_path / "store")
+    schema = "symbol string, date date, price double, volume double"
+    for rows in ([("A", date(2020, 1, 2), 3.0, 1.0), ("A", date(2020, 1, 2), 1.0, 1.0)], [("A", date(2020, 1, 2), 0.5, 1.0), ("A", date(2020, 1, 3), 2.0, 1.0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        assert incremental.maintain_monthly(spark.readStream.schema(schema).parquet(src), store, str(tmp_path / "cp")).awaitTermination(120)
+    assert rows_of(incremental.latest_monthly(spark, store).select("symbol", "close", "days", "max_ret"), "symbol") == [("A", 2.0, 2, pytest.approx(100.0))]
 
 
 def test_stream(spark, tmp_path):

@@ -44,28 +44,6 @@ def test_query(spark, con, name):
     same(df.collect(), df.columns, con.execute(registry.oracle_sql()[name]))
 
 
-def test_month_gaps_of_every_symbol(spark, con):
-    """The registered SQL sees symbol 1 alone; this has the whole table's."""
-    text = """WITH m AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS symbol, date_trunc('month', CAST(l_shipdate AS DATE)) AS day FROM lineitem),
-    c AS (SELECT symbol, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 MONTH)) AS DATE) AS day FROM m GROUP BY symbol)
-    SELECT symbol, strftime(day, '%Y-%m') AS month FROM c ANTI JOIN m USING (symbol, day)"""
-    df = registry.queries()["month_gaps"](spark, SF)
-    rows = df.collect()
-    same(rows, df.columns, con.execute(text))
-    only = con.execute(registry.oracle_sql()["month_gaps"]).fetchall()
-    assert len({r["symbol"] for r in rows}) > 1 and {m for *_, m in only} <= {r["month"] for r in rows if r["symbol"] == "1"}
-
-
-#: Filters of registered SQL that keep it from the whole tables.
-CUTS = {"stock_status": (" WHERE CAST(symbol AS INTEGER) % 3 <> 0", ""), "macro_ewm_fill": ("CASE WHEN CAST(substr(month, 6, 2) AS INTEGER) % 3 <> 0 THEN m_mean END", "m_mean")}
-
-
-@pytest.mark.parametrize("name", sorted(CUTS))
-def test_query_of_whole_tables(spark, con, name):
-    df = registry.queries()[name](spark, SF)
-    same(df.collect(), df.columns, con.execute(registry.oracle_sql()[name].replace(*CUTS[name])))
-
-
 def test_invalid_symbols_and_empty_months(spark):
     """What the whole test tables don't have."""
     table = lambda *symbols: spark.createDataFrame([(s,) for s in symbols], "symbol string")
