@@ -22,16 +22,17 @@ gives that band's chunks.
 
 Join. Equal sets share a node, their signature. Every key has a hub, the member whose keys
 have the most members in all, and every other member is compared with it: near copies of
-one text meet at it. Then components are found, and members of a key that are in different
-ones meet. A key with more than HOT members outside its largest component holds texts that
-share a common passage; its members are keyed anew by all a / 3 + 1 chunks, those whose
-shingles are seldom among such texts first, so that what they have in common comes last,
-and meet under these keys. Members meet in blocks of bounded size. There dense sketches drop
-every pair that its sizes rule out, and what passes goes two ways: each set's nearest
-partner is compared, and when components have been found again, all pairs that pass and
-still are in different ones are verified in their block, which gives the links of a
-spanning forest. So each pair that shares a key is compared or lies in one component, and no
-step gives more rows than it has members. Comparing is exact, on all shingles' hashes.
+one text meet at it. Members of a key that aren't linked by then meet in blocks of bounded
+size. There dense sketches drop every pair that its sizes rule out, and what passes goes
+two ways: each set's nearest partner is compared, and then all pairs that pass and still
+aren't known to be linked are verified in their block, which gives the links of a spanning
+forest. A key with more than HOT members outside its largest component, more than a block
+takes, holds texts that share a common passage; its members are keyed anew, by chunks whose
+shingles are seldom among such texts first, and meet under these keys. Of n seldom chunks of
+a set at most a / 3 differ, so so many of them suffice that (a / 3 / n) to their number is
+below 1e-18, and a / 3 + 1 chunks always do. So each pair that shares a key is compared or
+lies in one component, and no step gives more rows than it has members. Comparing is exact,
+on all shingles' hashes.
 
 Hashes have 64 bits; results are exact unless two different shingles of compared texts, two
 texts or two sets of the corpus have equal hashes.
@@ -60,11 +61,11 @@ SHINGLE = 5
 #: Jaccard threshold as a fraction.
 NUMERATOR, DENOMINATOR = 3, 4
 #: Chunks a shingle at least, keys of a set under the random order, members outside its largest component that make a key hot.
-CHUNKS, FIRST, HOT = 8, 40, 256
-#: Bounds of a block: rows, and shingles of all its sets.
-BLOCK, BLOCK_SHINGLES = 4096, 4_000_000
-#: Log2 of the cells of the count table.
-CELL_BITS = 20
+CHUNKS, FIRST, HOT = 8, 40, 4096
+#: Bounds of a block: rows, and shingles of all its sets. Of what a task looks at at once: bytes, pairs, pairs remembered.
+BLOCK, BLOCK_SHINGLES, BUNDLE_BYTES, PAIRS, SEEN = 4096, 4_000_000, 64 << 20, 1 << 20, 1_000_000
+#: Log2 of the cells that count shingles of texts with a common passage, the count from which they are frequent, and the log of how seldom keys may miss.
+CELL_BITS, FREQUENT, MISS = 20, 64, np.log(1e-18)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -123,16 +124,16 @@ def dense_sketches(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[np
     return np.packbits(parity, bitorder="little").view(np.int64), bits // 64
 
 
-def chunk_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def chunk_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text index, key) rows, under each text's own band and under the band below where it may have partners.
 
-    In the keys' own order no more than FIRST a band; with weights, which count shingles by
-    their first bits, all that pigeonholing needs, the seldom ones.
+    In the keys' own order no more than FIRST a band; with frequent, a mask by the first
+    bits of hashes, seldom chunks first and as many as may not miss.
     """
     own = bands(size)
     lower = (-(-NUMERATOR * size // DENOMINATOR) < (1 << own)) & (own > 0)
     value = bytetext.mix(h ^ np.uint64(0x5851F42D4C957F2D))
-    most = size // 3 + 1 if weights is not None else np.minimum(size // 3 + 1, FIRST)
+    all_needed, differ = size // 3 + 1, np.maximum(size / 3, 1e-9)
     docs, keys = [], []
     for band, takes in ((own, size > 0), (own - 1, lower & (size > 0))):
         rows = np.flatnonzero(takes[doc])
@@ -145,11 +146,14 @@ def chunk_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, weights: np.nda
         xor = np.bitwise_xor.reduceat(value[rows], start)
         d, chunk, b = d[start], chunk[start], b[start]
         key = bytetext.mix(xor + chunk * _ODD[0] + b.astype(np.uint64) * _ODD[1])
-        if weights is None:
-            order = np.lexsort((key, d))
+        if frequent is None:
+            order, most = np.lexsort((key, d)), np.minimum(all_needed, FIRST)
         else:
-            rare = np.minimum.reduceat(weights[(h[rows] >> np.uint64(64 - CELL_BITS)).astype(np.int64)], start)
-            order = np.lexsort((key, rare, d))
+            common = np.logical_and.reduceat(frequent[(h[rows] >> np.uint64(64 - CELL_BITS)).astype(np.int64)], start)
+            order = np.lexsort((key, common, d))
+            seldom = np.bincount(d[~common], minlength=len(size))
+            odds = np.log(differ / np.maximum(seldom, 1))
+            most = np.where(odds < 0, np.minimum(all_needed, np.ceil(MISS / np.minimum(odds, -1e-9)).clip(0, 2**31)), all_needed).astype(np.int64)
         d, key = d[order], key[order]
         head = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
         rank = np.arange(len(d)) - np.repeat(head, np.diff(np.append(head, len(d))))
@@ -238,79 +242,72 @@ class _Join:
             F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"),
         )
         self.sets = self.stash.put(own)
-        self.edges = self.labels = None
-
-    def compare(self, pairs: DataFrame) -> bool:
-        """Adds the pairs that link to the edges; whether there are any."""
-        if pairs.isEmpty():
-            return False
-        sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        hashes = self.stash.put(hashed(self.docs, self.sets, sigs))
+        self.edges: DataFrame | None = None
+
+    def compare(self, pairs: DataFrame, hashes: DataFrame) -> None:
+        """Adds the pairs that link to the edges."""
         side = lambda c: hashes.select(F.col("sig").alias(c), F.col("hashes").alias(f"of_{c}"))
         common = F.size(F.array_intersect("of_a", "of_b"))
         rows = pairs.join(side("a"), "a").join(side("b"), "b").filter(linked(F.size("of_a"), F.size("of_b"), common))
-        new = self.stash.put(rows.select("a", "b"))
-        self.stash.drop(hashes)
-        return self.add(new)
+        self.add(rows.select("a", "b"))
+
+    def add(self, new: DataFrame) -> None:
+        new = self.stash.put(new)
+        self.edges = new if self.edges is None else self.edges.unionAll(new)
 
-    def add(self, new: DataFrame) -> bool:
-        if new.isEmpty():
-            return False
-        self.edges = new if self.edges is None else self.stash.put(self.edges.unionAll(new))
-        self.labels = components(self.edges, self.stash)
-        return True
+    def hashes_of(self, sigs: DataFrame) -> DataFrame:
+        return self.stash.put(hashed(self.docs, self.sets, sigs))
 
     def labelled(self, rows: DataFrame) -> DataFrame:
-        """rows plus component, a set's own signature where it has no links."""
-        if self.labels is None:
+        """rows plus component, the same for sets that are known to be linked within two steps: enough to spare comparisons."""
+        if self.edges is None:
             return rows.withColumn("component", F.col("sig"))
-        return rows.join(small(self.labels.withColumnRenamed("node", "sig")), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+        both = self.edges.unionAll(self.edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        far = both.join(near.withColumnRenamed("a", "c"), F.col("b") == F.col("c")).groupBy("a").agg(F.least("a", F.min("m")).alias("component"))
+        return rows.join(far.withColumnRenamed("a", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
 
     def settle(self, rows: DataFrame, hot: int | None) -> DataFrame | None:
         """Finds the links within keys of rows (key, sig). The members of hot keys are left to the caller, as (sig)."""
         stash = self.stash
         many = stash.put(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
         shared = stash.put(rows.join(small(many), "key"))
-        scores = stash.put(shared.groupBy("sig").agg(F.sum("n").alias("score")))
-        hubs = shared.join(small(scores), "sig").groupBy("key").agg(F.max(F.struct("score", "sig")).alias("hub"))
-        hubs = stash.put(hubs.select("key", F.col("hub.sig").alias("hub")))
-        pairs = shared.join(small(hubs), "key").filter("hub <> sig").select(F.least("hub", "sig").alias("a"), F.greatest("hub", "sig").alias("b")).distinct()
+        scores = shared.groupBy("sig").agg(F.sum("n").alias("score"))
+        hubs = shared.join(scores, "sig").groupBy("key").agg(F.max(F.struct("score", "sig")).alias("hub")).select("key", F.col("hub.sig").alias("hub"))
+        pairs = shared.join(hubs, "key").filter("hub <> sig").select(F.least("hub", "sig").alias("a"), F.greatest("hub", "sig").alias("b")).distinct()
         pairs = stash.put(sized(pairs, self.sets))
-        self.compare(pairs)
+        hashes = self.hashes_of(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
+        self.compare(pairs, hashes)
         left = self.labelled(shared.filter("n > 2").select("key", "sig", "n"))
-        per = left.groupBy("key", "component").agg(F.count("*").alias("own")).groupBy("key").agg(F.max(F.struct("own", "component")).alias("largest"), F.count("*").alias("parts"))
-        per = stash.put(per.filter("parts > 1").select("key", F.col("largest.own").alias("most"), F.col("largest.component").alias("main")))
-        left = stash.put(left.join(small(per), "key").withColumn("hot", F.lit(False) if hot is None else F.col("n") - F.col("most") > hot))
-        self.meet(left.filter("not hot").select("key", "sig", "component", "main"))
-        again = None if hot is None else stash.put(left.filter("hot").select("sig").distinct())
-        for done in (many, shared, scores, hubs, pairs, per, left):
+        left = left.join(_largest(left), "key")
+        left = stash.put(left.withColumn("hot", F.lit(False) if hot is None else F.col("n") - F.col("most") > hot))
+        for done in (many, shared, pairs, hashes):
             stash.drop(done)
+        near = stash.put(_meeting(left.filter("not hot").join(self.sets.select("sig", "size", "sketch"), "sig"), _nearest, "key long, sig long, partner long"))
+        if not near.isEmpty():
+            self.verify(near)
+        again = None if hot is None else stash.put(left.filter("hot").select("sig").distinct())
+        stash.drop(left)
+        stash.drop(near)
         return again
 
-    def meet(self, left: DataFrame) -> None:
-        """Compares the sets of each key that are in different components, of which main is the largest."""
-        near = self.stash.put(_meeting(left.join(self.sets.select("sig", "size", "sketch"), "sig"), _nearest, "key long, sig long, partner long"))
-        if near.isEmpty():
-            return
-        self.compare(near.select(F.least("sig", "partner").alias("a"), F.greatest("sig", "partner").alias("b")).distinct())
+    def verify(self, near: DataFrame) -> None:
+        """near: (key, sig, partner) of all sets that have a partner which sketches allow, with the nearest."""
+        hashes = self.hashes_of(near.select("sig").distinct())
+        self.compare(near.select(F.least("sig", "partner").alias("a"), F.greatest("sig", "partner").alias("b")).distinct(), hashes)
         rows = self.labelled(near.select("key", "sig").distinct())
-        per = rows.groupBy("key", "component").agg(F.count("*").alias("own")).groupBy("key").agg(F.max(F.struct("own", "component")).alias("largest"), F.count("*").alias("parts"))
-        rows = self.stash.put(rows.join(small(per.filter("parts > 1").select("key", F.col("largest.component").alias("main"))), "key"))
-        if not rows.isEmpty():
-            hashes = self.stash.put(hashed(self.docs, self.sets, rows.select("sig").distinct()))
-            rows = rows.join(self.sets.select("sig", "size", "sketch"), "sig").join(hashes, "sig")
-            self.add(self.stash.put(_meeting(rows, _verified, "a long, b long").distinct()))
-            self.stash.drop(hashes)
-        self.stash.drop(near)
+        rows = rows.join(_largest(rows), "key").join(self.sets.select("sig", "size", "sketch"), "sig").join(hashes, "sig")
+        self.add(_meeting(rows, _verified, "a long, b long").distinct())
+        self.stash.drop(hashes)
 
     def seldom_keys(self, sigs: DataFrame) -> DataFrame:
-        """(sig) -> (key, sig): all keys that pigeonholing needs, of seldom shingles first."""
-        own = self.stash.put(hashed(self.docs, self.sets, sigs))
+        """(sig) -> (key, sig): keys of seldom chunks first."""
+        own = self.hashes_of(sigs)
         cells = own.select(F.explode("hashes").alias("h")).groupBy(F.shiftrightunsigned("h", 64 - CELL_BITS).alias("cell")).agg(F.count("*").alias("n"))
-        cells = cells.filter("n > 1").toArrow()  # 2**CELL_BITS rows at most
-        weights = np.zeros(1 << CELL_BITS, np.uint8)
-        weights[cells.column("cell").to_numpy()] = np.log2(cells.column("n").to_numpy()).astype(np.uint8)
-        held = own.sparkSession.sparkContext.broadcast(weights)
+        cells = cells.filter(F.col("n") >= FREQUENT).select("cell").toArrow()  # 2**CELL_BITS rows at most
+        frequent = np.zeros(1 << CELL_BITS, bool)
+        frequent[cells.column("cell").to_numpy()] = True
+        held = own.sparkSession.sparkContext.broadcast(frequent)
 
         def run(parts):
             for part in parts:
@@ -330,12 +327,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hot = known.settle(known.sets.select(F.explode("keys").alias("key"), "sig"), HOT)
     if not hot.isEmpty():
         known.settle(known.stash.put(known.seldom_keys(hot)), None)
-    sets = known.labelled(known.sets.select("sig", "rep", "copies"))
+    labels = components(known.edges, known.stash).withColumnRenamed("node", "sig")
+    sets = known.sets.select("sig", "rep", "copies").join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     named = sets.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("rows")).filter("rows > 1")
     ids = known.stash.put(sets.select("sig", "component").join(named, "component").select("sig", "component_id"))
     return known.every.select("doc_id", "n_shingles", "sig").join(small(ids), "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _largest(rows: DataFrame) -> DataFrame:
+    """(key, most, main) of keys with members of several components: the largest one and its members."""
+    per = rows.groupBy("key", "component").agg(F.count("*").alias("own")).groupBy("key").agg(F.max(F.struct("own", "component")).alias("largest"), F.count("*").alias("parts"))
+    return per.filter("parts > 1").select("key", F.col("largest.own").alias("most"), F.col("largest.component").alias("main"))
+
+
 def _meeting(rows: DataFrame, of, schema: str) -> DataFrame:
     """What `of` finds in blocks of the members of each key: rows outside the key's main component against all.
 
@@ -346,58 +350,98 @@ def _meeting(rows: DataFrame, of, schema: str) -> DataFrame:
     per = rows.groupBy("key").agg(
         blocks(F.count("*"), F.sum("size")).alias("holders"), blocks(F.count_if(asks), F.coalesce(F.sum(F.when(asks, F.col("size"))), F.lit(0))).alias("askers")
     )
-    rows = rows.withColumn("asks", asks).join(small(per), "key")
+    rows = rows.withColumn("asks", asks).join(per, "key")
     own = lambda n: F.pmod(F.xxhash64("sig"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    rest = [c for c in rows.columns if c not in ("holders", "askers", "main", "key")]
+    rest = [c for c in rows.columns if c not in ("holders", "askers", "main", "most", "hot", "n", "key")]
     holders = rows.select("key", own("holders").alias("i"), every("askers").alias("j"), F.lit(True).alias("holds"), *rest)
     askers = rows.filter("asks").select("key", every("holders").alias("i"), own("askers").alias("j"), F.lit(False).alias("holds"), *rest)
-    made = holders.unionAll(askers).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    made = holders.unionAll(askers).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "holds")
 
     def run(parts):
-        for group in _groups(parts):
-            yield from of(group)
+        for bundle, group in _bundles(parts):
+            yield from of(bundle, group)
 
     return made.mapInArrow(run, schema)
 
 
-def _passing(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(asker, holder, distance) of rows of a block that sizes and sketches let through and whose components differ."""
-    column = {c: group.column(c).to_numpy() for c in ("sig", "component", "size")}
-    holds, asks = (group.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("holds", "asks"))
-    sketch = group.column("sketch").combine_chunks()
+def _bundles(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of equal (key, i, j) from sorted batches, many at once, with each row's group number."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+
+    def numbered(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        for c in ("key", "i", "j"):
+            x = t.column(c).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.cumsum(new)
+
+    for batch in parts:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows < BLOCK and size < BUNDLE_BYTES:
+            continue
+        t = pa.Table.from_batches(held)
+        group = numbered(t)
+        last = int(np.searchsorted(group, group[-1]))
+        if last:
+            yield t.slice(0, last).combine_chunks(), group[:last]
+            held = t.slice(last).to_batches()
+            rows, size = t.num_rows - last, sum(b.nbytes for b in held)
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, numbered(t)
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()
+
+
+def _passing(bundle: pa.Table, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(asker, holder, distance) of rows of one group that sizes and sketches let through and whose components differ."""
+    sig, component, size = (bundle.column(c).to_numpy() for c in ("sig", "component", "size"))
+    holds, asks = (_one(bundle.column(c)).to_numpy(zero_copy_only=False).astype(bool) for c in ("holds", "asks"))
+    sketch = _one(bundle.column("sketch"))
     at, longs = sketch.offsets.to_numpy(), sketch.values.to_numpy().view(np.uint64)
     width = np.diff(at)
-    for w in np.unique(width[~holds]).tolist():
-        q = np.flatnonzero(~holds & (width == w))
-        for v in (w // 2, w, 2 * w):
-            m = np.flatnonzero(holds & (width == v)) if v else q[:0]
-            if not len(m):
-                continue
-            fold = min(w, v)
-            plain = lambda k, n: longs[at[k][:, None] + np.arange(n)]
-            of = lambda k, n: plain(k, n)[:, :fold] ^ plain(k, n)[:, fold:] if n > fold else plain(k, n)  # noqa: E731, B023
-            x, y = of(q, w), of(m, v)
-            step = max(1, (1 << 21) // max(1, len(m) * fold))
-            for lo in range(0, len(q), step):
-                k = q[lo : lo + step]
-                a, b = column["size"][k, None], column["size"][m][None]
-                fits = (column["component"][k, None] != column["component"][m][None]) & (DENOMINATOR * np.minimum(a, b) >= NUMERATOR * np.maximum(a, b))
-                fits &= ~asks[m][None] | (column["sig"][k, None] < column["sig"][m][None])
-                i, j = np.nonzero(fits)
-                for s in range(0, len(i), 1 << 16):
-                    r, c = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                    apart = np.bitwise_count(x[lo + r] ^ y[c]).sum(axis=1, dtype=np.int64)
-                    near = (DENOMINATOR + NUMERATOR) * apart <= (DENOMINATOR - NUMERATOR) * (a[r, 0] + b[0, c])
-                    yield k[r[near]], m[c[near]], apart[near]
-
-
-def _nearest(group: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Each set's nearest partner that sizes and sketches allow."""
-    sig = group.column("sig").to_numpy()
-    best = np.full(group.num_rows, np.iinfo(np.int64).max)
-    partner = np.zeros(group.num_rows, np.int64)
-    for a, b, apart in _passing(group):
+    askers = np.flatnonzero(~holds)
+    if not len(askers):
+        return
+    n = int(group[-1]) + 1
+    end, many = np.searchsorted(group, np.arange(n), "right"), np.bincount(group[holds], minlength=n)
+    first = end - many  # of the holders, which come after the askers
+    cost = np.cumsum(many[group[askers]])
+    lo = 0
+    while lo < len(askers):
+        hi = max(lo + 1, int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + PAIRS, "right")))
+        q, lo = askers[lo:hi], hi
+        each = many[group[q]]
+        a = np.repeat(q, each)
+        b = np.repeat(first[group[q]] - np.cumsum(each) + each, each) + np.arange(len(a))
+        fits = (component[a] != component[b]) & (DENOMINATOR * np.minimum(size[a], size[b]) >= NUMERATOR * np.maximum(size[a], size[b]))
+        fits &= ~asks[b] | (sig[a] < sig[b])
+        a, b = a[fits], b[fits]
+        kinds = np.minimum(width[a], width[b]) * 4 + (width[a] > width[b]) + 2 * (width[b] > width[a])
+        for kind in np.unique(kinds).tolist():
+            k, fold = np.flatnonzero(kinds == kind), kind >> 2
+            for s in range(0, len(k), step := max(1, (1 << 20) // fold)):
+                x, y = a[k[s : s + step]], b[k[s : s + step]]
+                of = lambda r: longs[at[r][:, None] + np.arange(fold)] ^ longs[at[r][:, None] + fold + np.arange(fold)] if width[r[0]] > fold else longs[at[r][:, None] + np.arange(fold)]  # noqa: E731, B023
+                apart = np.bitwise_count(of(x) ^ of(y)).sum(axis=1, dtype=np.int64)
+                near = (DENOMINATOR + NUMERATOR) * apart <= (DENOMINATOR - NUMERATOR) * (size[x] + size[y])
+                if near.any():
+                    yield x[near], y[near], apart[near]
+
+
+def _nearest(bundle: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each row's nearest partner that sizes and sketches allow."""
+    sig = bundle.column("sig").to_numpy()
+    best = np.full(bundle.num_rows, np.iinfo(np.int64).max)
+    partner = np.zeros(bundle.num_rows, np.int64)
+    for a, b, apart in _passing(bundle, group):
         for own, other in ((a, b), (b, a)):
             order = np.lexsort((apart, own))
             rows, first = np.unique(own[order], return_index=True)
@@ -406,15 +450,16 @@ def _nearest(group: pa.Table) -> Iterator[pa.RecordBatch]:
             best[rows[closer]], partner[rows[closer]] = d[closer], sig[to[closer]]
     rows = np.flatnonzero(best < np.iinfo(np.int64).max)
     if len(rows):
-        yield pa.RecordBatch.from_arrays([pa.array(group.column("key").to_numpy()[rows]), pa.array(sig[rows]), pa.array(partner[rows])], ["key", "sig", "partner"])
+        yield pa.RecordBatch.from_arrays([pa.array(bundle.column("key").to_numpy()[rows]), pa.array(sig[rows]), pa.array(partner[rows])], ["key", "sig", "partner"])
 
 
-def _verified(group: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Links of a spanning forest of the block's sets over the components that are known."""
-    sig, component = (group.column(c).to_numpy() for c in ("sig", "component"))
-    lists = group.column("hashes").combine_chunks()
+def _verified(bundle: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Links of a spanning forest of the bundle's sets over the components that are known."""
+    sig, component = (bundle.column(c).to_numpy() for c in ("sig", "component"))
+    lists = _one(bundle.column("hashes"))
     at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
     root: dict[int, int] = {}
+    failed: set[tuple[int, int]] = set()
 
     def find(x: int) -> int:
         while (up := root.get(x, x)) != x:
@@ -422,51 +467,25 @@ def _verified(group: pa.Table) -> Iterator[pa.RecordBatch]:
         return x
 
     found = []
-    for a, b, apart in _passing(group):
+    for a, b, apart in _passing(bundle, group):
         for k in np.argsort(apart, kind="stable").tolist():
             x, y = int(a[k]), int(b[k])
             p, q = find(int(component[x])), find(int(component[y]))
-            if p == q:
+            pair = (min(int(sig[x]), int(sig[y])), max(int(sig[x]), int(sig[y])))
+            if p == q or pair in failed:
                 continue
             of_x, of_y = flat[at[x] : at[x + 1]], flat[at[y] : at[y + 1]]
             common = int((of_x[np.minimum(np.searchsorted(of_x, of_y), len(of_x) - 1)] == of_y).sum())
             if linked(len(of_x), len(of_y), common):
                 root[p] = q
-                found.append((int(sig[x]), int(sig[y])))
+                found.append(pair)
+            elif len(failed) < SEEN:
+                failed.add(pair)
     if found:
         one, two = zip(*found, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["a", "b"])
 
 
-def _groups(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Runs of equal (key, i, j) in sorted batches, as tables of more than one row."""
-    held: list[pa.RecordBatch] = []
-
-    def last(batch: pa.RecordBatch, at: int) -> tuple:
-        return tuple(batch.column(c)[at].as_py() for c in ("key", "i", "j"))
-
-    for batch in parts:
-        if not batch.num_rows:
-            continue
-        if held and last(held[0], 0) != last(batch, 0):
-            table = pa.Table.from_batches(held)
-            held = []
-            if table.num_rows > 1:
-                yield table
-        key, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
-        new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        bounds = [0, *new.tolist(), batch.num_rows]
-        for lo, hi in zip(bounds, bounds[1:], strict=False):
-            held.append(batch.slice(lo, hi - lo))
-            if hi < batch.num_rows:
-                table = pa.Table.from_batches(held)
-                held = []
-                if table.num_rows > 1:
-                    yield table
-    if held and (table := pa.Table.from_batches(held)).num_rows > 1:
-        yield table
-
-
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, repeated rows once; the columns of docs."""
     made = near_duplicates(docs.select("doc_id", "text"))

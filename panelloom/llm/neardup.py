@@ -3,24 +3,28 @@
 Vectors are scaled to length one. A coarse k-means gives inverted lists; each vector is
 held by the list of its nearest centroid as a code: per subspace, the nearest of CODEWORDS
 means of the residuals, plus the residual's distance from its code. With r the distance of
-the cosine threshold, a partner lies in list j only if the vector is within r of the plane
-halfway to j's centroid; lists within PROBE * r of it are probed, where PROBE = 1 loses
-nothing and less relies on differences that don't all point at one centroid (in 64
-dimensions half of r is four standard deviations). In a probed list distances to the codes
-come from lookup tables (asymmetric: the query isn't coded); as code and vector differ by
-the stored error, no partner is further from the query's residual than r plus that error,
-so the lookup loses nothing. What passes is compared exactly, in double precision. Recall
-is measured in the tests.
-
-Equal vectors are one row with a number of copies. Long lists are cut into blocks and met
-block by block, each a group of bounded size; a block gives counts and the links of a
-spanning forest, never all pairs. The index learns from a bounded sample; every vector is
-indexed and every vector is a query.
+the cosine threshold, two partners in different lists lie on either side of the plane
+halfway between the centroids, so one of them is within r / 2 of it: every vector asks in
+the lists whose plane it is within `probe` * r of, which loses nothing at 0.5 (a lower probe
+loses pairs whose difference points at a centroid). Of two that ask in each other's lists
+the smaller counts the pair. In a list distances to the codes come from lookup tables
+(asymmetric: who asks isn't coded); as code and vector differ by the stored error, no
+partner is further from the asker's residual than r plus that error, so the lookup loses
+nothing. What passes is compared exactly, in double precision.
+
+Equal vectors are one row with a number of copies, named by a 64-bit hash. Long lists are
+cut into blocks and met block by block, each a group of bounded size; a block gives counts
+and the links of a spanning forest, never all pairs. Lists grow with the square root of the
+vectors. Their centroids are learned from a sample of TRAIN_ROWS vectors at most (as many as
+there are lists, where that is more), in as many rounds as TRAIN_WORK allows: any centroids
+give whole results. Every vector is indexed and every vector asks.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components
-link with nothing and are kept; vectors of different lengths don't link; rows that repeat a
-vector link with each other; equal ids share the smallest id as usual; an empty table gives
-an empty result; extra columns are not carried.
+link with nothing and are kept; vectors of different lengths don't link. Every row is a
+vector of its own: rows with equal ids are counted each and n_links counts rows; equal
+vectors link with each other. A row with a null id links as any other: a component's id is
+its smallest id that is not null, or null if there is none, and rows with that id are kept.
+An empty table gives an empty result; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -31,20 +35,22 @@ import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash, arrow_limits, table
+from .common import Stash, arrow_limits, small, table
 from .components import components
 
 COSINE = 0.95
-#: Lists: LISTS_ROOT * sqrt(vectors), within bounds; training rows a list; codes.
-LISTS_ROOT, MIN_LISTS, MAX_LISTS, ROWS_A_LIST, PROBE = 1.0, 4, 4096, 32, 0.5
-SUBSPACES, CODEWORDS, ROUNDS, SEED = 8, 256, 8, 1
+#: Lists: LISTS_ROOT * sqrt(vectors), MIN_LISTS at least; share of the threshold's radius within which lists are asked.
+LISTS_ROOT, MIN_LISTS, PROBE = 1.0, 4, 0.5
+#: Training: rows a list and in all, rounds, distances that rounds may take.
+ROWS_A_LIST, TRAIN_ROWS, ROUNDS, TRAIN_WORK = 32, 100_000, 8, 2_000_000_000
+SUBSPACES, CODEWORDS, SEED = 8, 256, 1
 #: Vectors of a list that meet in one task.
 BLOCK = 2048
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
-    for _ in range(ROUNDS):
+    for _ in range(min(ROUNDS, TRAIN_WORK // max(1, len(x) * k))):
         near = np.concatenate([(x[i : i + 4096] @ c.T - 0.5 * (c**2).sum(axis=1)).argmax(axis=1) for i in range(0, len(x), 4096)])
         order = np.argsort(near, kind="stable")
         at = np.searchsorted(near[order], np.arange(k + 1))
@@ -90,16 +96,27 @@ def encode(m: dict, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.nda
     return codes, np.sqrt(error)
 
 
+def _planes(c: np.ndarray, d: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """Distances from the planes halfway between each vector's centroid and all others, from squared distances to centroids."""
+    near = c[home]
+    apart = np.sqrt(np.maximum((near**2).sum(axis=1)[:, None] - 2 * near @ c.T + (c**2).sum(axis=1), 1e-18))
+    return (d - d[np.arange(len(d)), home][:, None]) / (2 * apart)
+
+
 def probes(m: dict, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Home list of every vector and (row, list) of the later lists it probes."""
+    """Home list of every vector and (row, list) of the others it asks in."""
     home, d = _near(x, m["coarse"])
-    c = m["coarse"]
-    apart = np.sqrt(np.maximum(((c**2).sum(axis=1)[:, None] - 2 * c @ c.T + (c**2).sum(axis=1)), 1e-18))
-    plane = (d - d[np.arange(len(x)), home][:, None]) / (2 * apart[home])
-    row, to = np.nonzero((plane <= radius + 1e-9) & (np.arange(len(c)) > home[:, None]))
+    row, to = np.nonzero((_planes(m["coarse"], d, home) <= radius + 1e-9) & (np.arange(len(m["coarse"])) != home[:, None]))
     return home, row, to
 
 
+def _asks(m: dict, x: np.ndarray, home: int, lists: np.ndarray, radius: float) -> np.ndarray:
+    """Whether vectors of one list ask in the list named for each."""
+    own, other = m["coarse"][home], m["coarse"][lists]
+    apart = np.sqrt(np.maximum(((other - own) ** 2).sum(axis=1), 1e-18))
+    return (((x - other) ** 2).sum(axis=1) - ((x - own) ** 2).sum(axis=1)) / (2 * apart) <= radius + 1e-9
+
+
 def _candidates(m: dict, of: int, queries: np.ndarray, codes: np.ndarray, error: np.ndarray, radius: float) -> np.ndarray:
     """Mask (queries, held): within the radius by table lookup, given the codes' errors."""
     width, books = m["width"], m["books"]
@@ -112,15 +129,16 @@ def _candidates(m: dict, of: int, queries: np.ndarray, codes: np.ndarray, error:
     return total <= (radius + error + 1e-6) ** 2
 
 
-def cell(m: dict, of: int, held: dict, query: dict, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of one block of holders and one of queries: ids, linked copies, smallest id of the local component."""
+def cell(m: dict, of: int, held: dict, query: dict, cosine: float, asked: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of one block of holders and one of askers: ids, linked copies, smallest id of the local component."""
     radius = np.sqrt(2 - 2 * cosine)
     link = np.zeros((len(query["id"]), len(held["id"])), bool)
-    for lo in range(0, len(link), 256):
-        q = slice(lo, lo + 256)
+    step = max(1, (1 << 19) // max(1, len(held["id"])))
+    for lo in range(0, len(link), step):
+        q = slice(lo, lo + step)
         maybe = _candidates(m, of, query["x"][q], held["codes"], held["error"], radius)
-        # Of two vectors at home here, the smaller id asks; vectors from other lists always do.
-        maybe &= ~query["home"][q, None] | (query["id"][q, None] < held["id"][None])
+        # Of two vectors at home here, the smaller id asks.
+        maybe &= (query["home"][q, None] != of) | (query["id"][q, None] < held["id"][None])
         if maybe.mean() > 0.05:
             link[q] = maybe & (query["x"][q] @ held["x"].T >= cosine)
         else:
@@ -128,6 +146,11 @@ def cell(m: dict, of: int, held: dict, query: dict, cosine: float) -> tuple[np.n
             for i in range(0, len(a), 1 << 16):
                 x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
                 link[lo + x, y] = (query["x"][lo + x] * held["x"][y]).sum(axis=1) >= cosine
+    # A pair that meets in both lists counts where the smaller id asks.
+    a, b = np.nonzero(link & (query["home"][:, None] != of) & (query["id"][:, None] > held["id"][None]))
+    for i in range(0, len(a), 1 << 16):
+        x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+        link[x, y] = ~_asks(m, held["x"][y], of, query["home"][x], asked)
     a, b = np.nonzero(link.any(axis=1))[0], np.nonzero(link.any(axis=0))[0]
     link = link[np.ix_(a, b)]
     if not len(a):
@@ -147,9 +170,9 @@ def _matrix(column: pa.ChunkedArray, kind: type, dim: int) -> np.ndarray:
     return unit(np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim)) if len(column) else np.zeros((0, dim))
 
 
-def links(vectors: DataFrame, m: dict, cosine: float = COSINE) -> DataFrame:
+def links(vectors: DataFrame, m: dict, stash: Stash, cosine: float = COSINE, probe: float = PROBE) -> DataFrame:
     """(id, copies, vector) of one length -> (id, links, root): one row for each vector and block in which it links."""
-    spark, held, dim, radius = vectors.sparkSession, vectors.sparkSession.sparkContext.broadcast(m), m["dim"], PROBE * float(np.sqrt(2 - 2 * cosine))
+    held, dim, radius = vectors.sparkSession.sparkContext.broadcast(m), m["dim"], probe * float(np.sqrt(2 - 2 * cosine))
     kind = np.float32 if dict(vectors.dtypes)["vector"] == "array<float>" else np.float64
 
     def place(parts):
@@ -166,60 +189,65 @@ def links(vectors: DataFrame, m: dict, cosine: float = COSINE) -> DataFrame:
                 n = len(x)
                 at = np.concatenate([np.arange(n), row])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([home, to])), pa.array(np.arange(len(at)) < n), pa.array(ids[at]), pa.array(copies[at]), pa.array([body[i] for i in at], pa.binary()), pa.array([codes[i].tobytes() for i in at], pa.binary()), pa.array(error[at])],
+                    [pa.array(np.concatenate([home, to])), pa.array(home[at]), pa.array(ids[at]), pa.array(copies[at]), pa.array([body[i] for i in at], pa.binary()), pa.array([codes[i].tobytes() for i in at], pa.binary()), pa.array(error[at])],
                     ["list", "home", "id", "copies", "x", "codes", "error"],
                 )
 
-    placed = vectors.select("id", "copies", "vector").mapInArrow(place, "list long, home boolean, id long, copies long, x binary, codes binary, error double")
-    placed = Stash(spark, "vectors").put(placed)
-    size = placed.groupBy("list").agg(F.ceil(F.count_if("home") / BLOCK).alias("holders"), F.ceil(F.count("*") / BLOCK).alias("askers"))
-    placed = placed.join(F.broadcast(size), "list").filter("holders > 0")  # MAX_LISTS rows at most
+    placed = vectors.select("id", "copies", "vector").mapInArrow(place, "list long, home long, id long, copies long, x binary, codes binary, error double")
+    placed = stash.put(placed)
+    size = placed.groupBy("list").agg(F.ceil(F.count_if(F.col("home") == F.col("list")) / BLOCK).alias("holders"), F.ceil(F.count("*") / BLOCK).alias("askers"))
+    placed = placed.join(small(size), "list").filter("holders > 0")
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     rows = ["id", "copies", "home", "x", "codes", "error"]
-    holders = placed.filter("home").select("list", block("holders").alias("i"), every("askers").alias("j"), F.lit(True).alias("holds"), *rows)
+    holders = placed.filter("home = list").select("list", block("holders").alias("i"), every("askers").alias("j"), F.lit(True).alias("holds"), *rows)
     askers = placed.select("list", every("holders").alias("i"), block("askers").alias("j"), F.lit(False).alias("holds"), *rows)
 
     def meet(key, group):
         def side(t):
             return {
-                "id": t.column("id").to_numpy(), "copies": t.column("copies").to_numpy(), "home": t.column("home").to_numpy(zero_copy_only=False).astype(bool), "x": _matrix(t.column("x"), kind, dim),
+                "id": t.column("id").to_numpy(), "copies": t.column("copies").to_numpy(), "home": t.column("home").to_numpy(), "x": _matrix(t.column("x"), kind, dim),
                 "codes": np.frombuffer(b"".join(t.column("codes").to_pylist()), np.uint8).reshape(-1, SUBSPACES), "error": t.column("error").to_numpy(),
             }
 
         holds = group.column("holds")
-        ids, counts, roots = cell(held.value, key[0].as_py(), side(group.filter(holds)), side(group.filter(pa.compute.invert(holds))), cosine)
+        ids, counts, roots = cell(held.value, key[0].as_py(), side(group.filter(holds)), side(group.filter(pa.compute.invert(holds))), cosine, radius)
         return pa.table({"id": ids, "links": counts, "root": roots})
 
     return holders.unionAll(askers).groupBy("list", "i", "j").applyInArrow(meet, "id long, links long, root long")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, probe: float = PROBE) -> DataFrame:
     """(vec_id, embedding) -> (vec_id, n_links, component_id, kept), one row a row."""
     spark = vectors.sparkSession
     arrow_limits(spark)
     stash = Stash(spark, "vectors")
-    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     fine = F.expr("embedding is not null and forall(embedding, v -> v is not null and not isnan(v) and abs(v) < double('infinity')) and exists(embedding, v -> v <> 0)")
-    classes = vectors.filter(F.coalesce(fine, F.lit(False))).groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    classes = stash.put(classes.select("embedding", "copies", "id", F.size("embedding").alias("dim")))
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    vectors = vectors.withColumn("id", F.when(F.coalesce(fine, F.lit(False)), F.xxhash64(F.size("embedding"), "embedding")))
+    classes = vectors.filter("id is not null").groupBy("id").agg(F.first("embedding").alias("vector"), F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    classes = stash.put(classes.withColumn("dim", F.size("vector")))
     found = None
-    for r in classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect():
-        own = classes.filter(F.col("dim") == r["dim"]).select(F.coalesce("id", F.lit(-1)).alias("id"), "copies", F.col("embedding").alias("vector"))
-        lists = int(np.clip(LISTS_ROOT * np.sqrt(r["n"]), MIN_LISTS, MAX_LISTS))
-        sample = own.orderBy(F.xxhash64("id"), "vector").limit(max(CODEWORDS * 4, lists * ROWS_A_LIST)).select("vector").toArrow().column("vector").combine_chunks()
+    for r in classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect():  # a row a length
+        own = classes.filter(F.col("dim") == r["dim"]).select("id", "copies", "vector")
+        lists = max(MIN_LISTS, int(LISTS_ROOT * np.sqrt(r["n"])))
+        rows = max(CODEWORDS * 4, lists, min(lists * ROWS_A_LIST, TRAIN_ROWS))
+        sample = own.orderBy("id").limit(rows).select("vector").toArrow().column("vector").combine_chunks()  # ids are hashes
         m = train(sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, r["dim"]), lists)
-        new = links(own, m, cosine)
+        new = links(own, m, stash, cosine, probe)
         found = new if found is None else found.unionAll(new)
-    if found is None:
-        return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = stash.put(found)
-    labels = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), stash)
-    per = found.groupBy("id").agg(F.sum("links").alias("links")).join(labels.withColumnRenamed("node", "id"), "id", "left")
-    named = stash.put(classes.join(per, "id", "left").select(F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
-    out = vectors.join(named, F.when(F.coalesce(fine, F.lit(False)), F.col("embedding")) == F.col("_e"), "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    alone = vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    if found is not None:
+        found = stash.put(found)
+        labels = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), stash)
+        per = found.groupBy("id").agg(F.sum("links").alias("links")).join(labels.withColumnRenamed("node", "id"), "id", "left")
+        named = classes.select("id", "rep", "copies").join(small(stash.put(per)), "id", "left").filter("links is not null or copies > 1").withColumn("component", F.coalesce("component", "id"))
+        named = stash.put(named.select("id", "component", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+        least = small(stash.put(named.groupBy("component").agg(F.min("rep").alias("component_id"))))
+        named = stash.put(named.join(least, "component").select("id", "n_links", F.struct("component_id").alias("of")))
+        rows = vectors.select("vec_id", "id").join(small(named), "id", "left")
+        alone = rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("of").isNull(), F.col("vec_id")).otherwise(F.col("of.component_id")).alias("component_id"))
+    return alone.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,20 +255,24 @@ def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH RECURSIVE v AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+WITH RECURSIVE r AS (
+  SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings
+), v AS (
+  SELECT rid, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM r
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), u AS (
-  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v
+  SELECT rid, e, sqrt(list_dot_product(e, e)) AS n FROM v
 ), l AS (
-  SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_dot_product(x.e, y.e) / (x.n * y.n) >= 0.95
+  SELECT x.rid AS a, y.rid AS b FROM u x JOIN u y ON x.rid <> y.rid AND len(x.e) = len(y.e) WHERE list_dot_product(x.e, y.e) / (x.n * y.n) >= 0.95
 ), reach AS (
   SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a
 ), c AS (
-  SELECT a, min(b) AS m FROM reach GROUP BY a
+  SELECT reach.a, min(r.vec_id) AS m FROM reach JOIN r ON reach.b = r.rid GROUP BY reach.a
 ), k AS (
   SELECT a, count(*) AS n FROM l GROUP BY a
+), o AS (
+  SELECT vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, CASE WHEN k.a IS NULL THEN vec_id ELSE least(vec_id, c.m) END AS component_id
+  FROM r LEFT JOIN k ON rid = k.a LEFT JOIN c ON rid = c.a
 )
-SELECT vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(c.m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c.m, vec_id)) AS kept
-FROM embeddings LEFT JOIN k ON vec_id = k.a LEFT JOIN c ON vec_id = c.a
+SELECT vec_id, n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM o
 """
