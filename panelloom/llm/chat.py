@@ -9,7 +9,8 @@ Defined cases: null roles and texts count as empty; turns with equal numbers are
 role and text; a pair without one side has status no_chosen or no_rejected, an empty
 prompt and all of the other side as its completion; equal conversations have status same
 and empty completions; rows with a null id are of no pair and are left out; an empty table
-gives no pairs; further columns are not carried.
+gives no pairs; further columns are not carried. A conversation is one row: its turns have
+to fit in a task's memory, whatever their number.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def preferences(turns: DataFrame) -> DataFrame:
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2k (chosen) and 2k + 1 (rejected) are pair k; spans as text, start-end by commas."""
     turns = table(spark, sf_dir, "conversations")
-    turns = turns.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), "turn", "role", "text")
+    turns = turns.select(F.shiftright("conv_id", 1).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), "turn", "role", "text")
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
     return preferences(turns).select("pair_id", "status", "prompt_turns", "prompt", "chosen", "rejected", text("chosen_spans"), text("rejected_spans"))
 
@@ -67,7 +68,7 @@ def _sql() -> str:
     spans = lambda s: f"coalesce(string_agg(CAST(CAST(before + head AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(before + head + length(text) + {len(CLOSE)} AS BIGINT) AS VARCHAR), ',' ORDER BY pos) FILTER (WHERE side = '{s}' AND pos > k AND role = '{TRAINED_ROLE}'), '')"
     return f"""
 WITH t AS (
-  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'c' ELSE 'r' END AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  SELECT conv_id >> 1 AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'c' ELSE 'r' END AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
   FROM conversations WHERE conv_id IS NOT NULL
 ), n AS (

@@ -10,8 +10,11 @@ For prediction the embedding and the filters fold into tables over byte pairs: a
 response is a sum of two table rows.
 
 Defined cases: a text that is null or has no letter is `und` with score 0, as is every
-text if there is nothing to learn from; labels are used only where lang is not null; extra
-columns pass through unless they are named like a result.
+text if there is nothing to learn from; labels are used only where lang is not null; of
+equal logits the first language by name counts; rows that repeat a document get one and the
+same prediction each; a row with a null id is predicted, and held out of learning; an empty
+table gives an empty result; extra columns pass through, those named like a result are
+replaced by it (what else is needed on the way has names of its own).
 """
 
 from __future__ import annotations
@@ -23,12 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytetext
-from .common import is_held_out, table
+from .common import is_held_out, small, table
 
 WINDOW, WIDTHS, DIM, FILTERS = 256, (2, 3, 4), 8, 12
 STRIDE = WINDOW - max(WIDTHS) + 1
-#: Bounds of the training sample: rows in all, languages (the most frequent), windows a row.
-SAMPLE_ROWS, MAX_LANGUAGES, WINDOWS_A_ROW = 3000, 256, 3
+#: Bounds of the training sample: labelled rows in all, windows a row.
+SAMPLE_ROWS, WINDOWS_A_ROW = 3000, 3
 EPOCHS, BATCH, SEED = 6, 64, 7
 UNKNOWN = "und"
 
@@ -36,11 +39,12 @@ UNKNOWN = "und"
 def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, list[bytes]]]:
     """(lang, windows) of at most `rows` labelled rows outside the held-out fold, languages evenly."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~is_held_out("doc_id"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
+    counts = known.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_rows"))
+    langs = counts.count()
+    if not langs:
         return []
-    share = rows / len(counts)
-    rate = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.5 * share / r["count"]))) for r in counts], F.lit(0.0))
+    known = known.join(small(counts), F.col("lang") == F.col("_lang"))
+    rate = F.least(F.lit(1.0), F.lit(1.5 * rows / langs) / F.col("_rows"))
     order = F.xxhash64(F.lit(SEED), "doc_id")
     picked = known.filter(F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(1_000_000)) < rate * 1_000_000)
     at = lambda k: F.substring(F.col("text"), (F.length("text") * (k / WINDOWS_A_ROW)).cast("int") + 1, F.lit(WINDOW))
@@ -146,26 +150,26 @@ def predict(p: dict, tables: tuple[np.ndarray, np.ndarray], data: np.ndarray, of
     return best, z[np.arange(n), best]
 
 
-def with_language(docs: DataFrame, model: dict | None) -> DataFrame:
-    """docs plus lang_pred and score."""
+def with_language(docs: DataFrame, model: dict | None, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs plus the language and its probability, under the names given."""
     spark = docs.sparkSession
-    docs = docs.drop("lang_pred", "score").withColumn("_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    docs = docs.drop(pred, score).withColumn("_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     if model is None:
-        return docs.drop("_letter").withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return docs.drop("_letter").withColumns({pred: F.lit(UNKNOWN), score: F.lit(0.0)})
     held = spark.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c != "_letter"]
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(parts):
         p = held.value
         tables = folded(p)
         for whole in parts:
             for part in bytetext.batches(whole, "text"):
-                best, score = predict(p, tables, *bytetext.flat(part.column("text")))
+                best, likely = predict(p, tables, *bytetext.flat(part.column("text")))
                 letter = part.column("_letter").to_numpy(zero_copy_only=False).astype(bool)
                 langs = np.where(letter, np.array(p["langs"], object)[best], UNKNOWN)
-                arrays = [part.column(c) for c in names] + [pa.array(langs, pa.string()), pa.array(np.where(letter, score, 0.0))]
-                yield pa.RecordBatch.from_arrays(arrays, [*names, "lang_pred", "score"])
+                arrays = [part.column(c) for c in names] + [pa.array(langs, pa.string()), pa.array(np.where(letter, likely, 0.0))]
+                yield pa.RecordBatch.from_arrays(arrays, [*names, pred, score])
 
     return docs.mapInArrow(run, schema)
 

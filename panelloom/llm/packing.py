@@ -2,18 +2,20 @@
 
 Each document's words are hashed into a vector, which a fixed random projection takes to a
 few dimensions; its place on the Hilbert curve through them is the key by which documents
-are range-partitioned and sorted, so that sequences hold related documents. Each partition
-is one stream of tokens, cut at every 2048; what remains at its end goes to sequences
-whose lengths are powers of two, so nothing is padded. Documents with equal keys are dealt
-on by a hash of their ids, so copies don't meet in one partition.
+are put into ranges and sorted, so that sequences hold related documents. Ranges hold about
+equal bytes, not rows, since long documents lie together on the curve, and are dealt to
+tasks by hash. Each task's ranges are one stream of tokens, cut at every 2048; what remains
+at its end goes to sequences whose lengths are powers of two, so nothing is padded.
+Documents with equal keys follow a hash of their ids, so copies needn't share a range.
+Keys are worked out once and written with their texts.
 
 Tokens come from the named tokenizer. Texts are cut where white space follows a character
 that is certainly not white space, which never changes a byte-level BPE's pieces, and each
 distinct part is encoded once while it is in a bounded cache.
 
-Defined cases: null and empty texts are their end token alone; rows that repeat a document
-are packed each on its own; an empty table gives no pieces; other columns are not carried.
-Memory follows the longest document.
+Defined cases: null and empty texts are their end token alone; rows that repeat a document,
+or have a null id, are packed each on its own; an empty table gives no pieces; other columns
+are not carried. Memory follows the longest document.
 """
 
 from __future__ import annotations
@@ -29,12 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytetext
-from .common import table
+from .common import Stash, arrow_limits, table
 
 LENGTH, END = 2048, 1
 TOKENIZER = "byte_bpe_50k.json"
 CACHE = 600_000
 BUCKETS, DIMS, BITS, SEED = 256, 4, 10, 5
+#: Bytes of a range, and of what counts as one when ranges are bounded; ranges at most (they get longer beyond); bits of a key's hash of ids.
+RANGE_BYTES, UNIT_BYTES, MOST_RANGES, TIE_BITS = 1 << 20, 1 << 10, 20_000, 20
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -86,8 +90,21 @@ def curve_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return hilbert(np.minimum((at * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
+def _beginning(part: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each stretch as one number."""
+    out = np.zeros(len(begin), np.uint64)
+    for k in range(8):
+        at = begin + k
+        out |= np.where(at < end, part[np.minimum(at, len(part) - 1)], 0).astype(np.uint64) << np.uint64(8 * k) if len(part) else 0
+    return out
+
+
 class Encoder:
-    """Token ids of many texts, by distinct parts."""
+    """Token ids of many texts, by distinct parts.
+
+    A part is looked up by a 64-bit hash and known again by its length and first eight
+    bytes; longer parts that agree in all of these would share their ids.
+    """
 
     SPACE = np.zeros(256, bool)
     SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -106,30 +123,34 @@ class Encoder:
         """Forget parts that came up once, and more of them if too many are left."""
         n = len(self.at)
         keep = np.flatnonzero(self.hits[:n] > max(1, np.sort(self.hits[:n])[-CACHE // 2] if n > CACHE // 2 else 1))
-        known, start, size, ids = np.fromiter(self.at, np.uint64, n)[keep].tolist(), self.start[keep], self.size[keep], self.ids
+        names = list(self.at)
+        known, start, size, ids, seen = [names[k] for k in keep.tolist()], self.start[keep], self.size[keep], self.ids, self.seen[:, keep]
         self.clear()
         for k, h in enumerate(known):
             self.at[h] = k
         n, total = len(known), int(size.sum())
+        self.seen = np.concatenate([seen, np.zeros((2, max(1024, n)), np.uint64)], axis=1)
         self.start, self.size, self.hits = (np.concatenate([x, np.zeros(max(1024, n), np.int64)]) for x in (np.cumsum(size) - size, size, np.ones(n, np.int64)))
         self.ids = np.concatenate([ids[np.repeat(start - self.start[:n], size) + np.arange(total)], np.zeros(1 << 16, np.int32)])
         self.used = total
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
+        self.at: dict = {}
         self.hits = np.zeros(1024, np.int64)
+        self.seen = np.zeros((2, 1024), np.uint64)
         self.start, self.size, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 16, np.int32), 0
 
-    def _learn(self, hashes: np.ndarray, parts: list[str]) -> None:
+    def _learn(self, names: list, parts: list[str], seen: np.ndarray) -> None:
         for lo in range(0, len(parts), 10_000):
-            for h, e in zip(hashes[lo : lo + 10_000].tolist(), self.encode(parts[lo : lo + 10_000], add_special_tokens=False), strict=True):
+            for at, (h, e) in enumerate(zip(names[lo : lo + 10_000], self.encode(parts[lo : lo + 10_000], add_special_tokens=False), strict=True), lo):
                 ids, k = e.ids, len(self.at)
                 if k == len(self.start):
                     self.start, self.size, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.hits))
+                    self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)], axis=1)
                 while self.used + len(ids) > len(self.ids):
                     self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
                 self.ids[self.used : self.used + len(ids)] = ids
-                self.at[h], self.start[k], self.size[k] = k, self.used, len(ids)
+                self.at[h], self.start[k], self.size[k], self.seen[:, k] = k, self.used, len(ids), seen[:, at]
                 self.used += len(ids)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,12 +183,20 @@ class Encoder:
         if len(self.at) + len(known) > CACHE:
             self.shrink()
         slot = np.fromiter((self.at.get(h, -1) for h in known.tolist()), np.int64, len(known))
+        seen = np.stack([_beginning(part, begin, end), (end - begin).astype(np.uint64)])
+        body = part.tobytes()
+        text = lambda k: body[begin[k] : end[k]].decode("utf-8", "replace")
         if len(new := np.flatnonzero(slot < 0)):
-            body = part.tobytes()
-            self._learn(known[new], [body[begin[k] : end[k]].decode("utf-8", "replace") for k in first[new]])
+            self._learn(known[new].tolist(), [text(k) for k in first[new]], seen[:, first[new]])
             slot[new] = np.arange(len(self.at) - len(new), len(self.at))
         self.hits[slot] += 1
         slot = slot[inverse]
+        # Parts that share a hash with another are named by more.
+        for k in np.flatnonzero((self.seen[:, slot] != seen).any(axis=0)).tolist():
+            name = (int(hashes[k]), *seen[:, k].tolist())
+            if name not in self.at:
+                self._learn([name], [text(k)], seen[:, k : k + 1])
+            slot[k] = self.at[name]
         size = self.size[slot]
         total = int(size.sum())
         source = np.repeat(self.start[slot] - np.cumsum(size) + size, size) + np.arange(total)
@@ -248,12 +277,34 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
                 columns = zip(*rows[lo : lo + 2000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
+    arrow_limits(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    docs = docs.mapInArrow(keyed, "doc_id long, text string, _key long")
-    docs = docs.repartitionByRange("_key", F.xxhash64("doc_id")).sortWithinPartitions("_key", F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    docs = Stash(docs.sparkSession, "packing").put(docs.mapInArrow(keyed, "doc_id long, text string, _key long"))
+    tie = F.pmod(F.xxhash64("doc_id"), F.lit(1 << TIE_BITS))
+    docs = docs.withColumns({"_place": F.shiftleft("_key", TIE_BITS) + tie, "_bytes": F.coalesce(F.octet_length("text"), F.lit(0))})
+    docs = _in_ranges(docs).sortWithinPartitions("_range", "_place", "doc_id", F.xxhash64("text"))
     return docs.select("doc_id", "text").mapInArrow(packed, PIECE)
 
 
+def _in_ranges(docs: DataFrame) -> DataFrame:
+    """docs plus _range, by _place, dealt to partitions by it; ranges hold about as many bytes each."""
+    spark = docs.sparkSession
+    ranges = min(MOST_RANGES, (docs.agg(F.sum("_bytes")).first()[0] or 0) // RANGE_BYTES + 1)
+    bounds = np.zeros(0, np.int64)
+    if ranges > 1:
+        units = docs.select("_place", F.explode(F.sequence(F.lit(0), F.floor(F.col("_bytes") / UNIT_BYTES).cast("int"))))
+        at = F.percentile_approx("_place", [k / ranges for k in range(1, ranges)], max(10_000, 10 * ranges))
+        bounds = np.unique(np.array(units.agg(at).first()[0], np.int64))  # MOST_RANGES at most
+    # A table over the first bits of places leaves few bounds to look at.
+    shift = max(0, DIMS * BITS + TIE_BITS - 16)
+    cells = np.arange(1 << 16, dtype=np.int64)
+    first = np.searchsorted(bounds, cells << shift)
+    inside = pa.ListArray.from_arrays(pa.array(np.append(first, len(bounds)).astype(np.int32)), pa.array(bounds))
+    cells = spark.createDataFrame(pa.table({"_cell": cells, "_first": first, "_bounds": inside}))
+    docs = docs.withColumn("_cell", F.shiftright("_place", shift)).join(F.broadcast(cells), "_cell")  # 2**16 rows
+    return docs.withColumn("_range", F.col("_first") + F.expr("size(filter(_bounds, b -> b < _place))")).repartition("_range")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = pack(table(spark, sf_dir, "documents"))
     return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -13,9 +13,14 @@ Repeated windows are found inside the row: each window's hash and its position s
 long, whose sorted order puts equal windows side by side; the words themselves are then
 compared, so a collision can't count as a repetition.
 
+Lines are split and hashed once; their table, a few longs a line, is written and serves both
+the counts and the places to remove.
+
 Defined cases: a null text has no words and fails; a null source is a host; rows that repeat
-a doc_id with one text are one document and get the same verdict; an empty table gives an
-empty result; columns of docs beside the computed ones pass through.
+a doc_id with one text are one document and get the same verdict; rows with a null id count
+as one document of their host; an empty table gives an empty result; judge replaces columns
+named like its results and passes others; clean returns docs' columns as they are, but for
+text and, where lines were removed and docs has it, n_chars.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, small, table
+from .common import WORD, Stash, small, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -31,7 +36,7 @@ MAX_DOCS = 100
 #: In hosts of fewer than MAX_DOCS / MIN_SHARE documents a line is frequent from this count and share of them.
 MIN_DOCS, MIN_SHARE = 3, 0.05
 MIN_LEFT = 0.5
-SYMBOLS = r"[^#*$%&|<>]+"
+SYMBOLS, SPACE = "#*$%&|<>", " \t\n\x0b\f\r"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -54,9 +59,13 @@ def _same(i: str, j: str) -> str:
     return " and ".join(f"{at(i, d)} = {at(j, d)}" for d in range(3))
 
 
-def with_counts(docs: DataFrame) -> DataFrame:
-    """docs plus the five base counts."""
-    cols = [c for c in docs.columns if c not in BASE]
+def _without(chars: str) -> Column:
+    return F.length(F.translate(F.coalesce("text", F.lit("")), chars, ""))
+
+
+def with_counts(docs: DataFrame, prefix: str = "") -> DataFrame:
+    """docs plus the five base counts, under their names after a prefix."""
+    cols = [c for c in docs.columns if c not in [prefix + b for b in BASE]]
     out = docs.select(*cols, F.coalesce(F.expr(f"regexp_extract_all(text, r'{WORD}', 0)"), F.array().cast("array<string>")).alias("_words"))
     out = out.withColumn("_n", F.size("_words"))
     # Low bits for the position, the rest for the hash.
@@ -71,18 +80,16 @@ def with_counts(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = out.withColumn("_lines", lines)
     # A generator, so that filters on the counts aren't pushed below it and don't compute them again.
-    counts = F.struct(
-        F.col("_n").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace(F.coalesce("text", F.lit("")), SYMBOLS, "")).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("_wins") == 0, F.lit(0).cast("long")).otherwise(_repeated_words()).alias("n_repeat_words"),
-    )
-    return out.select(*cols, F.inline(F.array(counts)))
+    counts = {
+        "n_words": F.col("_n"), "word_chars": _without(SPACE), "n_symbols": F.length(F.coalesce("text", F.lit(""))) - _without(SYMBOLS), "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
+        "n_repeat_words": F.when(F.size("_wins") == 0, F.lit(0).cast("long")).otherwise(_repeated_words()),
+    }
+    return out.select(*cols, F.inline(F.array(F.struct(*[v.cast("long").alias(prefix + k) for k, v in counts.items()]))))
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+def base_failed(prefix: str = "") -> Column:
+    n = F.col(f"{prefix}n_words")
+    return (n < MIN_WORDS) | (100 * F.col(f"{prefix}n_repeat_words") > MAX_REPEAT_PERCENT * n)
 
 
 def normal_line(line: Column) -> Column:
@@ -93,13 +100,10 @@ def _text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text_key")
 
 
-def _host_sizes(docs: DataFrame) -> DataFrame:
-    return docs.groupBy(F.col("source").alias("_of")).agg(F.countDistinct("doc_id").alias("_size"))
-
-
 def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """Lines to remove: (doc_id, _text_key, source, _pos, _line, _line_words), one row a place."""
-    lines = (
+    stash = Stash(docs.sparkSession, "quality")
+    lines = stash.put(
         docs.select("doc_id", "source", _text_key(), F.posexplode(F.split("text", "\n")).alias("_pos", "_raw"))
         .filter(F.col("_raw").rlike(r"[^\x20\x09-\x0D]"))
         .withColumn("_norm", normal_line(F.col("_raw")))
@@ -109,10 +113,10 @@ def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
         lines.groupBy("source", "_line").agg(F.countDistinct("_text_key").alias("_docs"), F.min("doc_id").alias("_first"))
         .filter(F.col("_docs") > min(max_docs, MIN_DOCS))  # no limit is below; few lines go on
     )
-    sizes = small(_host_sizes(docs))
+    sizes = small(stash.put(lines.groupBy(F.col("source").alias("_of")).agg(F.countDistinct(F.coalesce("doc_id", F.lit(-1))).alias("_size"))))
     limit = F.least(F.lit(float(max_docs)), F.greatest(F.lit(float(MIN_DOCS)), MIN_SHARE * F.col("_size")))
     often = often.join(sizes, often["source"].eqNullSafe(sizes["_of"])).filter(F.col("_docs") > limit)
-    often = often.select(F.col("source").alias("_host"), F.col("_line").alias("_often"), "_first")
+    often = small(stash.put(often.select(F.col("source").alias("_host"), F.col("_line").alias("_often"), "_first")))
     hit = lines.join(often, (lines["_line"] == often["_often"]) & lines["source"].eqNullSafe(often["_host"]), "inner")
     return hit.filter(~F.col("doc_id").eqNullSafe(F.col("_first"))).select(*lines.columns).dropDuplicates(["doc_id", "source", "_text_key", "_pos"])
 
@@ -140,12 +144,12 @@ def clean(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT)
     )
     rows = docs.withColumn("_text_key", _text_key())
     on = (rows["_text_key"] == places["_key"]) & rows["doc_id"].eqNullSafe(places["_id"]) & rows["source"].eqNullSafe(places["_src"])
-    out = with_counts(rows.join(places, on, "left")).filter(~base_failed())
-    out = out.filter(F.col("n_words") - F.coalesce("_removed", F.lit(0)) >= F.lit(min_left) * F.col("n_words"))
+    out = with_counts(rows.join(places, on, "left"), "_q_").filter(~base_failed("_q_"))
+    out = out.filter(F.col("_q_n_words") - F.coalesce("_removed", F.lit(0)) >= F.lit(min_left) * F.col("_q_n_words"))
     kept_lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
     out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 

@@ -2,23 +2,26 @@
 
 Terms are the 64-bit hashes of a text's lower-cased words and of their first bytes (4, 5
 and 6, which carry inflected or compounded insults). A bounded labelled sample gives the
-vocabulary: terms in enough documents that either depend on the label (chi-square) or are
-frequent enough to take part in interactions. The machine is trained in numpy; a text's
-logit is w0 + sum w_i + half of sum_f ((sum v_if)**2 - sum v_if**2) over its distinct
-terms, so an insult counts for more next to a group mention than the two alone. Terms
-outside the vocabulary have weight zero by definition.
+vocabulary, three kinds of terms: those that depend on the label (chi-square); those that
+are frequent; and those that depend on it among the texts that have a term of the first kind
+which speaks for label 1. The last keeps a seldom group mention that tells nothing by itself
+and much beside an insult. The machine is trained in numpy; a text's logit is w0 + sum w_i +
+half of sum_f ((sum v_if)**2 - sum v_if**2) over its distinct terms, so an insult counts for
+more next to a group mention than the two alone. Terms outside the vocabulary have weight
+zero by definition. Whole texts are learned from and scored; terms of the sample are counted
+in Spark, and only those of the vocabulary reach the driver.
 
 Defined cases: null and empty texts have no terms and score the machine's constant part;
 labels other than 0 and 1 and labels without a document are not learned from; if a
-document has several labels the largest counts; with one class or no labelled rows every
-score is the share of toxic rows (0 without any); extra columns pass through unless they
-are named like a result.
+document has several labels the largest counts; rows that repeat a document are scored each
+(of their texts the first in order is learned from); rows with a null id are scored and
+never learned from; with one class or no labelled rows every score is the share of toxic
+rows (0 without any); extra columns pass through, those named like a result are replaced by
+it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytetext
-from .common import is_held_out, table
+from .common import Stash, is_held_out, table
 
-#: Bounds of the training sample: rows, characters of a row.
-SAMPLE_ROWS, SAMPLE_CHARS = 6_000, 20_000
+#: Bound of the training sample: labelled rows.
+SAMPLE_ROWS = 6_000
 PREFIXES = (4, 5, 6)
 FACTORS, EPOCHS, BATCH, SEED = 8, 12, 64, 11
-CHI_SQUARE, FREQUENT, MAX_TERMS = 15.0, 0.2, 100_000
+CHI_SQUARE, FREQUENT = 15.0, 0.2
 THRESHOLD = 0.3
 
 
@@ -84,34 +87,13 @@ def logits(m: dict, doc: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return m["w0"] + _rows(m["w"][at], doc, n) + 0.5 * (s**2 - _rows(v**2, doc, n)).sum(axis=1)
 
 
-def _distinct(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index and hashes of the distinct terms of one text after the other."""
-    for i, text in enumerate(texts):
-        h = np.unique(terms(*bytetext.flat(pa.array([text], pa.large_string())))[1])
-        yield np.full(len(h), i, np.int64), h
-
-
-def train(texts: list[str], y: np.ndarray, seed: int = SEED) -> dict:
-    """The vocabulary and the machine; a constant one if there is a single class or nothing."""
+def train(rows: np.ndarray, hashes: np.ndarray, y: np.ndarray, seed: int = SEED) -> dict:
+    """The machine over the terms (row, hash) of len(y) rows; a constant one if there is a single class or nothing."""
     base = float(np.mean(y)) if len(y) else 0.0
     if base in (0.0, 1.0):
         return {"constant": base}
-    # Twice over the texts, some at a time: most terms are in one text, and go before they are held.
-    seen = np.zeros(1 << 24, np.uint16)
-    for _, h in _distinct(texts):
-        seen[np.unique(h >> np.uint64(40))] += 1
-    kept = [(doc[k], h[k]) for doc, h in _distinct(texts) for k in [seen[h >> np.uint64(40)] > 1]]
-    doc, h = (np.concatenate(x) for x in zip(*kept, strict=True))
-    known, inverse, df = np.unique(h, return_inverse=True, return_counts=True)
-    hit = np.bincount(inverse, weights=y[doc], minlength=len(known))
-    n, p = len(y), y.sum()
-    expected = df * p / n
-    variance = np.maximum(df * (p / n) * (1 - p / n) * (1 - df / n), 1e-9)
-    chi = (np.abs(hit - expected) - 0.5).clip(0) ** 2 / variance
-    keep = (df >= 2) & ((chi > CHI_SQUARE) | (df >= FREQUENT * n))
-    keep &= chi >= np.sort(chi)[-min(len(chi), MAX_TERMS)]
-    vocabulary = Vocabulary(known[keep])
-    doc, at = vocabulary.distinct(doc, h)
+    n, vocabulary = len(y), Vocabulary(np.unique(hashes))
+    doc, at = vocabulary.distinct(rows, hashes)
     rng = np.random.default_rng(seed)
     k = len(vocabulary.hashes)
     m = {"vocabulary": vocabulary.hashes, "w0": float(np.log(base / (1 - base))), "w": np.zeros(k), "v": rng.normal(0, 0.05, (k, FACTORS))}
@@ -141,14 +123,53 @@ def train(texts: list[str], y: np.ndarray, seed: int = SEED) -> dict:
     return m
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most `rows` labelled rows outside the held-out fold."""
+def _chi_square(df, hit, n, p):
+    """Of a term in df of n rows, hit of them among the p with label 1."""
+    expected = df * p / n
+    variance = F.greatest(df * (p / n) * (1 - p / n) * (1 - df / n), F.lit(1e-9))
+    return F.pow(F.greatest(F.abs(hit - expected) - 0.5, F.lit(0.0)), 2) / variance
+
+
+def vocabulary(terms: DataFrame, rows: DataFrame) -> DataFrame:
+    """(h) of the terms to learn: terms are (row, h), rows are (row, toxic)."""
+    total = lambda t: t.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p"))
+    counted = lambda t, r: t.join(F.broadcast(r), "row").groupBy("h").agg(F.count("*").alias("df"), F.sum("toxic").alias("hit")).filter("df > 1").join(F.broadcast(total(r)))  # noqa: E731  SAMPLE_ROWS rows at most
+    chi = _chi_square(F.col("df"), F.col("hit"), F.col("n"), F.col("p"))
+    every = counted(terms, rows).withColumn("chi", chi)
+    alone = every.filter((F.col("chi") > CHI_SQUARE) | (F.col("df") >= FREQUENT * F.col("n")))
+    speaks = every.filter((F.col("chi") > CHI_SQUARE) & (F.col("hit") * F.col("n") > F.col("df") * F.col("p"))).select("h")
+    beside = rows.join(terms.join(speaks, "h", "left_semi").select("row").distinct(), "row", "left_semi")
+    return alone.select("h").unionAll(counted(terms, beside).filter(chi > CHI_SQUARE).select("h")).distinct()
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and hash of the vocabulary's terms in at most `rows` labelled rows outside the held-out fold, and the rows' labels."""
+    stash = Stash(docs.sparkSession, "toxicity")
     known = labels.filter(F.col("toxic").isin(0, 1) & ~is_held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # Half as many again, since rows whose document is missing, empty or too long go.
+    # Half as many again, since rows whose document is missing or empty go.
     known = known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(rows + rows // 2)
-    picked = docs.select("doc_id", "text").filter(F.length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(known), "doc_id")
-    got = picked.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "text").limit(rows).select(F.lower("text").alias("text"), "toxic").toArrow()
-    return got.column("text").to_pylist(), got.column("toxic").to_numpy().astype(float)
+    picked = docs.select("doc_id", F.lower("text").alias("text")).filter(F.length("text") > 0).join(F.broadcast(known), "doc_id")
+
+    def run(parts):
+        for whole in parts:
+            for part in bytetext.batches(whole, "text"):
+                doc, h = terms(*bytetext.flat(part.column("text")))
+                key = np.unique(np.stack([doc.astype(np.uint64), h], axis=1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(key[:, 0], np.arange(part.num_rows + 1)).astype(np.int32)), pa.array(np.ascontiguousarray(key[:, 1]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), part.column("text_hash"), lists], ["doc_id", "toxic", "text_hash", "terms"])
+
+    made = picked.withColumn("text_hash", F.xxhash64("text")).select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text_hash", "text")
+    made = stash.put(made.mapInArrow(run, "doc_id long, toxic int, text_hash long, terms array<long>"))
+    chosen = made.groupBy("doc_id", "toxic").agg(F.min("text_hash").alias("text_hash")).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(rows)
+    order = chosen.toArrow()  # SAMPLE_ROWS rows
+    if not order.num_rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0)
+    number = made.sparkSession.createDataFrame(order.append_column("row", pa.array(np.arange(order.num_rows))))
+    each = made.join(F.broadcast(number.drop("toxic")), ["doc_id", "text_hash"]).dropDuplicates(["row"]).select("row", "toxic", "terms")
+    each = stash.put(each)
+    long = each.select("row", F.explode("terms").alias("h"))
+    got = long.join(vocabulary(long, each.select("row", "toxic")), "h").select("row", "h").toArrow()
+    return got.column("row").to_numpy(), got.column("h").to_numpy().view(np.uint64), order.column("toxic").to_numpy().astype(float)
 
 
 def with_toxicity(docs: DataFrame, model: dict) -> DataFrame:

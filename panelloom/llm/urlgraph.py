@@ -7,11 +7,15 @@ distrust follows them backwards, to the hosts that link to what is blocked. Scor
 until all that could still move, over all hosts, is below TOLERANCE. A host is
 blocked if its distrust exceeds its trust by the threshold, half of what a wholly blocked
 host has by itself. Links are counted per pair of hosts before they move, so a host with
-very many pages is one node; links within a host and links without a host count for nothing.
+very many pages is one node; links within a host and links without a host count for nothing,
+and so do relative links, whatever their paths and queries hold. Seeds are as large as their
+shares, not scaled to sum to one, so that a verdict doesn't depend on how many other hosts
+there are; what a host without links would pass on ends there.
 
 Defined cases: a null url, or one without ://, has an empty host and path, fits no rule
 and is allowed, there being no evidence; null html has no links; repeated rows are judged
-alike and counted each; an empty table gives an empty result.
+alike and counted each, and so are rows with a null id; an empty table gives an empty
+result; columns named like a result are replaced by it, others pass through.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash, table
+from .common import Stash, small, table
 
 #: (verdict, host and path prefix).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -29,6 +33,7 @@ TOLERANCE, MOST_ROUNDS = 1e-6, 300
 #: SQL can't stop by a tolerance; it goes so far.
 ROUNDS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ABSOLUTE = "^[A-Za-z][A-Za-z0-9+.-]*://"
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -41,9 +46,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def host_rules(hosts: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFrame:
     """(host, rules): the rules that fit a host or a domain above it, longest first."""
-    spark = hosts.sparkSession
-    rows = [(r.split("/", 1)[0], "/" + r.split("/", 1)[1], len(r), r, verdict) for verdict, r in rules]
-    named = spark.createDataFrame(rows, "domain string, prefix string, size int, rule string, says string")
+    rule = [F.struct(F.lit(r.split("/", 1)[0]).alias("domain"), F.lit("/" + r.split("/", 1)[1]).alias("prefix"), F.lit(len(r)).alias("size"), F.lit(r).alias("rule"), F.lit(v).alias("says")) for v, r in rules]
+    named = hosts.sparkSession.range(1).select(F.inline(F.array(*rule)))
     above = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.'))")
     fits = hosts.select("host", F.explode(above).alias("domain")).join(F.broadcast(named), "domain")  # the rules are a literal list
     return fits.groupBy("host").agg(F.reverse(F.array_sort(F.collect_list(F.struct("size", "rule", "prefix", "says")))).alias("rules"))
@@ -51,7 +55,8 @@ def host_rules(hosts: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFram
 
 def links(pages: DataFrame) -> DataFrame:
     """(source, target, n): links between different hosts."""
-    target, _ = host_and_path(F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), "link")).otherwise(F.col("link")))
+    whole = F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), "link")).when(F.col("link").rlike(ABSOLUTE), F.col("link"))
+    target, _ = host_and_path(whole)
     found = pages.select("host", F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("link"))
     found = found.select(F.col("host").alias("source"), target.alias("target"))
     return found.filter((F.col("source") != "") & (F.col("target") != "") & (F.col("source") != F.col("target"))).groupBy("source", "target").agg(F.count("*").alias("n"))
@@ -92,6 +97,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshol
     pages = pages.drop("host", "path", "rule", "verdict", "trust", "distrust").withColumns({"host": host, "path": path})
     bare = pages.drop("html")
     fitting = host_rules(bare.filter(F.col("host") != "").select("host").distinct(), rules).withColumnRenamed("host", "_host")
+    fitting = small(stash.put(fitting))
     ruled = bare.join(fitting, F.col("host") == F.col("_host"), "left").drop("_host")
     ruled = ruled.withColumn("_rule", F.expr("get(filter(rules, r -> startswith(path, r.prefix)), 0)")).drop("rules")
     ruled = ruled.withColumns({"rule": F.col("_rule.rule"), "_says": F.col("_rule.says")}).drop("_rule")
@@ -99,6 +105,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshol
     seeds = shares.selectExpr("host", "stack(2, 'trust', trust, 'distrust', distrust) as (kind, seed)").filter("seed > 0")
     scores = spread(seeds, stash.put(links(pages)), stash=stash)
     per = scores.groupBy(F.col("host").alias("_host")).agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
+    per = small(stash.put(per))
     out = ruled.join(per, F.col("host") == F.col("_host"), "left").drop("_host")
     own = F.when(F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) >= threshold * (1 - DAMPING), F.lit("block")).otherwise(F.lit("allow"))
     return out.withColumn("verdict", F.coalesce("_says", own)).drop("_says")
@@ -134,7 +141,7 @@ WITH rest AS (
 ), shares AS (
   SELECT host, avg(CASE WHEN says = 'allow' THEN 1.0 ELSE 0.0 END) AS trust, avg(CASE WHEN says = 'block' THEN 1.0 ELSE 0.0 END) AS distrust FROM ruled WHERE host <> '' GROUP BY host
 ), link AS (
-  SELECT host, CASE WHEN starts_with(l, '//') THEN 'http:' || l ELSE l END AS l FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS l FROM p)
+  SELECT host, CASE WHEN starts_with(l, '//') THEN 'http:' || l WHEN regexp_matches(l, '{ABSOLUTE}') THEN l END AS l FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS l FROM p)
 ), pair AS (
   SELECT host AS source, {host("(" + cut("l") + ")")} AS target FROM link
 ), edges AS (

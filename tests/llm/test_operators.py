@@ -95,6 +95,33 @@ def test_folded_tables_equal_the_network():
     assert best[0] == z.argmax() and score[0] == pytest.approx(np.exp(z.max()) / np.exp(z).sum(), rel=1e-4)
 
 
+def test_windows_of_whole_texts_against_the_network():
+    """Texts of several windows: the mean of the windows' logits, weighted by letters, over every byte n-gram once."""
+    rng = np.random.default_rng(2)
+    p = langid.train([("a", [b"abc abd" * 9]), ("b", [b"xyz xyw" * 9]), ("c", [b"lmn 123" * 9])])
+    texts = [rng.integers(32, 123, n, dtype=np.uint8) for n in (0, 1, 3, 255, 256, 257, 509, 510, 2000)]
+    best, score = langid.predict(p, langid.folded(p), np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]), chunk=5)
+    for k, text in enumerate(texts):
+        total, letters = np.zeros(3), 0
+        for lo in range(0, max(1, len(text) - (langid.WINDOW - langid.STRIDE)), langid.STRIDE):
+            x = np.zeros(langid.WINDOW, np.uint8)
+            part = text[lo : lo + langid.WINDOW]
+            x[: len(part)] = part
+            e = p["emb"][x][None]
+            pooled = np.concatenate([(langid._patches(e, w) @ p[f"w{w}"]).max(axis=1) for w in langid.WIDTHS], axis=1)
+            weight = int(bytetext.LETTER_BYTES[x].sum())
+            total += weight * (np.maximum(pooled + p["hidden"], 0) @ p["out"] + p["bias"])[0]
+            letters += weight
+        z = np.exp(total / max(1, letters) - (total / max(1, letters)).max())
+        assert best[k] == z.argmax() and score[k] == pytest.approx(z.max() / z.sum(), rel=1e-3)
+
+
+def test_language_of_many_languages(spark):
+    """More languages than a cap would have: all of them are learned."""
+    docs = spark.createDataFrame([(i, f"{chr(97 + i % 26)}{chr(97 + (i // 26) % 26)} " * 20, f"l{i % 300:03d}") for i in range(1500)], "doc_id long, text string, lang string")
+    assert len({lang for lang, _ in langid.training_sample(docs)}) == 300
+
+
 # 2
 
 
@@ -265,36 +292,88 @@ def test_jaccard_odd(spark, odd, empty):
 # 4
 
 
+def _machine(spark, texts: list[str], y: list) -> dict:
+    free = [i for i in range(8 * len(texts)) if zlib.crc32(str(i).encode()) % 4 != 2][: len(texts)]
+    docs = spark.createDataFrame(list(zip(free, texts, strict=True)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in zip(free, y, strict=True)], "doc_id long, toxic int")
+    return toxicity.train(*toxicity.training_sample(docs, labels))
+
+
+def _logits(m: dict, texts: list[str]) -> np.ndarray:
+    v = toxicity.Vocabulary(m["vocabulary"])
+    return toxicity.logits(m, *v.distinct(*toxicity.terms(*bytetext.flat(pa.array(texts)))), len(texts))
+
+
 def test_toxicity(spark, odd, empty):
     rng = np.random.default_rng(4)
     words = [f"tok{k}" for k in range(300)]
     text = lambda y: " ".join([*rng.choice(words, 40), *(["Stumpf" + str(rng.integers(1e5)), "nogood"] if y else [])])
     docs = [(i, text(i % 5 == 0)) for i in range(600)]
+    docs[5] = (5, docs[5][1] + " filler" * 30_000)  # very long, and learned from
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)] + [(9999, 1), (1, None)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)] + [(9999, 1), (1, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.train(*toxicity.training_sample(df, labels))
     made = toxicity.with_toxicity(df, model).filter(is_held_out("doc_id")).collect()
     assert sum(r["predicted"] == (r["doc_id"] % 5 == 0) for r in made) >= 0.97 * len(made)
     scored = toxicity.with_toxicity(odd, model).collect()
     assert len(scored) == len(ODD) and all(0 <= r["score"] <= 1 for r in scored)
     assert toxicity.with_toxicity(empty, model).count() == 0
-    assert toxicity.train([], np.zeros(0)) == {"constant": 0.0}
+    none = toxicity.training_sample(df, labels.limit(0))
+    assert toxicity.train(*none) == {"constant": 0.0} and toxicity.train(*toxicity.training_sample(df, labels.filter("toxic = 1"))) == {"constant": 1.0}
 
 
-def test_machine_learns_an_interaction():
+def test_machine_is_the_sum_over_pairs(spark):
+    rng = np.random.default_rng(6)
+    m = {"vocabulary": np.unique(toxicity.terms(*bytetext.flat(pa.array([" ".join(f"word{chr(97 + k)}" for k in range(20))])))[1]), "w0": -0.7}
+    k = len(m["vocabulary"])
+    m |= {"w": rng.normal(0, 1, k), "v": rng.normal(0, 0.4, (k, toxicity.FACTORS))}
+    texts = [" ".join(f"Word{chr(97 + x)}" for x in rng.integers(0, 26, n)) for n in (0, 1, 2, 9, 40)]
+    got = toxicity.with_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), m).collect()
+    index = {int(h): i for i, h in enumerate(m["vocabulary"])}
+    for r in got:
+        t = sorted({index[h] for h in toxicity.terms(*bytetext.flat(pa.array([texts[r["doc_id"]].lower()])))[1].tolist() if h in index})
+        z = m["w0"] + sum(m["w"][i] for i in t) + sum(float(m["v"][i] @ m["v"][j]) for x, i in enumerate(t) for j in t[x + 1 :])
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-9) and r["predicted"] == int(r["score"] >= toxicity.THRESHOLD)
+
+
+def test_machine_learns_an_interaction(spark):
     rng = np.random.default_rng(5)
     texts, y = [], []
     for _ in range(900):
         a, b = rng.random(2) < 0.5
         texts.append(" ".join([*rng.choice([f"f{k}" for k in "abcdefgh"], 3), *(["insultword"] if a else []), *(["groupword"] if b else [])]))
-        y.append(float(a and b))
-    m = toxicity.train(texts, np.array(y))
-    v = toxicity.Vocabulary(m["vocabulary"])
-    doc, at = v.distinct(*toxicity.terms(*bytetext.flat(pa.array([f"fa fb fc {x}" for x in ("insultword", "groupword", "insultword groupword")]))))
-    z = toxicity.logits(m, doc, at, 3)
+        y.append(a and b)
+    z = _logits(_machine(spark, texts, y), [f"fa fb fc {x}" for x in ("insultword", "groupword", "insultword groupword")])
     assert z[2] > 0 > max(z[0], z[1])
 
 
+def test_machine_keeps_a_seldom_group_term(spark):
+    """Insults are in a fifth of texts; a group mention, in 6 %, depends on the label beside one alone."""
+    rng = np.random.default_rng(9)
+    texts, y = [], []
+    for _ in range(3000):
+        insult, group = rng.random() < 0.2, rng.random() < 0.06
+        group = group or (insult and rng.random() < 0.25)
+        toxic = insult and group
+        texts.append(" ".join([*rng.choice([f"f{x}" for x in "abcdefghijkl"], 4), *(["slurword"] if insult else []), *(["folkname"] if group else [])]))
+        y.append(toxic)
+    m = _machine(spark, texts, y)
+    z = _logits(m, ["fa fb slurword", "fa fb folkname", "fa fb slurword folkname"])
+    assert z[2] > 0 > max(z[0], z[1])
+
+
+def test_vocabulary_takes_terms_that_tell_beside_others(spark):
+    """A term independent of the label over all texts, and not among those with a telling one."""
+    rows, terms = [], []
+    for k in range(1200):
+        slur, group = k % 4 == 0, k % 12 in (0, 1, 5)
+        toxic = (slur and (k % 12 == 0 or k % 5 == 0)) or (not slur and not group and k % 40 == 3)
+        rows.append((k, int(toxic)))
+        terms += [(k, h) for h, there in ((1, slur), (2, group), (3, k % 10 == 0)) if there]
+    terms, rows = spark.createDataFrame(terms, "row long, h long"), spark.createDataFrame(rows, "row long, toxic int")
+    assert {1, 2} <= {r["h"] for r in toxicity.vocabulary(terms, rows).collect()}
+
+
 # 5
 
 
@@ -310,6 +389,36 @@ def test_preferences(spark):
     assert got[4]["chosen"] == "" and got[2]["prompt"] == ""
 
 
+def test_preferences_against_a_loop(spark):
+    """Random conversations with shared beginnings, one of very many turns, null and clashing turns, and ids beyond 2**53."""
+    rng = np.random.default_rng(1)
+    roles, rows = ["system", "user", "assistant", None], []
+    for k in range(60):
+        pair = k if k < 50 else (1 << 54) + 2 * k + 1
+        shared = [(roles[rng.integers(4)], f"s{rng.integers(3)}") for _ in range(rng.integers(0, 6) if k else 3000)]
+        for side in (0, 1) if k % 9 else (k % 2,):
+            turns = shared + [(roles[rng.integers(4)], None if rng.random() < 0.1 else f"x{rng.integers(2)}") for _ in range(rng.integers(0, 4))]
+            rows += [(2 * pair + side, t, role, text) for t, (role, text) in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    pairs = df.select(F.shiftright("conv_id", 1).alias("pair_id"), (F.col("conv_id") % 2 == 0).alias("chosen"), "turn", "role", "text")
+    got = {r["pair_id"]: r for r in chat.preferences(pairs).collect()}
+    by: dict = {}
+    for c, t, role, text in rows:
+        by.setdefault(c // 2, ([], []))[c % 2].append((t, role or "", text or ""))
+    assert set(got) == set(by) and max(got) > 1 << 53
+    render = lambda ts: "".join(f"<|im_start|>{role}\n{text}<|im_end|>\n" for _, role, text in ts)
+    for k, (c, j) in by.items():
+        n = 0
+        while n < min(len(c), len(j)) and c[n][1:] == j[n][1:]:
+            n += 1
+        r = got[k]
+        assert (r["prompt_turns"], r["prompt"], r["chosen"], r["rejected"]) == (n, render(c[:n]), render(c[n:]), render(j[n:])), k
+        want = [f"{text}<|im_end|>" for _, role, text in c[n:] if role == "assistant"]
+        assert [r["chosen"][x["start"] : x["end"]] for x in r["chosen_spans"]] == want
+    assert sum(r["prompt_turns"] > 0 and r["status"] == "ok" for r in got.values()) > 20
+    assert chat.preferences(pairs.limit(0)).count() == 0
+
+
 # 6
 
 
@@ -336,6 +445,42 @@ def test_packing_round_trip(spark, odd, empty):
     assert packing.pack(empty).count() == 0 and packing.pack(odd).agg(F.count_distinct("doc_id")).first()[0] == 5
 
 
+def test_parts_with_one_hash_keep_their_ids(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing.bytetext, "mix", lambda h: h & np.uint64(7))  # every hash is that of many parts
+    path = public_tokenizers.path(packing.TOKENIZER)
+    text = "the quick brown fox jumps over the lazy dog and some other words of several lengths"
+    for _ in range(2):
+        ids, tokens = packing.Encoder(path)(*bytetext.flat(pa.array([text, text[::-1]])))
+        want = [x for t in (text, text[::-1]) for x in (*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 1)]
+        assert ids.tolist() == want and tokens.sum() == len(want)
+
+
+def test_ranges_hold_equal_bytes_and_neighbours(spark, monkeypatch):
+    """Two topics, one in long documents, and a third of copies: ranges by bytes, and sequences of one topic."""
+    monkeypatch.setattr(packing, "RANGE_BYTES", 1 << 15)
+    monkeypatch.setattr(packing, "UNIT_BYTES", 1 << 7)
+    rng = np.random.default_rng(0)
+    words = [[f"{c}{k}" for k in range(60)] for c in "ab"]
+    texts = [" ".join(rng.choice(words[k % 2], 60 if k % 2 else 900)) for k in range(300)] + [" ".join(words[0] * 3)] * 300
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def keyed(parts):
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(packing.curve_keys(*bytetext.flat(part.column("text"))))], [*part.schema.names, "_key"])
+
+    placed = docs.mapInArrow(keyed, "doc_id long, text string, _key long").withColumns({"_place": F.shiftleft("_key", 20) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)), "_bytes": F.octet_length("text")})
+    sizes = [r["b"] for r in packing._in_ranges(placed).groupBy("_range").agg(F.sum("_bytes").alias("b")).collect()]
+    assert len(sizes) > 20 and max(sizes) < 2.5 * np.mean(sizes)
+    by_sequence: dict = {}
+    for r in packing.pack(docs).filter("doc_id < 300").collect():
+        by_sequence.setdefault(r["sequence_id"], []).append((r["doc_id"] % 2, r["length"]))
+    one = [max(sum(n for t, n in pieces if t == k) for k in (0, 1)) / sum(n for _, n in pieces) for pieces in by_sequence.values()]
+    assert np.mean(one) > 0.9
+
+
 def test_hilbert_is_a_walk():
     g = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     h = packing.hilbert(g, 3)
@@ -372,6 +517,49 @@ def test_wrapped_licenses(spark):
     assert got[3]["n_licensed"] == 3 and not got[4]["confirmed"] and (got[5]["family"], got[5]["n_licensed"]) == ("unknown", 0)
 
 
+def test_license_scores_against_a_loop(spark):
+    """Every line's score, family and similarity again in plain Python, and every confirmed window's."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    lines = licenses.training_lines(docs)
+    model = licenses.train(lines)
+    assert 0 < len(lines) <= licenses.SAMPLE_LINES and model["least"] >= 0.5 and any(0.0 in w for w in model["weights"].values())
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["text"]}
+    classes = model["classes"]
+
+    def score(grams: list[str]) -> tuple[float, str, float]:
+        z = np.array(model["bias"]) + sum(np.array(model["weights"][g]) for g in grams if g in model["weights"])
+        p = np.exp((z - z.max()) / model["temperature"])
+        p /= p.sum()
+        family = classes[int(p[:-1].argmax())] if p[:-1].max() >= model["least"] and p[:-1].max() >= p[-1] else licenses.UNKNOWN
+        return p[:-1].max(), family, max([licenses._similarity(set(grams), set(licenses.grams(t))) for t in licenses.TEMPLATES.get(family, ())], default=0.0)
+
+    rows = licenses.scan_paragraphs(docs, model).filter("last is null and pos is not null").collect()
+    assert rows
+    for r in rows:
+        want = score(licenses.grams(texts[r["doc_id"]].split("\n")[r["pos"]]))
+        assert (r["score"], r["similarity"]) == pytest.approx((want[0], want[2]), abs=1e-9) and r["family"] == want[1]
+        assert r["licensed"] == (want[1] != licenses.UNKNOWN and want[2] >= licenses.CONFIRMED)
+
+
+def test_planted_licenses_are_found_and_clean_texts_left_alone(spark):
+    """License texts planted, as wrapped paragraphs, in documents that nothing was learned from."""
+    docs = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").select("text").collect() if r["text"]]
+    known, rest = docs[::2], [d for d in docs[1::2] if not re.search("(?i)licen|rights reserved|redistribut|permission is", d)]
+    learned = spark.createDataFrame(list(enumerate(known)), "doc_id long, text string")
+    model = licenses.train(licenses.training_lines(learned))
+    planted = []
+    for k, (family, ts) in enumerate(sorted(licenses.TEMPLATES.items())):
+        for t in ts:
+            w = t.split()
+            planted.append((family, f"{rest[k]}\n\n" + "\n".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9)) + f"\n\n{rest[k + 20]}"))
+    clean = rest[40:]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*[t for _, t in planted], *clean])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(df, model).collect()}
+    right = [got[i]["confirmed"] and got[i]["family"] == f for i, (f, _) in enumerate(planted)]
+    assert np.mean(right) >= 0.9, [(planted[i][0], got[i]["family"]) for i, ok in enumerate(right) if not ok]
+    assert clean and not any(got[len(planted) + i]["confirmed"] for i in range(len(clean)))
+
+
 # 8
 
 
@@ -400,6 +588,37 @@ def test_distrust_converges(spark):
     assert [got[h]["distrust"] for h in hosts] == pytest.approx(want.tolist(), abs=1e-6)
 
 
+def test_scores_against_dense_iteration(spark):
+    """A random graph of hosts with a hub and hosts without links: trust and distrust as linear systems."""
+    rng = np.random.default_rng(4)
+    n = 40
+    hosts = [f"good{k}.com" if k < 4 else f"bad{k}.net" if k < 7 else f"plain{k}.org" for k in range(n)]
+    links = np.where(rng.random((n, n)) < 0.08, rng.integers(1, 4, (n, n)), 0)
+    links[9, :] = 1  # a hub that links to all
+    links[:, 10] += 2  # and one that all link to
+    links[20:24, :] = 0
+    np.fill_diagonal(links, 0)
+    page = lambda k: "".join(f'<a href="{"//" if (k + j) % 2 else "https://"}{hosts[j]}/">' * int(links[k, j]) for j in range(n))
+    rows = [(k, f"http://{hosts[k]}/es/1", page(k) + f'<a href="/own?u=http://{hosts[5]}/es/1"><a href="x.html">') for k in range(n)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["host"]: r for r in urlgraph.judge(df).collect()}
+    d = urlgraph.DAMPING
+    forth, back = (x / np.maximum(x.sum(axis=1, keepdims=True), 1) for x in (links, links.T))
+    for kind, step, seeds in (("trust", forth, [h.endswith(".com") for h in hosts]), ("distrust", back, [h.endswith(".net") for h in hosts])):
+        want = np.linalg.solve(np.eye(n) - d * step.T, (1 - d) * np.array(seeds, float))
+        assert [got[h][kind] or 0.0 for h in hosts] == pytest.approx(want.tolist(), abs=2e-6)
+    assert got[hosts[5]]["verdict"] == "block" and all(got[h]["verdict"] == "allow" for h in hosts[:4])
+
+
+def test_urls_odd(spark):
+    """An address in a relative link's query is no link; clashing columns; repeated rows and null ids; an empty table."""
+    rows = [(1, "http://bad.net/es/1", None, "x"), (2, "http://good.org/a", '<a href="/go?u=http://bad.net/es/1">', "y"), (2, "http://good.org/a", '<a href="/go?u=http://bad.net/es/1">', "y"), (None, "http://good.org/b", "", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, verdict string")
+    got = urlgraph.judge(df).collect()
+    assert sorted((r["page_id"] or 0, r["verdict"]) for r in got) == [(0, "allow"), (1, "block"), (2, "allow"), (2, "allow")]
+    assert urlgraph.judge(df.limit(0)).count() == 0
+
+
 # 9
 
 
@@ -425,13 +644,13 @@ def test_mixing_draws_by_the_fraction(spark):
     """Over seeds, a document is emitted as often as its source's rate says; small sources come near their targets."""
     df = spark.createDataFrame([(i, "w " * (1 + (7 * i) % 30), "ab"[i >= 15]) for i in range(60)], "doc_id long, text string, source string")
     copies = np.zeros(60)
-    for k in range(40):
+    for k in range(12):
         made = mixing.with_copies(df, seed=f"seed{k}").collect()
         for r in made:
-            copies[r["doc_id"]] += r["copies"] / 40
+            copies[r["doc_id"]] += r["copies"] / 12
         rate = {r["source"]: r["target"] / r["source_size"] for r in made}
-    assert np.abs(copies[:15].mean() - rate["a"]) < 0.05 and np.abs(copies[15:].mean() - rate["b"]) < 0.05
-    assert np.abs(copies[15:] - rate["b"]).max() < 0.35
+    assert np.abs(copies[:15].mean() - rate["a"]) < 0.1 and np.abs(copies[15:].mean() - rate["b"]) < 0.1
+    assert len(set(copies[15:].round(6).tolist())) > 2
 
 
 @pytest.mark.parametrize("sf", ["0.001", "0.01"])
