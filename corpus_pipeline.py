@@ -1,7 +1,13 @@
 """The corpus pipeline: language, quality, near duplicates, mixture, packing.
 
 Each stage works on what its predecessor kept and is written as Parquet before the next
-reads it.
+reads it. All but the last return the columns of documents, as they are but for texts that
+lost lines: what a stage works out has names of its own.
+
+Defined cases: documents whose text is null, empty or without a letter go at the first
+stage; rows with a null id are judged as any other and kept once in the third stage; rows
+that repeat an id and a text are one document from the third stage on; an empty table gives
+no pieces.
 """
 
 from __future__ import annotations
@@ -19,8 +25,8 @@ MIN_LANGUAGE_SCORE = 0.3
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are in a language; the network learns from these documents' own labels."""
     model = langid.train(langid.training_sample(docs))
-    made = langid.with_language(docs, model)
-    return made.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    made = langid.with_language(docs, model, "_lang", "_likely")
+    return made.filter((F.col("_lang") != langid.UNKNOWN) & (F.col("_likely") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
