@@ -72,7 +72,7 @@ def industry_momentum(monthly: DataFrame, static: DataFrame, of: str = "mom12m_c
 
 def _weekly_base(weekly: DataFrame, market: DataFrame | None) -> DataFrame:
     rows = indexed(weekly, "week", "wi", "nw")
-    return rows if market is None else rows.join(market, "week")
+    return rows if market is None else rows.join(F.broadcast(market), "week")  # a row a week
 
 
 def rolling_risk(monthly: DataFrame, weekly: DataFrame, market: DataFrame, long: int = 156, short: int = 52, stride: int = 4) -> DataFrame:

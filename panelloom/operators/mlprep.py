@@ -60,6 +60,11 @@ def scale(rows: DataFrame, columns: list[str], fit: Column, kind: str = "standar
     return scaled_by(rows, scaler(rows, columns, fit, kind), columns)
 
 
+def first_part(rows: DataFrame, order: list[str], ratio: float = 0.7, name: str = "fits") -> DataFrame:
+    """rows plus whether they are in the first part of the table's order, for fitting where there are no dates to split by."""
+    return positioned(rows, order).withColumn(name, F.col("_i") < F.floor(F.col("_n") * ratio)).drop("_i", "_n")
+
+
 def scale_with_target(rows: DataFrame, features: list[str], target: str, fit: Column, kind: str = "standard") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scaled rows, scaler of the features, scaler of the target); features in the order of their names, the target last and scaled apart."""
     features = sorted(c for c in features if c != target)

@@ -13,6 +13,7 @@ from ..functions import periods
 from ..operators import audits, bars, features, mlprep, moe, panel
 from ..sources import documents, sic, testdata
 from ..sources import macro as macro_source
+from ..streaming import incremental
 from . import sql
 from .sql import FEATURES, FUNDAMENTALS, MACRO, SPLITS
 
@@ -549,6 +550,12 @@ def scaled_and_back(spark, d):
     return mlprep.scaled_by(mlprep.scaled_by(rows, fitted, ["retvol"]), fitted, ["retvol"], inverse=True).select("symbol", "month", r("retvol"))
 
 
+@query("SELECT month, round((m_mean - m) / s + 0.0000000037, 6) + 0.0 AS m_mean FROM macro, (SELECT avg(m_mean) AS m, stddev_pop(m_mean) AS s FROM (SELECT *, row_number() OVER (ORDER BY month) - 1 AS i, count(*) OVER () AS n FROM macro) WHERE i < floor(n * 0.7::DOUBLE))")
+def scaled_by_ratio(spark, d):
+    rows = mlprep.first_part(testdata.macro(spark, d).select("month", "m_mean"), ["month"])
+    return mlprep.scale(rows, ["m_mean"], F.col("fits")).select("month", r("m_mean"))
+
+
 @query("SELECT month, " + sql.r("m_mean") + " FROM (SELECT *, row_number() OVER (ORDER BY month) - 1 AS i, count(*) OVER () AS n FROM macro) WHERE i >= 3 AND i < n - 2")
 def index_slice(spark, d):
     return mlprep.positions(testdata.macro(spark, d).select("month", "m_mean"), ["month"], 3, -2).select("month", r("m_mean"))
@@ -585,6 +592,19 @@ def moe_uncertainty(spark, d):
     return moe.expert_uncertainty(rows, ["o_custkey"]).select("o_custkey", "expert", r("mean", 4), r("std", 4))
 
 
+@query(
+    f"SELECT symbol, strftime(date, '%Y-%m') AS month, {sql.r('arg_max(price, date)', 6, 'close')}, {sql.r('sum(volume)', 6, 'volume')}, count(*) AS days FROM (SELECT symbol, date, price, volume FROM (SELECT CAST(l_partkey AS VARCHAR) AS symbol, CAST(l_shipdate AS DATE) AS date, l_extendedprice / l_quantity AS price, l_quantity AS volume FROM lineitem) QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY price, volume) = 1) GROUP BY 1, 2"
+)
+def stream_monthly(spark, d):
+    """The lines as a stream of bars, in one batch: months of every symbol, kept up to date in a store."""
+    schema = testdata.read(spark, d, "lineitem").schema
+    lines = spark.readStream.schema(schema).parquet(f"{d}/lineitem.parque[t]")
+    bars_of = lines.select(F.col("l_partkey").cast("string").alias("symbol"), F.to_date("l_shipdate").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("volume"))
+    store = incremental.scratch(spark, "stream")
+    incremental.maintain_monthly(bars_of, f"{store}/store", f"{store}/checkpoint").awaitTermination()
+    return incremental.latest_monthly(spark, f"{store}/store").select("symbol", "month", r("close"), r("volume"), "days")
+
+
 # Documents and files.
 
 

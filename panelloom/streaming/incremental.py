@@ -35,6 +35,17 @@ def maintain_monthly(stream: DataFrame, store: str, checkpoint: str, buckets: in
     return stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where all run on this machine."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='panelloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def latest_monthly(spark: SparkSession, store: str) -> DataFrame:
     rows = spark.read.parquet(f"{store}/monthly")
     newest = rows.groupBy("symbol").agg(F.max("batch").alias("batch"))
