@@ -63,7 +63,7 @@ NUMERATOR, DENOMINATOR = 3, 4
 #: Chunks a shingle at least, keys of a set under the random order, members outside its largest component that make a key hot.
 CHUNKS, FIRST, HOT = 8, 40, 4096
 #: Bounds of a block: rows, and shingles of all its sets. Of what a task looks at at once: bytes, pairs, pairs remembered.
-BLOCK, BLOCK_SHINGLES, BUNDLE_BYTES, PAIRS, SEEN = 4096, 4_000_000, 64 << 20, 1 << 20, 1_000_000
+BLOCK, BLOCK_SHINGLES, BUNDLE_BYTES, PAIRS, SEEN = 4096, 2_000_000, 16 << 20, 1 << 18, 250_000
 #: Log2 of the cells that count shingles of texts with a common passage, the count from which they are frequent, and the log of how seldom keys may miss.
 CELL_BITS, FREQUENT, MISS = 20, 64, np.log(1e-18)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -427,7 +427,7 @@ def _passing(bundle: pa.Table, group: np.ndarray) -> Iterator[tuple[np.ndarray,
         kinds = np.minimum(width[a], width[b]) * 4 + (width[a] > width[b]) + 2 * (width[b] > width[a])
         for kind in np.unique(kinds).tolist():
             k, fold = np.flatnonzero(kinds == kind), kind >> 2
-            for s in range(0, len(k), step := max(1, (1 << 20) // fold)):
+            for s in range(0, len(k), step := max(1, PAIRS // fold)):
                 x, y = a[k[s : s + step]], b[k[s : s + step]]
                 of = lambda r: longs[at[r][:, None] + np.arange(fold)] ^ longs[at[r][:, None] + fold + np.arange(fold)] if width[r[0]] > fold else longs[at[r][:, None] + np.arange(fold)]  # noqa: E731, B023
                 apart = np.bitwise_count(of(x) ^ of(y)).sum(axis=1, dtype=np.int64)
