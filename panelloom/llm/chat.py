@@ -55,10 +55,23 @@ def preferences(turns: DataFrame) -> DataFrame:
     )
 
 
+def with_other_ends(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text) -> preference pairs: a conversation is chosen over itself with its last trained turn from conversation conv_id ^ 1.
+
+    Where either has no such turn the pair has no rejected side.
+    """
+    turns = turns.filter(F.col("conv_id").isNotNull()).select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    last = turns.filter(F.col("role") == TRAINED_ROLE).groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
+    ends = last.select("conv_id", F.col("last.turn").alias("at"), F.col("last.text").alias("own")).join(last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last.text").alias("other")), "conv_id")
+    is_last = (F.col("role") == TRAINED_ROLE) & F.col("turn").eqNullSafe(F.col("at")) & (F.col("text") == F.col("own"))
+    rejected = turns.join(ends, "conv_id").withColumn("text", F.when(is_last, F.col("other")).otherwise(F.col("text")))
+    both = [t.select(F.col("conv_id").alias("pair_id"), F.lit(chosen).alias("chosen"), "turn", "role", "text") for t, chosen in ((turns, True), (rejected, False))]
+    return both[0].unionAll(both[1])
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected) are pair k; spans as text, start-end by commas."""
-    turns = table(spark, sf_dir, "conversations")
-    turns = turns.select(F.shiftright("conv_id", 1).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), "turn", "role", "text")
+    """One row a conversation, paired with itself under another's end; spans as text, start-end by commas."""
+    turns = with_other_ends(table(spark, sf_dir, "conversations"))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
     return preferences(turns).select("pair_id", "status", "prompt_turns", "prompt", "chosen", "rejected", text("chosen_spans"), text("rejected_spans"))
 
@@ -67,10 +80,16 @@ def _sql() -> str:
     side = lambda s: f"coalesce(string_agg(body, '' ORDER BY pos) FILTER (WHERE side = '{s}' AND pos > k), '')"
     spans = lambda s: f"coalesce(string_agg(CAST(CAST(before + head AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(before + head + length(text) + {len(CLOSE)} AS BIGINT) AS VARCHAR), ',' ORDER BY pos) FILTER (WHERE side = '{s}' AND pos > k AND role = '{TRAINED_ROLE}'), '')"
     return f"""
-WITH t AS (
-  SELECT conv_id >> 1 AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'c' ELSE 'r' END AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
-  FROM conversations WHERE conv_id IS NOT NULL
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), ends AS (
+  SELECT conv_id, turn, text FROM turns WHERE role = '{TRAINED_ROLE}' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, text DESC) = 1
+), sides AS (
+  SELECT conv_id AS pair_id, 'c' AS side, turn, coalesce(role, '') AS role, text FROM turns UNION ALL
+  SELECT t.conv_id, 'r', t.turn, coalesce(t.role, ''), CASE WHEN t.role = '{TRAINED_ROLE}' AND t.turn IS NOT DISTINCT FROM e.turn AND t.text = e.text THEN o.text ELSE t.text END
+  FROM turns t JOIN ends e ON t.conv_id = e.conv_id JOIN ends o ON o.conv_id = xor(e.conv_id, 1)
+), t AS (
+  SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) AS pos FROM sides
 ), n AS (
   SELECT pair_id, count(*) FILTER (WHERE side = 'c') AS nc, count(*) FILTER (WHERE side = 'r') AS nr FROM t GROUP BY pair_id
 ), diff AS (

@@ -419,6 +419,13 @@ def test_preferences_against_a_loop(spark):
     assert chat.preferences(pairs.limit(0)).count() == 0
 
 
+def test_other_ends(spark):
+    t = [(2, 0, "user", "q"), (2, 1, "assistant", "a"), (2, 2, "user", "r"), (2, 3, "assistant", "good"), (2, 4, "user", "bye"), (3, 0, "assistant", "bad"), (4, 0, "user", "alone"), (None, 0, "assistant", "lost")]
+    got = {r["pair_id"]: r for r in chat.preferences(chat.with_other_ends(spark.createDataFrame(t, "conv_id long, turn int, role string, text string"))).collect()}
+    assert set(got) == {2, 3, 4} and (got[2]["prompt_turns"], got[3]["prompt_turns"], got[4]["status"]) == (3, 0, "no_rejected")
+    assert "good" in got[2]["chosen"] and "bad" in got[2]["rejected"] and "good" not in got[2]["rejected"] and got[2]["rejected"].endswith("bye<|im_end|>\n")
+
+
 # 6
 
 
