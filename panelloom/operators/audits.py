@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from ..functions.windows import average_ranks, by_months
 
 #: Rows that a rank correlation by pairs of rows takes; its time isn't linear, and a pair of columns is one group.
 KENDALL_ROWS = 1_000_000
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # what runs in workers needs no package there
 
 
 def month_gaps(rows: DataFrame) -> DataFrame:
@@ -79,8 +82,9 @@ def _pearson(a: Column, b: Column) -> Column:
 
 def ranked(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Average ranks of each column, nulls apart."""
+    base = rows
     for c in columns:
-        ranks = average_ranks(rows, c).select(F.col("value").alias("_value"), F.col("rank").alias(f"_{c}"))
+        ranks = average_ranks(base, c).select(F.col("value").alias("_value"), F.col("rank").alias(f"_{c}"))
         rows = rows.join(ranks, F.col(c) == F.col("_value"), "left").drop("_value")
     return rows.select(*[F.col(f"_{c}").alias(c) for c in columns])
 
