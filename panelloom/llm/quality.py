@@ -179,8 +179,11 @@ WITH d AS (
 ), line AS (
   SELECT rid, doc_id, source, text, trim(regexp_replace(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g')) AS l
   FROM (SELECT rid, doc_id, source, text, unnest(ls) AS l FROM w)
+), host AS (
+  SELECT source, count(DISTINCT coalesce(doc_id, -1)) AS docs FROM line GROUP BY source
 ), often AS (
-  SELECT source, l, min(doc_id) AS first_id FROM line GROUP BY source, l HAVING count(DISTINCT text) > 100
+  SELECT g.source, l, first_id FROM (SELECT source, l, min(doc_id) AS first_id, count(DISTINCT text) AS n FROM line GROUP BY source, l) g
+  JOIN host ON g.source IS NOT DISTINCT FROM host.source WHERE n > least(100.0, greatest(3.0, 0.05::DOUBLE * docs))
 ), gone AS (
   SELECT rid, CAST(sum(len(string_split(line.l, ' '))) AS BIGINT) AS n
   FROM line JOIN often ON line.l = often.l AND line.source IS NOT DISTINCT FROM often.source
