@@ -92,11 +92,10 @@ def curve_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _beginning(part: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The first eight bytes of each stretch as one number."""
-    out = np.zeros(len(begin), np.uint64)
-    for k in range(8):
-        at = begin + k
-        out |= np.where(at < end, part[np.minimum(at, len(part) - 1)], 0).astype(np.uint64) << np.uint64(8 * k) if len(part) else 0
-    return out
+    padded = np.concatenate([part, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(part) + 1,), "<u8", padded, strides=(1,))  # the number that starts at each byte
+    size = np.minimum(end - begin, 8).astype(np.uint64)
+    return eight[begin] & (np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * np.maximum(size, np.uint64(1))))
 
 
 class Encoder:
