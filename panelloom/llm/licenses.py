@@ -24,6 +24,7 @@ extra columns are not carried.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -93,6 +94,7 @@ TEMPLATES = {
 UNKNOWN = "unknown"
 #: Bounds: corpus lines learned as unknown, variants of a template.
 SAMPLE_LINES, VARIANTS = 3000, 40
+BUCKETS = 256
 EPOCHS, BATCH, L1, LIFT, SEED = 10, 32, 2e-4, 5.0, 3
 CONFIRMED = 0.6
 WORDS = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -190,13 +192,14 @@ def scan_paragraphs(docs: DataFrame, model: dict) -> DataFrame:
     classes, known = model["classes"], list(model["weights"])
     unseen = np.array(model["bias"]) / model["temperature"]
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_rid"), F.filter(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n"), lambda x, i: F.struct(i.alias("pos"), F.regexp_extract_all(x, F.lit(f"({WORDS})"), F.lit(1)).alias("w"))), lambda p: F.size(p["w"]) > 0).alias("_lines"))
+    rows = rows.withColumn("_lines", F.transform("_lines", lambda p, k: F.struct(p["pos"].alias("pos"), p["w"].alias("w"), (p["pos"] - k).alias("gap"))))
     rows = rows.withColumn("n_paragraphs", F.size("_lines").cast("long"))
     grams_of = lambda w: f"concat({w}, transform(filter(sequence(0, size({w}) - 1), i -> i < size({w}) - 1), i -> concat({w}[i], ' ', {w}[i + 1])))"
     weighted = lambda g: g.isin(known) if known else F.lit(False)
     hits = lambda p: F.array_distinct(F.filter(p["grams"], weighted)).alias("hits")
     rows = rows.withColumn("_own", F.expr(f"transform(_lines, (p, at) -> struct(p.pos as pos, cast(null as int) as last, at, p.w as w, {grams_of('p.w')} as grams))"))
     rows = rows.withColumn("_own", F.filter(F.transform("_own", lambda p: F.struct(*[p[c].alias(c) for c in ("pos", "last", "at", "w", "grams")], hits(p))), lambda p: F.size(p["hits"]) > 0))
-    after = f"""aggregate(filter(slice(transform(_lines, (l, k) -> struct(l.pos as pos, l.pos - k as gap, l.w as w)), p.at + 2, {WRAPPED}), l -> l.gap = p.pos - p.at),
+    after = f"""aggregate(filter(slice(_lines, p.at + 2, {WRAPPED}), l -> l.gap = p.pos - p.at),
       named_struct('w', cast(array() as array<string>), 'last', p.pos), (a, l) -> if(size(a.w) < {WRAPPED}, named_struct('w', concat(a.w, l.w), 'last', l.pos), a))"""
     rows = rows.withColumn("_wrapped", F.expr(f"transform(_own, p -> struct(p.pos as pos, size(p.hits) as n, p.w as w, {after} as more))"))
     rows = rows.withColumn("_wrapped", F.expr(f"transform(filter(_wrapped, p -> size(p.more.w) > 0), p -> struct(p.pos as pos, p.more.last as last, p.n as n, concat(p.w, slice(p.more.w, 1, {WRAPPED})) as w))"))
@@ -205,9 +208,14 @@ def scan_paragraphs(docs: DataFrame, model: dict) -> DataFrame:
     slim = lambda c: F.transform(c, lambda p: F.struct(*[p[x].alias(x) for x in ("pos", "last", "grams", "hits")]))
     rows = rows.withColumn("_p", F.explode_outer(F.concat(slim("_own"), slim("_wrapped")))).select("_rid", "doc_id", "n_paragraphs", F.col("_p.pos").alias("pos"), F.col("_p.last").alias("last"), F.col("_p.grams").alias("grams"), F.coalesce("_p.hits", F.array().cast("array<string>")).alias("hits"))
     scaled = {g: [float(v) / model["temperature"] for v in w] for g, w in model["weights"].items()} or {"": [0.0] * len(classes)}
-    table_of = F.map_from_arrays(F.array(*map(F.lit, scaled)), F.array(*[F.array(*map(F.lit, w)) for w in scaled.values()]))  # folds to one literal
+    # A map is searched in order, so n-grams are spread over many; all fold to one literal.
+    spread: list[dict] = [{"": [0.0] * len(classes)} for _ in range(BUCKETS)]
+    for g, w in scaled.items():
+        spread[zlib.crc32(g.encode()) % BUCKETS][g] = w
+    tables = F.array(*[F.map_from_arrays(F.array(*map(F.lit, t)), F.array(*[F.array(*map(F.lit, w)) for w in t.values()])) for t in spread])
+    weights_of = lambda g: F.element_at(F.get(tables, (F.crc32(g.cast("binary")) % BUCKETS).cast("int")), g)
     start = F.array(*[F.lit(float(v)) for v in unseen])
-    z = F.aggregate("hits", start, lambda total, g: F.zip_with(total, F.element_at(table_of, g), lambda x, y: x + y))
+    z = F.aggregate("hits", start, lambda total, g: F.zip_with(total, weights_of(g), lambda x, y: x + y))
     made = rows.withColumn("_z", z).withColumn("_top", F.array_max("_z"))
     made = made.withColumn("_known", F.array_max(F.slice("_z", 1, len(classes) - 1)))
     made = made.withColumn("score", F.exp(F.col("_known") - F.col("_top")) / F.aggregate("_z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("_top"))))
