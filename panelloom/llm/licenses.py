@@ -216,18 +216,20 @@ def scan_paragraphs(docs: DataFrame, model: dict) -> DataFrame:
     weights_of = lambda g: F.element_at(F.get(tables, (F.crc32(g.cast("binary")) % BUCKETS).cast("int")), g)
     start = F.array(*[F.lit(float(v)) for v in unseen])
     z = F.aggregate("hits", start, lambda total, g: F.zip_with(total, weights_of(g), lambda x, y: x + y))
-    made = rows.withColumn("_z", z).withColumn("_top", F.array_max("_z"))
-    made = made.withColumn("_known", F.array_max(F.slice("_z", 1, len(classes) - 1)))
-    made = made.withColumn("score", F.exp(F.col("_known") - F.col("_top")) / F.aggregate("_z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("_top"))))
-    made = made.withColumn("score", F.when(F.col("pos").isNotNull(), F.col("score")).otherwise(F.lit(0.0)))
+    # Generators, so that filters on what follows aren't pushed below it and don't work it out again for every mention.
+    once = lambda df, **made: df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))))
+    made = once(rows, _z=z)
+    made = once(made, _top=F.array_max("_z"), _known=F.array_max(F.slice("_z", 1, len(classes) - 1)))
+    likely = F.exp(F.col("_known") - F.col("_top")) / F.aggregate("_z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("_top")))
+    made = once(made, score=F.when(F.col("pos").isNotNull(), likely).otherwise(F.lit(0.0)))
     named = (F.col("score") >= model["least"]) & (F.col("_known") == F.col("_top"))
-    made = made.withColumn("family", F.when(named, F.element_at(F.array(*map(F.lit, classes)), F.array_position("_z", F.col("_known")).cast("int"))).otherwise(F.lit(UNKNOWN)))
+    made = once(made, family=F.when(named, F.element_at(F.array(*map(F.lit, classes)), F.array_position("_z", F.col("_known")).cast("int"))).otherwise(F.lit(UNKNOWN)))
     # A template's n-grams are literals too: the largest share of one template of the family.
     shares = [(f, F.greatest(*[F.size(F.array_intersect("grams", F.array(*map(F.lit, g)))) / len(g) for g in map(grams, ts)], F.lit(0.0))) for f, ts in TEMPLATES.items()]
     similarity = F.lit(0.0)
     for f, share in shares:
         similarity = F.when(F.col("family") == f, share).otherwise(similarity)
-    made = made.withColumn("similarity", similarity)
+    made = once(made, similarity=similarity)
     made = made.withColumn("licensed", (F.col("family") != UNKNOWN) & (F.col("similarity") >= CONFIRMED))
     return made.filter(F.col("last").isNull() | F.col("licensed")).select("_rid", "doc_id", "n_paragraphs", "pos", "last", "family", "score", "similarity", "licensed")
 
