@@ -23,12 +23,13 @@ extra columns are not carried.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -187,6 +188,11 @@ def training_lines(docs: DataFrame, n: int = SAMPLE_LINES) -> list[str]:
     return [r["line"] for r in picked.orderBy("l.h", "doc_id").limit(n).select("l.line").collect()]
 
 
+def _literal(value: object, kind: str) -> Column:
+    """A constant of any size as one expression, which folds; built up from literals it would take a call an element."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def scan_paragraphs(docs: DataFrame, model: dict) -> DataFrame:
     """One row a line that has a weighted n-gram, one a confirmed window of lines, and one with null pos for a document without: _rid, doc_id, n_paragraphs, pos, last (of a window), family, score, similarity, licensed."""
     classes, known = model["classes"], list(model["weights"])
@@ -195,24 +201,24 @@ def scan_paragraphs(docs: DataFrame, model: dict) -> DataFrame:
     rows = rows.withColumn("_lines", F.transform("_lines", lambda p, k: F.struct(p["pos"].alias("pos"), p["w"].alias("w"), (p["pos"] - k).alias("gap"))))
     rows = rows.withColumn("n_paragraphs", F.size("_lines").cast("long"))
     grams_of = lambda w: f"concat({w}, transform(filter(sequence(0, size({w}) - 1), i -> i < size({w}) - 1), i -> concat({w}[i], ' ', {w}[i + 1])))"
-    weighted = lambda g: g.isin(known) if known else F.lit(False)
-    hits = lambda p: F.array_distinct(F.filter(p["grams"], weighted)).alias("hits")
+    listed = ", ".join(f"'{g}'" for g in known or [""])  # of letters, digits, dots, hyphens and spaces
+    hits = f"array_distinct(filter(p.grams, g -> g in ({listed}))) as hits"
     rows = rows.withColumn("_own", F.expr(f"transform(_lines, (p, at) -> struct(p.pos as pos, cast(null as int) as last, at, p.w as w, {grams_of('p.w')} as grams))"))
-    rows = rows.withColumn("_own", F.filter(F.transform("_own", lambda p: F.struct(*[p[c].alias(c) for c in ("pos", "last", "at", "w", "grams")], hits(p))), lambda p: F.size(p["hits"]) > 0))
+    rows = rows.withColumn("_own", F.expr(f"filter(transform(_own, p -> struct(p.pos as pos, p.last as last, p.at as at, p.w as w, p.grams as grams, {hits})), p -> size(p.hits) > 0)"))
     after = f"""aggregate(filter(slice(_lines, p.at + 2, {WRAPPED}), l -> l.gap = p.pos - p.at),
       named_struct('w', cast(array() as array<string>), 'last', p.pos), (a, l) -> if(size(a.w) < {WRAPPED}, named_struct('w', concat(a.w, l.w), 'last', l.pos), a))"""
     rows = rows.withColumn("_wrapped", F.expr(f"transform(_own, p -> struct(p.pos as pos, size(p.hits) as n, p.w as w, {after} as more))"))
     rows = rows.withColumn("_wrapped", F.expr(f"transform(filter(_wrapped, p -> size(p.more.w) > 0), p -> struct(p.pos as pos, p.more.last as last, p.n as n, concat(p.w, slice(p.more.w, 1, {WRAPPED})) as w))"))
     rows = rows.withColumn("_wrapped", F.expr(f"transform(_wrapped, p -> struct(p.pos as pos, p.last as last, p.n as n, {grams_of('p.w')} as grams))"))
-    rows = rows.withColumn("_wrapped", F.filter(F.transform("_wrapped", lambda p: F.struct(*[p[c].alias(c) for c in ("pos", "last", "n", "grams")], hits(p))), lambda p: F.size(p["hits"]) > p["n"]))
+    rows = rows.withColumn("_wrapped", F.expr(f"filter(transform(_wrapped, p -> struct(p.pos as pos, p.last as last, p.n as n, p.grams as grams, {hits})), p -> size(p.hits) > p.n)"))
     slim = lambda c: F.transform(c, lambda p: F.struct(*[p[x].alias(x) for x in ("pos", "last", "grams", "hits")]))
     rows = rows.withColumn("_p", F.explode_outer(F.concat(slim("_own"), slim("_wrapped")))).select("_rid", "doc_id", "n_paragraphs", F.col("_p.pos").alias("pos"), F.col("_p.last").alias("last"), F.col("_p.grams").alias("grams"), F.coalesce("_p.hits", F.array().cast("array<string>")).alias("hits"))
-    scaled = {g: [float(v) / model["temperature"] for v in w] for g, w in model["weights"].items()} or {"": [0.0] * len(classes)}
+    scaled = {g: [float(v) / model["temperature"] for v in w] for g, w in model["weights"].items()}
     # A map is searched in order, so n-grams are spread over many; all fold to one literal.
-    spread: list[dict] = [{"": [0.0] * len(classes)} for _ in range(BUCKETS)]
+    spread: list[dict] = [{} for _ in range(BUCKETS)]
     for g, w in scaled.items():
         spread[zlib.crc32(g.encode()) % BUCKETS][g] = w
-    tables = F.array(*[F.map_from_arrays(F.array(*map(F.lit, t)), F.array(*[F.array(*map(F.lit, w)) for w in t.values()])) for t in spread])
+    tables = _literal(spread, "array<map<string,array<double>>>")
     weights_of = lambda g: F.element_at(F.get(tables, (F.crc32(g.cast("binary")) % BUCKETS).cast("int")), g)
     start = F.array(*[F.lit(float(v)) for v in unseen])
     z = F.aggregate("hits", start, lambda total, g: F.zip_with(total, weights_of(g), lambda x, y: x + y))
@@ -225,7 +231,7 @@ def scan_paragraphs(docs: DataFrame, model: dict) -> DataFrame:
     named = (F.col("score") >= model["least"]) & (F.col("_known") == F.col("_top"))
     made = once(made, family=F.when(named, F.element_at(F.array(*map(F.lit, classes)), F.array_position("_z", F.col("_known")).cast("int"))).otherwise(F.lit(UNKNOWN)))
     # A template's n-grams are literals too: the largest share of one template of the family.
-    shares = [(f, F.greatest(*[F.size(F.array_intersect("grams", F.array(*map(F.lit, g)))) / len(g) for g in map(grams, ts)], F.lit(0.0))) for f, ts in TEMPLATES.items()]
+    shares = [(f, F.greatest(*[F.size(F.array_intersect("grams", _literal(g, "array<string>"))) / len(g) for g in map(grams, ts)], F.lit(0.0))) for f, ts in TEMPLATES.items()]
     similarity = F.lit(0.0)
     for f, share in shares:
         similarity = F.when(F.col("family") == f, share).otherwise(similarity)
