@@ -520,10 +520,10 @@ def final_dataset(spark, d):
     macro = audits.without_correlated(macro, list(MACRO))
     kept = [c for c in MACRO if c in macro.columns]
     scaled = panel.join_macro(scaled, mlprep.scale_with_target(macro, kept, "m_mean", F.col("month") < SPLITS[0])[0])
-    own, outer = mlprep.firm_and_macro_sequences(scaled, firm, kept, "mom1m", STEPS, MACRO_STEPS)
+    windows = mlprep.joint_sequences(scaled, firm, kept, "mom1m", STEPS, MACRO_STEPS)
     static = testdata.static_info(spark, d)
     codes = static.join(F.broadcast(mlprep.code_map(static, "sic2")), "sic2").select("symbol", F.col("code").alias("sic"))
-    both = own.join(outer, ["split", "symbol", "time"]).join(codes, "symbol")
+    both = windows.join(codes, "symbol")
     made = both.withColumns({"macro_total": _total("macro_x"), "macro_steps": F.size("macro_x").cast("long")})
     return _digest(made, "split", "symbol", "sic", "macro_steps", "macro_total").withColumn("macro_total", r("macro_total", 4))
 

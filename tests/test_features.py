@@ -296,6 +296,14 @@ def test_scaling_with_target_and_back(spark):
     assert [(round(r["a"], 9), round(r["y"], 9)) for r in back.orderBy("month").collect()] == [(k * k, k) for k in range(1, 7)]
 
 
+def test_windows_of_two_lengths(spark):
+    df = spark.createDataFrame([("t", "A", f"2020-{k:02d}", float(k), 10.0 * k) for k in range(1, 8)], "split string, symbol string, month string, v double, m double")
+    own, outer = mlprep.firm_and_macro_sequences(df, ["v"], ["m"], "v", 4, 2)
+    assert (own.count(), outer.count()) == (3, 5)
+    want = rows_of(own.join(outer, ["split", "symbol", "time"]).select("time", "x", "macro_x", "y"), "time")
+    assert rows_of(mlprep.joint_sequences(df, ["v"], ["m"], "v", 4, 2).select("time", "x", "macro_x", "y"), "time") == want and len(want) == 3
+
+
 def test_positions_of_a_table(spark, monkeypatch):
     from panelloom.functions import windows
 
