@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import os
 import re
 import zlib
@@ -12,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.llm import bytetext, chat, components, jaccard, langid, licenses, mixing, neardup, packing, quality, registry, toxicity, urlgraph
+from panelloom.llm import audit, bytetext, chat, components, jaccard, langid, licenses, mixing, neardup, packing, quality, registry, toxicity, urlgraph
 from panelloom.llm.common import Stash, is_held_out
 from tests.test_queries import same
 
@@ -709,3 +711,72 @@ def test_repeated_words_against_brute_force(spark):
         w = t.split()
         wins = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
         assert got[i] == len({k + d for k, x in enumerate(wins) if wins.count(x) > 1 for d in range(3)})
+
+
+# 13
+
+
+def test_plain_changes_visit_every_order_by_one_swap():
+    for n in range(1, 6):
+        made = list(audit.plain_changes(n))
+        assert {tuple(o) for o, _ in made} == set(itertools.permutations(range(n)))
+        assert len(made) == math.factorial(n) and made[0][1] is None
+        for (a, _), (b, i) in itertools.pairwise(made):
+            assert b == [*a[:i], a[i + 1], a[i], *a[i + 2 :]]
+
+
+def _audited(rows: list[tuple], labels: dict) -> dict:
+    """Every filter of every order applied to a list of documents."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", r[1] or "") for r in rows]
+    fails = [
+        (len(w) < 200) * "A" + (100 * len(set(w)) < 50 * len(w)) * "B" + (100 * len(re.findall("[A-Z]", t or "")) > 2 * len(t or "")) * "C" + bool(re.search(r"[#$%&*|]", t or "")) * "D"
+        + any(o is not None and d is not None and o < d and (u or "") == (t or "") for o, u, *_ in rows) * "E"
+        for w, (d, t, *_) in zip(words, rows, strict=True)
+    ]
+    out = {}
+    for part in {r[3] or "" for r in rows}:
+        mine = [(f, labels.get(r[0], (0, 0))) for f, r in zip(fails, rows, strict=True) if (r[3] or "") == part]
+        for order in map("".join, itertools.permutations("ABCDE")):
+            left = mine
+            for step, f in enumerate(order, 1):
+                gone = [x for x in left if f in x[0]]
+                left = [x for x in left if f not in x[0]]
+                out[part, order, step] = [len(left), len(gone), sum(f in x[0] for x in mine) - len(gone), sum(f == x[0] for x in mine), sum(x[1][0] == 1 for x in gone), sum(x[1][1] == 1 for x in gone)]
+    for part in {k[0] for k in out}:
+        for f in "ABCDE":
+            at = [k for k in out if k[0] == part and k[1][k[2] - 1] == f]
+            total = sum(out[k][1] for k in at)
+            for k in at:
+                out[k].append(total)
+    return out
+
+
+def _rows_13(spark, rows: list[tuple], labels: list[tuple]) -> dict:
+    made = audit.interactions(audit.cells(spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).collect()
+    got = {(r["part"], r["filter_order"], r["step"]): [r[m] for m in audit.MEASURES] for r in made}
+    assert len(got) == len(made)
+    return got
+
+
+def test_filters_against_a_loop(spark):
+    long = " ".join(f"w{k}" for k in range(210))
+    texts = [long, long, long, long + " #", "A B C", "one two", long.upper(), "same " * 300, "same & " * 300, None, ""]
+    rows = [(k, t, "en", s, 1) for k, (t, s) in enumerate(itertools.product(texts, ["a", None, ""]))] + ODD
+    labels = [(k, k % 3, (k // 3) % 2) for k in range(0, 33, 2)] + [(2, 1, 0), (4, None, 1), (None, 1, 1)]
+    most = {}
+    for d, q, t in labels:
+        if d is not None:
+            most[d] = tuple(max(x or 0, y or 0) for x, y in zip(most.get(d, (0, 0)), (q, t), strict=True))
+    assert _rows_13(spark, rows, labels) == _audited(rows, most)
+
+
+def test_filters_odd(spark, odd, empty):
+    assert _rows_13(spark, ODD, []) == _audited(ODD, {})
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert audit.interactions(audit.cells(empty, labels)).count() == 0
+    clash = spark.createDataFrame([r + ("x",) * 3 for r in ODD], DOC + ", mask string, digest string, part string")
+    assert audit.interactions(audit.cells(clash, labels)).count() == 3 * 600
+    # A hot part and many parts.
+    many = spark.range(3000).selectExpr("id doc_id", "if(id % 3 = 0, 'hot', concat('p', id)) source", "concat('text ', id % 7) text")
+    made = audit.interactions(audit.cells(many, labels)).filter("filter_order = 'EABCD' and step = 1").collect()
+    assert len(made) == 2001 and sum(r["removed"] for r in made) == 2993 and sum(r["kept"] for r in made) == 7
