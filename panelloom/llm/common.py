@@ -65,6 +65,9 @@ class Stash:
         out._stash_path = path
         return out
 
+    def remove(self, name: str) -> None:
+        _remove(self.spark, f"{self.root}/{name}")
+
     def drop(self, df: DataFrame) -> None:
         if path := getattr(df, "_stash_path", None):
             _remove(self.spark, path)
@@ -84,6 +87,24 @@ def small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else ids
 
 
+#: A key that holds more than this part of all rows is joined by broadcast; so there are fewer of them.
+SHARES = 10_000
+
+
+def large_shares(counts: DataFrame, key: str, held: str) -> DataFrame:
+    """Keys that hold more than a SHARES-th of all rows, of a written table with a row a key: fewer than SHARES."""
+    return counts.filter(F.col(held) > (counts.agg(F.sum(held)).first()[0] or 0) / SHARES).select(key)
+
+
+def join_by_share(rows: DataFrame, lookup: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Inner join of rows with lookup, which has a row a key. Keys in hot, a few times SHARES at most, are broadcast;
+    the others have no large group and shuffle. Both tables should be written ones: they are read twice."""
+    heavy = lookup.join(F.broadcast(hot), key, "left_semi")
+    light = lookup.join(F.broadcast(hot), key, "left_anti")
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(light, key))
+
+
 def ship(spark: SparkSession) -> None:
     """Give Python workers this package where their path lacks it, once a context."""
     context = spark.sparkContext

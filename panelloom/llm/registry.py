@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, chat, jaccard, langid, licenses, mixing, neardup, packing, quality, toxicity, urlgraph
+from . import audit, chat, jaccard, langid, licenses, linedup, mixing, neardup, packing, quality, toxicity, urlgraph
 from .common import ship
 
 
@@ -26,6 +26,7 @@ def queries() -> dict:
         "op8_urls": urlgraph.op8_urls,
         "op9_mixing": mixing.op9_mixing,
         "op10_quality": quality.op10_quality,
+        "op11_lines": linedup.op11_lines,
         "op13_filters": audit.op13_filters,
     }
     return {k: _shipped(f) for k, f in made.items()}
@@ -39,5 +40,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_urls": urlgraph.SQL,
         "op9_mixing": mixing.SQL,
         "op10_quality": quality.SQL,
+        "op11_lines": linedup.SQL,
         "op13_filters": audit.SQL,
     }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import os
+import random
 import re
 import zlib
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.llm import audit, bytetext, chat, components, jaccard, langid, licenses, mixing, neardup, packing, quality, registry, toxicity, urlgraph
+from panelloom.llm import audit, bytetext, chat, components, jaccard, langid, licenses, linedup, mixing, neardup, packing, quality, registry, toxicity, urlgraph
 from panelloom.llm.common import Stash, is_held_out
 from tests.test_queries import same
 
@@ -780,3 +781,66 @@ def test_filters_odd(spark, odd, empty):
     many = spark.range(3000).selectExpr("id doc_id", "if(id % 3 = 0, 'hot', concat('p', id)) source", "concat('text ', id % 7) text")
     made = audit.interactions(audit.cells(many, labels)).filter("filter_order = 'EABCD' and step = 1").collect()
     assert len(made) == 2001 and sum(r["removed"] for r in made) == 2993 and sum(r["kept"] for r in made) == 7
+
+
+# 11
+
+
+def _key_11(line: str) -> str:
+    return re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\f\r"))
+
+
+def _lines_11(rows: list[tuple]) -> list[tuple]:
+    """(doc_id, lines, dropped, text) by a dictionary of keys; a null id is one below all."""
+    holds = {}
+    for d, t, *_ in rows:
+        for line in (t or "").split("\n"):
+            holds.setdefault(_key_11(line), set()).add(-(1 << 63) if d is None else d)
+    out = []
+    for d, t, *_ in rows:
+        lines, me = (t or "").split("\n"), -(1 << 63) if d is None else d
+        stay = [x for x in lines if len(k := _key_11(x)) < 40 or len(holds[k]) < 5 or me == max(holds[k])]
+        out.append((d, len(lines), len(lines) - len(stay), "\n".join(stay)))
+    return sorted(out, key=str)
+
+
+def _got_11(df, **how) -> list[tuple]:
+    return sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"] or "") for r in linedup.dedup(df, **how).collect()), key=str)
+
+
+def test_lines_against_a_dictionary(spark, odd, empty):
+    rng = random.Random(1)
+    pool = [x * 3 for x in ("Footer of ÉCOLE pages, Straße 12; ", "All İstanbul ΣΑΣ lines ARE kept. ", "plain Words over and Over again ", "\U0001f600 emoji line with forty points or so ")]
+    pool += ["x" * 39, "Y" * 40, " \t" + "y" * 40 + "\r", "\xa0" + "y" * 40, "é" * 40, "É" * 40, "", "short"]
+    rows = [(d, "\n".join(rng.choices(pool, k=rng.randrange(0, 9)) + [f"line of its own {d} " * 3] * rng.randrange(2)), None, None, 1) for d in [*range(40), *range(40), None, None, -7]]
+    rows += [(99, "\n".join(["Y" * 40, "a"] * 20_000), None, None, 1), (98, "\n".join(["y" * 40] * 3), None, None, 1)]
+    rows += [r if r[1] is None or len(r[1]) < 1000 else (5, r[1], None, None, 1) for r in ODD]
+    df = spark.createDataFrame(rows, DOC)
+    want = _lines_11(rows)
+    assert any(r[2] for r in want) and _got_11(df) == want
+    assert _got_11(df, batches=1) == want and _got_11(df, batches=9) == want
+    made = linedup.dedup(odd)
+    assert made.columns == [*odd.columns, "n_lines", "n_dropped"] and linedup.dedup(empty).count() == 0
+    clash = df.selectExpr("*", "'a' as _gone", "1 as n_lines", "'b' as _text", "0 as `a.b`")
+    got = linedup.dedup(clash)
+    assert got.columns == [*df.columns, "_gone", "_text", "a.b", "n_lines", "n_dropped"]
+    assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"] or "") for r in got.collect()), key=str) == want
+
+
+@pytest.mark.parametrize("order", [[0, 1, 2, 3, 4], [4, 2, 0, 1, 3]])
+def test_runs_of_lines_in_any_order_of_batches(spark, order):
+    rng = random.Random(2)
+    lines = [(d, bytes([rng.randrange(12)])) for d in range(50) for _ in range(2)] + [(d, b"hot") for d in range(50)] + [(d, bytes([100 + d])) for d in range(50)]
+    runs = linedup.LineRuns(spark, 5, 2, 3)
+    for k in order:
+        runs.add(spark.createDataFrame([x for x in lines if x[0] // 10 == k], "_id long, line binary"))
+        assert all(len(level) < 2 for level in runs.levels)
+    rows = [spark.table(name).count() for name in runs.runs()]
+    holds = {}
+    for d, line in lines:
+        holds.setdefault(line, set()).add(d)
+    assert {(bytes(r["line"]), r["largest"]) for r in runs.frequent().collect()} == {(k, max(v)) for k, v in holds.items() if len(v) >= 5}
+    assert sum(rows) < len(lines) and b"hot" in {bytes(r[0]) for r in runs.hot().collect()}
+    names = runs.runs()
+    runs.close()
+    assert not any(spark.catalog.tableExists(n) for n in names)
