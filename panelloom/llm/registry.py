@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, chat, jaccard, langid, licenses, linedup, mixing, neardup, packing, quality, toxicity, urlgraph
+from . import audit, chat, jaccard, langid, licenses, linedup, mixing, neardup, packing, quality, resample, toxicity, urlgraph
 from .common import ship
 
 
@@ -27,6 +27,7 @@ def queries() -> dict:
         "op9_mixing": mixing.op9_mixing,
         "op10_quality": quality.op10_quality,
         "op11_lines": linedup.op11_lines,
+        "op12_resampling": resample.op12_resampling,
         "op13_filters": audit.op13_filters,
     }
     return {k: _shipped(f) for k, f in made.items()}
@@ -41,5 +42,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_mixing": mixing.SQL,
         "op10_quality": quality.SQL,
         "op11_lines": linedup.SQL,
+        "op12_resampling": resample.SQL,
         "op13_filters": audit.SQL,
     }

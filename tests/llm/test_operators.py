@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import collections
+import hashlib
 import itertools
 import math
 import os
@@ -15,7 +17,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.llm import audit, bytetext, chat, components, jaccard, langid, licenses, linedup, mixing, neardup, packing, quality, registry, toxicity, urlgraph
+from panelloom.llm import audit, bytetext, chat, components, jaccard, langid, licenses, linedup, mixing, neardup, packing, quality, registry, resample, toxicity, urlgraph
 from panelloom.llm.common import Stash, is_held_out
 from tests.test_queries import same
 
@@ -844,3 +846,83 @@ def test_runs_of_lines_in_any_order_of_batches(spark, order):
     names = runs.runs()
     runs.close()
     assert not any(spark.catalog.tableExists(n) for n in names)
+
+
+# 12
+
+
+def _words_12(text: str | None) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def _buckets_12(text: str | None) -> list[int]:
+    w = _words_12(text)
+    return [zlib.crc32(x.encode()) % 10000 for x in w + [f"{a} {b}" for a, b in itertools.pairwise(w)]]
+
+
+def _resampled(rows: list[tuple], target: list[str]) -> list[tuple]:
+    found = [_buckets_12(r[1]) for r in rows]
+    s, t = collections.Counter(itertools.chain(*found)), collections.Counter(itertools.chain(*map(_buckets_12, target)))
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1.0) * (s.total() + 10000.0) / ((s[b] + 1.0) * (t.total() + 10000.0))))
+    out = []
+    for r, f in zip(rows, found, strict=True):
+        h = int(hashlib.sha256(f"7:{'null' if r[0] is None else r[0]}".encode()).hexdigest()[:8], 16)
+        weight = sum(map(gain, f)) // len(f) if f else 0
+        out.append([r[0], len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), len(_words_12(r[1])) >= 20])
+    able = sorted((x for x in out if x[4]), key=lambda x: (-x[3], x[0] is None, x[0] or 0, x[1], x[2]))
+    for k, x in enumerate(able):
+        x[4] = k + 1 if k < 25 * len(able) // 100 else None
+    return sorted((tuple(x[:4]) + (x[4] or None,) for x in out), key=str)
+
+
+def _got_12(spark, rows: list[tuple], target: list[str | None]) -> list[tuple]:
+    made = resample.ranked(spark.createDataFrame(rows, DOC), spark.createDataFrame([(t,) for t in target], "text string"))
+    return sorted((tuple(r) for r in made.select("doc_id", "n_features", "weight", "score", "rank").collect()), key=str)
+
+
+def test_sums_of_spans():
+    rng = random.Random(0)
+    words = ["".join(rng.choices("abcé日z09", k=n)) for n in [*range(1, 70), 500, 1, 3]]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    size = np.array([len(w.encode()) for w in words])
+    begin = np.cumsum(size + 1) - size - 1
+    got = resample.crcs(data, begin, size)
+    assert got.tolist() == [zlib.crc32(w.encode()) for w in words]
+    at = np.flatnonzero(size[1:] <= resample.SHORT) + 1
+    assert resample.joined(got[at - 1], got[at], size[at]).tolist() == [zlib.crc32(f"{words[k - 1]} {words[k]}".encode()) for k in at]
+
+
+def test_features_of_texts_longer_than_a_slab(monkeypatch):
+    monkeypatch.setattr(bytetext, "SLAB", 50)
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("aBcÉ-日9", k=rng.choice([1, 3, 9, 70]))) for _ in range(n)) + " " * (n % 7) for n in (0, 1, 40, 3, 0, 60, 2)] + [None, " - " * 60, "x" * 120, "a " + "-" * 130 + " b"]
+    got = collections.defaultdict(list)
+    n_words = collections.Counter()
+    for doc, at, words in resample.features(*bytetext.flat(pa.array(texts))):
+        n_words.update(words.tolist())
+        for d, b in zip(doc.tolist(), at.tolist(), strict=True):
+            got[d].append(b)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(b) for k, t in enumerate(texts) if (b := _buckets_12(t))}
+    assert n_words == {k: len(w) for k, t in enumerate(texts) if (w := _words_12(t))}
+
+
+def test_resampling_against_brute_force(spark, odd, empty):
+    rng = random.Random(5)
+    vocabulary = ["alpha", "Beta", "gamma", "Ünder", "x1", "delta-epsilon", "日本"]
+    texts = [" ".join(rng.choices(vocabulary[k % 3 :], k=rng.randrange(5, 60))) for k in range(60)]
+    rows = [(k, texts[k % 60 if k % 3 else 0], "en", "a", 1) for k in range(150)] + [(7, texts[3], None, None, 1), (7, texts[3], None, None, 1), (7, texts[4], None, None, 1), (None, texts[5], None, None, 1)] + ODD
+    target = [" ".join(rng.choices(vocabulary[4:], k=50)) for _ in range(9)] + [None, "", texts[2], texts[2]]
+    want = _resampled(rows, target)
+    assert _got_12(spark, rows, target) == want and sum(r[4] is not None for r in want) > 20
+    assert _got_12(spark, rows, []) == _resampled(rows, [])
+    assert _got_12(spark, ODD, target) == _resampled(ODD, target)
+    assert resample.ranked(empty, odd).count() == 0
+    # Whole documents, columns with names of the operator's own.
+    docs, aim = spark.createDataFrame(rows, DOC).selectExpr("*", "1 as key", "'r' as rank", "2 as score", "3 as `a.b`"), spark.createDataFrame([(t,) for t in target], "text string")
+    made = resample.drawn(docs, aim)
+    assert made.columns == docs.columns
+    picked = {r[0] for r in want if r[4]}
+    assert {r["doc_id"] for r in made.collect()} == picked
+    # The draw leans to the target: its words are more frequent than in all documents.
+    share = lambda ts: sum(_words_12(t).count("x1") for t in ts) / max(1, sum(len(_words_12(t)) for t in ts))
+    assert share([r["text"] for r in made.collect()]) > share([r[1] for r in rows])
