@@ -37,9 +37,9 @@ from . import bytetext
 from .common import Stash, arrow_limits, join_by_share, large_shares, table
 
 BUCKETS, PERCENT, MIN_WORDS, SEED = 10_000, 25, 20, "7"
-#: Bytes of the words: digits, letters and whatever isn't ASCII, after A-Z are lower-cased.
+#: Bytes of the words: digits, letters and whatever isn't ASCII.
 INSIDE = np.zeros(256, bool)
-INSIDE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+INSIDE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 #: Words of more bytes are summed one by one.
 SHORT = 64
 
