@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
-import pyarrow as pa
-import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.periods import months_between
+from ..functions.periods import month_id, months_between
 from ..functions.windows import by_months
 
 FUNDAMENTALS = ("ep_quarter", "sp_quarter", "agr_quarter", "ep_year", "sp_year", "agr_year")
+#: Months of the calendar that a slice of a long key holds at most, and the largest power of e in the running sums of a weighted fill.
+BLOCK_MONTHS, LARGEST_POWER = 240, 300.0
 
 
 def by_frequency(ratios: DataFrame) -> DataFrame:
@@ -35,26 +35,86 @@ def forward_fill(panel: DataFrame, columns: tuple[str, ...] = FUNDAMENTALS) -> D
     return panel.withColumns({c: F.last(c, ignorenulls=True).over(run) for c in columns})
 
 
-def ewm_fill(panel: DataFrame, columns: tuple[str, ...], half_life: float = 5.0, lead: bool = True, key: str = "symbol", order: str = "month") -> DataFrame:
+def _as_is(rows: DataFrame) -> DataFrame:
+    return rows
+
+
+def ewm_fill(panel: DataFrame, columns: tuple[str, ...], half_life: float = 5.0, lead: bool = True, key: str = "symbol", order: str = "month", keep: Callable[[DataFrame], DataFrame] = _as_is) -> DataFrame:
     """Nulls before a column's first value become 0 (if lead), later ones the exponentially weighted mean so far.
 
     The weight of what is known decays over null rows too; leading zeros are part of the
-    series. A column without values becomes 0. The recurrence needs a key's rows in order,
-    so it runs on Arrow tables, one key a group; columns that aren't filled stay Arrow.
+    series. A column without values becomes 0. order holds yyyy-MM keys. Rows with a null key
+    are one key.
+
+    With g rows from one value to the next, the mean w turns to a(g) w + (1 - a(g)) x, so the
+    means are running sums of what values take, over the product of what they leave. Keys with
+    more rows than that product has room for are cut into slices (see _filled_by_slices), so no
+    task holds all of a long key. `keep` may persist the rows, which are read more than once.
     """
-    schema = T.StructType([T.StructField(f.name, T.DoubleType()) if f.name in columns else f for f in panel.schema])
+    rate = math.log(0.5) / half_life
+    at_most = max(1, int(LARGEST_POWER / -rate))
+    rows = keep(panel.selectExpr(*[f"cast(`{c}` as double) as `{c}`" if c in columns else f"`{c}`" for c in panel.columns]))
+    long = rows.groupBy(key).count().filter(F.col("count") > at_most).select(key)
+    whole = rows.filter(F.col(key).isNotNull()).join(long, key, "left_anti").withColumn("_p", F.row_number().over(W.partitionBy(key).orderBy(order)).cast("long"))
+    named = list(enumerate(columns))
+    seen = _running_means(whole, named, f"`{key}`", rate, f"if(_p > 1, {1 - math.exp(rate)!r}D, 1D)" if lead else "1D")
+    zero = ", 0D" if lead else ""
+    filled = {c: f"coalesce(`{c}`, _mean{i}{zero}) as `{c}`" for i, c in named}
+    out = seen.selectExpr(*[filled.get(c, f"`{c}`") for c in panel.columns])
+    sliced = rows.join(long, key, "left_semi").unionByName(rows.filter(F.col(key).isNull()))
+    return out.unionByName(_filled_by_slices(sliced, columns, rate, at_most, lead, key, order))
+
+
+def _kept(gap: str, rate: float) -> str:
+    """The share that a mean keeps when a value comes `gap` rows after the last."""
+    return f"exp({rate!r}D * ({gap})) / (exp({rate!r}D * ({gap})) + {1 - math.exp(rate)!r}D)"
+
 
-    def fill(group: pa.Table) -> pa.Table:
-        group = group.take(pa.compute.sort_indices(group, sort_keys=[(order, "ascending")]))
-        x = group.select(list(columns)).to_pandas().astype(float)
-        if lead:
-            x = x.where(x.ffill().notna(), 0.0)
-        x = x.where(x.notna(), x.ewm(halflife=half_life, adjust=False).mean())
-        for c in columns:
-            group = group.set_column(group.schema.get_field_index(c), c, pa.array(x[c], pa.float64(), from_pandas=True))
-        return group
+def _running_means(rows: DataFrame, named: list[tuple[int, str]], by: str, rate: float, first: str) -> DataFrame:
+    """rows plus, for each column, the place _before of its last value, the mean so far, and as a power of e what is left of its first value.
 
-    return panel.groupBy(key).applyInArrow(fill, schema)
+    _p is a row's place, from 1; `first` is the share that the first value has in itself.
+    """
+    over = f"over (partition by {by} order by _p rows between unbounded preceding and {{}})"
+    before, upto = over.format("1 preceding"), over.format("current row")
+    seen = rows.selectExpr("*", *[f"last(nvl2(`{c}`, _p, null), true) {before} as _before{i}" for i, c in named])
+    seen = seen.selectExpr("*", *[_kept(f"_p - _before{i}", rate) + f" as _kept{i}" for i, _ in named])
+    seen = seen.selectExpr("*", *[f"coalesce(sum(nvl2(`{c}`, ln(_kept{i}), null)) {upto}, 0D) as _power{i}" for i, c in named])
+    return seen.selectExpr("*", *[f"sum(coalesce(1 - _kept{i}, {first}) * `{c}` * exp(-_power{i})) {upto} * exp(_power{i}) as _mean{i}" for i, c in named])
+
+
+def _filled_by_slices(rows: DataFrame, columns: tuple[str, ...], rate: float, at_most: int, lead: bool, key: str, order: str) -> DataFrame:
+    """As ewm_fill, of keys with many rows.
+
+    A slice's means are taken as if nothing came before it; what does adds a share that decays
+    along the slice. A key's slices, a row each, are folded in order into what enters each.
+    In a struct, null keys are equal.
+    """
+    named = list(enumerate(columns))
+    at = F.row_number().over(W.partitionBy("_of", "_block").orderBy(order)) - 1
+    cut = rows.withColumn("_of", F.struct(key)).withColumn("_block", F.floor(month_id(order) / BLOCK_MONTHS)).withColumn("_at", at).selectExpr("*", f"floor(_at / {at_most}) as _part", f"cast(_at % {at_most} + 1 as bigint) as _p").drop("_at")
+    by = "_of, _block, _part"
+    seen = _running_means(cut, named, by, rate, "1D")
+    upto = f"over (partition by {by} order by _p rows between unbounded preceding and current row)"
+    # Until a slice's first value only that one has none before it.
+    first = [f"{x} {upto} as _first_{n}{i}" for i, c in named for n, x in (("p", f"min(nvl2(`{c}`, _p, null))"), ("x", f"max(if(_before{i} is null, `{c}`, null))"))]
+    ends = seen.selectExpr("*", f"lead(_p) over (partition by {by} order by _p) as _next", *first).filter("_next is null")
+    summary = [f"struct(_first_p{i} as p, _first_x{i} as x, nvl2(`{c}`, _p, _before{i}) as last, _power{i} as power, _mean{i} as mean) as c{i}" for i, c in named]
+    slices = ends.selectExpr("_of as _key", "struct(_block, _part, _p as n, " + ", ".join(summary) + ") as _s").groupBy("_key").agg(F.array_sort(F.collect_list("_s")).alias("_slices"))
+    states = slices.selectExpr("_key", "posexplode(_slices) as (_k, _s)", *[_entering(f"s.c{i}", rate, lead) + f" as _in{i}" for i, _ in named])
+    states = states.selectExpr("_key", "_s._block as _of_block", "_s._part as _of_part", *[f"_in{i}[_k] as _in{i}" for i, _ in named])
+    both = seen.join(states, F.expr("_of = _key and _block = _of_block and _part = _of_part"))
+    filled = {c: f"coalesce(`{c}`, nvl2(_before{i}, _mean{i} + exp(_power{i}) * _in{i}.share, _in{i}.mean){', 0D' if lead else ''}) as `{c}`" for i, c in named}
+    return both.selectExpr(*[filled.get(c, f"`{c}`") for c in rows.columns])
+
+
+def _entering(c: str, rate: float, lead: bool) -> str:
+    """Fold over a key's slices in order: for each, the mean that enters it and, times what decays along it, its part of the slice's means."""
+    share = f"""case when {c}.p is null then null when a.mean is not null then {_kept(f"a.rows + {c}.p - a.last", rate)} * (a.mean - {c}.x)
+                when {str(lead).lower()} and a.rows + {c}.p > 1 then {_kept("1", rate)} * -{c}.x else 0D end"""
+    return f"""aggregate(_slices, named_struct('mean', cast(null as double), 'last', cast(null as bigint), 'rows', 0L, 'out', cast(array() as array<struct<mean: double, share: double>>)),
+        (a, s) -> named_struct('mean', if({c}.p is null, a.mean, {c}.mean + exp({c}.power) * ({share})), 'last', if({c}.p is null, a.last, a.rows + {c}.last),
+                               'rows', a.rows + s.n, 'out', concat(a.out, array(named_struct('mean', a.mean, 'share', {share})))), a -> a.out)"""
 
 
 def join_macro(panel: DataFrame, macro: DataFrame) -> DataFrame:
@@ -87,9 +147,9 @@ def static_values(panel: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return panel.groupBy("symbol").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("month"))).alias(c) for c in columns])
 
 
-def format_panel(panel: DataFrame, macro: DataFrame, fill: tuple[str, ...]) -> DataFrame:
+def format_panel(panel: DataFrame, macro: DataFrame, fill: tuple[str, ...], keep: Callable[[DataFrame], DataFrame] = _as_is) -> DataFrame:
     """Forward fill, then drop rows without mom1m, then macro, then the weighted fill: the order matters."""
-    return ewm_fill(join_macro(forward_fill(panel).dropna(subset=["mom1m"]), macro), fill)
+    return ewm_fill(join_macro(forward_fill(panel).dropna(subset=["mom1m"]), macro), fill, keep=keep)
 
 
 def status(tables: dict[str, DataFrame], symbols: DataFrame) -> DataFrame:

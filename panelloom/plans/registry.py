@@ -295,7 +295,7 @@ def penny_filter(spark, d):
 @query("SELECT symbol, month, " + ", ".join(sql.r(c) for c in FEATURES) + " FROM filled")
 def ewm_fill(spark, d):
     wide = whole_panel(spark, d).select("symbol", "month", *dict.fromkeys((*FEATURES, *FUNDAMENTALS)))
-    rows = panel.format_panel(wide, testdata.macro(spark, d).select("month"), FEATURES)
+    rows = panel.format_panel(wide, testdata.macro(spark, d).select("month"), FEATURES, keep)
     return rows.select("symbol", "month", *map(r, FEATURES))
 
 

@@ -106,6 +106,30 @@ def test_ewm_fill(spark):
     assert all(q["n"] == 0 for q in r)
 
 
+@pytest.mark.parametrize(("half_life", "lead"), [(5.0, True), (0.3, True), (0.3, False)])
+def test_ewm_fill_of_long_keys_against_pandas(spark, monkeypatch, half_life, lead):
+    """A half-life of 0.3 leaves room for 129 rows of a key; blocks of the calendar cut them too."""
+    monkeypatch.setattr(panel, "BLOCK_MONTHS", 50)
+    rng, rows = np.random.default_rng(0), []
+    for key, n in (("hot", 700), ("b", 100), ("c", 3), (None, 200)):
+        for m in range(1900 * 12, 1900 * 12 + n):
+            if rng.random() < 0.9:
+                at = m - 1900 * 12
+                rows.append((key, f"{m // 12}-{m % 12 + 1:02d}", *[None if rng.random() < gaps or at < lo else float(rng.normal() * 10.0 ** rng.integers(-3, 4)) for gaps, lo in ((0.1, 0), (0.9, 30), (0.99, 200), (1, 0))]))
+    df = spark.createDataFrame(rows, "symbol string, month string, a double, b double, c double, d double")
+    columns = list("abcd")
+    want = {}
+    for key, g in df.toPandas().sort_values("month").groupby("symbol", dropna=False):
+        x = g[columns].astype(float)
+        x = x.where(x.ffill().notna(), 0.0) if lead else x
+        x = x.where(x.notna(), x.ewm(halflife=half_life, adjust=False).mean())
+        want |= {(None if key != key else key, m): v for m, v in zip(g["month"], x.to_numpy().tolist(), strict=True)}
+    got = {(r["symbol"], r["month"]): r for r in panel.ewm_fill(df, tuple(columns), half_life, lead).collect()}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert [got[k][c] for c in columns] == [None if x != x else pytest.approx(x, rel=1e-9, abs=1e-12) for x in v]
+
+
 def test_dense_macro_join(spark):
     m = spark.createDataFrame([("A", "2020-01", 1.0), ("A", "2020-03", 2.0)], "symbol string, month string, x double")
     macro = spark.createDataFrame([(f"2020-{k:02d}", float(k)) for k in range(1, 6)], "month string, q double")
