@@ -1,21 +1,23 @@
 """Words and their hashes from the bytes of Arrow text columns, without a Python loop over words.
 
-A word's hash is a polynomial over its bytes modulo 2**64, taken from one running sum:
-with H[i] the sum of R[b_j] * B**j for j < i, the word [s, e) has (H[e] - H[s]) * B**-s,
-then a finalising mix. Arrays cover at most SLAB bytes; longer texts are cut where they
-have a separator, and a single word longer than that is hashed by digest.
+A word's hash starts from its length and takes in eight bytes at a time, each followed by a
+mix that isn't linear; so words of up to eight bytes differ wherever they do, and longer ones
+with structure (repetitions, complements, shifts) collide no more than others, which a
+polynomial in the bytes modulo 2**64 can't say. All words of a stretch take their first
+eight bytes together, then those that have more their next ones. Arrays cover at most SLAB
+bytes; longer texts are cut where they have a separator, and words beyond LONG bytes are
+hashed by digest.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-SLAB = 1 << 20
+SLAB, LONG = 1 << 20, 1024
 #: White space of WORD: 0x20 and 0x09-0x0D.
 WORD_BYTES = np.ones(256, bool)
 WORD_BYTES[[0x20, *range(0x09, 0x0E)]] = False
@@ -45,13 +47,46 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@lru_cache(1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    base = 0x9E3779B97F4A7C15
-    inverse = pow(base, -1, 1 << 64)
-    powers, inverses = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(SLAB, b, np.uint64)])) for b in (base, inverse))
-    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    return values, powers, inverses
+#: Bytes of the low end of a number, by how many.
+MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+KEY, ODD = np.uint64(0x6A09E667F3BCC908), np.uint64(0x9E3779B97F4A7C15)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one number; what lies beyond the end is 0."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def spans(data: np.ndarray, begin: np.ndarray, size: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hash of each stretch of the data; equal stretches have equal ones."""
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    at = eights(data)
+    h = mix(size.astype(np.uint64) * ODD + KEY + np.uint64(salt))
+    h = mix(h ^ (at[begin] & MASK[np.minimum(size, 8)]))
+    more, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(more):
+        h[more] = mix(h[more] ^ (at[begin[more] + k] & MASK[np.minimum(size[more] - k, 8)]))
+        k += 8
+        more = more[size[more] > k]
+    for i in np.flatnonzero(size > LONG).tolist():
+        body = data[begin[i] : begin[i] + size[i]].tobytes()
+        h[i] = mix(np.frombuffer(hashlib.blake2b(body, digest_size=8).digest(), np.uint64))[0] + np.uint64(salt)
+    return h
+
+
+def same_spans(a: np.ndarray, a_begin: np.ndarray, b: np.ndarray, b_begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether stretches of two data, of one size each, have the same bytes. a and b are eights()."""
+    out = np.ones(len(size), bool)
+    left, k = np.flatnonzero(size > 0), 0
+    while len(left):
+        differ = ((a[a_begin[left] + k] ^ b[b_begin[left] + k]) & MASK[np.minimum(size[left] - k, 8)]) != 0
+        out[left[differ]] = False
+        k += 8
+        left = left[~differ]
+        left = left[size[left] > k]
+    return out
 
 
 def _slabs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -80,7 +115,6 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = WORD_BYTES
 
     A prefix's hash is 0 where the word has no more than k bytes.
     """
-    values, powers, inverses = _tables()
     for lo, hi, i, j in _slabs(data, offsets, inside):
         part = data[lo:hi]
         if lower:
@@ -89,9 +123,9 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = WORD_BYTES
         if not n:
             continue
         if n > SLAB:
-            body = part[inside[part]].tobytes()
-            h = np.frombuffer(hashlib.blake2b(body, digest_size=8).digest(), np.uint64).copy()
-            yield np.array([i]), h, [mix(np.frombuffer(hashlib.blake2b(body[:k], digest_size=8).digest(), np.uint64)) for k in prefixes]
+            part = part[inside[part]]  # one word
+            begin, size, doc = np.zeros(1, np.int64), np.array([len(part)]), np.array([i])
+            yield doc, spans(part, begin, size), [spans(part, begin, np.full(1, k), k) for k in prefixes]
             continue
         is_word = np.zeros(n + 2, bool)
         is_word[1:-1] = inside[part]
@@ -100,14 +134,12 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = WORD_BYTES
         first[starts[(starts >= 0) & (starts <= n)]] = True
         begin = np.flatnonzero(is_word[1:-1] & (~is_word[:-2] | first[:-1]))
         end = np.flatnonzero(is_word[1:-1] & (~is_word[2:] | first[1:])) + 1
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values[part] * powers[:n], out=sums[1:])
-        back = inverses[begin]
-        yield (
-            np.searchsorted(starts, begin, "right") - 1 + i,
-            mix((sums[end] - sums[begin]) * back),
-            [np.where(end - begin > k, mix((sums[np.minimum(begin + k, n)] - sums[begin]) * back + np.uint64(k)), np.uint64(0)) for k in prefixes],
-        )
+        size, heads = end - begin, []
+        for k in prefixes:
+            heads.append(np.zeros(len(begin), np.uint64))
+            longer = np.flatnonzero(size > k)
+            heads[-1][longer] = spans(part, begin[longer], np.full(len(longer), k), k)
+        yield np.searchsorted(starts, begin, "right") - 1 + i, spans(part, begin, size), heads
 
 
 def all_words(data: np.ndarray, offsets: np.ndarray, **how) -> tuple[np.ndarray, np.ndarray]:

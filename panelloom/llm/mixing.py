@@ -83,7 +83,8 @@ def source_limits(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_re
     limits = at.join(last.withColumnRenamed("of", "of_last"), F.col("of").eqNullSafe(F.col("of_last")), "left")
     limits = limits.select(F.col("of").alias("of_limit"), F.coalesce("last", F.shiftleft("slice", COIN_BITS - SLICE_BITS) - 1).alias("limit"))
     per = per.join(limits, F.col("of").eqNullSafe(F.col("of_limit")), "left")
-    return per.select(F.col("of").alias("source"), "source_size", "target", "whole", F.coalesce("limit", F.lit(1 << COIN_BITS)).alias("limit"))
+    none = (F.col("lacks") <= 0) | (F.col("whole") >= max_repeats)  # whole copies reach the target, or the cap
+    return per.select(F.col("of").alias("source"), "source_size", "target", "whole", F.when(none, F.lit(-1)).otherwise(F.coalesce("limit", F.lit(1 << COIN_BITS))).alias("limit"))
 
 
 def _sizes(docs: DataFrame, seed: str) -> DataFrame:

@@ -90,19 +90,11 @@ def curve_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return hilbert(np.minimum((at * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
-def _beginning(part: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The first eight bytes of each stretch as one number."""
-    padded = np.concatenate([part, np.zeros(8, np.uint8)])
-    eight = np.ndarray((len(part) + 1,), "<u8", padded, strides=(1,))  # the number that starts at each byte
-    size = np.minimum(end - begin, 8).astype(np.uint64)
-    return eight[begin] & (np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * np.maximum(size, np.uint64(1))))
-
-
 class Encoder:
     """Token ids of many texts, by distinct parts.
 
-    A part is looked up by a 64-bit hash and known again by its length and first eight
-    bytes; longer parts that agree in all of these would share their ids.
+    A part is looked up by a 64-bit hash and compared with the bytes of the part that had it
+    first; parts that share a hash with another are looked up by their bytes.
     """
 
     SPACE = np.zeros(256, bool)
@@ -123,34 +115,41 @@ class Encoder:
         n = len(self.at)
         keep = np.flatnonzero(self.hits[:n] > max(1, np.sort(self.hits[:n])[-CACHE // 2] if n > CACHE // 2 else 1))
         names = list(self.at)
-        known, start, size, ids, seen = [names[k] for k in keep.tolist()], self.start[keep], self.size[keep], self.ids, self.seen[:, keep]
+        known = [names[k] for k in keep.tolist()]
+        start, size, ids, first, length, text = self.start[keep], self.size[keep], self.ids, self.first[keep], self.length[keep], self.text
         self.clear()
         for k, h in enumerate(known):
             self.at[h] = k
-        n, total = len(known), int(size.sum())
-        self.seen = np.concatenate([seen, np.zeros((2, max(1024, n)), np.uint64)], axis=1)
-        self.start, self.size, self.hits = (np.concatenate([x, np.zeros(max(1024, n), np.int64)]) for x in (np.cumsum(size) - size, size, np.ones(n, np.int64)))
-        self.ids = np.concatenate([ids[np.repeat(start - self.start[:n], size) + np.arange(total)], np.zeros(1 << 16, np.int32)])
-        self.used = total
+        n = len(known)
+        gathered = lambda x, start, size, to: (x[np.repeat(start - to, size) + np.arange(int(size.sum()))])
+        room = lambda x: np.concatenate([x, np.zeros(max(1024, n), np.int64)])
+        self.start, self.size, self.hits, self.first, self.length = map(room, (np.cumsum(size) - size, size, np.ones(n, np.int64), np.cumsum(length) - length, length))
+        self.ids = np.concatenate([gathered(ids, start, size, self.start[:n]), np.zeros(1 << 16, np.int32)])
+        self.text = np.concatenate([gathered(text, first, length, self.first[:n]), np.zeros(1 << 16, np.uint8)])
+        self.used, self.written = int(size.sum()), int(length.sum())
 
     def clear(self) -> None:
         self.at: dict = {}
-        self.hits = np.zeros(1024, np.int64)
-        self.seen = np.zeros((2, 1024), np.uint64)
-        self.start, self.size, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 16, np.int32), 0
+        self.start, self.size, self.hits, self.first, self.length = (np.zeros(1024, np.int64) for _ in range(5))
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+        self.text, self.written = np.zeros(1 << 16, np.uint8), 0
 
-    def _learn(self, names: list, parts: list[str], seen: np.ndarray) -> None:
+    def _learn(self, names: list, parts: list[bytes]) -> None:
         for lo in range(0, len(parts), 10_000):
-            for at, (h, e) in enumerate(zip(names[lo : lo + 10_000], self.encode(parts[lo : lo + 10_000], add_special_tokens=False), strict=True), lo):
+            some = parts[lo : lo + 10_000]
+            encoded = self.encode([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)
+            for name, body, e in zip(names[lo : lo + 10_000], some, encoded, strict=True):
                 ids, k = e.ids, len(self.at)
                 if k == len(self.start):
-                    self.start, self.size, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.hits))
-                    self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)], axis=1)
+                    self.start, self.size, self.hits, self.first, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.hits, self.first, self.length))
                 while self.used + len(ids) > len(self.ids):
                     self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+                while self.written + len(body) + 8 > len(self.text):  # eights() of it need room
+                    self.text = np.concatenate([self.text, np.zeros_like(self.text)])
                 self.ids[self.used : self.used + len(ids)] = ids
-                self.at[h], self.start[k], self.size[k], self.seen[:, k] = k, self.used, len(ids), seen[:, at]
-                self.used += len(ids)
+                self.text[self.written : self.written + len(body)] = np.frombuffer(body, np.uint8)
+                self.at[name], self.start[k], self.size[k], self.first[k], self.length[k] = k, self.used, len(ids), self.written, len(body)
+                self.used, self.written = self.used + len(ids), self.written + len(body)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, each text followed by END, and each text's number of ids with it."""
@@ -165,36 +164,27 @@ class Encoder:
         cut[starts[:-1][np.diff(starts) > 0]] = True
         begin = np.flatnonzero(cut[: len(part)])
         end = np.append(begin[1:], len(part))
-        values, powers, inverses = bytetext._tables()
-        hashes = np.zeros(len(begin), np.uint64)
-        for a in range(0, len(begin), 1 << 16):  # runs of parts that fit the tables of powers
-            b = min(len(begin), a + (1 << 16))
-            x, y = int(begin[a]), int(end[b - 1])
-            if y - x > bytetext.SLAB:
-                for k in range(a, b):
-                    body = part[begin[k] : end[k]].tobytes()
-                    hashes[k] = np.frombuffer(bytetext.hashlib.blake2b(body, digest_size=8).digest(), np.uint64)[0]
-                continue
-            sums = np.zeros(y - x + 1, np.uint64)
-            np.cumsum(values[part[x:y]] * powers[: y - x], out=sums[1:])
-            hashes[a:b] = bytetext.mix((sums[end[a:b] - x] - sums[begin[a:b] - x]) * inverses[begin[a:b] - x])
+        length = end - begin
+        hashes = bytetext.spans(part, begin, length)
         known, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.at) + len(known) > CACHE:
             self.shrink()
         slot = np.fromiter((self.at.get(h, -1) for h in known.tolist()), np.int64, len(known))
-        seen = np.stack([_beginning(part, begin, end), (end - begin).astype(np.uint64)])
         body = part.tobytes()
-        text = lambda k: body[begin[k] : end[k]].decode("utf-8", "replace")
+        text = lambda k: body[begin[k] : end[k]]
         if len(new := np.flatnonzero(slot < 0)):
-            self._learn(known[new].tolist(), [text(k) for k in first[new]], seen[:, first[new]])
+            self._learn(known[new].tolist(), [text(k) for k in first[new]])
             slot[new] = np.arange(len(self.at) - len(new), len(self.at))
         self.hits[slot] += 1
         slot = slot[inverse]
-        # Parts that share a hash with another are named by more.
-        for k in np.flatnonzero((self.seen[:, slot] != seen).any(axis=0)).tolist():
-            name = (int(hashes[k]), *seen[:, k].tolist())
+        # Parts that share a hash with another are named by their bytes.
+        same = self.length[slot] == length
+        held = np.ndarray((len(self.text) - 7,), "<u8", self.text, strides=(1,))
+        same[same] = bytetext.same_spans(bytetext.eights(part), begin[same], held, self.first[slot[same]], length[same])
+        for k in np.flatnonzero(~same).tolist():
+            name = text(k)
             if name not in self.at:
-                self._learn([name], [text(k)], seen[:, k : k + 1])
+                self._learn([name], [name])
             slot[k] = self.at[name]
         size = self.size[slot]
         total = int(size.sum())

@@ -59,6 +59,37 @@ def test_word_hashes():
     assert h[0] == h[3] == h[4] and h[1] == h[2] == h[6] == h[8] and h[5] not in (h[0], h[1])
 
 
+def _thue_morse(n: int, letters: str) -> str:
+    return "".join(letters[k.bit_count() % 2] for k in range(n))
+
+
+def test_structured_words_have_hashes_of_their_own():
+    texts = [_thue_morse(n, x) for n in (8, 64, 1024, 2048, 4096) for x in ("ab", "ba", "cd", "dc")]
+    texts += ["ab" * k for k in range(1, 700)] + ["ba" * k for k in range(1, 700)] + ["a" * i + "b" + "a" * (40 - i) for i in range(40)] + ["x" * k for k in range(1, 1200)]
+    for joined in ([" ".join(texts)], texts):
+        _, h = bytetext.all_words(*bytetext.flat(pa.array(joined)))
+        assert len(set(h.tolist())) == len(h) == len(texts)
+    # One word by itself, longer than a slab, and at other places.
+    long = "y" * (bytetext.SLAB + 9)
+    _, h = bytetext.all_words(*bytetext.flat(pa.array([long, f"a {long}", "z" + long[1:]])))
+    assert h[0] == h[2] and len(set(h.tolist())) == 3
+    heads = [p for _, _, p in bytetext.words(*bytetext.flat(pa.array(["abcdef abcd abcdzz abc", "abcd"])), prefixes=(4,))][0][0]
+    assert heads[0] == heads[2] != 0 and not heads[[1, 3, 4]].any()
+
+
+def test_structured_words_in_sets_and_parts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = [_thue_morse(n, x) for n in (1024, 2048, 4096) for x in ("ab", "ba")]
+    got = jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got)
+    same_start = [f"a long beginning {t}" for t in texts] + [t[:8] + x for t in texts for x in ("q" * 30, "r" * 30)]
+    ids, tokens = packing.Encoder(path := public_tokenizers.path(packing.TOKENIZER))(*bytetext.flat(pa.array(same_start * 2)))
+    want = [x for t in same_start * 2 for x in (*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 1)]
+    assert ids.tolist() == want and tokens.sum() == len(want)
+
+
 def test_held_out(spark):
     rows = spark.range(50).select("id", is_held_out("id").alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in rows)
@@ -671,6 +702,14 @@ def test_mixing_comes_near_its_targets(spark, sf):
     assert all(abs(r["taken"] - r["target"]) <= max(0.02 * r["target"], r["longest"]) for r in _taken(mixing.with_copies(docs)).values())
 
 
+def test_mixing_never_repeats_beyond_the_cap(spark):
+    """Source a is at its cap; its empty documents get no fourth copy."""
+    rows = [(k, "w " * 10 if k % 2 else "", "en", "a", 1) for k in range(40)] + [(100 + k, "w " * 400, "en", "b", 1) for k in range(40)]
+    copies = mixing.with_copies(spark.createDataFrame(rows, DOC)).collect()
+    assert {r["copies"] for r in copies if r["source"] == "a"} == {3}
+    assert mixing.mix(spark.createDataFrame(rows, DOC)).filter("source = 'a'").count() == 120
+
+
 def test_mixing_leaves_columns_alone(spark):
     df = spark.createDataFrame([(1, "a b", "s", 100, 2.5, 7), (2, "c", None, 101, None, 8)], "doc_id long, text string, source string, size int, target double, copies int")
     assert {(r["size"], r["target"], r["copies"]) for r in mixing.mix(df).collect()} <= {(100, 2.5, 7), (101, None, 8)}
