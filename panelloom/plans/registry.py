@@ -609,6 +609,21 @@ def stream_monthly(spark, d):
 # Documents and files.
 
 
+_NOT_A = "l_returnflag <> 'A'"
+_FIRST_OF_DAY = "SELECT CAST(l_partkey AS VARCHAR) AS symbol, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date, {} FROM lineitem WHERE {} QUALIFY row_number() OVER (PARTITION BY l_partkey, CAST(l_shipdate AS DATE) ORDER BY l_orderkey, l_linenumber) = 1"
+
+
+@query(
+    "SELECT e.symbol, count(*) AS n_days, count(cap) AS n_caps, max(c.date) AS latest, CAST(sum(round_even(cap / price, 0)) AS BIGINT) AS shares"
+    f" FROM ({_FIRST_OF_DAY.format('l_extendedprice / l_quantity AS price', 'true')}) e LEFT JOIN ({_FIRST_OF_DAY.format('l_extendedprice AS cap', _NOT_A)}) c ON e.symbol = c.symbol AND e.date = c.date GROUP BY e.symbol"
+)
+def documents_assembled(spark, d):
+    """Stock documents from paged answers of endpoints."""
+    docs = documents.assembled(testdata.endpoint_answers(spark, d))
+    shares = F.aggregate(F.map_values("outstanding_shares"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return docs.select("symbol", F.size("eod").cast("long").alias("n_days"), F.coalesce(F.size("market_cap"), F.lit(0)).cast("long").alias("n_caps"), F.get("market_cap", F.lit(0))["date"].alias("latest"), shares.alias("shares"))
+
+
 #: For each required list of a document, the lines that it holds.
 _LISTS = {"prices": "true", "unadjusted_prices": "l_returnflag <> 'R'", "market_cap": "l_returnflag <> 'A'", "annual_income": "l_linestatus = 'F'", "annual_balance": "l_linestatus = 'O'", "quarterly_income": "l_returnflag = 'N'", "quarterly_balance": "l_returnflag = 'R'"}
 

@@ -6,6 +6,9 @@ becomes null at this boundary.
 
 from __future__ import annotations
 
+import json
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -133,8 +136,6 @@ def enrich(docs: DataFrame, extra: DataFrame, name: str) -> DataFrame:
 
 def page_windows(first: str, last: str, years: int = 19) -> list[tuple[str, str]]:
     """Date ranges of at most `years`, newest first, for sources that page by date."""
-    from datetime import date, timedelta
-
     lo, hi, out = date.fromisoformat(first), date.fromisoformat(last), []
     while hi >= lo:
         a = max(lo, hi - timedelta(days=365 * years))
@@ -143,6 +144,15 @@ def page_windows(first: str, last: str, years: int = 19) -> list[tuple[str, str]
     return out
 
 
+def oldest_date(body: str | None) -> date | None:
+    """The least date of a JSON list of dated rows; null of none, or of what isn't such a list."""
+    try:
+        rows = json.loads(body or "[]")
+        return min((date.fromisoformat(r["date"][:10]) for r in rows), default=None)
+    except (ValueError, TypeError, KeyError):
+        return None
+
+
 def union_of_pages(pages: DataFrame, keys: tuple[str, ...] = ("symbol", "date"), page: str = "page") -> DataFrame:
     """Rows of several pages as one table: of what two pages both have, the newest page's (the lowest number) counts."""
     return pages.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(page))).filter("_n = 1").drop("_n", page)
@@ -161,3 +171,46 @@ def more_pages(pages: DataFrame, page: str = "page", slack_days: int = 10) -> Da
 def refreshed(held: DataFrame, news: DataFrame, keys: tuple[str, ...] = ("symbol", "date")) -> DataFrame:
     """What is held with newer rows in place of those of the same keys."""
     return held.join(news.select(*keys), list(keys), "left_anti").unionByName(news)
+
+
+#: What is taken from the endpoints' answers.
+ANSWERS = {
+    "eod": f"array<{BAR}>", "market_cap": "array<struct<symbol:string,date:string,marketCap:double>>",
+    "earnings": "array<struct<symbol:string,date:string,epsActual:double,epsEstimated:double,revenueActual:double,revenueEstimated:double,lastUpdated:string>>",
+    "income_statement": "array<struct<date:string,fillingDate:string,filingDate:string,netIncome:double,revenue:double>>",
+    "balance_sheet": "array<struct<date:string,fillingDate:string,filingDate:string,totalAssets:double>>",
+}
+
+
+def assembled(answers: DataFrame) -> DataFrame:
+    """Stock documents from endpoints' answers (symbol, endpoint, page, body), of statements by their period.
+
+    Lists are latest first, one row a date: of what two pages both have the newest page's
+    counts, and on one page the row that comes first. Shares are market cap over price by
+    date; a symbol without market caps has neither. Statements keep their order.
+    """
+    parsed = lambda kind: F.from_json(F.col("body"), ANSWERS[kind])
+
+    def dated(kind: str) -> DataFrame:
+        rows = answers.filter(F.col("endpoint") == kind).select("symbol", "page", F.posexplode(parsed(kind)).alias("_pos", "r")).select("symbol", F.col("r.date").alias("date"), F.struct("page", "_pos").alias("_at"), "r")
+        return rows.filter("date is not null").groupBy("symbol", "date").agg(F.min_by("r", "_at").alias("r"))
+
+    out = answers.select("symbol").distinct()
+    for kind in ("eod", "earnings", "market_cap"):
+        latest = F.sort_array(F.collect_list(F.struct("date", "r")), asc=False)
+        out = out.join(dated(kind).groupBy("symbol").agg(F.transform(latest, lambda x: x["r"]).alias(kind)), "symbol", "left")
+    prices, caps = (dated(kind).select("symbol", "date", f"r.{c}") for kind, c in (("eod", "price"), ("market_cap", "marketCap")))
+    number = derive_shares(prices, caps.withColumnRenamed("marketCap", "market_cap")).filter("shares is not null")
+    number = number.groupBy("symbol").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("date", "shares")), asc=False)).alias("outstanding_shares"))
+    whole = answers.groupBy("symbol").agg(*[F.max(F.when(F.col("endpoint") == f"{kind}:{q}", parsed(kind))).alias(f"_{kind}_{q}") for q in ("annual", "quarterly") for kind in ("income_statement", "balance_sheet")])
+    finance = {f"financials_{q}": F.struct(*[F.col(f"_{kind}_{q}").alias(kind) for kind in ("income_statement", "balance_sheet")]) for q in ("annual", "quarterly")}
+    out = out.join(whole, "symbol", "left").withColumns(finance)
+    out = out.join(number, "symbol", "left")
+    return out.select("symbol", "eod", "earnings", "market_cap", "outstanding_shares", *finance)
+
+
+def fetch_report(answers: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(symbol, status, requests, refused) of every symbol asked for: success, failed if an answer is missing or none came."""
+    per = answers.groupBy("symbol").agg(F.count("*").alias("requests"), F.count_if(F.col("status") != 200).alias("refused"))
+    out = symbols.select("symbol").distinct().join(per, "symbol", "left")
+    return out.select("symbol", F.when(F.col("refused") == 0, "success").otherwise("failed").alias("status"), F.coalesce("requests", F.lit(0)).alias("requests"), F.coalesce("refused", F.lit(0)).alias("refused"))

@@ -79,3 +79,14 @@ def stock_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     finance = lambda i, b: F.struct(F.col(i).alias("income_statement"), F.col(b).alias("balance_sheet"))
     return made.select("symbol", F.to_json(F.struct("symbol", "eod", "eod_unadj", "market_cap", finance("ai", "ab").alias("financials_annual"), finance("qi", "qb").alias("financials_quarterly"))).alias("body"))
+
+
+def endpoint_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(symbol, endpoint, page, body): the parts' lines as endpoints answer, market caps in pages of a year, newest first."""
+    rows = read(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").cast("string").alias("symbol"), F.to_date("l_shipdate").alias("_day"), F.to_date("l_shipdate").cast("string").alias("date"), F.struct("l_orderkey", "l_linenumber").alias("at"), "l_quantity", "l_extendedprice", "l_returnflag",
+    )
+    body = lambda *fields: F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("at", F.struct("symbol", "date", *fields).alias("row")))), lambda x: x["row"])).alias("body")
+    eod = rows.groupBy("symbol").agg(body((F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("volume"))).select("symbol", F.lit("eod").alias("endpoint"), F.lit(0).alias("page"), "body")
+    caps = rows.filter("l_returnflag <> 'A'").groupBy("symbol", (2000 - F.year("_day")).alias("page")).agg(body(F.col("l_extendedprice").alias("marketCap"))).select("symbol", F.lit("market_cap").alias("endpoint"), "page", "body")
+    return eod.unionByName(caps)

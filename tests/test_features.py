@@ -226,14 +226,107 @@ def test_http_urls():
     assert r.url("C&D", "2020-01-01") == "http://x/splits?symbol=C%26D&limit=1000&from=2020-01-01&apikey=k"
 
 
+def _reader(**more):
+    return http.PagedJsonReader({"base": "http://x", "path": http.ENDPOINTS["market_cap"], "symbols": "A,B", "to": "2020-01-01", "years": "19", "rate": "6000000", "wait": "0"} | more)
+
+
 def test_http_pages_and_errors(monkeypatch):
-    r = http.PagedJsonReader({"base": "http://x", "path": http.ENDPOINTS["market_cap"], "symbols": "A,B", "from": "1990-01-01", "to": "2020-01-01", "years": "19", "rate": "6000000"})
+    r = _reader(**{"from": "1990-01-01", "follow": "false", "retries": "0"})
     monkeypatch.setattr(r, "fetch", lambda url: (200, "[]") if "symbol=A" in url else (429, None))
     got = [row for p in r.partitions() for row in r.read(p)]
-    assert [(s, page, status) for s, page, *_, status, _ in got] == [("A", 0, 200), ("A", 1, 200), ("B", 0, 429), ("B", 1, 429)]
+    assert [(s, page, status) for s, page, *_, status, _, _ in got] == [("A", 0, 200), ("A", 1, 200), ("B", 0, 429), ("B", 1, 429)]
     assert got[0][3] == "2020-01-01" and got[1][2] == "1990-01-01" and got[2][5] is None
 
 
+def test_http_asks_again_after_a_refusal(monkeypatch):
+    r, slept, answers = _reader(symbols="A", wait="60", retries="2"), [], iter([(429, None), (503, None), (200, "[]"), (404, None)])
+    monkeypatch.setattr(r, "fetch", lambda url: next(answers))
+    turns = http.Turns(0, 1e9, 0, 1, lambda: 0.0, slept.append)
+    assert r.ask("u", turns) == (200, "[]") and [s for s in slept if s >= 1] == [60, 60]
+    assert r.ask("u", turns) == (404, None)
+    answers = iter([(429, None)] * 3)
+    assert r.ask("u", turns) == (429, None)
+
+
+def test_http_rate_of_four_tasks_on_one_clock():
+    """Tasks that sleep, pause and stop keep to one rate together; a pause earns no burst."""
+    rng = np.random.default_rng(0)
+    now, taken = [0.0] * 4, []
+    tasks = [http.Turns(0.0, 120, k, 4, lambda k=k: now[k], lambda s, k=k: now.__setitem__(k, now[k] + s)) for k in range(4)]
+    for k, t in enumerate(tasks):
+        for i in range(100 + 40 * k):
+            t.take()
+            taken.append(now[k])
+            now[k] += float(rng.exponential(0.3)) + (200.0 if i == 50 else 0.0)
+    taken = np.sort(taken)
+    in_a_minute = np.searchsorted(taken, taken + 60, "left") - np.arange(len(taken))
+    assert in_a_minute.max() <= 120 + 4
+    # A task that is never late has every fourth token.
+    steady, at = http.Turns(0.0, 60, 1, 4, lambda: at[0], lambda s: at.__setitem__(0, at[0] + s)), [0.0]
+    got = []
+    for _ in range(3):
+        steady.take()
+        got.append(round(at[0], 6))
+    assert got == [1.0, 5.0, 9.0]
+
+
+@pytest.fixture
+def stub():
+    """An endpoint of market caps that serves a history of days up to 2020, and records what it is asked for."""
+    import json
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from threading import Thread
+    from urllib.parse import parse_qs, urlparse
+
+    begins, asked = {"A": "2015-03-02", "B": "1990-05-01", "C": "1975-01-06", "D": "1950-02-01", "E": None}, []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            url = urlparse(self.path)
+            q = {k: v[0] for k, v in parse_qs(url.query).items()}
+            asked.append((url.path.strip("/"), q["symbol"], q.get("from"), q.get("to")))
+            rows = []
+            if "capitalization" in url.path and begins[q["symbol"]]:
+                day, first = date.fromisoformat(q["to"]), max(date.fromisoformat(q["from"]), date.fromisoformat(begins[q["symbol"]]))
+                rows = [{"symbol": q["symbol"], "date": (day - timedelta(days=k)).isoformat(), "marketCap": 1000.0 + k} for k in range(0, (day - first).days + 1)]
+                rows = [r for r in rows if date.fromisoformat(r["date"]).weekday() < 5]
+            elif "light" in url.path:
+                rows = [{"symbol": q["symbol"], "date": d, "price": 10.0, "volume": 1.0} for d in ("2019-12-31", "2019-12-30", "2019-12-31")]
+            body = json.dumps(rows).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_address[1]}", asked
+    server.shutdown()
+
+
+def test_paged_assembly_asks_for_no_page_too_many(spark, stub):
+    base, asked = stub
+    http.register(spark)
+    read = spark.read.format("paged_json").option("base", base).option("symbols", "A,B,C,D,E").option("to", "2020-01-01").option("years", "19").option("rate", "600000").option("tasks", "3")
+    answers = read.option("endpoints", "market_cap,eod,income_statement:annual").load().persist()
+    assert answers.count() == len(asked)
+    pages = {s: sum(x[1] == s and "capitalization" in x[0] for x in asked) for s in "ABCDE"}
+    assert pages == {"A": 1, "B": 2, "C": 3, "D": 4, "E": 1}
+    docs = {r["symbol"]: r for r in documents.assembled(answers).collect()}
+    for s, first in (("A", date(2015, 3, 2)), ("B", date(1990, 5, 1)), ("C", date(1975, 1, 6)), ("D", date(1950, 2, 1))):
+        days = [date.fromisoformat(r["date"]) for r in docs[s]["market_cap"]]
+        want = [d for k in range((date(2020, 1, 1) - first).days + 1) if (d := date(2020, 1, 1) - timedelta(days=k)).weekday() < 5]
+        assert days == want
+        assert docs[s]["outstanding_shares"] == {"2019-12-31": 100, "2019-12-30": 100} and len(docs[s]["eod"]) == 2
+    assert docs["E"]["market_cap"] is None and docs["E"]["outstanding_shares"] is None and docs["E"]["financials_annual"]["income_statement"] == []
+    report = {r["symbol"]: (r["status"], r["requests"]) for r in documents.fetch_report(answers, spark.createDataFrame([("A",), ("Z",)], "symbol string")).collect()}
+    assert report == {"A": ("success", 3), "Z": ("failed", 0)}
+    answers.unpersist()
+
+
 def test_pages_and_refresh(spark):
     rows = [("A", "2001-01-05", 1.0, 0, "2001-01-01"), ("A", "2001-01-05", 9.0, 1, "1982-01-01"), ("A", "1990-01-01", 2.0, 1, "1982-01-01"), ("B", "2001-01-02", 3.0, 0, "2001-01-01")]
     pages = spark.createDataFrame(rows, "symbol string, date string, cap double, page int, from string")
