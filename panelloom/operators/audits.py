@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import sys
 from itertools import combinations
 
-import numpy as np
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.periods import close_enough, month_gap, months_between
 from ..functions.windows import average_ranks, by_months
-
-#: Rows that a rank correlation by pairs of rows takes; its time isn't linear, and a pair of columns is one group.
-KENDALL_ROWS = 1_000_000
-cloudpickle.register_pickle_by_value(sys.modules[__name__])  # what runs in workers needs no package there
+from .ranks import kendall, quantiles
 
 
 def month_gaps(rows: DataFrame) -> DataFrame:
@@ -65,10 +58,8 @@ def quantile_bins(rows: DataFrame, columns: list[str], bins: int = 10) -> DataFr
 
     A column with a single distinct edge has no bins.
     """
-    points = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = rows.agg(*[F.array_sort(F.array_distinct(F.percentile(c, points))).alias(c) for c in columns])
+    limits = quantiles(rows, columns, [i / bins for i in range(bins + 1)]).groupBy("column").agg(F.array_sort(F.collect_set("value")).alias("edges")).filter("size(edges) > 1")
     longs = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("r")).select("r.*").filter("value is not null")
-    limits = edges.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("edges")) for c in columns])).alias("e")).select("e.*").filter("size(edges) > 1")
     at = F.greatest(F.lit(1), F.expr("size(filter(edges, e -> e < value))"))
     placed = longs.join(F.broadcast(limits), "column").withColumn("bin", at)  # a row a column
     return placed.groupBy("column", "bin").agg(F.get(F.first("edges"), F.col("bin") - 1).alias("low"), F.get(F.first("edges"), F.col("bin")).alias("high"), F.count("*").alias("count"))
@@ -89,53 +80,11 @@ def ranked(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*[F.col(f"_{c}").alias(c) for c in columns])
 
 
-def _inversions(x: np.ndarray) -> int:
-    """Pairs out of order, by merging runs of doubling width."""
-    x = np.unique(x, return_inverse=True)[1].astype(np.int64)
-    n, most, total, width = len(x), int(x.max(initial=0)) + 1, 0, 1
-    run = np.arange(n)
-    while width < n:
-        block = run // width
-        key = block * most + x  # sorted within each block, so over all
-        right = np.flatnonzero(block % 2 == 1)
-        left_end = block[right] * width
-        above = left_end - np.searchsorted(key, (block[right] - 1) * most + x[right], "right")
-        total += int(above.sum())
-        x = x[np.lexsort((x, run // (2 * width)))]
-        width *= 2
-    return total
-
-
-def kendall_tau(a: np.ndarray, b: np.ndarray) -> float | None:
-    """tau-b in n log n; null without two different values on either side."""
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    ties = lambda *v: sum(int(c) * (int(c) - 1) // 2 for c in np.unique(np.stack(v, axis=1), axis=0, return_counts=True)[1])
-    n = len(a) * (len(a) - 1) // 2
-    of_a, of_b, of_both = ties(a), ties(b), ties(a, b)
-    spread = (n - of_a) * (n - of_b)
-    return (n - of_a - of_b + of_both - 2 * _inversions(b)) / spread**0.5 if spread > 0 else None
-
-
-def _kendall(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    if (n := rows.limit(KENDALL_ROWS + 1).count()) > KENDALL_ROWS:
-        raise ValueError(f"kendall takes {KENDALL_ROWS} rows at most, not {n} or more")
-    each = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])
-    long = rows.select(F.explode(each).alias("p")).select("p.*").filter("x is not null and y is not null")
-
-    def tau(key: tuple, group: pa.Table) -> pa.Table:
-        r = kendall_tau(group.column("x").to_numpy(), group.column("y").to_numpy())
-        return pa.table({"a": [key[0].as_py()], "b": [key[1].as_py()], "r": pa.array([r], pa.float64())})
-
-    named = rows.sparkSession.createDataFrame(pairs, "a string, b string")
-    return named.join(F.broadcast(long.groupBy("a", "b").applyInArrow(tau, "a string, b string, r double")), ["a", "b"], "left")  # a row a pair
-
-
 def correlations(rows: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
-    """(a, b, r) for every pair in column order; kendall (tau-b) refuses more than KENDALL_ROWS rows."""
+    """(a, b, r) for every pair in column order; of kendall, tau-b."""
     pairs = list(combinations(columns, 2))
     if method == "kendall":
-        return _kendall(rows, pairs)
+        return kendall(rows, pairs)
     one = (ranked(rows, columns) if method == "spearman" else rows).agg(*[_pearson(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{i}`").alias("r")) for i, (a, b) in enumerate(pairs)])).alias("p")).select("p.*")
 
@@ -160,10 +109,12 @@ def without_correlated(rows: DataFrame, columns: list[str], threshold: float = 0
 def profile(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(column, n, nulls, distinct, mean, std, low, q25, median, q75, high)."""
     stat = lambda c: F.struct(
-        F.lit(c).alias("column"), F.count(c).alias("n"), F.count_if(F.col(c).isNull()).alias("nulls"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("low"),
-        F.percentile(c, F.lit(0.25)).alias("q25"), F.percentile(c, F.lit(0.5)).alias("median"), F.percentile(c, F.lit(0.75)).alias("q75"), F.max(c).cast("double").alias("high"),
+        F.lit(c).alias("column"), F.count(c).alias("n"), F.count_if(F.col(c).isNull()).alias("nulls"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high"),
     )
-    return rows.agg(F.array(*map(stat, columns)).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    one = rows.agg(F.array(*map(stat, columns)).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    named = {0.25: "q25", 0.5: "median", 0.75: "q75"}
+    middle = quantiles(rows, columns, list(named)).groupBy("column").agg(*[F.max(F.when(F.col("point") == p, F.col("value"))).alias(c) for p, c in named.items()])
+    return one.join(F.broadcast(middle), "column", "left").select("column", "n", "nulls", "mean", "std", "low", *named.values(), "high")  # a row a column
 
 
 def histogram(rows: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:

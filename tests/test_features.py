@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelloom.functions import periods
-from panelloom.operators import audits, bars, features, mlprep, moe, panel
+from panelloom.operators import audits, bars, features, mlprep, moe, panel, ranks
 from panelloom.sources import config, documents, http, macro, sic
 
 
@@ -437,7 +437,7 @@ def test_positions_of_a_table(spark, monkeypatch):
     assert windows.positioned(df.limit(0), ["v"]).count() == 0
 
 
-def test_kendall_against_pairs(spark, monkeypatch):
+def test_kendall_against_pairs(spark):
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 9, 80).astype(float), rng.integers(0, 9, 80).astype(float)
     s = lambda v: np.sign(v[:, None] - v[None])
@@ -445,9 +445,40 @@ def test_kendall_against_pairs(spark, monkeypatch):
     df = spark.createDataFrame([(float(x), float(y), 1.0) for x, y in zip(a, b, strict=True)], "a double, b double, c double")
     got = {(r["a"], r["b"]): r["r"] for r in audits.correlations(df, ["a", "b", "c"], "kendall").collect()}
     assert got["a", "b"] == pytest.approx(want) and got["a", "c"] is None
-    monkeypatch.setattr(audits, "KENDALL_ROWS", 10)
-    with pytest.raises(ValueError):
-        audits.correlations(df, ["a", "b"], "kendall")
+
+
+def test_kendall_by_slices(spark, monkeypatch):
+    """Slices of 20 rows, grids that are sliced again, a hot value, ties and nulls: as over all pairs of rows."""
+    monkeypatch.setattr(ranks, "SLICE_ROWS", 20)
+    rng = np.random.default_rng(4)
+    a = np.where(rng.random(400) < 0.3, 5.0, rng.normal(5, 3, 400).round(1))
+    b = np.where(rng.random(400) < 0.3, a, rng.normal(5, 3, 400).round(1))
+    rows = [(float(x), None if k % 11 == 0 else float(y), float(x * y)) for k, (x, y) in enumerate(zip(a, b, strict=True))]
+    got = {(r["a"], r["b"]): r["r"] for r in audits.correlations(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"], "kendall").collect()}
+    s = lambda v: np.sign(v[:, None] - v[None])
+    for i, j, name in ((0, 1, ("a", "b")), (0, 2, ("a", "c")), (1, 2, ("b", "c"))):
+        x, y = (np.array([float(r[k]) for r in rows if r[i] is not None and r[j] is not None]) for k in (i, j))
+        assert got[name] == pytest.approx((s(x) * s(y)).sum() / np.sqrt((s(x) ** 2).sum() * (s(y) ** 2).sum()))
+
+
+def test_discordant_pairs_by_weight():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 33, 100):
+        x, y, w = rng.integers(0, 9, n), rng.integers(0, 9, n), rng.integers(1, 5, n)
+        assert ranks.discordant(x, y, w) == sum(float(w[i] * w[j]) for i in range(n) for j in range(n) if x[i] < x[j] and y[i] > y[j])
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 20])
+def test_quantiles_are_exact(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(ranks, "ACCURACY", accuracy)
+    rng = np.random.default_rng(6)
+    x = np.where(rng.random(3000) < 0.35, 7.0, rng.normal(0, 10, 3000))
+    df = spark.createDataFrame([(float(v), k % 3 if k % 5 else None, None) for k, v in enumerate(x)], "v double, `i.j` int, n double")
+    points = [0.0, 0.01, 0.25, 0.333, 0.5, 0.77, 0.999, 1.0]
+    got = {(r["column"], r["point"]): r["value"] for r in ranks.quantiles(df, ["v", "i.j", "n"], points).collect()}
+    held = [k % 3 for k in range(3000) if k % 5]
+    assert got == {("v", p): pytest.approx(np.quantile(x, p), rel=1e-12, abs=1e-12) for p in points} | {("i.j", p): pytest.approx(np.quantile(held, p)) for p in points}
+    assert ranks.quantiles(df.limit(0), ["v"], [0.5]).count() == 0
 
 
 def test_histogram_and_lists(spark):
