@@ -48,13 +48,14 @@ def read_panel(spark: SparkSession, path: str) -> DataFrame:
     return clean_nan(rows.withColumn("symbol", true_symbol(F.col("symbol"))))
 
 
-def write_frames(panel: DataFrame, path: str, months: tuple[str, str] | None = None) -> DataFrame:
+def write_frames(panel: DataFrame, path: str, months: tuple[str, str] | None = None, replace: bool = True) -> DataFrame:
     """One folder a symbol, months in order, of the months from the first to before the second if given; returns (symbol, rows) of what is written.
 
-    Symbols whose rows all lie outside have 0 rows in what is returned and no folder.
+    Symbols whose rows all lie outside have 0 rows in what is returned and no folder. What the
+    path holds is replaced, or else only the folders of the symbols that are written.
     """
     inside = F.lit(True) if months is None else F.col("month").between(*months) & (F.col("month") < months[1])
-    panel.filter(inside).repartition("symbol").sortWithinPartitions("symbol", "month").write.mode("overwrite").partitionBy("symbol").option("header", True).csv(path)
+    panel.filter(inside).repartition("symbol").sortWithinPartitions("symbol", "month").write.mode("overwrite").option("partitionOverwriteMode", "static" if replace else "dynamic").partitionBy("symbol").option("header", True).csv(path)
     return panel.groupBy("symbol").agg(F.count_if(inside).alias("rows"))
 
 

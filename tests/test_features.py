@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions import periods
 from panelloom.operators import audits, bars, features, mlprep, moe, panel, ranks
-from panelloom.sources import config, documents, http, macro, sic
+from panelloom.sources import config, documents, http, macro, sic, upsert
 
 
 def rows_of(df, *order):
@@ -396,6 +396,86 @@ def test_documents_to_panel(spark, tmp_path):
     assert [x["v"] for x in documents.enrich(docs, extra, "splits").filter("symbol = 'A'").first()["splits"]] == [2, 1]
 
 
+def _document(s: str, prices: list[float], sic: str) -> dict:
+    """Bars every second day from 2017 on, market caps of 100 shares, statements by quarter and year."""
+    days = [date(2017, 1, 2) + timedelta(days=2 * k) for k in range(len(prices))]
+    eod = [{"symbol": s, "date": d.isoformat(), "price": p, "volume": 10.0 + k % 7} for k, (d, p) in enumerate(zip(days, prices, strict=True))][::-1]
+    filed = [{"date": f"{y}-{m:02d}-28", "fillingDate": f"{y + m // 12}-{m % 12 + 1:02d}-20", "netIncome": 5.0 * y, "revenue": 9.0 * m, "totalAssets": 100.0 + y + m} for y in (2018, 2017) for m in (12, 9, 6, 3)]
+    finance = {"income_statement": filed, "balance_sheet": filed}
+    return {
+        "symbol": s, "sicCode_2": sic, "exchange": "X", "type": "stock", "eod": eod, "eod_unadj": [{"date": r["date"], "adjClose": r["price"]} for r in eod],
+        "market_cap": [{"symbol": s, "date": r["date"], "marketCap": 100 * r["price"]} for r in eod], "outstanding_shares": {r["date"]: 100 for r in eod},
+        "financials_annual": {k: v[:1] + v[4:5] for k, v in finance.items()}, "financials_quarterly": finance,
+    }
+
+
+def test_runs_over_slices_of_documents_resume(spark, tmp_path, monkeypatch):
+    """All characteristics of five symbols; a run that dies in its second slice goes on there."""
+    import json
+
+    rng = np.random.default_rng(8)
+    (tmp_path / "raw").mkdir()
+    for k, s in enumerate("ABCDE"):
+        body = _document(s, np.exp(np.cumsum(rng.normal(0, 0.02, 320))).round(4).tolist(), f"{10 + k % 2}")
+        (tmp_path / "raw" / f"{s}.json").write_text(json.dumps(body if s != "D" else body | {"market_cap": []}, indent=4))
+    c = config.EngineConfig(str(tmp_path))
+    real, calls = documents.write_frames, []
+
+    def write(made, path, **how):
+        calls.append(how)
+        if len(calls) == 2:
+            raise OSError("the disk is full")
+        return real(made, path, **how)
+
+    monkeypatch.setattr(documents, "write_frames", write)
+    with pytest.raises(OSError):
+        config.run_slices(spark, c, 2)
+    told = config.run_slices(spark, c, 2)
+    assert len(calls) == 4 and all(how == {"replace": False} for how in calls)
+    assert [r[:2] for r in rows_of(told.select("symbol", "status"), "symbol")] == [("A", "success"), ("B", "success"), ("C", "success"), ("D", "invalid"), ("E", "success")]
+    whole = documents.read_panel(spark, c.frames)
+    wanted = ("mom1m", "mom12m", "mom12m_current", "mom36m", "chmom", "chmom_current", "maxret", "maxret_current", "turn", "std_turn", "mve", "mve_current", "dolvol", "dolvol_current", "ill", "retvol",
+              "beta", "beta_current", "betasq", "betasq_current", "idiovol", "idiovol_current", "indmom", "ep_quarter", "sp_quarter", "agr_quarter", "ep_year", "sp_year", "agr_year")
+    assert set(wanted) <= set(whole.columns)
+    row = whole.filter("symbol = 'A' and month = '2018-07'").first()
+    caps = {r["date"]: r["marketCap"] for r in json.loads((tmp_path / "raw" / "A.json").read_text())["market_cap"]}
+    assert row["mve_current"] == pytest.approx(math.log(caps[max(d for d in caps if d < "2018-08")]))
+    filed = whole.filter("symbol = 'A' and month = '2018-10'").first()
+    near = [caps[d] for d in ("2018-09-28",) if d in caps] or [sum(caps[d] for d in (max(x for x in caps if x < "2018-09-28"), min(x for x in caps if x > "2018-09-28"))) / 2 if max(caps) > "2018-09-28" else caps[max(caps)]]
+    assert filed["sp_quarter"] == pytest.approx(81.0 / near[0])
+    same = {r["symbol"]: r["indmom"] for r in whole.filter("month = '2018-07'").collect()}
+    current = {r["symbol"]: r["mom12m_current"] for r in whole.filter("month = '2018-07'").collect()}
+    assert same["A"] == same["C"] == same["E"] == pytest.approx(np.mean([current[s] for s in "ACE"])) and same["B"] == pytest.approx(current["B"])
+
+
+def test_upserts_survive_a_crash(spark, tmp_path, monkeypatch):
+    schema = "symbol string, date string, v double, at int"
+    table = upsert.Upserts(spark, str(tmp_path / "caps"), order="at", buckets=4)
+    with pytest.raises(ValueError):
+        table.read()
+    first = spark.createDataFrame([(s, f"d{k}", 1.0 * k, 0) for s in "ABCDEF" for k in range(3)] + [("A", "d0", 7.0, 1), (None, "d0", 3.0, 0)], schema)
+    assert table.upsert(first) == 1
+    want = {(s, f"d{k}"): 1.0 * k for s in "ABCDEF" for k in range(3)} | {("A", "d0"): 7.0, (None, "d0"): 3.0}
+    got = lambda version=None: {(r["symbol"], r["date"]): r["v"] for r in table.read(version).collect()}
+    assert got() == want and table.read().count() == len(want)
+    news = spark.createDataFrame([("A", "d0", 9.0, 2), ("A", "d9", 5.0, 2), (None, "d0", 4.0, 2)], schema)
+    with monkeypatch.context() as m:
+        m.setattr(table, "_publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            table.upsert(news)
+    assert table.version() == 1 and got() == want
+    for _ in range(2):  # again after the crash, and once more
+        table.upsert(news, batch=5)
+        assert table.version() == 2 and got() == want | {("A", "d0"): 9.0, ("A", "d9"): 5.0, (None, "d0"): 4.0}
+    assert got(1) == want
+    table.upsert(spark.createDataFrame([("Z", "d0", 1.0, 0)], schema), batch=6)
+    now = got()
+    with pytest.raises(RuntimeError):
+        table._publish(3, {})
+    table.vacuum()
+    assert got() == now and table.version() == 3
+
+
 def test_columns_of_the_final_panel(spark):
     df = spark.createDataFrame([("A", "2020-01", 1.0, 2.0, 3.0, 4.0, "x")], "symbol string, month string, mom12m double, mom12m_current double, sp_year double, turn double, exchange string")
     assert mlprep.final_columns(df).columns == ["symbol", "month", "mom12m", "turn", "exchange"] and mlprep.final_columns(df).first()["mom12m"] == 2.0
