@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import periods
 from ..operators import audits, bars, features, mlprep, moe, panel
-from ..sources import documents, sic, testdata
+from ..sources import documents, sic, testdata, upsert
 from ..sources import macro as macro_source
-from ..streaming import incremental
+from ..streaming import aggregates, incremental
 from . import sql
 from .sql import FEATURES, FUNDAMENTALS, MACRO, SPLITS
 
@@ -606,6 +606,27 @@ def stream_monthly(spark, d):
     return incremental.latest_monthly(spark, f"{store}/store").select("symbol", "month", r("close"), r("volume"), "days")
 
 
+@query("SELECT week, " + sql.r("market") + " FROM market")
+def stream_market(spark, d):
+    """The bars as a stream: the market's weekly returns, from sums that are kept up to date."""
+    store = incremental.scratch(spark, "market")
+    testdata.bars(spark, d).write.parquet(f"{store}/in")
+    stream = spark.readStream.schema("symbol string, date date, price double, volume double").parquet(f"{store}/in")
+    aggregates.maintain(stream, f"{store}/store", f"{store}/checkpoint", testdata.static_info(spark, d)).awaitTermination()
+    return aggregates.market(spark, f"{store}/store").select("week", r("market"))
+
+
+@query("SELECT symbol, date, " + sql.r("price", 4) + " FROM (SELECT CAST(l_partkey AS VARCHAR) AS symbol, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date, l_extendedprice / l_quantity * CASE WHEN CAST(l_shipdate AS DATE) >= DATE '1995-01-01' THEN 1 - l_discount ELSE 1 END AS price"
+       " FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, CAST(l_shipdate AS DATE) ORDER BY l_orderkey DESC, l_linenumber DESC) = 1)")
+def bars_refreshed(spark, d):
+    """Bars of the parts, refreshed with other prices from 1995 on."""
+    rows = testdata.read(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("symbol"), F.to_date("l_shipdate").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"), "l_discount")
+    table = upsert.Upserts(spark, incremental.scratch(spark, "bars"), order="at")
+    table.upsert(rows.drop("l_discount"))
+    table.upsert(rows.filter("date >= '1995-01-01'").withColumn("price", F.col("price") * (1 - F.col("l_discount"))).drop("l_discount"))
+    return table.read().select("symbol", F.col("date").cast("string").alias("date"), r("price", 4))
+
+
 # Documents and files.
 
 

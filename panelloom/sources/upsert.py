@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,6 +50,27 @@ class Upserts:
             raise ValueError(f"{self.path} has no rows yet")
         return self.spark.read.parquet(*[f"{self.path}/{f}" for f in held.values()])
 
+    def before(self, batch: int) -> int:
+        """The last version without a batch or any after it; 0 if there is none."""
+        version = self.version()
+        while version and (taken := self.commit(version)["batch"]) is not None and taken >= batch:
+            version -= 1
+        return version
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.keys[0]), F.lit(self.buckets)).cast("int")
+
+    def read_like(self, some: DataFrame, version: int) -> DataFrame | None:
+        """The rows of a version whose first key is among those of `some`, from the buckets that these fall into; None if it has no such bucket."""
+        held, k = self.commit(version)["buckets"], self.keys[0]
+        of = some.select(F.col(k).alias("_k")).distinct()
+        there = [str(r[0]) for r in some.select(self.bucket().alias("b")).distinct().collect()]  # buckets at most
+        folders = [f"{self.path}/{held[b]}" for b in there if b in held]
+        if not folders:
+            return None
+        rows = self.spark.read.parquet(*folders)
+        return rows.join(of, rows[k].eqNullSafe(of["_k"]), "left_semi")
+
     def upsert(self, news: DataFrame, batch: int | None = None) -> int:
         """The version that holds the news; batches up to the last one taken are left alone."""
         version = self.version()
@@ -59,12 +80,12 @@ class Upserts:
         folder = f"data/{version + 1:08d}-{uuid.uuid4().hex}"
         order = [F.desc_nulls_last(self.order)] if self.order else [F.desc(c) for c in news.columns if c not in self.keys]
         last = news.withColumn("_n", F.row_number().over(W.partitionBy(*self.keys).orderBy(*order))).filter("_n = 1").drop("_n")
-        last.withColumn("_bucket", F.pmod(F.xxhash64(self.keys[0]), F.lit(self.buckets)).cast("int")).write.partitionBy("_bucket").parquet(f"{self.path}/{folder}/news")
+        last.withColumn("_bucket", self.bucket()).write.partitionBy("_bucket").parquet(f"{self.path}/{folder}/news")
         fresh = self.spark.read.parquet(f"{self.path}/{folder}/news")
         touched = [str(r[0]) for r in fresh.select("_bucket").distinct().collect()]  # buckets at most
         held = [f"{self.path}/{now['buckets'][b]}" for b in touched if b in now["buckets"]]
         if held:
-            old = self.spark.read.parquet(*held).withColumn("_bucket", F.pmod(F.xxhash64(self.keys[0]), F.lit(self.buckets)).cast("int"))
+            old = self.spark.read.parquet(*held).withColumn("_bucket", self.bucket())
             same = [old[k].eqNullSafe(fresh[k]) for k in self.keys]
             rows = old.join(fresh.select(*self.keys), same, "left_anti").unionByName(fresh, allowMissingColumns=True)
         else:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -43,7 +45,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None and spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(shared or tempfile.mkdtemp(prefix='panelloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{(shared or tempfile.mkdtemp(prefix='panelloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # noqa: BLE001  the session may have ended; the folder is scratch
+        pass
 
 
 def latest_monthly(spark: SparkSession, store: str) -> DataFrame:
