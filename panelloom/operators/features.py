@@ -72,7 +72,7 @@ def industry_momentum(monthly: DataFrame, static: DataFrame, of: str = "mom12m_c
 
 def _weekly_base(weekly: DataFrame, market: DataFrame | None) -> DataFrame:
     rows = indexed(weekly, "week", "wi", "nw")
-    return rows if market is None else rows.join(F.broadcast(market), "week")  # a row a week
+    return rows if market is None else rows.join(F.broadcast(market), "week", "left")  # a row a week
 
 
 def rolling_risk(monthly: DataFrame, weekly: DataFrame, market: DataFrame, long: int = 156, short: int = 52, stride: int = 4) -> DataFrame:
@@ -89,25 +89,22 @@ def rolling_risk(monthly: DataFrame, weekly: DataFrame, market: DataFrame, long:
     r, m = F.col("ret"), F.when(F.col("ret").isNotNull(), F.col("market"))
     both = F.when(F.col("market").isNotNull(), F.col("ret"))
     rolled = base.select(
-        "symbol", "wi", "nw", F.avg(r).over(frame(long)).alias("_mean"),
+        "symbol", "week", "wi", "nw", F.avg(r).over(frame(long)).alias("_mean"),
         F.when(F.count(F.when(m.isNotNull(), both)).over(frame(short)) >= 52, F.covar_samp(both, m).over(frame(short)) / F.nullif(F.var_pop(m).over(frame(short)), F.lit(0.0))).alias("_beta"),
         F.var_pop(both).over(frame(long)).alias("_vr"), F.covar_pop(both, m).over(frame(long)).alias("_cov"), F.var_pop(m).over(frame(long)).alias("_vm"), F.count(F.when(m.isNotNull(), both)).over(frame(long)).alias("_n"),
     )
     rest = F.col("_vr") - F.col("_cov") * F.col("_cov") / F.nullif("_vm", F.lit(0.0))
-    rolled = rolled.filter(F.col("wi") + short < F.col("nw")).withColumn("_idio", F.when(F.col("_n") == long, F.sqrt(F.when(rest < 0, 0.0).otherwise(rest))))
-    months = indexed(monthly.select("symbol", "month", "latest_week"), "month", "mi")
-    at = base.select("symbol", F.col("week").alias("latest_week"), F.col("wi").alias("w"))
-    start = months.filter("mi < 2").join(at, ["symbol", "latest_week"]).groupBy("symbol").agg(F.max(F.when(F.col("mi") == 1, F.col("w"))).alias("lagged"), F.max(F.when(F.col("mi") == 0, F.col("w"))).alias("current"))
-    places = months.join(start, "symbol").select("symbol", "month", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), (F.col(k) + stride * F.col("mi")).alias("wi")) for k in ("lagged", "current")])).alias("p")).select("symbol", "month", "p.*")
-    found = places.join(rolled, ["symbol", "wi"])
-    far = F.col("wi") + long < F.col("nw")
-    pick = lambda kind, c, ok=F.lit(True): F.max(F.when((F.col("kind") == kind) & ok, F.col(c)))
-    per = found.groupBy("symbol", "month").agg(
-        pick("lagged", "_mean", far).alias("rolling_return"), pick("current", "_mean", far).alias("rolling_return_current"),
-        pick("lagged", "_beta").alias("beta"), pick("current", "_beta").alias("beta_current"),
-        pick("lagged", "_idio", far).alias("idiovol"), pick("current", "_idio", far).alias("idiovol_current"),
-    )
-    out = months.select("symbol", "month").join(per, ["symbol", "month"], "left")
+    idio = F.when(F.col("_n") == long, F.sqrt(F.when(rest < 0, 0.0).otherwise(rest)))
+    left = lambda n, c: F.when(F.col("wi") + n < F.col("nw"), c)
+    week = F.struct("wi", "week", left(long, F.col("_mean")).alias("mean"), left(short, F.col("_beta")).alias("beta"), left(long, idio).alias("idio"))
+    # A symbol's weeks and months are bounded by the calendar; both lie in one row, latest first, so a month's week is a place.
+    weeks = rolled.groupBy("symbol").agg(F.array_sort(F.collect_list(week)).alias("_weeks"))
+    months = monthly.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("month", "latest_week")), asc=False).alias("_months"))
+    place = lambda k: F.nullif(F.array_position(F.transform("_weeks", lambda w: w["week"]), F.get("_months", F.lit(k))["latest_week"]), F.lit(0)) - 1
+    both = months.join(weeks, "symbol", "left").withColumns({"_lagged": place(1).cast("int"), "_current": place(0).cast("int")})
+    at = lambda c, i: F.get("_weeks", F.col(c) + stride * i)
+    out = both.select("symbol", F.explode(F.transform("_months", lambda x, i: F.struct(x["month"].alias("month"), at("_lagged", i).alias("lag"), at("_current", i).alias("now")))).alias("r"))
+    out = out.select("symbol", "r.month", *[F.col(f"r.{k}.{c}").alias(name + end) for k, end in (("lag", ""), ("now", "_current")) for c, name in (("mean", "rolling_return"), ("beta", "beta"), ("idio", "idiovol"))])
     return out.withColumns({"betasq": F.col("beta") * F.col("beta"), "betasq_current": F.col("beta_current") * F.col("beta_current")})
 
 
