@@ -10,6 +10,10 @@ from ..functions.periods import month_gap
 from ..functions.windows import positioned
 
 
+#: A model's features, as the panel names them.
+FEATURES = ("mom1m", "mom12m_current", "mom36m", "chmom_current", "maxret_current", "turn", "std_turn", "mve_current", "dolvol_current", "ill", "retvol", "ep_quarter", "sp_quarter", "agr_quarter", "ep_year", "beta", "betasq", "idiovol", "indmom")
+
+
 def code_map(rows: DataFrame, column: str) -> DataFrame:
     """(column, code): distinct values in numeric order as 0, 1, ..."""
     known = rows.select(column).distinct().filter(F.col(column).isNotNull())

@@ -32,7 +32,7 @@ def assemble(monthly: DataFrame, *others: DataFrame, static: DataFrame | None =
 
 def forward_fill(panel: DataFrame, columns: tuple[str, ...] = FUNDAMENTALS) -> DataFrame:
     run = by_months().rowsBetween(W.unboundedPreceding, W.currentRow)
-    return panel.withColumns({c: F.last(c, ignorenulls=True).over(run) for c in columns})
+    return panel.withColumns({c: F.last(c, ignorenulls=True).over(run) for c in columns if c in panel.columns})
 
 
 def _as_is(rows: DataFrame) -> DataFrame:

@@ -512,7 +512,7 @@ _KEPT_MACRO = "(SELECT " + ", ".join(f"{'greatest(0, ' + ', '.join(f'abs(corr({a
 def final_dataset(spark, d):
     """The flagship: panel, fills, final columns, macro columns that aren't correlated, scaling on the training months, and windows of firm and macro features in each split."""
     macro = testdata.macro(spark, d)
-    rows = panel.format_panel(whole_panel(spark, d).select("symbol", "month", *dict.fromkeys((*FEATURES, *FUNDAMENTALS))), macro.select("month"), FEATURES)
+    rows = panel.format_panel(whole_panel(spark, d).select("symbol", "month", *dict.fromkeys((*FEATURES, *FUNDAMENTALS))), macro.select("month"), FEATURES, keep)
     rows = mlprep.final_columns(rows).withColumn("split", mlprep.date_split(*SPLITS)).filter("split is not null")
     rows = keep(rows)  # read once for the scaler and once for the windows
     firm = [mlprep.RENAMED.get(c, c) for c in FEATURES]
@@ -528,19 +528,17 @@ def final_dataset(spark, d):
     return _digest(made, "split", "symbol", "sic", "macro_steps", "macro_total").withColumn("macro_total", r("macro_total", 4))
 
 
-CROSS = ("mom1m", "mom12m_current", "retvol", "turn")
-
-
 @query(
-    "SELECT p.symbol, p.month, split, " + ", ".join(f"{sql.r(f'p.{c}', 6, mlprep.RENAMED.get(c, c))}" for c in CROSS) + ", " + ", ".join(sql.r(f"m.{c}", 6) for c in MACRO)
-    + " FROM (" + sql._scaled(f"(SELECT *, CASE WHEN month < '{SPLITS[0]}' THEN 'train' WHEN month < '{SPLITS[1]}' THEN 'val' WHEN month < '{SPLITS[2]}' THEN 'test' END AS split FROM liquidity WHERE month < '{SPLITS[2]}')", CROSS, "split = 'train'", "symbol, month, split")
-    + ") p LEFT JOIN macroscaled m ON p.month = m.month"
+    "SELECT p.symbol, p.month, split, " + ", ".join(sql.r(f"p.{c}", 6, mlprep.RENAMED.get(c, c)) for c in FEATURES) + ", " + ", ".join(sql.r(f"m.{c}", 6, f"{c}_scaled") for c in MACRO)
+    + " FROM scaledpart p LEFT JOIN macroscaled m ON p.month = m.month"
 )
 def cross_section(spark, d):
-    rows = mlprep.final_columns(liquid(spark, d).select("symbol", "month", *CROSS))
-    firm = [mlprep.RENAMED.get(c, c) for c in CROSS]
-    made = mlprep.cross_section(rows, testdata.macro(spark, d), firm, list(MACRO), SPLITS)
-    return made.select("symbol", "month", "split", *[r(c) for c in firm], *[r(c) for c in MACRO])
+    macro = testdata.macro(spark, d)
+    wide = whole_panel(spark, d).select("symbol", "month", *dict.fromkeys((*FEATURES, *FUNDAMENTALS)))
+    rows = mlprep.final_columns(panel.format_panel(wide, macro.select("month"), FEATURES, keep))
+    firm = [mlprep.RENAMED.get(c, c) for c in FEATURES]
+    made = mlprep.cross_section(keep(rows), macro, firm, list(MACRO), SPLITS)
+    return made.select("symbol", "month", "split", *[r(c) for c in firm], *[r(c, name=f"{c}_scaled") for c in MACRO])
 
 
 @query("SELECT symbol, month, " + sql.r("retvol") + " FROM monthly_retvol".replace("monthly_retvol", "(SELECT symbol, month, retvol FROM liquidity)"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from ..operators.mlprep import FEATURES
+
 SPLITS = ("1999-06", "2000-07", "2002-01")
 
 
@@ -41,8 +43,6 @@ def dolvol(x: str) -> str:
 MONTH_ID = "(CAST(substr({0}, 1, 4) AS INTEGER) * 12 + CAST(substr({0}, 6, 2) AS INTEGER))"
 GAP = f"({MONTH_ID.format('{1}')} - {MONTH_ID.format('{0}')} - 1)"
 FUNDAMENTALS = ("ep_quarter", "sp_quarter", "agr_quarter", "ep_year", "sp_year", "agr_year")
-#: Columns of the flagship's sequences.
-FEATURES = ("mom1m", "mom12m_current", "mom36m", "chmom_current", "maxret_current", "turn", "std_turn", "mve_current", "dolvol_current", "ill", "retvol", "ep_quarter", "sp_quarter", "agr_quarter", "ep_year", "beta", "betasq", "idiovol", "indmom")
 MACRO = ("m_mean", "m_sum", "m_count", "m_open", "m_done")
 ALPHA = 1 - 2 ** (-1 / 5)
 

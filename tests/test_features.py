@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions import periods
 from panelloom.operators import audits, bars, features, mlprep, moe, panel, ranks
-from panelloom.sources import config, documents, http, macro, sic, upsert
+from panelloom.sources import config, dataset, documents, http, macro, sic, upsert
 
 
 def rows_of(df, *order):
@@ -448,6 +448,41 @@ def test_runs_over_slices_of_documents_resume(spark, tmp_path, monkeypatch):
     assert same["A"] == same["C"] == same["E"] == pytest.approx(np.mean([current[s] for s in "ACE"])) and same["B"] == pytest.approx(current["B"])
 
 
+def test_windows_from_files_and_the_same_scaling_again(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    months = [f"{y}-{m:02d}" for y in (2001, 2002, 2003) for m in range(1, 13)]
+    rows = [(s, m, str(10 + k % 2), "X", float(rng.normal(5, 2)), None if rng.random() < 0.2 else float(rng.normal()), float(rng.normal())) for k, s in enumerate("ABCD") for m in (months if s != "D" else months[-3:])]
+    frame = spark.createDataFrame(rows, "symbol string, month string, sic2 string, exchange string, mom1m double, turn double, indmom double")
+    frame.coalesce(1).write.option("header", True).csv(str(tmp_path / "panel"))
+    csp = {m: float(rng.normal()) for m in months}
+    lines = ["yyyymm,Index,csp,tbl,twice"] + [f'{m.replace("-", "")},"1,{k:03d}.50",{csp[m]},{k % 5},{2 * (k % 5)}' for k, m in enumerate(months)]
+    (tmp_path / "macro.csv").write_text("\n".join(lines))
+    c = dataset.Dataset(str(tmp_path / "panel"), str(tmp_path / "macro.csv"), str(tmp_path / "scalers"), ("2003-01", "2003-07", "2004-01"), steps=4, macro_steps=3, correlation=0.99)
+    made = dataset.build(spark, c).persist()
+    assert made.columns == ["symbol", "split", "time", "x", "macro_x", "y", "exchange", "sic"]
+    assert {(r["split"], r["symbol"]): r["n"] for r in made.groupBy("split", "symbol").agg(F.count("*").alias("n")).collect()} == {(s, k): n for k in "ABC" for s, n in (("train", 20), ("val", 2), ("test", 2))}
+    assert {(r["symbol"], r["sic"], r["exchange"]) for r in made.collect()} == {("A", 0, "X"), ("B", 1, "X"), ("C", 0, "X")}
+    # Columns by the panel's order: mom1m, turn, indmom; twice follows tbl.
+    mom = {(r[0], r[1]): r[4] for r in rows}
+    train = [v for (_, m), v in mom.items() if m < "2003-01"]
+    scaled = {k: (v - np.mean(train)) / np.std(train) for k, v in mom.items()}
+    for r in made.collect():
+        at = months.index(r["time"])
+        assert r["y"] == pytest.approx(scaled[r["symbol"], r["time"]]) and [v[0] for v in r["x"]] == [pytest.approx(scaled[r["symbol"], m]) for m in months[at - 4 : at]]
+        assert len(r["macro_x"]) == 3 and len(r["macro_x"][0]) == 3
+    # For use, the last rows and not those before a known one, by the stored scalers.
+    used = {r["symbol"]: r for r in dataset.latest(spark, c).collect()}
+    assert used.keys() == set("ABC") and used["B"]["time"] == "2003-12" and used["B"]["sic"] == 1
+    assert [v[0] for v in used["A"]["x"]] == [pytest.approx(scaled["A", m]) for m in months[-4:]]
+    tail = made.filter("symbol = 'A' and time = '2003-12'").first()
+    assert used["A"]["x"][:3] == tail["x"][1:] and used["A"]["macro_x"][:2] == tail["macro_x"][1:]
+    back = dataset.unscaled(spark, c, spark.createDataFrame([("A", float(scaled["A", "2003-12"]))], "symbol string, guess double"), "guess").first()
+    assert back["guess"] == pytest.approx(mom["A", "2003-12"])
+    few = dataset.build(spark, dataset.Dataset(**(vars(c) | {"sample": 2, "scalers": str(tmp_path / "few")})))
+    assert few.select("symbol").distinct().count() <= 2
+    made.unpersist()
+
+
 def test_upserts_survive_a_crash(spark, tmp_path, monkeypatch):
     schema = "symbol string, date string, v double, at int"
     table = upsert.Upserts(spark, str(tmp_path / "caps"), order="at", buckets=4)
