@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.periods import month_key, percent_return
 from ..functions.windows import by_months, by_weeks
-from .bars import indexed
 
 
 def _lag(c: str, n: int) -> Column:
@@ -70,44 +69,52 @@ def industry_momentum(monthly: DataFrame, static: DataFrame, of: str = "mom12m_c
     return monthly.join(static.select("symbol", "sic2"), "symbol").groupBy("sic2", "month").agg(F.avg(of).alias(name))
 
 
-def _weekly_base(weekly: DataFrame, market: DataFrame | None) -> DataFrame:
-    rows = indexed(weekly, "week", "wi", "nw")
-    return rows if market is None else rows.join(F.broadcast(market), "week", "left")  # a row a week
+def rolled_weeks(weekly: DataFrame, market: DataFrame, long: int = 156, short: int = 52) -> DataFrame:
+    """(symbol, week, mean, beta, idio) over the weeks up to each week; null unless the symbol has a week before the window.
 
-
-def rolling_risk(monthly: DataFrame, weekly: DataFrame, market: DataFrame, long: int = 156, short: int = 52, stride: int = 4) -> DataFrame:
-    """(symbol, month) with rolling_return, beta, betasq and idiovol, lagged and current.
-
-    Month i, latest first, looks at the weeks from w0 + stride * i on, w0 being the latest
-    week of the month before (of the month itself if current); it is null unless a week is
-    left beyond the window. Beta is the sample covariance over the population variance, of
-    short weeks that all have both returns; idiovol is the deviation of the residuals of a
-    regression over long weeks that all have both returns, null where the market doesn't move.
+    Beta is the sample covariance over the population variance, of short weeks that all have
+    both returns; idio is the deviation of the residuals of a regression over long weeks that
+    all have both returns, null where the market doesn't move. Where weekly has older, so many
+    of the symbol's weeks come before its rows.
     """
-    base = _weekly_base(weekly, market)
-    frame = lambda n: by_weeks().rowsBetween(-(n - 1), 0)  # noqa: E731  latest first, so backwards in time
+    older = F.col("older") if "older" in weekly.columns else F.lit(0)
+    base = weekly.select("symbol", "week", "ret", older.alias("_older")).join(F.broadcast(market), "week", "left")  # a row a week
+    frame = lambda n: by_weeks().rowsBetween(-(n - 1), 0)
     r, m = F.col("ret"), F.when(F.col("ret").isNotNull(), F.col("market"))
     both = F.when(F.col("market").isNotNull(), F.col("ret"))
     rolled = base.select(
-        "symbol", "week", "wi", "nw", F.avg(r).over(frame(long)).alias("_mean"),
-        F.when(F.count(F.when(m.isNotNull(), both)).over(frame(short)) >= 52, F.covar_samp(both, m).over(frame(short)) / F.nullif(F.var_pop(m).over(frame(short)), F.lit(0.0))).alias("_beta"),
+        "symbol", "week", (F.row_number().over(by_weeks()) + F.col("_older")).alias("_place"), F.avg(r).over(frame(long)).alias("_mean"),
+        F.when(F.count(F.when(m.isNotNull(), both)).over(frame(short)) >= short, F.covar_samp(both, m).over(frame(short)) / F.nullif(F.var_pop(m).over(frame(short)), F.lit(0.0))).alias("_beta"),
         F.var_pop(both).over(frame(long)).alias("_vr"), F.covar_pop(both, m).over(frame(long)).alias("_cov"), F.var_pop(m).over(frame(long)).alias("_vm"), F.count(F.when(m.isNotNull(), both)).over(frame(long)).alias("_n"),
     )
     rest = F.col("_vr") - F.col("_cov") * F.col("_cov") / F.nullif("_vm", F.lit(0.0))
     idio = F.when(F.col("_n") == long, F.sqrt(F.when(rest < 0, 0.0).otherwise(rest)))
-    left = lambda n, c: F.when(F.col("wi") + n < F.col("nw"), c)
-    week = F.struct("wi", "week", left(long, F.col("_mean")).alias("mean"), left(short, F.col("_beta")).alias("beta"), left(long, idio).alias("idio"))
+    beyond = lambda n, c: F.when(F.col("_place") > n, c)
+    return rolled.select("symbol", "week", beyond(long, F.col("_mean")).alias("mean"), beyond(short, F.col("_beta")).alias("beta"), beyond(long, idio).alias("idio"))
+
+
+def monthly_risk(months: DataFrame, rolled: DataFrame, stride: int = 4) -> DataFrame:
+    """(symbol, month) with rolling_return, beta, betasq and idiovol, lagged and current, from months (symbol, month, latest_week) and rolled_weeks.
+
+    Month i, latest first, has the window that ends stride * i weeks before w0, w0 being the
+    latest week of the month before the latest (of the latest itself if current).
+    """
     # A symbol's weeks and months are bounded by the calendar; both lie in one row, latest first, so a month's week is a place.
-    weeks = rolled.groupBy("symbol").agg(F.array_sort(F.collect_list(week)).alias("_weeks"))
-    months = monthly.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("month", "latest_week")), asc=False).alias("_months"))
+    weeks = rolled.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("week", "mean", "beta", "idio")), asc=False).alias("_weeks"))
+    held = months.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("month", "latest_week")), asc=False).alias("_months"))
     place = lambda k: F.nullif(F.array_position(F.transform("_weeks", lambda w: w["week"]), F.get("_months", F.lit(k))["latest_week"]), F.lit(0)) - 1
-    both = months.join(weeks, "symbol", "left").withColumns({"_lagged": place(1).cast("int"), "_current": place(0).cast("int")})
+    both = held.join(weeks, "symbol", "left").withColumns({"_lagged": place(1).cast("int"), "_current": place(0).cast("int")})
     at = lambda c, i: F.get("_weeks", F.col(c) + stride * i)
     out = both.select("symbol", F.explode(F.transform("_months", lambda x, i: F.struct(x["month"].alias("month"), at("_lagged", i).alias("lag"), at("_current", i).alias("now")))).alias("r"))
     out = out.select("symbol", "r.month", *[F.col(f"r.{k}.{c}").alias(name + end) for k, end in (("lag", ""), ("now", "_current")) for c, name in (("mean", "rolling_return"), ("beta", "beta"), ("idio", "idiovol"))])
     return out.withColumns({"betasq": F.col("beta") * F.col("beta"), "betasq_current": F.col("beta_current") * F.col("beta_current")})
 
 
+def rolling_risk(monthly: DataFrame, weekly: DataFrame, market: DataFrame, long: int = 156, short: int = 52, stride: int = 4) -> DataFrame:
+    """monthly_risk of the rolled weeks of whole histories."""
+    return monthly_risk(monthly, rolled_weeks(weekly, market, long, short), stride)
+
+
 def as_of_cap(statements: DataFrame, caps: DataFrame) -> DataFrame:
     """statements plus cap: the market cap of the date, else the mean of the nearest before and after, else the nearest before; 0 is null.
 

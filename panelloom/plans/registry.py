@@ -14,6 +14,7 @@ from ..operators import audits, bars, features, mlprep, moe, panel
 from ..sources import documents, sic, testdata, upsert
 from ..sources import macro as macro_source
 from ..streaming import aggregates, incremental
+from ..streaming import risk as risk_stream
 from . import sql
 from .sql import FEATURES, FUNDAMENTALS, MACRO, SPLITS
 
@@ -614,6 +615,18 @@ def stream_market(spark, d):
     return aggregates.market(spark, f"{store}/store").select("week", r("market"))
 
 
+@query("SELECT symbol, month, " + ", ".join([sql.r("rolling_return"), sql.r("beta"), sql.r("idiovol", 4), sql.r("rolling_return_current"), sql.r("beta_current")]) + " FROM risk")
+def stream_risk(spark, d):
+    """The bars as a stream in two parts: rolling risk from symbols' latest weeks and the market's sums."""
+    store = incremental.scratch(spark, "risk")
+    rows, part = testdata.bars(spark, d).select("symbol", "date", "price"), F.col("date") < "1997-07-01"
+    for some in (part, ~part):
+        rows.filter(some).write.mode("append").parquet(f"{store}/in")
+        stream = spark.readStream.schema("symbol string, date date, price double").parquet(f"{store}/in")
+        risk_stream.maintain(stream, f"{store}/store", f"{store}/checkpoint").awaitTermination()
+    return risk_stream.risk(spark, f"{store}/store").select("symbol", "month", r("rolling_return"), r("beta"), r("idiovol", 4), r("rolling_return_current"), r("beta_current"))
+
+
 @query("SELECT symbol, date, " + sql.r("price", 4) + " FROM (SELECT CAST(l_partkey AS VARCHAR) AS symbol, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date, l_extendedprice / l_quantity * CASE WHEN CAST(l_shipdate AS DATE) >= DATE '1995-01-01' THEN 1 - l_discount ELSE 1 END AS price"
        " FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, CAST(l_shipdate AS DATE) ORDER BY l_orderkey DESC, l_linenumber DESC) = 1)")
 def bars_refreshed(spark, d):

@@ -68,9 +68,14 @@ def _contribute(spark: SparkSession, store: str, name: str, number: int, now: Da
         signed = signed.unionByName(old.select(*keys, "value", F.lit(-1).alias("sign")))
     count = F.sum(F.when(F.col("value").isNotNull(), F.col("sign"))).cast("long")
     change = signed.groupBy(*keys).agg(F.coalesce(F.sum(F.col("value") * F.col("sign")), F.lit(0.0)).alias("total"), F.coalesce(count, F.lit(0)).alias("n"))
-    before = sums.before(number)
+    add(sums, change, number)
+
+
+def add(sums: Upserts, change: DataFrame, number: int) -> int:
+    """The version of sums (keys, total, n) that has a batch's change added to what was held before it."""
+    before, keys = sums.before(number), sums.keys
     if before:
         base = sums.read(before).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("total").alias("_total"), F.col("n").alias("_n"))
         on = [change[k].eqNullSafe(base[f"_{k}"]) for k in keys]
         change = change.join(base, on, "left").select(*keys, (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
-    sums.upsert(change, number)
+    return sums.upsert(change, number)

@@ -677,3 +677,59 @@ def test_streamed_means_equal_those_of_all_bars(spark, tmp_path, seed):
     assert got.keys() == want.keys() and all(got[k] == (None if v is None else pytest.approx(v, abs=1e-9)) for k, v in want.items())
     got = {(r["sic2"], r["month"]): r["indmom"] for r in aggregates.industries(spark, store).collect()}
     assert got.keys() == means.keys() and all(got[k] == (None if v is None else pytest.approx(v, abs=1e-9)) for k, v in means.items())
+
+
+@pytest.mark.parametrize(("seed", "spare"), [(1, 3), (2, 0)])
+def test_streamed_risk_equals_that_of_all_bars(spark, tmp_path, seed, spare, monkeypatch):
+    """Short windows; batches of news, corrections within a symbol's row and beyond it; one batch dies between its tables and is run again."""
+    from panelloom.streaming import risk
+
+    rng = np.random.default_rng(seed)
+    schema = "symbol string, date date, price double"
+    final = {(s, date(2019, 1, 1) + timedelta(days=int(k))): float(p) for s in "ABCD" for k, p in zip(np.flatnonzero(rng.random(240) < 0.3), np.exp(rng.normal(2, 0.3, 240)), strict=False) if s != "D" or k > 90}
+    of = lambda d: min(2, (d - date(2019, 1, 1)).days // 80)
+    dealt = {k: 2 if rng.random() < 0.04 else of(k[1]) for k in final}  # some bars come very late
+    batches = [[(s, d, p if dealt[s, d] == b or b == 2 else 2 * p) for (s, d), p in final.items() if dealt[s, d] == b or (d.day % 9 == 0 and b > dealt[s, d])] for b in range(3)]
+    batches[2].append((None, date(2019, 2, 2), 1.0))
+    src, store, cp = str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "cp")
+    asked = []
+    real = risk._history
+    monkeypatch.setattr(risk, "_history", lambda *a: asked.append(a[-1]) or real(*a))
+    for b, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        run = lambda: risk.maintain(stream, store, cp, long=8, short=4, spare=spare).awaitTermination()  # noqa: B023, E731
+        if b == 1:
+            with monkeypatch.context() as m:
+                m.setattr(risk.aggregates, "add", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+                with pytest.raises(Exception, match="lost"):
+                    run()
+        run()
+        held = {(s, d): p for some in batches[: b + 1] for s, d, p in some if s}
+        daily = spark.createDataFrame([(s, d, p, 1.0) for (s, d), p in held.items()], "symbol string, date date, price double, volume double")
+        weekly = bars.weekly_returns(daily)
+        want = {(r["symbol"], r["month"]): r for r in features.rolling_risk(bars.monthly_summary(bars.daily_returns(daily)), weekly, features.market_returns(weekly), 8, 4).collect()}
+        got = {(r["symbol"], r["month"]): r for r in risk.risk(spark, store).collect()}
+        assert got.keys() == want.keys()
+        for k, w in want.items():
+            assert got[k].asDict() == {c: v if v is None or isinstance(v, str) else pytest.approx(v, abs=1e-5) for c, v in w.asDict().items()}, (b, k)
+    assert any(r["idiovol_current"] is not None for r in got.values()) and asked
+
+
+def test_streamed_risk_reads_rows_not_histories(spark, tmp_path, monkeypatch):
+    """News at the end are served from symbols' rows alone."""
+    from panelloom.streaming import risk
+
+    schema, src, store = "symbol string, date date, price double", str(tmp_path / "in"), str(tmp_path / "store")
+    rng = np.random.default_rng(5)
+    rows = [(s, date(2018, 1, 1) + timedelta(days=7 * k), float(p)) for s in "ABC" for k, p in enumerate(np.exp(rng.normal(2, 0.2, 60)))]
+    last = max(r[1] for r in rows)
+    for b in range(2):
+        spark.createDataFrame([r for r in rows if (r[1] == last) == (b == 1)], schema).coalesce(1).write.mode("append").parquet(src)
+        if b == 1:
+            monkeypatch.setattr(risk, "_history", lambda *_: (_ for _ in ()).throw(AssertionError("read a history")))
+        risk.maintain(spark.readStream.schema(schema).parquet(src), store, str(tmp_path / "cp"), long=8, short=4, spare=2).awaitTermination()
+    assert spark.read.parquet(f"{store}/rolled/batch=1").count() == 3
+    weekly = bars.weekly_returns(spark.createDataFrame([(*r, 1.0) for r in rows], schema + ", volume double"))
+    want = {r["symbol"]: r["idio"] for r in features.rolled_weeks(weekly, features.market_returns(weekly), 8, 4).filter("week = '2019-08'").collect()}
+    assert {r["symbol"]: r["idio"] for r in spark.read.parquet(f"{store}/rolled/batch=1").collect()} == {k: pytest.approx(v) for k, v in want.items()} and len(want) == 3
