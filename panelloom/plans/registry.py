@@ -575,9 +575,20 @@ def symbol_sample(spark, d):
 # Mixtures of experts.
 
 
-@query("SELECT position, CAST(dim AS INTEGER) AS dim, round(CASE WHEN dim % 2 = 0 THEN sin(a) ELSE cos(a) END + 0.0000000037, 6) + 0.0 AS value FROM (SELECT position, dim, position / pow(10000, 2 * floor(dim / 2) / 16.0) AS a FROM range(24) p(position), range(16) q(dim))")
+_ENCODED = "v + CASE WHEN dim % 2 = 0 THEN sin(step / pow(10000, 2 * (dim // 2) / 3.0)) ELSE cos(step / pow(10000, 2 * (dim // 2) / 3.0)) END"
+
+
+@query(
+    f"""SELECT symbol, time, count(*) // 3 AS steps, {sql.r(f"max(CASE WHEN step = 0 AND dim = 2 THEN {_ENCODED} END)", 6, "first")}, {sql.r(f"max(CASE WHEN step = {STEPS - 1} AND dim = 2 THEN {_ENCODED} END)", 6, "last")}, {sql.r(f"sum(coalesce({_ENCODED}, 0))", 4, "total")}
+      FROM (SELECT w.symbol, w.month AS time, s.rn - w.rn + {STEPS} AS step, s.dim, s.v FROM (SELECT symbol, month, row_number() OVER ({sql.MONTH_ORDER}) AS rn FROM momentum) w
+        JOIN (SELECT symbol, rn, unnest([0, 1, 2]) AS dim, unnest([mom1m, mom12m, close]) AS v FROM (SELECT *, row_number() OVER ({sql.MONTH_ORDER}) AS rn FROM momentum)) s ON s.symbol = w.symbol AND s.rn BETWEEN w.rn - {STEPS} AND w.rn - 1
+      WHERE w.rn > {STEPS}) GROUP BY symbol, time"""
+)
 def sinusoidal_encoding(spark, d):
-    return moe.sinusoidal_encoding(spark, 24, 16).select("position", "dim", r("value"))
+    """The table's windows with their steps encoded, as a transformer takes them."""
+    seqs = mlprep.sequences(features.with_momentum(monthly(spark, d)), ["mom1m", "mom12m", "close"], "mom1m", STEPS)
+    x = seqs.withColumn("x", moe.encoded("x", 3))
+    return x.select("symbol", "time", F.size("x").cast("long").alias("steps"), r(F.col("x")[0][2], 6, "first"), r(F.col("x")[STEPS - 1][2], 6, "last"), r(_total("x"), 4, "total"))
 
 
 @query("SELECT o_orderkey, round(o_totalprice * 0.5 + o_custkey * 0.3 + 10 * 0.2 + 0.00000037, 4) + 0.0 AS prediction FROM orders")

@@ -191,6 +191,8 @@ def test_moe(spark):
     assert df.select(moe.combine("e", "g")).first()[0] == 1.75
     enc = {(r["position"], r["dim"]): r["value"] for r in moe.sinusoidal_encoding(spark, 3, 4).collect()}
     assert enc[2, 3] == pytest.approx(math.cos(2 / 100)) and enc[1, 0] == pytest.approx(math.sin(1))
+    x = spark.createDataFrame([([[1.0, 2.0, None, 4.0]] * 3,)], "x array<array<double>>").select(moe.encoded("x", 4)).first()[0]
+    assert all(x[t][i] == (None if i == 2 else pytest.approx(i + 1 + enc[t, i])) for t in range(3) for i in range(4))
 
 
 def test_universe_and_dedupe(spark):
