@@ -30,8 +30,8 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 DAMPING, THRESHOLD, CUT_EVERY = 0.85, 0.5, 3
 #: What rounds may leave unmoved, and the rounds after which that is an error.
 TOLERANCE, MOST_ROUNDS = 1e-6, 300
-#: SQL can't stop by a tolerance; it goes so far.
-ROUNDS = 8
+#: What SQL no longer passes on from a host; it goes on until no host has more.
+LEAST_MOVED = 1e-10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ABSOLUTE = "^[A-Za-z][A-Za-z0-9+.-]*://"
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?([^"'\s>]+)"""
@@ -119,18 +119,9 @@ def _sql() -> str:
     cut = lambda x: f"coalesce(CASE WHEN instr({x}, '://') > 0 THEN substr({x}, instr({x}, '://') + 3) ELSE '' END, '')"
     host = lambda x: f"translate(regexp_extract({x}, '^[^/?#]*'), '{UPPER}', '{LOWER}')"
     rules = ", ".join(f"('{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}', {len(r)}, '{r}', '{v}')" for v, r in RULES)
-    rounds = "".join(
-        f""", s{k} AS MATERIALIZED (
-  SELECT host, kind, sum(score) AS score FROM (
-    SELECT host, kind, score FROM s0 UNION ALL
-    SELECT e.to_host, e.kind, {DAMPING} * s.score * e.share FROM s{k - 1} s JOIN steps e ON s.host = e.from_host AND s.kind = e.kind
-  ) GROUP BY host, kind
-)"""
-        for k in range(1, ROUNDS + 1)
-    )
     link = LINK.replace("'", "''")
     return f"""
-WITH rest AS (
+WITH RECURSIVE rest AS (
   SELECT row_number() OVER () AS rid, page_id, html, {cut("url")} AS rest FROM pages
 ), p AS (
   SELECT rid, page_id, html, {host("rest")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
@@ -146,14 +137,16 @@ WITH rest AS (
   SELECT host AS source, {host("(" + cut("l") + ")")} AS target FROM link
 ), edges AS (
   SELECT source, target, count(*) AS n FROM pair WHERE source <> '' AND target <> '' AND source <> target GROUP BY source, target
-), steps AS (
+), steps AS MATERIALIZED (
   SELECT source AS from_host, target AS to_host, 'trust' AS kind, n / sum(n) OVER (PARTITION BY source) AS share FROM edges UNION ALL
   SELECT target, source, 'distrust', n / sum(n) OVER (PARTITION BY target) FROM edges
-), s0 AS MATERIALIZED (
-  SELECT host, 'trust' AS kind, {1 - DAMPING} * trust AS score FROM shares WHERE trust > 0 UNION ALL
-  SELECT host, 'distrust', {1 - DAMPING} * distrust FROM shares WHERE distrust > 0
-){rounds}, per AS (
-  SELECT host, sum(CASE WHEN kind = 'distrust' THEN score ELSE -score END) AS excess FROM s{ROUNDS} GROUP BY host
+), moved(host, kind, score) AS (
+  (SELECT host, 'trust', {1 - DAMPING} * trust FROM shares WHERE trust > 0 UNION ALL SELECT host, 'distrust', {1 - DAMPING} * distrust FROM shares WHERE distrust > 0)
+  UNION ALL
+  SELECT e.to_host, e.kind, sum({DAMPING} * m.score * e.share) FROM moved m JOIN steps e ON m.host = e.from_host AND m.kind = e.kind
+  GROUP BY e.to_host, e.kind HAVING sum({DAMPING} * m.score * e.share) > {LEAST_MOVED:.10f}
+), per AS (
+  SELECT host, sum(CASE WHEN kind = 'distrust' THEN score ELSE -score END) AS excess FROM moved GROUP BY host
 )
 SELECT page_id, ruled.host, path, rule, coalesce(says, CASE WHEN coalesce(excess, 0) >= {THRESHOLD * (1 - DAMPING)} THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled LEFT JOIN per ON ruled.host = per.host

@@ -653,6 +653,18 @@ def test_scores_against_dense_iteration(spark):
     assert got[hosts[5]]["verdict"] == "block" and all(got[h]["verdict"] == "allow" for h in hosts[:4])
 
 
+def test_url_sql_follows_links_as_far(spark):
+    """Many hosts linked to each other, some of them blocked by rules: what distrust comes to after many rounds decides the rest, in SQL too."""
+    n, blocked = 40, 4
+    hosts = [f"bad{k}.net" if k < blocked else f"plain{k}.org" for k in range(n)]
+    rows = [(k, f"http://{hosts[k]}/es/1", "".join(f'<a href="//{hosts[j]}/">' for j in range(n) if j != k)) for k in range(n)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in urlgraph.judge(df).collect()}
+    con = duckdb.connect()
+    con.register("pages", pa.table({"page_id": [r[0] for r in rows], "url": [r[1] for r in rows], "html": [r[2] for r in rows]}))
+    assert {r[0]: r[4] for r in con.execute(urlgraph.SQL).fetchall()} == got and set(got.values()) == {"block"}
+
+
 def test_urls_odd(spark):
     """An address in a relative link's query is no link; clashing columns; repeated rows and null ids; an empty table."""
     rows = [(1, "http://bad.net/es/1", None, "x"), (2, "http://good.org/a", '<a href="/go?u=http://bad.net/es/1">', "y"), (2, "http://good.org/a", '<a href="/go?u=http://bad.net/es/1">', "y"), (None, "http://good.org/b", "", None)]
