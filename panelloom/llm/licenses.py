@@ -10,7 +10,8 @@ the corpus' own lines, from anywhere in its texts, as unknown. L1 is applied as
 step, which leaves most weights at zero. A temperature and a least probability are set on
 rows held out of training: the least probability above which at most one in a thousand
 unknown lines, and never less than a half, is named a known family. A prediction counts as confirmed if the paragraph holds enough of one template's
-n-grams of the predicted family.
+n-grams of the predicted family; a template of few n-grams, such as a phrase that other
+sentences hold as well, must also be a fair share of the paragraph's.
 
 Scoring is DataFrame operations alone, inside the row: n-grams without weight are dropped
 by a literal set, which changes no sum, and the rest look their weights up in a literal map
@@ -98,6 +99,8 @@ SAMPLE_LINES, VARIANTS = 3000, 40
 BUCKETS = 256
 EPOCHS, BATCH, L1, LIFT, SEED = 10, 32, 2e-4, 5.0, 3
 CONFIRMED = 0.6
+#: A template of fewer n-grams confirms only paragraphs of which it is at least one part in so many.
+EVIDENCE, PARTS = 9, 3
 WORDS = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Words of the longest template, which a window takes from the lines after its first.
 WRAPPED = max(len(re.findall(WORDS, t.lower())) for ts in TEMPLATES.values() for t in ts)
@@ -231,7 +234,10 @@ def scan_paragraphs(docs: DataFrame, model: dict) -> DataFrame:
     named = (F.col("score") >= model["least"]) & (F.col("_known") == F.col("_top"))
     made = once(made, family=F.when(named, F.element_at(F.array(*map(F.lit, classes)), F.array_position("_z", F.col("_known")).cast("int"))).otherwise(F.lit(UNKNOWN)))
     # A template's n-grams are literals too: the largest share of one template of the family.
-    shares = [(f, F.greatest(*[F.size(F.array_intersect("grams", _literal(g, "array<string>"))) / len(g) for g in map(grams, ts)], F.lit(0.0))) for f, ts in TEMPLATES.items()]
+    held = lambda g: F.size(F.array_intersect("grams", _literal(g, "array<string>")))
+    whole = F.size(F.array_distinct("grams"))
+    fair = lambda g: held(g) / len(g) if len(g) >= EVIDENCE else F.when(PARTS * held(g) >= whole, held(g) / len(g))
+    shares = [(f, F.greatest(*[fair(g) for g in map(grams, ts)], F.lit(0.0))) for f, ts in TEMPLATES.items()]
     similarity = F.lit(0.0)
     for f, share in shares:
         similarity = F.when(F.col("family") == f, share).otherwise(similarity)

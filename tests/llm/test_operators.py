@@ -560,6 +560,15 @@ def test_wrapped_licenses(spark):
     assert got[3]["n_licensed"] == 3 and not got[4]["confirmed"] and (got[5]["family"], got[5]["n_licensed"]) == ("unknown", 0)
 
 
+def test_a_phrase_in_a_sentence_is_no_license(spark):
+    """Three words that a longer sentence holds as well confirm nothing; by themselves or in a notice they do."""
+    filler = [f"the {a} met the {b} near the old mill and talked about {c}" for a in ("farmer", "baker", "driver") for b in ("teacher", "doctor", "singer") for c in ("bread", "rain", "trains")]
+    texts = ["All rights reserved for the annual general meeting of the club were given.", "All rights reserved.", "Copyright 2020 Example Inc. All rights reserved.", "// SPDX-License-Identifier: MIT", "the farmer met the baker"]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), licenses.train(filler)).collect()}
+    assert [got[k]["confirmed"] for k in range(5)] == [False, True, True, True, False]
+    assert [got[k]["family"] for k in range(1, 4)] == ["proprietary", "proprietary", "mit"] and got[0]["n_licensed"] == 0
+
+
 def test_license_scores_against_a_loop(spark):
     """Every line's score, family and similarity again in plain Python, and every confirmed window's."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
@@ -574,7 +583,8 @@ def test_license_scores_against_a_loop(spark):
         p = np.exp((z - z.max()) / model["temperature"])
         p /= p.sum()
         family = classes[int(p[:-1].argmax())] if p[:-1].max() >= model["least"] and p[:-1].max() >= p[-1] else licenses.UNKNOWN
-        return p[:-1].max(), family, max([licenses._similarity(set(grams), set(licenses.grams(t))) for t in licenses.TEMPLATES.get(family, ())], default=0.0)
+        known = [set(licenses.grams(t)) for t in licenses.TEMPLATES.get(family, ())]
+        return p[:-1].max(), family, max([len(t & set(grams)) / len(t) for t in known if len(t) >= licenses.EVIDENCE or 3 * len(t & set(grams)) >= len(set(grams))], default=0.0)
 
     rows = licenses.scan_paragraphs(docs, model).filter("last is null and pos is not null").collect()
     assert rows
