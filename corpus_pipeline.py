@@ -18,15 +18,21 @@ from pyspark.sql import functions as F
 from panelloom.llm import jaccard, langid, mixing, packing, quality
 from panelloom.llm.common import Stash, ship, table
 
-#: A document whose language is less likely than this is rejected.
-MIN_LANGUAGE_SCORE = 0.3
+#: A document is rejected whose language is less than this share of the way from a guess among the languages to certainty.
+MIN_CERTAINTY = 0.2
+
+
+def least_score(model: dict | None) -> float:
+    """The likelihood that a document's language needs, by the number of languages that were learned."""
+    guess = 1 / max(1, len(model["langs"])) if model else 0.0
+    return guess + MIN_CERTAINTY * (1 - guess)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are in a language; the network learns from these documents' own labels."""
     model = langid.train(langid.training_sample(docs))
     made = langid.with_language(docs, model, "_lang", "_likely")
-    return made.filter((F.col("_lang") != langid.UNKNOWN) & (F.col("_likely") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    return made.filter((F.col("_lang") != langid.UNKNOWN) & (F.col("_likely") >= least_score(model))).select(*docs.columns)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
