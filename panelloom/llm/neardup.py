@@ -3,21 +3,24 @@
 Vectors are scaled to length one. A coarse k-means gives inverted lists; each vector is
 held by the list of its nearest centroid as a code: per subspace, the nearest of CODEWORDS
 means of the residuals, plus the residual's distance from its code. With r the distance of
-the cosine threshold, two partners in different lists lie on either side of the plane
-halfway between the centroids, so one of them is within r / 2 of it: every vector asks in
-the lists whose plane it is within `probe` * r of, which loses nothing at 0.5 (a lower probe
-loses pairs whose difference points at a centroid). Of two that ask in each other's lists
-the smaller counts the pair. In a list distances to the codes come from lookup tables
+the cosine threshold and the plane halfway between the centroids of two partners' lists,
+the partners' distances from it, each towards its own centroid, add up to r at most, so one
+of them is within r / 2: every vector asks in the lists whose plane it is within `probe` * r
+of, which loses nothing at 0.5, whatever lists vectors are held by (a lower probe loses pairs
+whose difference points at a centroid). Of two that ask in each other's lists the smaller
+counts the pair. Lists lie in groups, as many as a group has lists: a vector's list is sought
+in the nearest HOME_GROUPS of them, and a group is passed over if none of its lists can be
+asked, its centroids being further than the vector's own and twice the distance from planes. In a list distances to the codes come from lookup tables
 (asymmetric: who asks isn't coded); as code and vector differ by the stored error, no
 partner is further from the asker's residual than r plus that error, so the lookup loses
 nothing. What passes is compared exactly, in double precision.
 
-Equal vectors are one row with a number of copies, named by a 64-bit hash. Long lists are
+Equal vectors, grouped by all their components, are one row with a number of copies; rows
+find their class by a 64-bit hash, and by the vector where classes share one. Long lists are
 cut into blocks and met block by block, each a group of bounded size; a block gives counts
 and the links of a spanning forest, never all pairs. Lists grow with the square root of the
-vectors. Their centroids are learned from a sample of TRAIN_ROWS vectors at most (as many as
-there are lists, where that is more), in as many rounds as TRAIN_WORK allows: any centroids
-give whole results. Every vector is indexed and every vector asks.
+vectors. Their centroids are learned group by group from a sample of TRAIN_ROWS vectors at
+most (as many as there are lists, where that is more): any centroids give whole results. Every vector is indexed and every vector asks.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components
 link with nothing and are kept; vectors of different lengths don't link. Every row is a
@@ -41,8 +44,10 @@ from .components import components
 COSINE = 0.95
 #: Lists: LISTS_ROOT * sqrt(vectors), MIN_LISTS at least; share of the threshold's radius within which lists are asked.
 LISTS_ROOT, MIN_LISTS, PROBE = 1.0, 4, 0.5
-#: Training: rows a list and in all, rounds, distances that rounds may take.
-ROWS_A_LIST, TRAIN_ROWS, ROUNDS, TRAIN_WORK = 32, 100_000, 8, 2_000_000_000
+#: Nearest groups of lists in which a vector's own list is sought.
+HOME_GROUPS = 2
+#: Training: rows a list and in all, rounds.
+ROWS_A_LIST, TRAIN_ROWS, ROUNDS = 32, 100_000, 8
 SUBSPACES, CODEWORDS, SEED = 8, 256, 1
 #: Vectors of a list that meet in one task.
 BLOCK = 2048
@@ -50,7 +55,7 @@ BLOCK = 2048
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
-    for _ in range(min(ROUNDS, TRAIN_WORK // max(1, len(x) * k))):
+    for _ in range(ROUNDS):
         near = np.concatenate([(x[i : i + 4096] @ c.T - 0.5 * (c**2).sum(axis=1)).argmax(axis=1) for i in range(0, len(x), 4096)])
         order = np.argsort(near, kind="stable")
         at = np.searchsorted(near[order], np.arange(k + 1))
@@ -67,21 +72,42 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def train(x: np.ndarray, lists: int, seed: int = SEED) -> dict:
-    """Centroids and codebooks from sampled vectors."""
+    """Centroids by group, the groups' middles and how far they reach, and codebooks, from sampled vectors."""
     rng = np.random.default_rng(seed)
     x = unit(x)
-    coarse = _kmeans(x, min(lists, len(x)), rng)
-    rest = x - coarse[_near(x, coarse)[0]]
-    width = -(-x.shape[1] // SUBSPACES)
-    rest = np.pad(rest, ((0, 0), (0, SUBSPACES * width - x.shape[1])))
-    books = np.stack([_kmeans(rest[:, m * width : (m + 1) * width], min(CODEWORDS, len(x)), rng) for m in range(SUBSPACES)])
-    return {"coarse": coarse, "books": books, "dim": x.shape[1], "width": width}
+    lists = min(lists, len(x))
+    group = _nearest(x, _kmeans(x, max(1, round(np.sqrt(lists))), rng))
+    own = [x[group == g] for g in np.unique(group)]
+    parts = [_kmeans(v, min(len(v), max(1, round(lists * len(v) / len(x)))), rng) for v in own]
+    coarse, middles = np.concatenate(parts), np.stack([p.mean(axis=0) for p in parts])
+    reach = np.array([np.sqrt(((p - c) ** 2).sum(axis=1).max()) for p, c in zip(parts, middles, strict=True)])
+    m = {"coarse": coarse, "starts": np.cumsum([0] + [len(p) for p in parts]), "middles": middles, "reach": reach, "dim": x.shape[1], "width": -(-x.shape[1] // SUBSPACES)}
+    rest = np.concatenate([x[i : i + 4096] - coarse[homes(m, x[i : i + 4096])] for i in range(0, len(x), 4096)])
+    rest = np.pad(rest, ((0, 0), (0, SUBSPACES * m["width"] - x.shape[1])))
+    return m | {"books": np.stack([_kmeans(rest[:, s * m["width"] : (s + 1) * m["width"]], min(CODEWORDS, len(x)), rng) for s in range(SUBSPACES)])}
 
 
-def _near(x: np.ndarray, coarse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest centroid and the squared distances to all."""
-    d = np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ coarse.T + (coarse**2).sum(axis=1), 0)
-    return d.argmin(axis=1), d
+def _squares(x: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Squared distances."""
+    return np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ to.T + (to**2).sum(axis=1), 0)
+
+
+def _nearest(x: np.ndarray, to: np.ndarray) -> np.ndarray:
+    return np.concatenate([_squares(x[i : i + 4096], to).argmin(axis=1) for i in range(0, len(x), 4096)])
+
+
+def homes(m: dict, x: np.ndarray) -> np.ndarray:
+    """The nearest list of each vector in its nearest groups."""
+    far, home, least = _squares(x, m["middles"]), np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+    near = np.argsort(far, axis=1, kind="stable")[:, :HOME_GROUPS]
+    for g in range(len(m["middles"])):
+        rows = np.flatnonzero((near == g).any(axis=1))
+        d = _squares(x[rows], m["coarse"][m["starts"][g] : m["starts"][g + 1]])
+        at = d.argmin(axis=1)
+        d = d[np.arange(len(rows)), at]
+        less = d < least[rows]
+        home[rows[less]], least[rows[less]] = m["starts"][g] + at[less], d[less]
+    return home
 
 
 def encode(m: dict, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,31 +116,36 @@ def encode(m: dict, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.nda
     rest = np.pad(x - m["coarse"][home], ((0, 0), (0, SUBSPACES * width - x.shape[1])))
     codes, error = np.zeros((len(x), SUBSPACES), np.uint8), np.zeros(len(x))
     for s in range(SUBSPACES):
-        near, d = _near(rest[:, s * width : (s + 1) * width], books[s])
-        codes[:, s] = near
+        d = _squares(rest[:, s * width : (s + 1) * width], books[s])
+        codes[:, s] = near = d.argmin(axis=1)
         error += d[np.arange(len(x)), near]
     return codes, np.sqrt(error)
 
 
-def _planes(c: np.ndarray, d: np.ndarray, home: np.ndarray) -> np.ndarray:
-    """Distances from the planes halfway between each vector's centroid and all others, from squared distances to centroids."""
-    near = c[home]
-    apart = np.sqrt(np.maximum((near**2).sum(axis=1)[:, None] - 2 * near @ c.T + (c**2).sum(axis=1), 1e-18))
-    return (d - d[np.arange(len(d)), home][:, None]) / (2 * apart)
+def _asks(m: dict, x: np.ndarray, home: np.ndarray | int, lists: np.ndarray, radius: float) -> np.ndarray:
+    """Whether vectors, of the lists named, ask in the other lists named."""
+    own, other = m["coarse"][home], m["coarse"][lists]
+    apart = np.sqrt(np.maximum(((other - own) ** 2).sum(axis=1), 1e-18))
+    return (((x - other) ** 2).sum(axis=1) - ((x - own) ** 2).sum(axis=1)) / (2 * apart) <= radius + 1e-9
 
 
 def probes(m: dict, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Home list of every vector and (row, list) of the others it asks in."""
-    home, d = _near(x, m["coarse"])
-    row, to = np.nonzero((_planes(m["coarse"], d, home) <= radius + 1e-9) & (np.arange(len(m["coarse"])) != home[:, None]))
-    return home, row, to
-
-
-def _asks(m: dict, x: np.ndarray, home: int, lists: np.ndarray, radius: float) -> np.ndarray:
-    """Whether vectors of one list ask in the list named for each."""
-    own, other = m["coarse"][home], m["coarse"][lists]
-    apart = np.sqrt(np.maximum(((other - own) ** 2).sum(axis=1), 1e-18))
-    return (((x - other) ** 2).sum(axis=1) - ((x - own) ** 2).sum(axis=1)) / (2 * apart) <= radius + 1e-9
+    home, rows, lists = homes(m, x), [], []
+    own = m["coarse"][home]
+    to_own = ((x - own) ** 2).sum(axis=1)
+    far = np.sqrt(_squares(x, m["middles"])) - m["reach"]
+    for g in range(len(m["middles"])):
+        some = np.flatnonzero(far[:, g] <= np.sqrt(to_own) + 2 * radius + 1e-6)
+        others = m["coarse"][m["starts"][g] : m["starts"][g + 1]]
+        apart = np.sqrt(np.maximum(_squares(own[some], others), 1e-18))
+        plane = (_squares(x[some], others) - to_own[some, None]) / (2 * apart)
+        row, to = np.nonzero((plane <= radius + 1e-6) & (m["starts"][g] + np.arange(len(others)) != home[some, None]))
+        sure, row, to = plane[row, to] <= radius - 1e-6, some[row], m["starts"][g] + to
+        sure[~sure] = _asks(m, x[row[~sure]], home[row[~sure]], to[~sure], radius)
+        rows.append(row[sure])
+        lists.append(to[sure])
+    return home, np.concatenate(rows), np.concatenate(lists)
 
 
 def _candidates(m: dict, of: int, queries: np.ndarray, codes: np.ndarray, error: np.ndarray, radius: float) -> np.ndarray:
@@ -139,13 +170,14 @@ def cell(m: dict, of: int, held: dict, query: dict, cosine: float, asked: float)
         maybe = _candidates(m, of, query["x"][q], held["codes"], held["error"], radius)
         # Of two vectors at home here, the smaller id asks.
         maybe &= (query["home"][q, None] != of) | (query["id"][q, None] < held["id"][None])
-        if maybe.mean() > 0.05:
-            link[q] = maybe & (query["x"][q] @ held["x"].T >= cosine)
-        else:
-            a, b = np.nonzero(maybe)
-            for i in range(0, len(a), 1 << 16):
-                x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
-                link[lo + x, y] = (query["x"][lo + x] * held["x"][y]).sum(axis=1) >= cosine
+        if maybe.mean() > 0.05:  # a product tells all but cosines at the threshold
+            near = query["x"][q] @ held["x"].T
+            link[q] = maybe & (near >= cosine)
+            maybe &= np.abs(near - cosine) < 1e-9
+        a, b = np.nonzero(maybe)
+        for i in range(0, len(a), 1 << 16):
+            x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+            link[lo + x, y] = (query["x"][lo + x] * held["x"][y]).sum(axis=1) >= cosine
     # A pair that meets in both lists counts where the smaller id asks.
     a, b = np.nonzero(link & (query["home"][:, None] != of) & (query["id"][:, None] > held["id"][None]))
     for i in range(0, len(a), 1 << 16):
@@ -224,15 +256,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, probe: float = P
     stash = Stash(spark, "vectors")
     fine = F.expr("embedding is not null and forall(embedding, v -> v is not null and not isnan(v) and abs(v) < double('infinity')) and exists(embedding, v -> v <> 0)")
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    vectors = vectors.withColumn("id", F.when(F.coalesce(fine, F.lit(False)), F.xxhash64(F.size("embedding"), "embedding")))
-    classes = vectors.filter("id is not null").groupBy("id").agg(F.first("embedding").alias("vector"), F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = stash.put(classes.withColumn("dim", F.size("vector")))
+    vectors = vectors.withColumn("hash", F.when(F.coalesce(fine, F.lit(False)), F.xxhash64(F.size("embedding"), "embedding")))
+    classes = vectors.filter("hash is not null").groupBy(F.col("embedding").alias("vector")).agg(F.first("hash").alias("hash"), F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    classes = stash.put(classes.withColumns({"id": F.monotonically_increasing_id(), "dim": F.size("vector")}))  # written once, so ids stay
     found = None
     for r in classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect():  # a row a length
         own = classes.filter(F.col("dim") == r["dim"]).select("id", "copies", "vector")
         lists = max(MIN_LISTS, int(LISTS_ROOT * np.sqrt(r["n"])))
         rows = max(CODEWORDS * 4, lists, min(lists * ROWS_A_LIST, TRAIN_ROWS))
-        sample = own.orderBy("id").limit(rows).select("vector").toArrow().column("vector").combine_chunks()  # ids are hashes
+        sample = classes.filter(F.col("dim") == r["dim"]).orderBy("hash", "vector").limit(rows).select("vector").toArrow().column("vector").combine_chunks()
         m = train(sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, r["dim"]), lists)
         new = links(own, m, stash, cosine, probe)
         found = new if found is None else found.unionAll(new)
@@ -241,11 +273,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, probe: float = P
         found = stash.put(found)
         labels = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), stash)
         per = found.groupBy("id").agg(F.sum("links").alias("links")).join(labels.withColumnRenamed("node", "id"), "id", "left")
-        named = classes.select("id", "rep", "copies").join(small(stash.put(per)), "id", "left").filter("links is not null or copies > 1").withColumn("component", F.coalesce("component", "id"))
-        named = stash.put(named.select("id", "component", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+        shared = small(stash.put(classes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash", F.lit(True).alias("shared"))))
+        named = classes.select("id", "hash", "vector", "rep", "copies").join(small(stash.put(per)), "id", "left").filter("links is not null or copies > 1")
+        named = named.join(shared, "hash", "left").withColumns({"component": F.coalesce("component", "id"), "only": F.when(F.col("shared"), F.col("vector"))})
+        named = stash.put(named.select("hash", "only", "component", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
         least = small(stash.put(named.groupBy("component").agg(F.min("rep").alias("component_id"))))
-        named = stash.put(named.join(least, "component").select("id", "n_links", F.struct("component_id").alias("of")))
-        rows = vectors.select("vec_id", "id").join(small(named), "id", "left")
+        named = small(stash.put(named.join(least, "component").select(F.col("hash").alias("_hash"), "only", "n_links", F.struct("component_id").alias("of"))))
+        rows = vectors.join(named, (F.col("hash") == F.col("_hash")) & (F.col("only").isNull() | (F.col("only") == F.col("embedding"))), "left")
         alone = rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("of").isNull(), F.col("vec_id")).otherwise(F.col("of.component_id")).alias("component_id"))
     return alone.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

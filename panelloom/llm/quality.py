@@ -4,14 +4,15 @@ A document fails the base rules if it has too few words or too many of its words
 repeated 3-word windows. Beyond that, its lines are normalised (lower case, one space for
 white space, 0 for digits) and hashed; a frequent line of a host (the source column)
 is removed, except in the document of the host with the smallest doc_id that has it, so no
-line vanishes from a host altogether. A line is frequent if more than max_docs different
-documents of the host have it, or in smaller hosts more than min_docs and more than the
-share min_share of the host's documents. Texts that are equal count as one document there. A document that keeps less than min_left of
-its words is depleted and rejected.
+line vanishes from a host altogether. A line is frequent if more than max_docs distinct
+documents of the host (doc_ids) have it, or in smaller hosts more than min_docs and more than
+the share min_share of the host's documents. A document that keeps less than min_left of its
+words is depleted and rejected; of a host's many copies of one text the first stays.
 
 Repeated windows are found inside the row: each window's hash and its position share one
 long, whose sorted order puts equal windows side by side; the words themselves are then
-compared, so a collision can't count as a repetition.
+compared, so a collision can't count as a repetition. It can hide one, where windows with
+equal high bits lie between two equal ones.
 
 Lines are split and hashed once; their table, a few longs a line, is written and serves both
 the counts and the places to remove.
@@ -110,10 +111,10 @@ def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
         .select("doc_id", "source", "_text_key", "_pos", F.xxhash64("_norm").alias("_line"), F.size(F.split("_norm", " ")).cast("long").alias("_line_words"))
     )
     often = (
-        lines.groupBy("source", "_line").agg(F.countDistinct("_text_key").alias("_docs"), F.min("doc_id").alias("_first"))
+        lines.groupBy("source", "_line").agg(F.countDistinct(F.struct("doc_id")).alias("_docs"), F.min("doc_id").alias("_first"))
         .filter(F.col("_docs") > min(max_docs, MIN_DOCS))  # no limit is below; few lines go on
     )
-    sizes = small(stash.put(lines.groupBy(F.col("source").alias("_of")).agg(F.countDistinct(F.coalesce("doc_id", F.lit(-1))).alias("_size"))))
+    sizes = small(stash.put(lines.groupBy(F.col("source").alias("_of")).agg(F.countDistinct(F.struct("doc_id")).alias("_size"))))
     limit = F.least(F.lit(float(max_docs)), F.greatest(F.lit(float(MIN_DOCS)), MIN_SHARE * F.col("_size")))
     often = often.join(sizes, often["source"].eqNullSafe(sizes["_of"])).filter(F.col("_docs") > limit)
     often = small(stash.put(often.select(F.col("source").alias("_host"), F.col("_line").alias("_often"), "_first")))
@@ -180,9 +181,9 @@ WITH d AS (
   SELECT rid, doc_id, source, text, trim(regexp_replace(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g')) AS l
   FROM (SELECT rid, doc_id, source, text, unnest(ls) AS l FROM w)
 ), host AS (
-  SELECT source, count(DISTINCT coalesce(doc_id, -1)) AS docs FROM line GROUP BY source
+  SELECT source, count(DISTINCT {'id': doc_id}) AS docs FROM line GROUP BY source
 ), often AS (
-  SELECT g.source, l, first_id FROM (SELECT source, l, min(doc_id) AS first_id, count(DISTINCT text) AS n FROM line GROUP BY source, l) g
+  SELECT g.source, l, first_id FROM (SELECT source, l, min(doc_id) AS first_id, count(DISTINCT {'id': doc_id}) AS n FROM line GROUP BY source, l) g
   JOIN host ON g.source IS NOT DISTINCT FROM host.source WHERE n > least(100.0, greatest(3.0, 0.05::DOUBLE * docs))
 ), gone AS (
   SELECT rid, CAST(sum(len(string_split(line.l, ' '))) AS BIGINT) AS n

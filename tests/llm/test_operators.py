@@ -158,6 +158,14 @@ def test_language_of_many_languages(spark):
     assert len({lang for lang, _ in langid.training_sample(docs)}) == 300
 
 
+def test_quality_counts_documents_and_rejects_what_they_deplete(spark):
+    """Of six copies in a host the first stays; a text that is half boilerplate stays, one that is mostly boilerplate goes."""
+    words = lambda k, n: " ".join(f"{'abcdefgh'[k]}{'abcdefgh'[j % 8]}{'abcdefghij'[j // 8]}" for j in range(n))
+    rows = [(k, words(0, 60), "s") for k in range(6)] + [(10 + k, "menu " + words(1, 59) + "\n" + words(2 + k, 70 if k < 5 else 20), "s") for k in range(6)]
+    got = {r["doc_id"]: (r["removed_words"], r["kept"]) for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {0: (0, True)} | {k: (60, False) for k in range(1, 6)} | {10: (0, True)} | {k: (60, True) for k in range(11, 15)} | {15: (60, False)}
+
+
 # 2
 
 
@@ -211,6 +219,32 @@ def test_vectors_with_null_and_repeated_ids(spark):
     assert got == [(0, 1, 0, True), (0, 1, 0, True), (0, 1, 8, False), (7, 2, 7, True), (7, 2, 7, True), (8, 1, 8, True), (8, 2, 7, False), (9, 1, 9, True), (9, 1, 9, True)]
 
 
+def test_vectors_that_share_a_hash(spark, monkeypatch):
+    """Classes are told apart by their vectors where hashes are equal."""
+    rng = np.random.default_rng(5)
+    a, b, c = (rng.normal(0, 1, 16) for _ in range(3))
+    rows = [(1, a), (2, a), (3, b), (4, c), (5, c + rng.normal(0, 0.01, 16)), (6, b), (7, rng.normal(0, 1, 16))]
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neardup.F, "xxhash64", lambda *_: F.lit(7).cast("long"))
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in neardup.near_duplicates(df).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 4), (5, 1, 4), (6, 1, 3), (7, 0, 7)]
+
+
+def test_groups_of_lists_pass_over_nothing_that_is_asked():
+    rng = np.random.default_rng(11)
+    centres = neardup.unit(rng.normal(0, 1, (30, 24)))
+    x = neardup.unit(centres[rng.integers(0, 30, 2000)] + rng.normal(0, 0.05, (2000, 24)))
+    m = neardup.train(x, 120)
+    home, row, to = neardup.probes(m, x, 0.15)
+    every = np.array([neardup._asks(m, x, home, np.full(len(x), k), 0.15) for k in range(len(m["coarse"]))]).T
+    every[np.arange(len(x)), home] = False
+    found = np.zeros_like(every)
+    found[row, to] = True
+    assert (found == every).all() and len(row) == found.sum() and len(m["middles"]) > 5
+    looked = np.sqrt(neardup._squares(x, m["middles"])) - m["reach"] <= np.sqrt(((x - m["coarse"][home]) ** 2).sum(axis=1))[:, None] + 0.3
+    assert looked.mean() < 0.7  # groups are passed over where vectors lie in clusters
+
+
 def test_lookup_never_loses_a_partner():
     rng = np.random.default_rng(2)
     x = neardup.unit(rng.normal(0, 1, (400, 32)))

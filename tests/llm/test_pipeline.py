@@ -33,6 +33,11 @@ def test_stages(spark):
     assert {"doc_id", "start", "ids", "sequence_id", "offset"} <= set(docs.columns)
 
 
+@pytest.mark.parametrize(("langs", "least"), [(1, 1.0), (2, 0.6), (4, 0.4), (50, 0.216)])
+def test_least_score_is_above_a_guess(langs, least):
+    assert corpus_pipeline.least_score({"langs": ["x"] * langs}) == pytest.approx(least) and corpus_pipeline.least_score({"langs": ["x"] * langs}) <= 1
+
+
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, size string, score string, n_words string, target string, lang_pred string, copies string"
 
 
@@ -77,11 +82,11 @@ def _quality(docs: list[tuple]) -> list[tuple]:
     for i, t, s in docs:
         size[s] += any(WORD.search(x) for x in t.split("\n"))
         for _, x in lines[i, s]:
-            having[s, x].add((t, i))
+            having[s, x].add(i)
     often = {}
     for (s, x), held in having.items():
-        if len({t for t, _ in held}) > min(100, max(3, 0.05 * size[s])):
-            often[s, x] = min(i for _, i in held)
+        if len(held) > min(100, max(3, 0.05 * size[s])):
+            often[s, x] = min(held)
     kept = []
     for i, t, s in docs:
         w = WORD.findall(t)
@@ -132,7 +137,7 @@ def test_run_against_brute_force(spark):
     docs = []
     for r in table_docs.collect():
         best, score = langid.predict(model, langid.folded(model), *bytetext.flat(pa.array([r["text"] or ""])))
-        if any(c.isalpha() for c in r["text"] or "") and score[0] >= corpus_pipeline.MIN_LANGUAGE_SCORE:
+        if any(c.isalpha() for c in r["text"] or "") and score[0] >= corpus_pipeline.least_score(model):
             docs.append((r["doc_id"], r["text"], r["source"]))
     docs = _quality(docs)
     component = brute({i: t for i, t, _ in docs})[1]
