@@ -32,6 +32,8 @@ An empty table gives an empty result; extra columns are not carried.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  as pa.compute
@@ -43,12 +45,14 @@ from .components import components
 
 COSINE = 0.95
 #: Lists: LISTS_ROOT * sqrt(vectors), MIN_LISTS at least; share of the threshold's radius within which lists are asked.
-LISTS_ROOT, MIN_LISTS, PROBE = 1.0, 4, 0.5
+LISTS_ROOT, MIN_LISTS, PROBE = 0.5, 4, 0.5
 #: Nearest groups of lists in which a vector's own list is sought.
 HOME_GROUPS = 2
 #: Training: rows a list and in all, rounds.
 ROWS_A_LIST, TRAIN_ROWS, ROUNDS = 32, 100_000, 8
 SUBSPACES, CODEWORDS, SEED = 8, 256, 1
+#: More than single precision can lose of a squared distance of 16 at most.
+ROUNDING = 1e-4
 #: Vectors of a list that meet in one task.
 BLOCK = 2048
 
@@ -149,42 +153,51 @@ def probes(m: dict, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarra
 
 
 def _candidates(m: dict, of: int, queries: np.ndarray, codes: np.ndarray, error: np.ndarray, radius: float) -> np.ndarray:
-    """Mask (queries, held): within the radius by table lookup, given the codes' errors."""
-    width, books = m["width"], m["books"]
-    rest = np.pad(queries - m["coarse"][of], ((0, 0), (0, SUBSPACES * width - queries.shape[1])))
-    total = np.zeros((len(queries), len(codes)))
-    for s in range(SUBSPACES):
-        part = rest[:, s * width : (s + 1) * width]
-        lookup = (part**2).sum(axis=1)[:, None] - 2 * part @ books[s].T + (books[s] ** 2).sum(axis=1)
-        total += lookup[:, codes[:, s]]
-    return total <= (radius + error + 1e-6) ** 2
+    """Mask (held, queries): within the radius by table lookup, given the codes' errors. Tables hold a row a codeword, so that lookups copy rows."""
+    width, books = m["width"], m["books"].astype(np.float32)
+    rest = np.pad((queries - m["coarse"][of]).astype(np.float32), ((0, 0), (0, SUBSPACES * width - queries.shape[1])))
+    mask, limit = np.empty((len(codes), len(queries)), bool), ((radius + error + 1e-6) ** 2 + ROUNDING).astype(np.float32)
+    tables = [_squares(books[s], rest[:, s * width : (s + 1) * width]) for s in range(SUBSPACES)]
+    step = max(1, (1 << 14) // max(1, len(queries)))  # sums stay in the processor's cache
+    for lo in range(0, len(codes), step):
+        at = codes[lo : lo + step]
+        total = tables[0][at[:, 0]]
+        for s in range(1, SUBSPACES):
+            total += tables[s][at[:, s]]
+        np.less_equal(total, limit[lo : lo + step, None], out=mask[lo : lo + step])
+    return mask
+
+
+def _pairs(mask: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and columns that are set, some at a time."""
+    row, column = np.nonzero(mask)
+    for i in range(0, len(row), 1 << 16):
+        yield row[i : i + (1 << 16)], column[i : i + (1 << 16)]
 
 
 def cell(m: dict, of: int, held: dict, query: dict, cosine: float, asked: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links of one block of holders and one of askers: ids, linked copies, smallest id of the local component."""
     radius = np.sqrt(2 - 2 * cosine)
-    link = np.zeros((len(query["id"]), len(held["id"])), bool)
-    step = max(1, (1 << 19) // max(1, len(held["id"])))
-    for lo in range(0, len(link), step):
+    link = np.zeros((len(held["id"]), len(query["id"])), bool)
+    step = 256  # lookup tables stay in the processor's cache
+    for lo in range(0, link.shape[1], step):
         q = slice(lo, lo + step)
         maybe = _candidates(m, of, query["x"][q], held["codes"], held["error"], radius)
-        # Of two vectors at home here, the smaller id asks.
-        maybe &= (query["home"][q, None] != of) | (query["id"][q, None] < held["id"][None])
-        if maybe.mean() > 0.05:  # a product tells all but cosines at the threshold
-            near = query["x"][q] @ held["x"].T
-            link[q] = maybe & (near >= cosine)
+        if np.count_nonzero(maybe) > 0.05 * maybe.size:  # a product tells all but cosines at the threshold
+            near = held["x"] @ query["x"][q].T
+            link[:, q] = maybe & (near >= cosine)
             maybe &= np.abs(near - cosine) < 1e-9
-        a, b = np.nonzero(maybe)
-        for i in range(0, len(a), 1 << 16):
-            x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
-            link[lo + x, y] = (query["x"][lo + x] * held["x"][y]).sum(axis=1) >= cosine
-    # A pair that meets in both lists counts where the smaller id asks.
-    a, b = np.nonzero(link & (query["home"][:, None] != of) & (query["id"][:, None] > held["id"][None]))
-    for i in range(0, len(a), 1 << 16):
-        x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
-        link[x, y] = ~_asks(m, held["x"][y], of, query["home"][x], asked)
-    a, b = np.nonzero(link.any(axis=1))[0], np.nonzero(link.any(axis=0))[0]
-    link = link[np.ix_(a, b)]
+        for h, a in _pairs(maybe):
+            link[h, lo + a] = (held["x"][h] * query["x"][lo + a]).sum(axis=1) >= cosine
+    for h, a in _pairs(link):
+        home, smaller = query["home"][a], query["id"][a] < held["id"][h]
+        # Of two vectors at home here the smaller id asks, and so it does if the pair meets in both lists.
+        counts = np.where(home == of, smaller, True)
+        both = np.flatnonzero((home != of) & ~smaller)
+        counts[both] = ~_asks(m, held["x"][h[both]], of, home[both], asked)
+        link[h, a] = counts
+    a, b = np.flatnonzero(link.any(axis=0)), np.flatnonzero(link.any(axis=1))
+    link = link[np.ix_(b, a)].T
     if not len(a):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     ids = np.concatenate([query["id"][a], held["id"][b]])

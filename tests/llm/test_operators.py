@@ -255,7 +255,7 @@ def test_lookup_never_loses_a_partner():
     for k in range(8):
         here = np.flatnonzero(home == k)
         close = np.sqrt(((y[here][:, None] - x[here][None]) ** 2).sum(axis=2)) <= 0.3
-        assert not (close & ~neardup._candidates(m, k, y[here], codes[here], error[here], 0.3)).any()
+        assert not (close & ~neardup._candidates(m, k, y[here], codes[here], error[here], 0.3).T).any()
 
 
 # 3
