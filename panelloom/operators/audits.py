@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.periods import close_enough, month_gap, months_between
 from ..functions.windows import average_ranks, by_months
+from ..streaming.incremental import scratch
 from .ranks import kendall, quantiles
 
 
@@ -71,8 +72,15 @@ def _pearson(a: Column, b: Column) -> Column:
     return F.covar_pop(x, y) / F.sqrt(F.when(spread > 0, spread))
 
 
+def _once(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as they come out of one run, written: sums of doubles differ in their last digits from run to run."""
+    path = scratch(rows.sparkSession, "once")
+    rows.select(*[F.col(f"`{c}`") for c in dict.fromkeys(columns)]).write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def ranked(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Average ranks of each column, nulls apart."""
+    """Average ranks of each column, nulls apart. Ranks are joined by value, so rows have to be the same whenever they are read."""
     base = rows
     for c in columns:
         ranks = average_ranks(base, c).select(F.col("value").alias("_value"), F.col("rank").alias(f"_{c}"))
@@ -82,6 +90,10 @@ def ranked(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def correlations(rows: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
     """(a, b, r) for every pair in column order; of kendall, tau-b."""
+    return _correlations(rows if method == "pearson" else _once(rows, columns), columns, method)
+
+
+def _correlations(rows: DataFrame, columns: list[str], method: str) -> DataFrame:
     pairs = list(combinations(columns, 2))
     if method == "kendall":
         return kendall(rows, pairs)
@@ -90,9 +102,9 @@ def correlations(rows: DataFrame, columns: list[str], method: str = "pearson") -
 
 
 def mean_correlations(rows: DataFrame, columns: list[str], methods: tuple[str, ...] = ("pearson", "kendall", "spearman")) -> DataFrame:
-    out = None
+    rows, out = _once(rows, columns), None
     for m in methods:
-        one = correlations(rows, columns, m)
+        one = _correlations(rows, columns, m)
         out = one if out is None else out.unionAll(one)
     return out.groupBy("a", "b").agg(F.avg("r").alias("r"))
 
