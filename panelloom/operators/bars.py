@@ -38,11 +38,17 @@ def monthly_return_list(daily: DataFrame) -> DataFrame:
 
 
 def weekly_returns(bars: DataFrame) -> DataFrame:
-    """(symbol, week, close, ret): ret against the symbol's last week with a bar."""
-    weeks = bars.groupBy("symbol", week_key("date").alias("week")).agg(F.max_by("price", "date").alias("close"))
+    """(symbol, week, close, first, last, ret): ret against the symbol's last week with a bar; first and last are the week's dates with one."""
+    weeks = bars.groupBy("symbol", week_key("date").alias("week")).agg(F.max_by("price", "date").alias("close"), F.min("date").alias("first"), F.max("date").alias("last"))
     return weeks.withColumn("ret", percent_return(F.col("close"), F.lag("close").over(by_weeks())))
 
 
+def latest_weeks(weekly: DataFrame) -> DataFrame:
+    """(symbol, month, latest_week) from weekly returns: a week's bars lie in the months of its first and last."""
+    months = weekly.select("symbol", "week", F.explode(F.array(month_key("first"), month_key("last"))).alias("month"))
+    return months.groupBy("symbol", "month").agg(F.max("week").alias("latest_week"))
+
+
 def indexed(rows: DataFrame, period: str, index: str, size: str | None = None) -> DataFrame:
     """rows plus their 0-based place in the symbol's periods, latest first, and their number."""
     by = W.partitionBy("symbol")

@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.periods import month_key, percent_return
-from ..functions.windows import by_months, by_weeks
+from ..functions.windows import by_months
+from .rolling import rolled
 
 
 def _lag(c: str, n: int) -> Column:
@@ -69,28 +70,26 @@ def industry_momentum(monthly: DataFrame, static: DataFrame, of: str = "mom12m_c
     return monthly.join(static.select("symbol", "sic2"), "symbol").groupBy("sic2", "month").agg(F.avg(of).alias(name))
 
 
+def _rolled_lists(weekly: DataFrame, market: DataFrame, long: int, short: int) -> DataFrame:
+    """(symbol, weeks): a symbol's weeks in order, each with mean, beta and idio; weeks are bounded by the calendar.
+
+    A frame in SQL goes over its window anew at each row, one value at a time, so windows are laid out in arrays.
+    """
+    older = F.col("older") if "older" in weekly.columns else F.lit(0)
+    base = weekly.select("symbol", "week", "ret", older.cast("long").alias("older")).join(F.broadcast(market), "week", "left")  # a row a week
+    lists = base.groupBy("symbol").agg(F.max("older").alias("older"), F.array_sort(F.collect_list(F.struct("week", "ret", "market"))).alias("w"))
+    return lists.mapInArrow(lambda batches: rolled(batches, long, short), "symbol string, weeks array<struct<week: string, mean: double, beta: double, idio: double>>")
+
+
 def rolled_weeks(weekly: DataFrame, market: DataFrame, long: int = 156, short: int = 52) -> DataFrame:
     """(symbol, week, mean, beta, idio) over the weeks up to each week; null unless the symbol has a week before the window.
 
     Beta is the sample covariance over the population variance, of short weeks that all have
     both returns; idio is the deviation of the residuals of a regression over long weeks that
     all have both returns, null where the market doesn't move. Where weekly has older, so many
-    of the symbol's weeks come before its rows.
+    of the symbol's weeks come before its rows; windows that reach beyond the rows are null.
     """
-    older = F.col("older") if "older" in weekly.columns else F.lit(0)
-    base = weekly.select("symbol", "week", "ret", older.alias("_older")).join(F.broadcast(market), "week", "left")  # a row a week
-    frame = lambda n: by_weeks().rowsBetween(-(n - 1), 0)
-    r, m = F.col("ret"), F.when(F.col("ret").isNotNull(), F.col("market"))
-    both = F.when(F.col("market").isNotNull(), F.col("ret"))
-    rolled = base.select(
-        "symbol", "week", (F.row_number().over(by_weeks()) + F.col("_older")).alias("_place"), F.avg(r).over(frame(long)).alias("_mean"),
-        F.when(F.count(F.when(m.isNotNull(), both)).over(frame(short)) >= short, F.covar_samp(both, m).over(frame(short)) / F.nullif(F.var_pop(m).over(frame(short)), F.lit(0.0))).alias("_beta"),
-        F.var_pop(both).over(frame(long)).alias("_vr"), F.covar_pop(both, m).over(frame(long)).alias("_cov"), F.var_pop(m).over(frame(long)).alias("_vm"), F.count(F.when(m.isNotNull(), both)).over(frame(long)).alias("_n"),
-    )
-    rest = F.col("_vr") - F.col("_cov") * F.col("_cov") / F.nullif("_vm", F.lit(0.0))
-    idio = F.when(F.col("_n") == long, F.sqrt(F.when(rest < 0, 0.0).otherwise(rest)))
-    beyond = lambda n, c: F.when(F.col("_place") > n, c)
-    return rolled.select("symbol", "week", beyond(long, F.col("_mean")).alias("mean"), beyond(short, F.col("_beta")).alias("beta"), beyond(long, idio).alias("idio"))
+    return _rolled_lists(weekly, market, long, short).select("symbol", F.inline("weeks"))
 
 
 def monthly_risk(months: DataFrame, rolled: DataFrame, stride: int = 4) -> DataFrame:
@@ -99,8 +98,12 @@ def monthly_risk(months: DataFrame, rolled: DataFrame, stride: int = 4) -> DataF
     Month i, latest first, has the window that ends stride * i weeks before w0, w0 being the
     latest week of the month before the latest (of the latest itself if current).
     """
-    # A symbol's weeks and months are bounded by the calendar; both lie in one row, latest first, so a month's week is a place.
     weeks = rolled.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("week", "mean", "beta", "idio")), asc=False).alias("_weeks"))
+    return _of_months(months, weeks, stride)
+
+
+def _of_months(months: DataFrame, weeks: DataFrame, stride: int) -> DataFrame:
+    # A symbol's weeks and months are bounded by the calendar; both lie in one row, latest first, so a month's week is a place.
     held = months.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("month", "latest_week")), asc=False).alias("_months"))
     place = lambda k: F.nullif(F.array_position(F.transform("_weeks", lambda w: w["week"]), F.get("_months", F.lit(k))["latest_week"]), F.lit(0)) - 1
     both = held.join(weeks, "symbol", "left").withColumns({"_lagged": place(1).cast("int"), "_current": place(0).cast("int")})
@@ -112,7 +115,8 @@ def monthly_risk(months: DataFrame, rolled: DataFrame, stride: int = 4) -> DataF
 
 def rolling_risk(monthly: DataFrame, weekly: DataFrame, market: DataFrame, long: int = 156, short: int = 52, stride: int = 4) -> DataFrame:
     """monthly_risk of the rolled weeks of whole histories."""
-    return monthly_risk(monthly, rolled_weeks(weekly, market, long, short), stride)
+    weeks = _rolled_lists(weekly, market, long, short).select("symbol", F.reverse("weeks").alias("_weeks"))
+    return _of_months(monthly, weeks, stride)
 
 
 def as_of_cap(statements: DataFrame, caps: DataFrame) -> DataFrame:

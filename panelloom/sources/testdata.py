@@ -14,7 +14,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bars(spark: SparkSession, sf_dir: str, key: str = "l_suppkey") -> DataFrame:
     """Daily price (mean price of a unit) and volume (units); key l_partkey gives sparse series."""
     rows = read(spark, sf_dir, "lineitem").select(F.col(key).cast("string").alias("symbol"), F.to_date("l_shipdate").alias("date"), "l_quantity", "l_extendedprice")
-    sums = rows.groupBy("symbol", "date").agg(F.sum("l_extendedprice").alias("p"), F.sum("l_quantity").alias("volume"))
+    # Lines are dealt by symbol once, which serves sums by date and what follows by month, week or symbol.
+    sums = rows.repartition("symbol").groupBy("symbol", "date").agg(F.sum("l_extendedprice").alias("p"), F.sum("l_quantity").alias("volume"))
     return sums.select("symbol", "date", (F.col("p") / F.col("volume")).alias("price"), "volume")
 
 

@@ -77,6 +77,36 @@ def test_risk_against_a_loop(spark):
         assert got[s, months[0]]["rolling_return"] == pytest.approx(x.mean())
 
 
+def test_windows_with_gaps_and_older_weeks(spark):
+    rng = np.random.default_rng(3)
+    weeks = [f"{2000 + k // 50}-{k % 50 + 1:02d}" for k in range(40)]
+    ret = {s: [None if rng.random() < p else float(v) for v in rng.normal(0, 3, 40)] for s, p in (("A", 0.0), ("B", 0.1), ("C", 0.5), ("D", 1.0))}
+    market = {w: None if k == 20 else float(rng.normal(0, 1)) if k < 30 else 0.1 for k, w in enumerate(weeks)}
+    rows = spark.createDataFrame([(s, w, v, 3 if s == "B" else 0) for s in ret for w, v in zip(weeks, ret[s], strict=True)], "symbol string, week string, ret double, older int")
+    made = features.rolled_weeks(rows, spark.createDataFrame(list(market.items()), "week string, market double"), 8, 4)
+    assert "-7" not in made._jdf.queryExecution().toString()  # no frame that goes over its window anew at each row
+    got = {(r["symbol"], r["week"]): (r["mean"], r["beta"], r["idio"]) for r in made.collect()}
+    assert len(got) == 160
+    for s in ret:
+        for k, w in enumerate(weeks):
+            whole = lambda n: k + 1 >= n and k + 1 + (3 if s == "B" else 0) > n  # noqa: B023, E731
+            pairs = lambda n: [(a, market[v]) for a, v in zip(ret[s][k + 1 - n : k + 1], weeks[k + 1 - n : k + 1], strict=True) if a is not None and market[v] is not None]  # noqa: B023, E731
+            known = [v for v in ret[s][max(0, k - 7) : k + 1] if v is not None]
+            want = [np.mean(known) if whole(8) and known else None, None, None]
+            for i, n in ((1, 4), (2, 8)):
+                x, y = np.array(pairs(n)).T if whole(n) and len(pairs(n)) == n else (np.zeros(1), np.zeros(1))
+                if (y != y[0]).any():
+                    want[i] = np.cov(x, y)[0, 1] / np.var(y) if i == 1 else np.std(x - np.cov(x, y, ddof=0)[0, 1] / np.var(y) * y)
+            assert got[s, w] == tuple(None if v is None else pytest.approx(v, rel=1e-9) for v in want)
+
+
+def test_latest_weeks_of_months(spark):
+    days = [date(2019, 12, 30), date(2020, 1, 2), date(2020, 1, 31), date(2020, 2, 1), date(2020, 2, 2), date(2020, 5, 1)]
+    b = _bars(spark, [(s, d, 1.0, 1.0) for s in "AB" for d in days[: 4 if s == "B" else 6]])
+    want = bars.monthly_summary(bars.daily_returns(b)).select("symbol", "month", "latest_week")
+    assert rows_of(bars.latest_weeks(bars.weekly_returns(b)), "symbol", "month") == rows_of(want, "symbol", "month")
+
+
 def test_as_of_cap(spark):
     caps = spark.createDataFrame([("A", date(2020, 1, 10), 10.0), ("A", date(2020, 1, 20), 30.0), ("A", date(2020, 2, 1), 0.0)], "symbol string, date date, market_cap double")
     days = {date(2020, 1, 10): 10.0, date(2020, 1, 15): 20.0, date(2020, 3, 1): None, date(2020, 1, 1): None, date(2020, 2, 1): None}
