@@ -171,13 +171,13 @@ def without_penny_stocks(bars: DataFrame, unadjusted: DataFrame, least: float =
 REQUIRED = ("prices", "unadjusted_prices", "market_cap", "annual_income", "annual_balance", "quarterly_income", "quarterly_balance")
 
 
-def validity(documents: DataFrame) -> DataFrame:
-    """(symbol, valid, reason) of stock documents: the first required list, in order, that is missing or empty."""
+def validity(documents: DataFrame, *others: str) -> DataFrame:
+    """(symbol, valid, reason, others) of stock documents: the first required list, in order, that is missing or empty; other columns as they are."""
     empty = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0  # noqa: E731  the size of null is -1
     lists = {"prices": "eod", "unadjusted_prices": "eod_unadj", "market_cap": "market_cap"}
     lists |= {f"{q}_{k.split('_')[0]}": f"financials_{q}.{k}_{'statement' if k == 'income' else 'sheet'}" for q in ("annual", "quarterly") for k in ("income", "balance")}
     reason = F.coalesce(*[F.when(empty(F.col(lists[name])), F.lit(name)) for name in REQUIRED])
-    return documents.select("symbol", reason.isNull().alias("valid"), reason.alias("reason"))
+    return documents.select("symbol", reason.isNull().alias("valid"), reason.alias("reason"), *others)
 
 
 def report(validities: DataFrame, made: DataFrame, symbols: DataFrame | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BAR = "struct<symbol:string,date:string,price:double,volume:double>"
 STATEMENTS = "struct<income_statement:array<struct<date:string,fillingDate:string,filingDate:string,netIncome:double,revenue:double>>,balance_sheet:array<struct<date:string,fillingDate:string,filingDate:string,totalAssets:double>>>"
@@ -24,9 +25,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
 
 
-def parse_documents(rows: DataFrame, body: str = "body") -> DataFrame:
-    """Documents from a column of JSON text."""
-    return rows.select(F.from_json(body, DOCUMENT, {"mode": "PERMISSIVE"}).alias("d")).select("d.*")
+def parse_documents(rows: DataFrame, body: str = "body", fields: tuple[str, ...] = ()) -> DataFrame:
+    """Documents from a column of JSON text; of their fields only those named, if any are: the others are skipped in the text."""
+    schema = DOCUMENT if not fields else StructType([f for f in StructType.fromDDL(DOCUMENT) if f.name in fields])
+    return rows.select(F.from_json(body, schema, {"mode": "PERMISSIVE"}).alias("d")).select("d.*")
 
 
 def write_documents(df: DataFrame, path: str, by: tuple[str, ...] = ("symbol",), pretty: bool = False) -> None:
@@ -70,7 +72,8 @@ def first_by_date(rows: DataFrame, order: str = "pos", keys: tuple[str, ...] = (
 
 
 def daily_bars(docs: DataFrame) -> DataFrame:
-    rows = docs.select("symbol", F.posexplode("eod").alias("pos", "r"))
+    # By symbol once: the first of a date, returns and months all follow in that.
+    rows = docs.select("symbol", F.posexplode("eod").alias("pos", "r")).repartition("symbol")
     return clean_nan(first_by_date(rows.select("symbol", F.to_date("r.date").alias("date"), "r.price", "r.volume", "pos")))
 
 

@@ -64,17 +64,16 @@ def raw_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stock_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, body): JSON documents of the parts. Lists hold the lines of some kinds only, so some symbols lack some."""
-    rows = read(spark, sf_dir, "lineitem").select(
-        F.col("l_partkey").cast("string").alias("symbol"), F.to_date("l_shipdate").cast("string").alias("date"), "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus",
-        F.date_add(F.to_date("l_shipdate"), 40).cast("string").alias("fillingDate"),
-    )
+    kinds = ("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
+    lines = read(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", *kinds).repartition("l_partkey")  # lines are smaller than the lists that they are in
+    rows = lines.select("l_partkey", F.col("l_partkey").cast("string").alias("symbol"), F.to_date("l_shipdate").cast("string").alias("date"), F.date_add(F.to_date("l_shipdate"), 40).cast("string").alias("fillingDate"), *kinds)
     listed = lambda keep, **fields: F.transform(
         F.array_sort(F.collect_list(F.when(keep, F.struct("l_orderkey", "l_linenumber", F.struct("symbol", "date", *[v.alias(k) for k, v in fields.items()]).alias("row"))))), lambda x: x["row"]
     )
     price, flag = F.col("l_extendedprice"), F.col("l_returnflag")
     income = lambda keep: listed(keep, fillingDate=F.col("fillingDate"), netIncome=price * (1 - F.col("l_discount")), revenue=price)
     balance = lambda keep: listed(keep, fillingDate=F.col("fillingDate"), totalAssets=price * F.col("l_quantity"))
-    made = rows.groupBy("symbol").agg(
+    made = rows.groupBy("l_partkey", "symbol").agg(
         listed(F.lit(True), price=price / F.col("l_quantity"), volume=F.col("l_quantity")).alias("eod"), listed(flag != "R", adjClose=price / F.col("l_quantity")).alias("eod_unadj"),
         listed(flag != "A", marketCap=price).alias("market_cap"), income(F.col("l_linestatus") == "F").alias("ai"), balance(F.col("l_linestatus") == "O").alias("ab"), income(flag == "N").alias("qi"), balance(flag == "R").alias("qb"),
     )

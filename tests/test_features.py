@@ -254,6 +254,13 @@ def test_documents_round_trip(spark, tmp_path):
     assert documents.page_windows("1990-01-01", "2020-01-01")[0][1] == "2020-01-01"
 
 
+def test_documents_are_read_once_for_validity_and_bars(spark):
+    text = '{"symbol": "A", "eod": [{"symbol": "A", "date": "2020-01-02", "price": 2.0, "volume": 3.0}], "market_cap": [{"symbol": "A", "date": "2020-01-02", "marketCap": 5.0}]}'
+    rows = spark.createDataFrame([(text,), (None,)], "body string")
+    assert documents.parse_documents(rows, fields=("symbol", "eod")).collect() == documents.parse_documents(rows).select("symbol", "eod").collect()
+    assert [tuple(r) for r in panel.validity(documents.parse_documents(rows), "eod").filter("symbol = 'A'").select("valid", "reason", F.size("eod")).collect()] == [(False, "unadjusted_prices", 1)]
+
+
 def test_status_and_penny_filter(spark):
     b = spark.createDataFrame([("A", 0.05), ("B", 3.0)], "symbol string, adj_close double")
     assert [r["symbol"] for r in panel.without_penny_stocks(b, b).collect()] == ["B"]
