@@ -79,18 +79,21 @@ class Upserts:
             return version
         folder = f"data/{version + 1:08d}-{uuid.uuid4().hex}"
         order = [F.desc_nulls_last(self.order)] if self.order else [F.desc(c) for c in news.columns if c not in self.keys]
-        last = news.withColumn("_n", F.row_number().over(W.partitionBy(*self.keys).orderBy(*order))).filter("_n = 1").drop("_n")
-        last.withColumn("_bucket", self.bucket()).write.partitionBy("_bucket").parquet(f"{self.path}/{folder}/news")
-        fresh = self.spark.read.parquet(f"{self.path}/{folder}/news")
+        # Dealt by bucket once, a bucket is one task's file; where nothing is held yet, the news are the rows.
+        news = news.withColumn("_bucket", self.bucket()).repartition("_bucket")
+        last = news.withColumn("_n", F.row_number().over(W.partitionBy("_bucket", *self.keys).orderBy(*order))).filter("_n = 1").drop("_n")
+        place = f"{self.path}/{folder}/{'news' if now['buckets'] else 'rows'}"
+        last.write.partitionBy("_bucket").parquet(place)
+        fresh = self.spark.read.parquet(place)
         touched = [str(r[0]) for r in fresh.select("_bucket").distinct().collect()]  # buckets at most
         held = [f"{self.path}/{now['buckets'][b]}" for b in touched if b in now["buckets"]]
-        if held:
-            old = self.spark.read.parquet(*held).withColumn("_bucket", self.bucket())
-            same = [old[k].eqNullSafe(fresh[k]) for k in self.keys]
-            rows = old.join(fresh.select(*self.keys), same, "left_anti").unionByName(fresh, allowMissingColumns=True)
-        else:
+        if now["buckets"]:
             rows = fresh
-        rows.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}/rows")
+            if held:
+                old = self.spark.read.parquet(*held).withColumn("_bucket", self.bucket())
+                same = [old[k].eqNullSafe(fresh[k]) for k in self.keys]
+                rows = old.join(fresh.select(*self.keys), same, "left_anti").unionByName(fresh, allowMissingColumns=True)
+            rows.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}/rows")
         self._publish(version + 1, {"buckets": now["buckets"] | {b: f"{folder}/rows/_bucket={b}" for b in touched}, "batch": now["batch"] if batch is None else batch})
         return version + 1
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,6 +13,8 @@ from ..operators.bars import daily_returns, monthly_summary
 
 #: Folders that symbols are dealt to; a batch reads those of the symbols it touches.
 BUCKETS = 64
+#: Bars that a task sorts, about; whole symbols lie in one.
+TASK_ROWS = 250_000
 
 
 def maintain_monthly(stream: DataFrame, store: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
@@ -28,10 +31,12 @@ def maintain_monthly(stream: DataFrame, store: str, checkpoint: str, buckets: in
         spark = batch.sparkSession
         batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/bars/batch={number}")
         own = spark.read.parquet(f"{store}/bars/batch={number}")
-        touched = own.select("symbol").distinct()
         there = [r["bucket"] for r in own.select("bucket").distinct().collect()]  # BUCKETS at most
-        stored = spark.read.parquet(f"{store}/bars").filter(F.col("bucket").isin(there) & (F.col("batch") <= number))
-        first = stored.join(touched, "symbol", "left_semi").groupBy("symbol", "date").agg(F.min(F.struct("batch", "price", "volume")).alias("b"))
+        stored = spark.read.parquet(f"{store}/bars").filter(F.col("bucket").isin(there) & (F.col("batch") <= number) & F.col("symbol").isNotNull())
+        # Tasks by the number of bars rather than the session's: what one of them sorts doesn't grow with the table.
+        stored = stored.repartition(stored.count() // TASK_ROWS + 1, "symbol")
+        first = stored.groupBy("symbol", "date").agg(F.min(F.struct("batch", "price", "volume")).alias("b"), F.max("batch").alias("_last"))
+        first = first.withColumn("_last", F.max("_last").over(W.partitionBy("symbol"))).filter(F.col("_last") == number)  # symbols that this batch touched
         monthly_summary(daily_returns(first.select("symbol", "date", "b.price", "b.volume"))).write.mode("overwrite").parquet(f"{store}/monthly/batch={number}")
 
     return stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

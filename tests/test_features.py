@@ -681,6 +681,31 @@ def test_stream_first_arrival(spark, tmp_path):
     assert rows_of(incremental.latest_monthly(spark, store).select("symbol", "close", "days", "max_ret"), "symbol") == [("A", 2.0, 2, pytest.approx(100.0))]
 
 
+def test_stream_in_tasks_by_the_number_of_bars(spark, tmp_path, monkeypatch):
+    from panelloom.streaming import incremental
+
+    parts, deal = [], type(spark.range(0)).repartition
+    monkeypatch.setattr(incremental, "TASK_ROWS", 2)
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda df, n, *by: parts.append(n) or deal(df, n, *by))
+    src, store, schema = str(tmp_path / "in"), str(tmp_path / "store"), "symbol string, date date, price double, volume double"
+    days = [date(2020, 1, 2) + timedelta(days=k) for k in range(5)]
+    for rows in ([(s, d, 1.0, 1.0) for s in "ABC" for d in days[:4]] + [(None, days[0], 1.0, 1.0)], [("A", days[4], 2.0, 1.0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        assert incremental.maintain_monthly(spark.readStream.schema(schema).parquet(src), store, str(tmp_path / "cp"), 1).awaitTermination(120)
+    assert parts == [7, 7]
+    assert rows_of(incremental.latest_monthly(spark, store).select("symbol", "close", "days"), "symbol") == [("A", 2.0, 5), ("B", 1.0, 4), ("C", 1.0, 4)]
+    assert {r[0] for r in spark.read.parquet(f"{store}/monthly/batch=1").select("symbol").collect()} == {"A"}
+
+
+def test_first_upsert_is_written_once(spark, tmp_path):
+    table = upsert.Upserts(spark, str(tmp_path / "t"), ("symbol",), buckets=4)
+    for k, v in enumerate((1.0, 2.0)):
+        table.upsert(spark.createDataFrame([("A", v), ("B", v)], "symbol string, v double"), k)
+        assert bool(list(tmp_path.glob(f"t/data/{k + 1:08d}-*/news"))) == (k == 1)
+    table.vacuum()
+    assert rows_of(table.read().select("symbol", "v"), "symbol") == [("A", 2.0), ("B", 2.0)]
+
+
 def test_stream(spark, tmp_path):
     from panelloom.streaming import incremental
 
