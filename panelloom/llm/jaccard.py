@@ -259,13 +259,19 @@ class _Join:
         return self.stash.put(hashed(self.docs, self.sets, sigs))
 
     def labelled(self, rows: DataFrame) -> DataFrame:
-        """rows plus component, the same for sets that are known to be linked within two steps: enough to spare comparisons."""
+        """rows plus component, the same for sets that are known to be linked within two steps: enough to spare comparisons.
+
+        Written, as is what leads to it: the driver keeps a query's plan and a thread for each exchange that it has open.
+        """
         if self.edges is None:
             return rows.withColumn("component", F.col("sig"))
         both = self.edges.unionAll(self.edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        far = both.join(near.withColumnRenamed("a", "c"), F.col("b") == F.col("c")).groupBy("a").agg(F.least("a", F.min("m")).alias("component"))
-        return rows.join(far.withColumnRenamed("a", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+        near = self.stash.put(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
+        far = self.stash.put(both.join(near.withColumnRenamed("a", "c"), F.col("b") == F.col("c")).groupBy("a").agg(F.least("a", F.min("m")).alias("component")))
+        made = self.stash.put(rows.join(far.withColumnRenamed("a", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig")))
+        for done in (near, far):
+            self.stash.drop(done)
+        return made
 
     def settle(self, rows: DataFrame, hot: int | None) -> DataFrame | None:
         """Finds the links within keys of rows (key, sig). The members of hot keys are left to the caller, as (sig)."""
@@ -278,10 +284,10 @@ class _Join:
         pairs = stash.put(sized(pairs, self.sets))
         hashes = self.hashes_of(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
         self.compare(pairs, hashes)
-        left = self.labelled(shared.filter("n > 2").select("key", "sig", "n"))
-        left = left.join(_largest(left), "key")
+        known = self.labelled(shared.filter("n > 2").select("key", "sig", "n"))
+        left = known.join(_largest(known), "key")
         left = stash.put(left.withColumn("hot", F.lit(False) if hot is None else F.col("n") - F.col("most") > hot))
-        for done in (many, shared, pairs, hashes):
+        for done in (many, shared, pairs, hashes, known):
             stash.drop(done)
         near = stash.put(_meeting(left.filter("not hot").join(self.sets.select("sig", "size", "sketch"), "sig"), _nearest, "key long, sig long, partner long"))
         if not near.isEmpty():
@@ -295,10 +301,13 @@ class _Join:
         """near: (key, sig, partner) of all sets that have a partner which sketches allow, with the nearest."""
         hashes = self.hashes_of(near.select("sig").distinct())
         self.compare(near.select(F.least("sig", "partner").alias("a"), F.greatest("sig", "partner").alias("b")).distinct(), hashes)
-        rows = self.labelled(near.select("key", "sig").distinct())
-        rows = rows.join(_largest(rows), "key").join(self.sets.select("sig", "size", "sketch"), "sig").join(hashes, "sig")
+        known = self.labelled(near.select("key", "sig").distinct())
+        asked = self.stash.put(known.join(_largest(known), "key"))
+        self.stash.drop(known)
+        rows = asked.join(self.sets.select("sig", "size", "sketch"), "sig").join(hashes, "sig")
         self.add(_meeting(rows, _verified, "a long, b long").distinct())
-        self.stash.drop(hashes)
+        for done in (asked, hashes):
+            self.stash.drop(done)
 
     def seldom_keys(self, sigs: DataFrame) -> DataFrame:
         """(sig) -> (key, sig): keys of seldom chunks first."""

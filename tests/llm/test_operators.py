@@ -312,6 +312,16 @@ def test_jaccard_keys_anew(spark, monkeypatch, hot):
     test_jaccard_against_brute_force(spark)
 
 
+def test_jaccard_labels_are_written(spark):
+    """The driver holds each query's plan: what labels come from isn't in the plans that read them."""
+    known = jaccard._Join(spark.createDataFrame([(k, f"a b c d e f g {k}") for k in range(4)], "doc_id long, text string"))
+    known.add(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"))
+    made = known.labelled(spark.createDataFrame([(3,), (9,)], "sig long"))
+    assert sorted(map(tuple, made.select("sig", "component").collect())) == [(3, 1), (9, 9)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
 def test_jaccard_long_texts_with_a_common_passage(spark):
     """Texts of 2,000 shingles that share a fifth; two pairs of them are near copies, on either side of the threshold."""
     rng = np.random.default_rng(8)
