@@ -20,6 +20,11 @@ def week_key(date: Column | str) -> Column:
     return F.concat(F.extract(F.lit("YEAROFWEEK"), col(date)).cast("string"), F.lit("-"), F.lpad(F.weekofyear(date).cast("string"), 2, "0"))
 
 
+def week_start(date: Column | str) -> Column:
+    """The Monday of a date's ISO week: groups and sorts as week_key does, without text."""
+    return F.trunc(date, "week")
+
+
 def month_id(month: Column | str) -> Column:
     """Months since year 0 of a yyyy-MM key."""
     return F.substring(col(month), 1, 4).cast("int") * 12 + F.substring(col(month), 6, 2).cast("int")

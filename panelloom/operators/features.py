@@ -77,8 +77,9 @@ def _rolled_lists(weekly: DataFrame, market: DataFrame, long: int, short: int) -
     """
     older = F.col("older") if "older" in weekly.columns else F.lit(0)
     base = weekly.select("symbol", "week", "ret", older.cast("long").alias("older")).join(F.broadcast(market), "week", "left")  # a row a week
-    lists = base.groupBy("symbol").agg(F.max("older").alias("older"), F.array_sort(F.collect_list(F.struct("week", "ret", "market"))).alias("w"))
-    return lists.mapInArrow(lambda batches: rolled(batches, long, short), "symbol string, weeks array<struct<week: string, mean: double, beta: double, idio: double>>")
+    lists = base.groupBy("symbol").agg(F.max("older").alias("older"), F.sort_array(F.collect_list(F.struct("week", "ret", "market"))).alias("w"))
+    kind = weekly.schema["week"].dataType.simpleString()
+    return lists.mapInArrow(lambda batches: rolled(batches, long, short), f"symbol string, weeks array<struct<week: {kind}, mean: double, beta: double, idio: double>>")
 
 
 def rolled_weeks(weekly: DataFrame, market: DataFrame, long: int = 156, short: int = 52) -> DataFrame:
@@ -102,21 +103,21 @@ def monthly_risk(months: DataFrame, rolled: DataFrame, stride: int = 4) -> DataF
     return _of_months(months, weeks, stride)
 
 
-def _of_months(months: DataFrame, weeks: DataFrame, stride: int) -> DataFrame:
+def _of_months(months: DataFrame, weeks: DataFrame, stride: int, along: tuple[str, ...] = ()) -> DataFrame:
     # A symbol's weeks and months are bounded by the calendar; both lie in one row, latest first, so a month's week is a place.
-    held = months.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("month", "latest_week")), asc=False).alias("_months"))
-    place = lambda k: F.nullif(F.array_position(F.transform("_weeks", lambda w: w["week"]), F.get("_months", F.lit(k))["latest_week"]), F.lit(0)) - 1
+    held = months.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("month", "latest_week", *along)), asc=False).alias("_months"))
+    place = lambda k: F.nullif(F.array_position("_weeks.week", F.get("_months", F.lit(k))["latest_week"]), F.lit(0)) - 1
     both = held.join(weeks, "symbol", "left").withColumns({"_lagged": place(1).cast("int"), "_current": place(0).cast("int")})
     at = lambda c, i: F.get("_weeks", F.col(c) + stride * i)
-    out = both.select("symbol", F.explode(F.transform("_months", lambda x, i: F.struct(x["month"].alias("month"), at("_lagged", i).alias("lag"), at("_current", i).alias("now")))).alias("r"))
-    out = out.select("symbol", "r.month", *[F.col(f"r.{k}.{c}").alias(name + end) for k, end in (("lag", ""), ("now", "_current")) for c, name in (("mean", "rolling_return"), ("beta", "beta"), ("idio", "idiovol"))])
+    out = both.select("symbol", F.explode(F.transform("_months", lambda x, i: F.struct(x.alias("own"), at("_lagged", i).alias("lag"), at("_current", i).alias("now")))).alias("r"))
+    out = out.select("symbol", *[F.col(f"r.own.{c}") for c in ("month", *along)], *[F.col(f"r.{k}.{c}").alias(name + end) for k, end in (("lag", ""), ("now", "_current")) for c, name in (("mean", "rolling_return"), ("beta", "beta"), ("idio", "idiovol"))])
     return out.withColumns({"betasq": F.col("beta") * F.col("beta"), "betasq_current": F.col("beta_current") * F.col("beta_current")})
 
 
-def rolling_risk(monthly: DataFrame, weekly: DataFrame, market: DataFrame, long: int = 156, short: int = 52, stride: int = 4) -> DataFrame:
-    """monthly_risk of the rolled weeks of whole histories."""
+def rolling_risk(monthly: DataFrame, weekly: DataFrame, market: DataFrame, long: int = 156, short: int = 52, stride: int = 4, along: tuple[str, ...] = ()) -> DataFrame:
+    """monthly_risk of the rolled weeks of whole histories; columns of the months that go along needn't be joined again."""
     weeks = _rolled_lists(weekly, market, long, short).select("symbol", F.reverse("weeks").alias("_weeks"))
-    return _of_months(monthly, weeks, stride)
+    return _of_months(monthly, weeks, stride, along)
 
 
 def as_of_cap(statements: DataFrame, caps: DataFrame) -> DataFrame:
@@ -124,13 +125,21 @@ def as_of_cap(statements: DataFrame, caps: DataFrame) -> DataFrame:
 
     caps has one row for each symbol and date.
     """
-    rows = statements.withColumn("_s", F.struct(*statements.columns)).select("symbol", "date", "_s", F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("market_cap"), F.lit(None).cast("date").alias("_at"))
-    rows = rows.unionByName(caps.select("symbol", "date", F.lit(None).cast(rows.schema["_s"].dataType).alias("_s"), F.lit(0).alias("_kind"), "market_cap", F.col("date").alias("_at")))
+    # Between two dates on which any symbol has a statement only a symbol's first and last cap can be nearest, so no caps are sorted but these.
+    ends = statements.select("date").filter("date is not null").distinct()
+    days = ends.select("date", F.date_add(F.lag("date").over(W.orderBy("date")), 1).alias("_from")).filter("_from is not null")  # bounded by the calendar, as is what comes of it
+    days = F.broadcast(days.select(F.explode(F.sequence("_from", "date")).alias("date"), F.col("date").alias("_end")))
+    after = caps.select("symbol", "date", "market_cap").join(F.broadcast(ends.agg(F.min("date").alias("_first")))).join(days, "date", "left")  # one row, a row a day
+    spans = after.filter("date is not null").groupBy("symbol", F.when(F.col("date") <= F.col("_first"), F.col("_first")).otherwise(F.col("_end")).alias("_end")).agg(
+        F.min("date").alias("_from"), F.min_by("market_cap", "date").alias("_early"), F.max("date").alias("_at"), F.max_by("market_cap", "date").alias("market_cap")
+    )
     by = W.partitionBy("symbol")
-    cap = F.when(F.col("_kind") == 0, F.struct("_at", "market_cap"))
-    rows = rows.withColumn("_lo", F.last(cap, ignorenulls=True).over(by.orderBy("date", "_kind"))).withColumn("_hi", F.last(cap, ignorenulls=True).over(by.orderBy(F.desc("date"), "_kind")))
-    lo, hi = F.col("_lo.market_cap"), F.col("_hi.market_cap")
-    value = F.when(F.col("_lo._at") == F.col("date"), lo).when(F.col("_lo").isNull(), F.lit(None)).when(F.col("_hi").isNull(), lo).otherwise((lo + hi) / 2)
+    later = F.lead(F.struct(F.col("_from").alias("_at"), F.col("_early").alias("market_cap"))).over(by.orderBy("_at"))
+    caps = spans.select("symbol", F.col("_at").alias("date"), F.lit(0).alias("_kind"), F.struct(F.struct("_at", "market_cap").alias("lo"), later.alias("hi")).alias("_cap"))
+    rows = statements.select("symbol", "date", F.lit(1).alias("_kind"), F.struct(*statements.columns).alias("_s")).unionByName(caps, allowMissingColumns=True)
+    rows = rows.withColumn("_near", F.last("_cap", ignorenulls=True).over(by.orderBy("date", "_kind")))
+    lo, hi = F.col("_near.lo.market_cap"), F.col("_near.hi.market_cap")
+    value = F.when(F.col("_near").isNull(), F.lit(None)).when(F.col("_near.lo._at") == F.col("date"), lo).when(F.col("_near.hi").isNull(), lo).otherwise((lo + hi) / 2)
     return rows.filter("_kind = 1").select("_s.*", F.nullif(value, F.lit(0.0)).alias("cap"))
 
 
@@ -145,9 +154,19 @@ def earnings_and_sales(statements: DataFrame, caps: DataFrame) -> DataFrame:
     return _by_filing(rows.withColumns({"ep": F.col("net_income") / F.col("cap"), "sp": F.col("revenue") / F.col("cap")}), ["ep", "sp"])
 
 
-def asset_growth(statements: DataFrame) -> DataFrame:
-    """agr by filing month; null in the month in which the oldest statement was filed."""
+def _with_growth(statements: DataFrame) -> DataFrame:
     by = W.partitionBy("symbol", "freq")
     rows = statements.withColumn("agr", percent_return(F.col("total_assets"), F.lag("total_assets").over(by.orderBy("date"))))
     oldest = F.first("filing_date").over(by.orderBy("date"))
-    return _by_filing(rows.withColumn("agr", F.when(~month_key("filing_date").eqNullSafe(month_key(oldest)), F.col("agr"))), ["agr"])
+    return rows.withColumn("agr", F.when(~month_key("filing_date").eqNullSafe(month_key(oldest)), F.col("agr")))
+
+
+def asset_growth(statements: DataFrame) -> DataFrame:
+    """agr by filing month; null in the month in which the oldest statement was filed."""
+    return _by_filing(_with_growth(statements), ["agr"])
+
+
+def filed_ratios(statements: DataFrame, caps: DataFrame) -> DataFrame:
+    """earnings_and_sales with asset_growth, of the same statements in one pass."""
+    rows = as_of_cap(_with_growth(statements).select("symbol", "freq", "date", "filing_date", "revenue", "net_income", "agr"), caps)
+    return _by_filing(rows.withColumns({"ep": F.col("net_income") / F.col("cap"), "sp": F.col("revenue") / F.col("cap")}), ["ep", "sp", "agr"])

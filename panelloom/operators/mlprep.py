@@ -144,6 +144,8 @@ def firm_and_macro_sequences(rows: DataFrame, firm: list[str], macro: list[str],
 def joint_sequences(rows: DataFrame, firm: list[str], macro: list[str], target: str, firm_steps: int, macro_steps: int, by: tuple[str, ...] = ("split", "symbol")) -> DataFrame:
     """(by, time, x, macro_x, y): the firm and the macro window that end before each row which has both, in one pass over a key's rows."""
     w = W.partitionBy(*by).orderBy("month")
-    window = lambda cs, n: F.transform(F.collect_list(F.struct(F.array(*[F.col(f"`{c}`").cast("double") for c in cs]).alias("v"))).over(w.rowsBetween(-n, -1)), lambda s: s["v"])
-    out = rows.withColumns({"x": window(firm, firm_steps), "macro_x": window(macro, macro_steps), "_n": F.row_number().over(w)})
+    rows = rows.withColumns({f"_{k}": F.array(*[F.col(f"`{c}`").cast("double") for c in cs]) for k, cs in (("firm", firm), ("macro", macro))})
+    # A frame would gather its rows anew for each row; lags only point at them.
+    window = lambda c, n: F.array(*[F.lag(c, k).over(w) for k in range(n, 0, -1)])
+    out = rows.withColumns({"x": window("_firm", firm_steps), "macro_x": window("_macro", macro_steps), "_n": F.row_number().over(w)})
     return out.filter(F.col("_n") > max(firm_steps, macro_steps)).select(*by, F.col("month").alias("time"), "x", "macro_x", F.col(target).cast("double").alias("y"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.periods import month_id, months_between
 from ..functions.windows import by_months
+from .filling import filled as filled_rows
 
 FUNDAMENTALS = ("ep_quarter", "sp_quarter", "agr_quarter", "ep_year", "sp_year", "agr_year")
 #: Months of the calendar that a slice of a long key holds at most, and the largest power of e in the running sums of a weighted fill.
@@ -30,6 +31,16 @@ def assemble(monthly: DataFrame, *others: DataFrame, static: DataFrame | None =
     return monthly if static is None else monthly.join(static, "symbol", "left")
 
 
+def merged(monthly: DataFrame, *others: DataFrame) -> DataFrame:
+    """As assemble, of tables with one row a symbol and month and columns of their own: dealt by symbol, as what follows needs them, and no join."""
+    rows = [t.withColumn("_side", F.when(F.col("symbol").isNull() | F.col("month").isNull(), F.lit(k))) for k, t in enumerate((monthly, *others))]  # null keys meet nothing
+    both = rows[0]
+    for t in rows[1:]:
+        both = both.unionByName(t, allowMissingColumns=True)
+    values = [c for c in both.columns if c not in ("symbol", "month", "_side")]
+    return both.repartition("symbol").groupBy("symbol", "month", "_side").agg(*[F.max(c).alias(c) for c in values]).drop("_side")
+
+
 def forward_fill(panel: DataFrame, columns: tuple[str, ...] = FUNDAMENTALS) -> DataFrame:
     run = by_months().rowsBetween(W.unboundedPreceding, W.currentRow)
     return panel.withColumns({c: F.last(c, ignorenulls=True).over(run) for c in columns if c in panel.columns})
@@ -46,21 +57,19 @@ def ewm_fill(panel: DataFrame, columns: tuple[str, ...], half_life: float = 5.0,
     series. A column without values becomes 0. order holds yyyy-MM keys. Rows with a null key
     are one key.
 
-    With g rows from one value to the next, the mean w turns to a(g) w + (1 - a(g)) x, so the
-    means are running sums of what values take, over the product of what they leave. Keys with
-    more rows than that product has room for are cut into slices (see _filled_by_slices), so no
-    task holds all of a long key. `keep` may persist the rows, which are read more than once.
+    With g rows from one value to the next, the mean w turns to a(g) w + (1 - a(g)) x. Keys'
+    sorted rows go through arrays, many keys a step. Keys with more rows than running sums have
+    room for are cut into slices (see _filled_by_slices), so no task has to go through all of a
+    long key. `keep` may persist the rows, which are read more than once.
     """
     rate = math.log(0.5) / half_life
     at_most = max(1, int(LARGEST_POWER / -rate))
     rows = keep(panel.selectExpr(*[f"cast(`{c}` as double) as `{c}`" if c in columns else f"`{c}`" for c in panel.columns]))
     long = rows.groupBy(key).count().filter(F.col("count") > at_most).select(key)
     whole = rows.filter(F.col(key).isNotNull()).join(long, key, "left_anti").withColumn("_p", F.row_number().over(W.partitionBy(key).orderBy(order)).cast("long"))
-    named = list(enumerate(columns))
-    seen = _running_means(whole, named, f"`{key}`", rate, f"if(_p > 1, {1 - math.exp(rate)!r}D, 1D)" if lead else "1D")
-    zero = ", 0D" if lead else ""
-    filled = {c: f"coalesce(`{c}`, _mean{i}{zero}) as `{c}`" for i, c in named}
-    out = seen.selectExpr(*[filled.get(c, f"`{c}`") for c in panel.columns])
+    present = [c for c in panel.columns if c in columns]
+    # The window leaves rows sorted by key and place, as they are gone through.
+    out = whole.select(*[f"`{c}`" for c in rows.columns], "_p").mapInArrow(lambda batches: filled_rows(batches, present, rate, lead, at_most), rows.schema)
     sliced = rows.join(long, key, "left_semi").unionByName(rows.filter(F.col(key).isNull()))
     return out.unionByName(_filled_by_slices(sliced, columns, rate, at_most, lead, key, order))
 

@@ -27,8 +27,9 @@ def with_shares(bars: DataFrame) -> DataFrame:
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, freq, date, filing_date, revenue, net_income, total_assets) by quarter and year."""
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("symbol"), F.to_date("l_shipdate").alias("d"), F.col("l_extendedprice").alias("gross"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
-    ends = {"quarter": F.last_day(F.add_months(F.trunc("d", "quarter"), 2)), "year": F.last_day(F.add_months(F.trunc("d", "year"), 11))}
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("symbol"), F.trunc(F.to_date("l_shipdate"), "quarter").alias("d"), F.col("l_extendedprice").alias("gross"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
+    rows = rows.groupBy("symbol", "d").agg(F.sum("net").alias("net"), F.sum("gross").alias("gross")).repartition("symbol")  # years are sums of quarters
+    ends = {"quarter": F.last_day(F.add_months("d", 2)), "year": F.last_day(F.add_months(F.trunc("d", "year"), 11))}
     freq = F.explode(F.array(*[F.struct(F.lit(k).alias("freq"), v.alias("date")) for k, v in ends.items()]))
     sums = rows.withColumn("f", freq).groupBy("symbol", "f.freq", "f.date").agg(F.sum("net").alias("revenue"), F.sum("gross").alias("gross"))
     run = W.partitionBy("symbol", "freq").orderBy("date").rowsBetween(W.unboundedPreceding, W.currentRow)

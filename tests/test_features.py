@@ -114,6 +114,58 @@ def test_as_of_cap(spark):
     assert {r["date"]: r["cap"] for r in features.as_of_cap(st, caps).collect()} == days
 
 
+def test_as_of_cap_sorts_no_caps_but_those_next_to_statements(spark):
+    rng, day = random.Random(3), lambda k: date(2020, 1, 1) + timedelta(k)
+    held = {(s, day(k)): rng.choice([0.0, None, float(k + 1)]) if rng.random() < 0.2 else float(k + 1) for s in "ABC" for k in range(120) if rng.random() < 0.3}
+    asked = [(s, day(k)) for s in "ABCD" for k in rng.sample(range(-10, 130), 12)]
+    caps = spark.createDataFrame([(*k, v) for k, v in held.items()], "symbol string, date date, market_cap double")
+
+    def near(s, d):
+        lo, hi = max((x for t, x in held if t == s and x <= d), default=None), min((x for t, x in held if t == s and x >= d), default=None)
+        if lo is None or lo == d or hi is None:
+            v = None if lo is None else held[s, lo]
+        else:
+            v = None if None in (held[s, lo], held[s, hi]) else (held[s, lo] + held[s, hi]) / 2
+        return v or None
+
+    made = features.as_of_cap(spark.createDataFrame(asked, "symbol string, date date"), caps)
+    assert {(r["symbol"], r["date"]): r["cap"] for r in made.collect()} == {k: near(*k) for k in asked}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window [last") :]
+    assert "Aggregate" in below.split("LocalRelation")[0] or "Aggregate" in below.split("LogicalRDD")[0]
+
+
+def test_bars_become_months_and_weeks_without_a_sort_by_text(spark):
+    b = _bars(spark, [("A", date(2020, 1, 2), 5.0, 1.0), ("A", date(2020, 12, 31), 6.0, 1.0), ("A", date(2021, 1, 1), 7.0, 2.0)])
+    for made in (bars.monthly_summary(bars.daily_returns(b)), bars.weekly_returns(b), bars.latest_weeks(bars.weekly_returns(b, periods.week_start))):
+        assert "SortAggregate" not in made._jdf.queryExecution().sparkPlan().toString()
+    assert rows_of(bars.weekly_returns(b).select("week", "close"), "week") == [("2020-01", 5.0), ("2020-53", 7.0)]
+    assert rows_of(bars.monthly_summary(bars.daily_returns(b)).select("month", "latest_week"), "month") == [("2020-01", "2020-01"), ("2020-12", "2020-53"), ("2021-01", "2020-53")]
+
+
+def test_merged_is_assemble_without_a_join(spark):
+    m = spark.createDataFrame([("A", "2020-01", 1.0, 5), ("A", "2020-03", None, None), (None, "2020-01", 3.0, 1), ("B", None, 4.0, 1)], "symbol string, month string, mom1m double, days long")
+    f = spark.createDataFrame([("A", "2020-02", 7.0), ("A", "2020-03", 8.0), (None, "2020-01", 9.0), ("B", None, 2.0)], "symbol string, month string, ep double")
+    made, key = panel.merged(m, f), lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, made.collect()), key=key) == sorted(map(tuple, panel.assemble(m, f).collect()), key=key)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("lead", [True, False])
+def test_ewm_fill_goes_on_from_batch_to_batch(spark, lead):
+    rng = random.Random(1)
+    rows = [(s, f"{2000 + k // 12}-{k % 12 + 1:02d}", *[rng.random() if rng.random() < 0.4 else None for _ in range(2)]) for s in "ABCDEFG" for k in range(rng.randrange(1, 30))]
+    df = spark.createDataFrame(rows, "symbol string, month string, v double, w double").coalesce(1)
+    fill = lambda: panel.ewm_fill(df, ("w", "v"), lead=lead)
+    want = rows_of(fill(), "symbol", "month")
+    assert "MapInArrow" in fill()._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        assert rows_of(fill(), "symbol", "month") == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_filing_collision_and_oldest_growth(spark):
     st = spark.createDataFrame(
         [("A", "quarter", date(2020, 3, 31), date(2020, 5, 1), 100.0), ("A", "quarter", date(2020, 6, 30), date(2020, 8, 1), 110.0), ("A", "quarter", date(2020, 7, 31), date(2020, 8, 20), 121.0)],
