@@ -3,7 +3,8 @@
 Each round sends every node's larger neighbours to the smallest node it knows (large
 star), then its smaller ones (small star), until nothing moves (Kiveris et al. 2014).
 Minima are aggregated before they move, so a node with very many neighbours costs no task
-more than its share; each round's edges are written to the shared folder.
+more than its share; each round's edges are written to the shared folder, and read by tasks
+by their number rather than the session's, as few edges over many tasks cost what tasks cost.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash
+from .common import Stash, by_rows
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,8 +41,9 @@ def components(edges: DataFrame, stash: Stash, most_rounds: int = 100) -> DataFr
         if now[0] == 0 or now == before:
             break
         before, old = now, edges
-        edges = stash.put(_small_star(_large_star(edges)))
+        edges = stash.put(_small_star(_large_star(by_rows(edges, now[0]))))
         stash.drop(old)
     else:
         raise RuntimeError(f"components don't settle in {most_rounds} rounds")
+    edges = by_rows(edges, 2 * now[0])
     return stash.put(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct())

@@ -46,7 +46,7 @@ result; extra columns are not carried.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytetext
-from .common import Stash, arrow_limits, small, table
+from .common import Stash, arrow_limits, by_rows, small, small_as, table
 from .components import components
 
 SHINGLE = 5
@@ -242,7 +242,9 @@ class _Join:
             F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"),
         )
         self.sets = self.stash.put(own)
+        self.per_set = small_as(self.sets)
         self.edges: DataFrame | None = None
+        self.links = 0
 
     def compare(self, pairs: DataFrame, hashes: DataFrame) -> None:
         """Adds the pairs that link to the edges."""
@@ -253,6 +255,7 @@ class _Join:
 
     def add(self, new: DataFrame) -> None:
         new = self.stash.put(new)
+        self.links += new.count()
         self.edges = new if self.edges is None else self.edges.unionAll(new)
 
     def hashes_of(self, sigs: DataFrame) -> DataFrame:
@@ -265,10 +268,12 @@ class _Join:
         """
         if self.edges is None:
             return rows.withColumn("component", F.col("sig"))
-        both = self.edges.unionAll(self.edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        n = 2 * self.links
+        both = by_rows(self.edges.unionAll(self.edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), n)
         near = self.stash.put(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
-        far = self.stash.put(both.join(near.withColumnRenamed("a", "c"), F.col("b") == F.col("c")).groupBy("a").agg(F.least("a", F.min("m")).alias("component")))
-        made = self.stash.put(rows.join(far.withColumnRenamed("a", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig")))
+        far = self.stash.put(both.join(by_rows(near, n).withColumnRenamed("a", "c"), F.col("b") == F.col("c")).groupBy("a").agg(F.least("a", F.min("m")).alias("component")))
+        labels = small(far.withColumnRenamed("a", "sig"))
+        made = self.stash.put(rows.join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig")))
         for done in (near, far):
             self.stash.drop(done)
         return made
@@ -278,34 +283,35 @@ class _Join:
         stash = self.stash
         many = stash.put(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
         shared = stash.put(rows.join(small(many), "key"))
-        scores = shared.groupBy("sig").agg(F.sum("n").alias("score"))
+        per_key = small_as(many)
+        scores = self.per_set(shared.groupBy("sig").agg(F.sum("n").alias("score")))
         hubs = shared.join(scores, "sig").groupBy("key").agg(F.max(F.struct("score", "sig")).alias("hub")).select("key", F.col("hub.sig").alias("hub"))
-        pairs = shared.join(hubs, "key").filter("hub <> sig").select(F.least("hub", "sig").alias("a"), F.greatest("hub", "sig").alias("b")).distinct()
+        pairs = shared.join(per_key(hubs), "key").filter("hub <> sig").select(F.least("hub", "sig").alias("a"), F.greatest("hub", "sig").alias("b")).distinct()
         pairs = stash.put(sized(pairs, self.sets))
         hashes = self.hashes_of(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct())
         self.compare(pairs, hashes)
         known = self.labelled(shared.filter("n > 2").select("key", "sig", "n"))
-        left = known.join(_largest(known), "key")
+        left = known.join(per_key(_largest(known)), "key")
         left = stash.put(left.withColumn("hot", F.lit(False) if hot is None else F.col("n") - F.col("most") > hot))
         for done in (many, shared, pairs, hashes, known):
             stash.drop(done)
-        near = stash.put(_meeting(left.filter("not hot").join(self.sets.select("sig", "size", "sketch"), "sig"), _nearest, "key long, sig long, partner long"))
+        near = stash.put(_meeting(left.filter("not hot").join(self.sets.select("sig", "size", "sketch"), "sig"), _nearest, "key long, sig long, partner long", per_key))
         if not near.isEmpty():
-            self.verify(near)
+            self.verify(near, per_key)
         again = None if hot is None else stash.put(left.filter("hot").select("sig").distinct())
         stash.drop(left)
         stash.drop(near)
         return again
 
-    def verify(self, near: DataFrame) -> None:
+    def verify(self, near: DataFrame, per_key: Callable[[DataFrame], DataFrame]) -> None:
         """near: (key, sig, partner) of all sets that have a partner which sketches allow, with the nearest."""
         hashes = self.hashes_of(near.select("sig").distinct())
         self.compare(near.select(F.least("sig", "partner").alias("a"), F.greatest("sig", "partner").alias("b")).distinct(), hashes)
         known = self.labelled(near.select("key", "sig").distinct())
-        asked = self.stash.put(known.join(_largest(known), "key"))
+        asked = self.stash.put(known.join(per_key(_largest(known)), "key"))
         self.stash.drop(known)
         rows = asked.join(self.sets.select("sig", "size", "sketch"), "sig").join(hashes, "sig")
-        self.add(_meeting(rows, _verified, "a long, b long").distinct())
+        self.add(_meeting(rows, _verified, "a long, b long", per_key).distinct())
         for done in (asked, hashes):
             self.stash.drop(done)
 
@@ -336,7 +342,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hot = known.settle(known.sets.select(F.explode("keys").alias("key"), "sig"), HOT)
     if not hot.isEmpty():
         known.settle(known.stash.put(known.seldom_keys(hot)), None)
-    labels = components(known.edges, known.stash).withColumnRenamed("node", "sig")
+    labels = small(components(by_rows(known.edges, known.links), known.stash).withColumnRenamed("node", "sig"))
     sets = known.sets.select("sig", "rep", "copies").join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     named = sets.groupBy("component").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("rows")).filter("rows > 1")
     ids = known.stash.put(sets.select("sig", "component").join(named, "component").select("sig", "component_id"))
@@ -349,23 +355,26 @@ def _largest(rows: DataFrame) -> DataFrame:
     return per.filter("parts > 1").select("key", F.col("largest.own").alias("most"), F.col("largest.component").alias("main"))
 
 
-def _meeting(rows: DataFrame, of, schema: str) -> DataFrame:
+def _meeting(rows: DataFrame, of, schema: str, per_key: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What `of` finds in blocks of the members of each key: rows outside the key's main component against all.
 
-    rows: key, sig, component, main, size, sketch and what else `of` reads.
+    rows: key, sig, component, main, size, sketch and what else `of` reads. per_key marks a table of keys for its join.
     """
     asks = F.col("component") != F.col("main")
     blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES))
     per = rows.groupBy("key").agg(
         blocks(F.count("*"), F.sum("size")).alias("holders"), blocks(F.count_if(asks), F.coalesce(F.sum(F.when(asks, F.col("size"))), F.lit(0))).alias("askers")
     )
-    rows = rows.withColumn("asks", asks).join(per, "key")
+    rows = rows.withColumn("asks", asks).join(per_key(per), "key")
     own = lambda n: F.pmod(F.xxhash64("sig"), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    cell = lambda i, j, holds: F.struct(i.alias("i"), j.alias("j"), F.lit(holds).alias("holds"))
+    # A row holds its cells and asks in others at once: two passes would join rows with their sets twice.
+    held = F.transform(every("askers"), lambda j: cell(own("holders"), j, True))
+    asked = F.transform(every("holders"), lambda i: cell(i, own("askers"), False))
     rest = [c for c in rows.columns if c not in ("holders", "askers", "main", "most", "hot", "n", "key")]
-    holders = rows.select("key", own("holders").alias("i"), every("askers").alias("j"), F.lit(True).alias("holds"), *rest)
-    askers = rows.filter("asks").select("key", every("holders").alias("i"), own("askers").alias("j"), F.lit(False).alias("holds"), *rest)
-    made = holders.unionAll(askers).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "holds")
+    placed = rows.select("key", F.explode(F.when(F.col("asks"), F.concat(held, asked)).otherwise(held)).alias("cell"), *rest).select("key", "cell.*", *rest)
+    made = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "holds")
 
     def run(parts):
         for bundle, group in _bundles(parts):

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.llm import audit, bytetext, chat, components, jaccard, langid, licenses, linedup, mixing, neardup, packing, quality, registry, resample, toxicity, urlgraph
+from panelloom.llm import audit, bytetext, chat, common, components, jaccard, langid, licenses, linedup, mixing, neardup, packing, quality, registry, resample, toxicity, urlgraph
 from panelloom.llm.common import Stash, is_held_out
 from tests.test_queries import same
 
@@ -322,6 +322,30 @@ def test_jaccard_labels_are_written(spark):
     assert "Join" not in plan and "Aggregate" not in plan
 
 
+@pytest.mark.parametrize("per_task", [50_000, 3])
+def test_few_edges_take_few_tasks(spark, tmp_path, monkeypatch, per_task):
+    """Components of few edges cost no task for every partition of the session; with fewer edges a task they are the same."""
+    monkeypatch.setattr(common, "TASK_ROWS", per_task)
+    edges = Stash(spark, "edges").put(spark.createDataFrame([(k, k + 1) for k in range(0, 8)] + [(20, 30), (30, 25)], "a long, b long").repartition(6))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    context = spark.sparkContext
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        context.setJobGroup(f"edges-{per_task}", "")
+        got = dict(map(tuple, components.components(common.by_rows(edges, 10), Stash(spark, "components")).collect()))
+    finally:
+        context._jsc.clearJobGroup()
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {k: 0 for k in range(9)} | {20: 20, 25: 20, 30: 20}
+    if per_task > 10:
+        status = context.statusTracker()
+        stages = {s for j in status.getJobIdsForGroup(f"edges-{per_task}") for s in status.getJobInfo(j).stageIds}
+        tasks = [i.numTasks for i in map(status.getStageInfo, stages) if i]
+        assert tasks and max(tasks) <= 4
+
+
 def test_jaccard_long_texts_with_a_common_passage(spark):
     """Texts of 2,000 shingles that share a fifth; two pairs of them are near copies, on either side of the threshold."""
     rng = np.random.default_rng(8)
