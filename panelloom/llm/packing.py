@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -135,21 +136,22 @@ class Encoder:
         self.text, self.written = np.zeros(1 << 16, np.uint8), 0
 
     def _learn(self, names: list, parts: list[bytes]) -> None:
+        """Ids of parts under names, none of which is known; in arrays, as most of a table's distinct parts come up once."""
+        roomy = lambda x, n: np.concatenate([x, np.zeros(max(len(x), n - len(x)), x.dtype)]) if n > len(x) else x
         for lo in range(0, len(parts), 10_000):
-            some = parts[lo : lo + 10_000]
-            encoded = self.encode([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)
-            for name, body, e in zip(names[lo : lo + 10_000], some, encoded, strict=True):
-                ids, k = e.ids, len(self.at)
-                if k == len(self.start):
-                    self.start, self.size, self.hits, self.first, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.hits, self.first, self.length))
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                while self.written + len(body) + 8 > len(self.text):  # eights() of it need room
-                    self.text = np.concatenate([self.text, np.zeros_like(self.text)])
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.text[self.written : self.written + len(body)] = np.frombuffer(body, np.uint8)
-                self.at[name], self.start[k], self.size[k], self.first[k], self.length[k] = k, self.used, len(ids), self.written, len(body)
-                self.used, self.written = self.used + len(ids), self.written + len(body)
+            some, k = parts[lo : lo + 10_000], len(self.at)
+            n = k + len(some)
+            encoded = [e.ids for e in self.encode([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)]
+            size, length = (np.fromiter(map(len, x), np.int64, len(some)) for x in (encoded, some))
+            used, written = self.used + int(size.sum()), self.written + int(length.sum())
+            self.start, self.size, self.hits, self.first, self.length = (roomy(x, n) for x in (self.start, self.size, self.hits, self.first, self.length))
+            self.ids, self.text = roomy(self.ids, used), roomy(self.text, written + 8)  # eights() of it need room
+            self.ids[self.used : used] = np.fromiter(chain.from_iterable(encoded), np.int32, used - self.used)
+            self.text[self.written : written] = np.frombuffer(b"".join(some), np.uint8)
+            self.start[k:n], self.size[k:n] = self.used + np.cumsum(size) - size, size
+            self.first[k:n], self.length[k:n] = self.written + np.cumsum(length) - length, length
+            self.at.update(zip(names[lo : lo + 10_000], range(k, n), strict=True))
+            self.used, self.written = used, written
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, each text followed by END, and each text's number of ids with it."""
@@ -169,11 +171,12 @@ class Encoder:
         known, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.at) + len(known) > CACHE:
             self.shrink()
-        slot = np.fromiter((self.at.get(h, -1) for h in known.tolist()), np.int64, len(known))
+        slot = np.fromiter(map(self.at.get, known.tolist(), repeat(-1)), np.int64, len(known))
         body = part.tobytes()
         text = lambda k: body[begin[k] : end[k]]
         if len(new := np.flatnonzero(slot < 0)):
-            self._learn(known[new].tolist(), [text(k) for k in first[new]])
+            one = first[new]
+            self._learn(known[new].tolist(), [body[i:j] for i, j in zip(begin[one].tolist(), end[one].tolist(), strict=True)])
             slot[new] = np.arange(len(self.at) - len(new), len(self.at))
         self.hits[slot] += 1
         slot = slot[inverse]

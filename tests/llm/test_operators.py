@@ -569,6 +569,21 @@ def test_parts_with_one_hash_keep_their_ids(monkeypatch):
         assert ids.tolist() == want and tokens.sum() == len(want)
 
 
+def test_new_parts_are_learned_in_arrays():
+    """Parts that come up once are most of what is encoded: few calls of Python each, and the ids of the tokenizer."""
+    import cProfile
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, n = public_tokenizers.path(packing.TOKENIZER), 25_000
+    text = " ".join(f"x{k * 7919 % 10**6}" for k in range(n))
+    encode, profile = packing.Encoder(path), cProfile.Profile()
+    ids, tokens = profile.runcall(encode, *bytetext.flat(pa.array([text])))
+    assert sum(e.callcount for e in profile.getstats()) < 4 * n
+    assert ids.tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1] and tokens.tolist() == [len(ids)]
+
+
 def test_ranges_hold_equal_bytes_and_neighbours(spark, monkeypatch):
     """Two topics, one in long documents, and a third of copies: ranges by bytes, and sequences of one topic."""
     monkeypatch.setattr(packing, "RANGE_BYTES", 1 << 15)
