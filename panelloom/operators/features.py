@@ -78,7 +78,10 @@ def _rolled_lists(weekly: DataFrame, market: DataFrame, long: int, short: int) -
     older = F.col("older") if "older" in weekly.columns else F.lit(0)
     base = weekly.select("symbol", "week", "ret", older.cast("long").alias("older")).join(F.broadcast(market), "week", "left")  # a row a week
     lists = base.groupBy("symbol").agg(F.max("older").alias("older"), F.sort_array(F.collect_list(F.struct("week", "ret", "market"))).alias("w"))
-    kind = weekly.schema["week"].dataType.simpleString()
+    return _rolled(lists, weekly.schema["week"].dataType.simpleString(), long, short)
+
+
+def _rolled(lists: DataFrame, kind: str, long: int, short: int) -> DataFrame:
     return lists.mapInArrow(lambda batches: rolled(batches, long, short), f"symbol string, weeks array<struct<week: {kind}, mean: double, beta: double, idio: double>>")
 
 
@@ -93,6 +96,17 @@ def rolled_weeks(weekly: DataFrame, market: DataFrame, long: int = 156, short: i
     return _rolled_lists(weekly, market, long, short).select("symbol", F.inline("weeks"))
 
 
+def rolled_histories(rows: DataFrame, market: DataFrame, long: int = 156, short: int = 52) -> DataFrame:
+    """rolled_weeks of (symbol, older, weeks: in order, with week and ret), weeks being Mondays: the market is looked up by the calendar, no week is a row."""
+    span = market.agg(F.min("week").alias("lo"), F.max("week").alias("hi"))
+    calendar = span.select(F.explode(F.sequence("lo", "hi", F.expr("interval 7 days"))).alias("week")).join(market, "week", "left")
+    calendar = calendar.agg(F.min("week").alias("_monday"), F.sort_array(F.collect_list(F.struct("week", "market"))).alias("_market"))  # one row
+    at = lambda w: F.get("_market", (F.datediff(w["week"], F.col("_monday")) / 7).cast("int"))["market"]
+    lists = F.transform("weeks", lambda w: F.struct(w["week"].alias("week"), w["ret"].alias("ret"), at(w).alias("market")))
+    lists = rows.crossJoin(F.broadcast(calendar)).select("symbol", F.col("older").cast("long").alias("older"), lists.alias("w"))
+    return _rolled(lists, "date", long, short).select("symbol", F.inline("weeks"))
+
+
 def monthly_risk(months: DataFrame, rolled: DataFrame, stride: int = 4) -> DataFrame:
     """(symbol, month) with rolling_return, beta, betasq and idiovol, lagged and current, from months (symbol, month, latest_week) and rolled_weeks.
 

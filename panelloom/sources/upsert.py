@@ -60,16 +60,18 @@ class Upserts:
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.keys[0]), F.lit(self.buckets)).cast("int")
 
+    def read_near(self, some: DataFrame, version: int) -> DataFrame | None:
+        """The rows of a version in the buckets that `some` fall into; None if it has no such bucket."""
+        held = self.commit(version)["buckets"]
+        there = [str(r[0]) for r in some.select(self.bucket().alias("b")).distinct().collect()]  # buckets at most
+        folders = [f"{self.path}/{held[b]}" for b in there if b in held]
+        return self.spark.read.parquet(*folders) if folders else None
+
     def read_like(self, some: DataFrame, version: int) -> DataFrame | None:
         """The rows of a version whose first key is among those of `some`, from the buckets that these fall into; None if it has no such bucket."""
-        held, k = self.commit(version)["buckets"], self.keys[0]
+        rows, k = self.read_near(some, version), self.keys[0]
         of = some.select(F.col(k).alias("_k")).distinct()
-        there = [str(r[0]) for r in some.select(self.bucket().alias("b")).distinct().collect()]  # buckets at most
-        folders = [f"{self.path}/{held[b]}" for b in there if b in held]
-        if not folders:
-            return None
-        rows = self.spark.read.parquet(*folders)
-        return rows.join(of, rows[k].eqNullSafe(of["_k"]), "left_semi")
+        return None if rows is None else rows.join(of, rows[k].eqNullSafe(of["_k"]), "left_semi")
 
     def upsert(self, news: DataFrame, batch: int | None = None) -> int:
         """The version that holds the news; batches up to the last one taken are left alone."""

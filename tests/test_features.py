@@ -858,3 +858,22 @@ def test_streamed_risk_reads_rows_not_histories(spark, tmp_path, monkeypatch):
     weekly = bars.weekly_returns(spark.createDataFrame([(*r, 1.0) for r in rows], schema + ", volume double"))
     want = {r["symbol"]: r["idio"] for r in features.rolled_weeks(weekly, features.market_returns(weekly), 8, 4).filter("week = '2019-08'").collect()}
     assert {r["symbol"]: r["idio"] for r in spark.read.parquet(f"{store}/rolled/batch=1").collect()} == {k: pytest.approx(v) for k, v in want.items()} and len(want) == 3
+
+
+def test_streamed_risk_of_a_long_batch_reads_no_histories(spark, tmp_path, monkeypatch):
+    """A batch that brings more weeks than a symbol's row holds is served from the row before it and the batch."""
+    from panelloom.streaming import risk
+
+    schema, src, store = "symbol string, date date, price double", str(tmp_path / "in"), str(tmp_path / "store")
+    rng = np.random.default_rng(6)
+    rows = [(s, date(2018, 1, 1) + timedelta(days=7 * k), float(p)) for s in "AB" for k, p in enumerate(np.exp(rng.normal(2, 0.2, 50)))]
+    monkeypatch.setattr(risk, "_history", lambda *_: (_ for _ in ()).throw(AssertionError("read a history")))
+    for late in (False, True):
+        spark.createDataFrame([r for r in rows if (r[1] > date(2018, 5, 1)) == late], schema).coalesce(1).write.mode("append").parquet(src)
+        risk.maintain(spark.readStream.schema(schema).parquet(src), store, str(tmp_path / "cp"), long=8, short=4, spare=2).awaitTermination()
+    daily = spark.createDataFrame([(*r, 1.0) for r in rows], schema + ", volume double")
+    weekly = bars.weekly_returns(daily)
+    want = features.rolling_risk(bars.monthly_summary(bars.daily_returns(daily)), weekly, features.market_returns(weekly), 8, 4)
+    plain = lambda df: {(r["symbol"], r["month"]): {c: v if v is None or isinstance(v, str) else pytest.approx(v, abs=1e-9) for c, v in r.asDict().items()} for r in df.collect()}
+    got = {(r["symbol"], r["month"]): r.asDict() for r in risk.risk(spark, store).collect()}
+    assert got == plain(want) and any(r["idiovol"] is not None for r in got.values())
