@@ -37,6 +37,8 @@ from .common import Stash, arrow_limits, table
 LENGTH, END = 2048, 1
 TOKENIZER = "byte_bpe_50k.json"
 CACHE = 600_000
+#: New parts that are encoded as one text.
+JOINED = 64
 BUCKETS, DIMS, BITS, SEED = 256, 4, 10, 5
 #: Bytes of a range, and of what counts as one when ranges are bounded; ranges at most (they get longer beyond); bits of a key's hash of ids.
 RANGE_BYTES, UNIT_BYTES, MOST_RANGES, TIE_BITS = 1 << 20, 1 << 10, 20_000, 20
@@ -95,7 +97,9 @@ class Encoder:
     """Token ids of many texts, by distinct parts.
 
     A part is looked up by a 64-bit hash and compared with the bytes of the part that had it
-    first; parts that share a hash with another are looked up by their bytes.
+    first; parts that share a hash with another are looked up by their bytes. New parts are
+    encoded many to a text where texts may be cut between them, and told apart by the bytes
+    that each id stands for.
     """
 
     SPACE = np.zeros(256, bool)
@@ -105,10 +109,19 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        self.tokenizer = t = Tokenizer.from_file(path)
+        self.encode = getattr(t, "encode_batch_fast", t.encode_batch)
+        cut = t.pre_tokenizer
+        self.joins = isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space and t.normalizer is None and isinstance(t.model, models.BPE)
+        vocab = t.get_vocab(with_added_tokens=False)
+        added = {k: len(x.content.encode()) for k, x in t.get_added_tokens_decoder().items()}
+        self.width = np.zeros(max(chain(vocab.values(), added), default=0) + 1, np.int64)  # bytes of each id; a byte is one character of a token's name
+        for name, k in vocab.items():
+            self.width[k] = len(name)
+        for k, size in added.items():
+            self.width[k] = size
         self.clear()
 
     def shrink(self) -> None:
@@ -135,18 +148,46 @@ class Encoder:
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
         self.text, self.written = np.zeros(1 << 16, np.uint8), 0
 
+    def _encoded(self, parts: list[bytes], length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of parts that aren't empty, and how many are each one's."""
+        body, end = b"".join(parts), np.cumsum(length)
+        if self.joins:
+            try:
+                body.decode()
+            except UnicodeDecodeError:  # what replaces bytes has others
+                pass
+            else:
+                apart = ~self._cuts(np.frombuffer(body, np.uint8))[end[:-1] - 1]
+                apart[JOINED - 1 :: JOINED] = True
+                stop = np.append(end[:-1][apart], len(body)).tolist()
+                texts = [body[i:j].decode() for i, j in zip([0, *stop], stop, strict=False)]
+                ids = np.fromiter(chain.from_iterable(e.ids for e in self.encode(texts, add_special_tokens=False)), np.int32)
+                upto = np.cumsum(self.width[ids])
+                last = np.searchsorted(upto, end)
+                if len(ids) and upto[-1] == len(body) and np.array_equal(upto[last], end):
+                    return ids, np.diff(last, prepend=-1)
+        encoded = [e.ids for e in self.encode([x.decode("utf-8", "replace") for x in parts], add_special_tokens=False)]
+        size = np.fromiter(map(len, encoded), np.int64, len(parts))
+        return np.fromiter(chain.from_iterable(encoded), np.int32, int(size.sum())), size
+
+    def _cuts(self, data: np.ndarray) -> np.ndarray:
+        """Whether a text may be cut after each byte but the last: white space follows a character that is certainly none."""
+        lead, before = (data >= 0xC3) & (data < 0xE0), self.SOLID[data]
+        before[1:] |= lead[:-1] & (data[1:] >= 0x80)
+        return self.SPACE[data[1:]] & before[:-1]
+
     def _learn(self, names: list, parts: list[bytes]) -> None:
         """Ids of parts under names, none of which is known; in arrays, as most of a table's distinct parts come up once."""
         roomy = lambda x, n: np.concatenate([x, np.zeros(max(len(x), n - len(x)), x.dtype)]) if n > len(x) else x
         for lo in range(0, len(parts), 10_000):
             some, k = parts[lo : lo + 10_000], len(self.at)
             n = k + len(some)
-            encoded = [e.ids for e in self.encode([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)]
-            size, length = (np.fromiter(map(len, x), np.int64, len(some)) for x in (encoded, some))
+            length = np.fromiter(map(len, some), np.int64, len(some))
+            fresh, size = self._encoded(some, length)
             used, written = self.used + int(size.sum()), self.written + int(length.sum())
             self.start, self.size, self.hits, self.first, self.length = (roomy(x, n) for x in (self.start, self.size, self.hits, self.first, self.length))
             self.ids, self.text = roomy(self.ids, used), roomy(self.text, written + 8)  # eights() of it need room
-            self.ids[self.used : used] = np.fromiter(chain.from_iterable(encoded), np.int32, used - self.used)
+            self.ids[self.used : used] = fresh
             self.text[self.written : written] = np.frombuffer(b"".join(some), np.uint8)
             self.start[k:n], self.size[k:n] = self.used + np.cumsum(size) - size, size
             self.first[k:n], self.length[k:n] = self.written + np.cumsum(length) - length, length
@@ -159,10 +200,7 @@ class Encoder:
         part, starts = data[lo:hi], offsets - lo
         cut = np.zeros(len(part) + 1, bool)
         if len(part):
-            solid, lead = self.SOLID[part], (part >= 0xC3) & (part < 0xE0)
-            before = solid.copy()
-            before[1:] |= lead[:-1] & (part[1:] >= 0x80)
-            cut[1:-1] = self.SPACE[part[1:]] & before[:-1]
+            cut[1:-1] = self._cuts(part)
         cut[starts[:-1][np.diff(starts) > 0]] = True
         begin = np.flatnonzero(cut[: len(part)])
         end = np.append(begin[1:], len(part))

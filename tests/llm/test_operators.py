@@ -584,6 +584,27 @@ def test_new_parts_are_learned_in_arrays():
     assert ids.tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1] and tokens.tolist() == [len(ids)]
 
 
+def test_new_parts_are_encoded_many_to_a_text():
+    """Few texts go to the tokenizer, and parts keep the ids that they have alone; bytes that are no text too."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, n = public_tokenizers.path(packing.TOKENIZER), 5_000
+    plain, rng = Tokenizer.from_file(path), np.random.default_rng(3)
+    odd = ["é", "ß\u00a0", "\u2003", "\u0085", "日本", "🙂", "'s", "' s", "\t", "\n\n", "  ", " ", "a", "Zz", "12", "...", "<|endoftext|>", "\x00", "\u0301", " \u00a0x"]
+    texts = [" ".join(f"y{k * 7919 % 10**6}" for k in range(n)), *("".join(rng.choice(odd, rng.integers(0, 40))) for _ in range(300)), None, " ", ""]
+    encode, asked = packing.Encoder(path), []
+    real = encode.encode
+    encode.encode = lambda texts, **how: asked.append(len(texts)) or real(texts, **how)
+    ids, tokens = encode(*bytetext.flat(pa.array(texts)))
+    want = [[*plain.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert tokens.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+    assert sum(asked) < n / 3
+    broken = [b"one \xff two", b"three \xc3", b" four"]
+    ids, _ = encode(*bytetext.flat(pa.array(broken)))
+    assert ids.tolist() == [x for b in broken for x in (*plain.encode(b.decode("utf-8", "replace"), add_special_tokens=False).ids, 1)]
+
+
 def test_ranges_hold_equal_bytes_and_neighbours(spark, monkeypatch):
     """Two topics, one in long documents, and a third of copies: ranges by bytes, and sequences of one topic."""
     monkeypatch.setattr(packing, "RANGE_BYTES", 1 << 15)
